@@ -29,30 +29,20 @@ def signature_from_coefficients(values: Column) -> Column:
     )
 
 
-def pack_votes(votes: list[Column]) -> Column:
-    """Bit i is set where vote i is positive."""
-    packed = F.lit(0).cast("bigint")
-    for i, vote in enumerate(votes):
-        packed = packed.bitwiseOR(F.when(vote > 0, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return packed
-
-
 def token_signatures(texts: DataFrame, by: str, text: str) -> DataFrame:
     """(by, h): majority vote per bit over the SHA-256 of the distinct words of each text.
 
     The tokens are exploded and folded again into 63 running sums per text, so the
-    partial aggregation before the shuffle leaves one row per text and task.
+    partial aggregation before the shuffle leaves one row per text and task. Bit i is set
+    where its vote is positive.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\w+)"), 1))
     tokens = texts.select(by, F.explode_outer(words).alias("word")).select(
-        by,
-        F.conv(F.substring(F.sha2("word", 256), 1, 16), 16, -10).cast("bigint").alias("t"),
+        by, F.expr("CAST(conv(substring(sha2(word, 256), 1, 16), 16, -10) AS BIGINT)").alias("t")
     )
-    votes = [
-        F.sum(F.getbit("t", F.lit(i)).cast("bigint") * 2 - 1).alias(f"v{i}") for i in range(BITS)
-    ]
-    folded = tokens.groupBy(by).agg(*votes)
-    return folded.select(by, pack_votes([F.col(f"v{i}") for i in range(BITS)]).alias("h"))
+    votes = [F.expr(f"sum(2 * CAST(getbit(t, {i}) AS INT) - 1)").alias(f"v{i}") for i in range(BITS)]
+    packed = " | ".join(f"IF(v{i} > 0, {1 << i}L, 0L)" for i in range(BITS))
+    return tokens.groupBy(by).agg(*votes).select(by, F.expr(packed).alias("h"))
 
 
 def block_masks(threshold: int, blocks: int) -> list[int]:
@@ -68,19 +58,13 @@ def block_masks(threshold: int, blocks: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, blocks - threshold)]
 
 
-def block_keys(h: Column, masks: list[int]) -> Column:
-    """Array of struct(block, key) to explode; one entry per mask."""
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("block"), h.bitwiseAND(F.lit(m).cast("bigint")).alias("key"))
-            for i, m in enumerate(masks)
-        ]
-    )
+def block_keys(h: str, masks: list[int]) -> Column:
+    """Array of struct(block, key) to explode; one entry per mask. ``h`` is a column name."""
+    entries = ", ".join(f"named_struct('block', {i}, 'key', {h} & {m}L)" for i, m in enumerate(masks))
+    return F.expr(f"array({entries})")
 
 
-def first_block(a: Column, b: Column, masks: list[int]) -> Column:
+def first_block(a: str, b: str, masks: list[int]) -> Column:
     """Index of the first mask two signatures agree on; keeps each pair once without distinct."""
-    x = a.bitwiseXOR(b)
-    return F.coalesce(
-        *[F.when(x.bitwiseAND(F.lit(m).cast("bigint")) == 0, F.lit(i)) for i, m in enumerate(masks)]
-    )
+    tests = " ".join(f"WHEN ({a} ^ {b}) & {m}L = 0 THEN {i}" for i, m in enumerate(masks))
+    return F.expr(f"CASE {tests} END")

@@ -27,31 +27,30 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x / length)
 
 
-def top2(scores: Column) -> Column:
+def top2(scores: str) -> Column:
     """struct(predicted, runner_up, best, second, margin) with class indexes from 0.
 
-    Equal scores go to the lowest class index.
+    ``scores`` is the name of (or an SQL expression for) an ``array<double>`` column. One pass
+    over the array; equal scores go to the lowest class index.
     """
-    best = F.array_max(scores)
-    predicted = (F.array_position(scores, best) - 1).cast("int")
-    others = F.transform(scores, lambda x, i: F.when(i != predicted, x))
-    second = F.array_max(others)
-    return F.struct(
-        predicted.alias("predicted"),
-        (F.array_position(others, second) - 1).cast("int").alias("runner_up"),
-        best.alias("best"),
-        second.alias("second"),
-        (best - second).alias("margin"),
-    )
+    return F.expr(f"""
+        aggregate({scores},
+          named_struct('i', 0, 'b', -double('Infinity'), 'bi', -1, 's', -double('Infinity'), 'si', -1),
+          (a, x) -> CASE
+            WHEN x > a.b THEN named_struct('i', a.i + 1, 'b', x, 'bi', a.i, 's', a.b, 'si', a.bi)
+            WHEN x > a.s THEN named_struct('i', a.i + 1, 'b', a.b, 'bi', a.bi, 's', x, 'si', a.i)
+            ELSE named_struct('i', a.i + 1, 'b', a.b, 'bi', a.bi, 's', a.s, 'si', a.si) END,
+          a -> named_struct('predicted', a.bi, 'runner_up', a.si, 'best', a.b, 'second', a.s, 'margin', a.b - a.s))
+    """)
 
 
 def scaled_logits(cosines: Column, scale: Column | float, bias: Column | float = 0.0) -> Column:
-    scale = scale if isinstance(scale, Column) else F.lit(scale)
-    bias = bias if isinstance(bias, Column) else F.lit(bias)
+    scale = scale if isinstance(scale, Column) else F.lit(float(scale))
+    bias = bias if isinstance(bias, Column) else F.lit(float(bias))
     return F.transform(cosines, lambda x: x * scale + bias)
 
 
-def rank_changed(before: Column, after: Column) -> Column:
+def rank_changed(before: str, after: str) -> Column:
     """True where scaling altered the winner or the runner-up."""
     a, b = top2(before), top2(after)
     return (a["predicted"] != b["predicted"]) | (a["runner_up"] != b["runner_up"])

@@ -119,10 +119,15 @@ def cross_entropy_summary(scored: DataFrame, by: list[str], loss: Column, correc
 # --- comparisons between domains -------------------------------------------------------
 
 
-def gap_retention(source: DataFrame, external: DataFrame, on: list[str], metrics: list[str]) -> DataFrame:
-    """external − source and external ÷ source for each metric (negative gap: degradation)."""
+def gap_retention(
+    source: DataFrame, external: DataFrame, on: list[str], metrics: list[str], keep: list[str] = []
+) -> DataFrame:
+    """external − source and external ÷ source for each metric (negative gap: degradation).
+
+    ``keep`` names further key columns of the external side, such as its domain.
+    """
     s = source.select(*on, *[F.col(m).alias(f"source_{m}") for m in metrics])
-    e = external.select(*on, *[F.col(m).alias(f"external_{m}") for m in metrics])
+    e = external.select(*on, *keep, *[F.col(m).alias(f"external_{m}") for m in metrics])
     out = s.join(e, on)
     for m in metrics:
         out = out.withColumn(f"{m}_gap", F.col(f"external_{m}") - F.col(f"source_{m}"))
@@ -130,10 +135,10 @@ def gap_retention(source: DataFrame, external: DataFrame, on: list[str], metrics
     return out
 
 
-def recall_shift(source: DataFrame, external: DataFrame, on: list[str]) -> DataFrame:
+def recall_shift(source: DataFrame, external: DataFrame, on: list[str], keep: list[str] = []) -> DataFrame:
     return (
         source.select(*on, F.col("recall").alias("source_recall"))
-        .join(external.select(*on, F.col("recall").alias("external_recall")), on)
+        .join(external.select(*on, *keep, F.col("recall").alias("external_recall")), on)
         .withColumn("shift", F.col("external_recall") - F.col("source_recall"))
     )
 

@@ -107,7 +107,7 @@ loss AS (SELECT b.system, b.item_id, ln(SUM(exp(s.score - b.top))) + b.top - b.o
 SELECT system, COUNT(*) AS samples, {r('AVG(loss)', 'loss')}, {r('AVG(hit)', 'accuracy')} FROM loss GROUP BY system"""))
 def cross_entropy_loss(spark, folder):
     rows = scored(spark, folder)
-    winner = top2(F.col("scores"))["predicted"]
+    winner = top2("scores")["predicted"]
     return rounded(metrics.cross_entropy_summary(
         rows, ["system"], cross_entropy(F.col("scores"), F.col("true_index")), winner == F.col("true_index")))
 
@@ -196,10 +196,7 @@ FROM summary s JOIN summary e ON s.system = e.system AND s.domain = {SOURCE} AND
 def gap_retention(spark, folder):
     m = domain_metrics(spark, folder)
     external = m.where(F.col("domain") != SOURCE)
-    gaps = metrics.gap_retention(_split(m, SOURCE), external, ["system"], ["accuracy", "weighted_f1"])
-    # the domain of the external side travels with it
-    keyed = external.select("system", "domain", F.col("accuracy").alias("external_accuracy"), F.col("weighted_f1").alias("external_weighted_f1"))
-    return rounded(gaps.join(keyed, ["system", "external_accuracy", "external_weighted_f1"]))
+    return rounded(metrics.gap_retention(_split(m, SOURCE), external, ["system"], ["accuracy", "weighted_f1"], ["domain"]))
 
 
 @query(with_views(*_DOMAIN_SUMMARY, body=f"""
@@ -209,11 +206,8 @@ FROM report s JOIN report e ON s.system = e.system AND s.class = e.class
   AND s.domain = {SOURCE} AND e.domain <> {SOURCE}"""))
 def recall_shift(spark, folder):
     report = domain_report(spark, folder)
-    out = None
-    for d in EXTERNALS:
-        one = metrics.recall_shift(_split(report, SOURCE), _split(report, d), ["system", "class"]).withColumn("domain", F.lit(d))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    external = report.where(F.col("domain") != SOURCE)
+    return rounded(metrics.recall_shift(_split(report, SOURCE), external, ["system", "class"], ["domain"]))
 
 
 _WIDE = """
@@ -340,10 +334,9 @@ def score_margins(spark, folder):
     """Top two classes, margins and rank check after scaling, for every score array."""
     names = F.array(*[F.lit(c) for c in CLASSES])
     s = F.col("scores")
-    logits = scaled_logits(s, 2.5, -1.0)
-    rows = scored(spark, folder).select(
-        "system", "item_id", top2(s).alias("t"), top2(logits)["margin"].alias("logit_margin"),
-        target_margin(s, F.col("true_index")).alias("target_margin"), rank_changed(s, logits).alias("rank_changed"))
+    rows = scored(spark, folder).withColumn("logits", scaled_logits(s, 2.5, -1.0)).select(
+        "system", "item_id", top2("scores").alias("t"), top2("logits")["margin"].alias("logit_margin"),
+        target_margin(s, F.col("true_index")).alias("target_margin"), rank_changed("scores", "logits").alias("rank_changed"))
     return rounded(rows.select(
         "system", "item_id", F.get(names, F.col("t.predicted")).alias("predicted_class"),
         F.get(names, F.col("t.runner_up")).alias("runner_up_class"), F.col("t.best").alias("score"),

@@ -12,8 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evidence.functions.hashing import normalised_text, stable_key, text_digest, unit_number
-from evidence.functions.labels import factor_a
+from evidence.functions.hashing import normalised_text, text_digest
 from evidence.functions.signatures import token_signatures
 from evidence.functions.vectors import as_double, top2
 from evidence.plans.catalog import table
@@ -58,23 +57,21 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     """(system, item_id, domain, true_class, true_index, scores array<double>)."""
     entries = F.array(*[F.struct(F.lit(n).alias("system"), F.lit(b).alias("bonus")) for n, b in SYSTEMS.items()])
     items = labelled(spark, folder).withColumn("s", F.explode(entries)).select("*", "s.system", "s.bonus")
-    length = F.when(F.col("n_chars") >= 1000, "good").otherwise("bad")
-    tone = F.when(F.col("toxic") == 1, "bad").otherwise("good")
-
-    def score(cls: str) -> Column:
-        half = factor_a(F.lit(cls))
-        return (
-            unit_number(stable_key(7, F.col("system"), F.col("item_id"), F.lit(cls)))
-            + F.when(F.col("true_class") == cls, F.col("bonus")).otherwise(0.0)
-            + F.when(half == length, 0.15).otherwise(0.0)
-            + F.when(half == tone, 0.1).otherwise(0.0)
-        )
+    noted = items.withColumn("length_says", F.when(F.col("n_chars") >= 1000, "good").otherwise("bad")).withColumn(
+        "tone_says", F.when(F.col("toxic") == 1, "bad").otherwise("good")
+    )
+
+    def score(cls: str) -> str:
+        half = cls.split("_")[0]
+        return f"""CAST(conv(substring(sha2(concat_ws('|', '7', system, item_id, '{cls}'), 256), 1, 8), 16, 10) AS BIGINT)
+            / 4294967296.0D + IF(true_class = '{cls}', bonus, 0.0D)
+            + IF(length_says = '{half}', 0.15D, 0.0D) + IF(tone_says = '{half}', 0.1D, 0.0D)"""
 
     names = F.array(*[F.lit(c) for c in CLASSES])
-    return items.select(
+    return noted.select(
         "system", "item_id", "domain", "true_class",
         (F.array_position(names, F.col("true_class")) - 1).cast("int").alias("true_index"),
-        F.array(*[score(c) for c in CLASSES]).alias("scores"),
+        F.expr("array(" + ", ".join(score(c) for c in CLASSES) + ")").alias("scores"),
     )
 
 
@@ -95,7 +92,7 @@ score_rows AS (
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     names = F.array(*[F.lit(c) for c in CLASSES])
-    best = scored(spark, folder).withColumn("t", top2(F.col("scores")))
+    best = scored(spark, folder).withColumn("t", top2("scores"))
     return best.select(
         "system", "item_id", "domain", "true_class",
         F.get(names, F.col("t.predicted")).alias("predicted_class"),
