@@ -29,20 +29,24 @@ def signature_from_coefficients(values: Column) -> Column:
     )
 
 
-def token_signatures(texts: DataFrame, by: str, text: str) -> DataFrame:
-    """(by, h): majority vote per bit over the SHA-256 of the distinct words of each text.
+def token_signatures(texts: DataFrame, by: list[str], text: str) -> DataFrame:
+    """(by…, h): majority vote per bit over the SHA-256 of the distinct words of each text.
 
-    The tokens are exploded and folded again into 63 running sums per text, so the
-    partial aggregation before the shuffle leaves one row per text and task. Bit i is set
-    where its vote is positive.
+    The tokens are exploded and folded again, so the partial aggregation before the shuffle
+    leaves one row per text and task. Each sum counts two bits at once, in the lower and
+    the upper half of a bigint: a text cannot hold 2**31 words, so the halves never meet, and 32
+    sums stay small enough for the JVM to compile. Bit i is set where most words have it.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\w+)"), 1))
-    tokens = texts.select(by, F.explode_outer(words).alias("word")).select(
-        by, F.expr("CAST(conv(substring(sha2(word, 256), 1, 16), 16, -10) AS BIGINT)").alias("t")
+    tokens = texts.select(*by, F.explode_outer(words).alias("word")).select(
+        *by, F.expr("CAST(conv(substring(sha2(word, 256), 1, 16), 16, -10) AS BIGINT)").alias("t")
     )
-    votes = [F.expr(f"sum(2 * CAST(getbit(t, {i}) AS INT) - 1)").alias(f"v{i}") for i in range(BITS)]
-    packed = " | ".join(f"IF(v{i} > 0, {1 << i}L, 0L)" for i in range(BITS))
-    return tokens.groupBy(by).agg(*votes).select(by, F.expr(packed).alias("h"))
+    pairs = range(0, BITS, 2)
+    ones = [F.expr(f"coalesce(sum(((t >> {i}) & 1L) | (((t >> {i}) & 2L) << 31)), 0L)").alias(f"s{i}") for i in pairs]
+    bits = " | ".join(
+        f"IF(2L * ((s{i - i % 2} >> {32 * (i % 2)}) & 4294967295L) > n, {1 << i}L, 0L)" for i in range(BITS)
+    )
+    return tokens.groupBy(*by).agg(F.count("t").alias("n"), *ones).select(*by, F.expr(bits).alias("h"))
 
 
 def block_masks(threshold: int, blocks: int) -> list[int]:

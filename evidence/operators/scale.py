@@ -5,14 +5,20 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: A table may be handed to every executor only up to this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer partitions than the session has cores.
+
+    Only for heavy per-row work; a large table has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def hash_rank(
@@ -115,9 +121,10 @@ def exact_quantiles_wide(
 
 
 def small_matrix(
-    df: DataFrame, key: str, vec: str, max_bytes: int = BROADCAST_BYTES
-) -> tuple[list, np.ndarray] | None:
-    """A table of (key, vector) as keys and a float64 matrix, or None when it is too large.
+    df: DataFrame, key: str, vec: str, carry: list[str] = [], max_bytes: int = BROADCAST_BYTES
+) -> tuple[pd.DataFrame, np.ndarray] | None:
+    """A table of keys and vectors as (frame of key and carried columns, float64 matrix), in key
+    order, or None when it is too large.
 
     The size is measured on the data first, so a large table never reaches the driver.
     """
@@ -126,7 +133,6 @@ def small_matrix(
     ).first()
     if size["numbers"] * 8 + size["rows"] * 64 > max_bytes:
         return None
-    rows = df.select(key, vec).orderBy(key).toPandas()
-    if rows.empty:
-        return [], np.zeros((0, 0))
-    return rows[key].tolist(), np.vstack(rows[vec].to_numpy()).astype(np.float64)
+    rows = df.select(key, *carry, vec).orderBy(key).toPandas()
+    matrix = np.vstack(rows[vec].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 0))
+    return rows.drop(columns=[vec]), matrix

@@ -17,6 +17,11 @@ def _sides(df):
     return df.where("domain = 0"), df.where("domain <> 0")
 
 
+def signed(spark, folder):
+    """The signature table, computed from the texts once and written to the shared folder."""
+    return dedup.stored(signatures(spark, folder))
+
+
 @query(with_views(TEXTS, body="SELECT content_hash, COUNT(*) AS n, MIN(item_id) AS first FROM texts GROUP BY content_hash HAVING COUNT(*) > 1"))
 def duplicate_groups(spark, folder):
     return dedup.duplicate_groups(texts(spark, folder), "content_hash", "item_id")
@@ -89,18 +94,18 @@ matches AS (
 
 @query(with_views(SIGNATURES, body=_CROSS + "SELECT * FROM matches"))
 def hamming_join(spark, folder):
-    return dedup.near_matches(*_sides(signatures(spark, folder)), THRESHOLD)
+    return dedup.near_matches(*_sides(signed(spark, folder)), THRESHOLD)
 
 
 @query(with_views(SIGNATURES, body=_WITHIN + "SELECT * FROM matches"))
 def hamming_self_join(spark, folder):
-    return dedup.near_matches_within(signatures(spark, folder), THRESHOLD, DIGESTS)
+    return dedup.near_matches_within(signed(spark, folder), THRESHOLD, DIGESTS)
 
 
 @query(with_views(SIGNATURES, body=_WITHIN + """
 SELECT distance, COUNT(*) AS signature_pairs, CAST(SUM(item_pairs) AS BIGINT) AS item_pairs FROM matches GROUP BY distance"""))
 def distance_histogram(spark, folder):
-    return dedup.distance_histogram(dedup.near_matches_within(signatures(spark, folder), THRESHOLD, DIGESTS))
+    return dedup.distance_histogram(dedup.near_matches_within(signed(spark, folder), THRESHOLD, DIGESTS))
 
 
 @query(with_views(SIGNATURES, body=_CROSS + """
@@ -109,7 +114,7 @@ SELECT matched, unreviewed, CAST(0 AS BIGINT) AS stale,
        CASE WHEN unreviewed = 0 THEN 'PASS_REVIEW_COMPLETE' ELSE 'REVIEW_INCOMPLETE' END AS status FROM state"""))
 def review_reconcile(spark, folder):
     """Candidates against a review that covered the distances up to 4."""
-    candidates = dedup.near_matches(*_sides(signatures(spark, folder)), THRESHOLD)
+    candidates = dedup.near_matches(*_sides(signed(spark, folder)), THRESHOLD)
     return dedup.reconcile(candidates, candidates.where("distance <= 4"), ["left_h", "right_h", "distance"])
 
 
@@ -124,9 +129,9 @@ SELECT broken, severe, candidates,
        CASE WHEN broken > 0 THEN 'BLOCKED_BROKEN_FILES' WHEN severe THEN 'BLOCKED_SEVERE_DUPLICATION' ELSE 'PASS' END AS audit_status,
        CASE WHEN candidates > 0 THEN 'REVIEW_REQUIRED' ELSE 'PASS_NO_CANDIDATES' END AS contamination_status FROM facts"""))
 def gate_status(spark, folder):
-    items = signatures(spark, folder)
+    items = signed(spark, folder)
     pairs = dedup.near_matches(*_sides(items), THRESHOLD).agg(F.coalesce(F.sum("item_pairs"), F.lit(0)).alias("n"))
-    severe = dedup.secondary_fraction(texts(spark, folder), "item_id", DIGESTS).select("severe")
+    severe = dedup.secondary_fraction(items, "item_id", DIGESTS).select("severe")
     broken = table(spark, folder, "documents").agg(F.count_if(F.length("text") == 0).alias("broken"))
     facts = broken.select("broken", severe.scalar().alias("severe"), pairs.scalar().alias("candidates"))
     return facts.select("*", *dedup.gate(F.col("broken"), F.col("severe"), F.col("candidates")))

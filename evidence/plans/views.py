@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from evidence.functions.hashing import normalised_text, text_digest
 from evidence.functions.signatures import token_signatures
 from evidence.functions.vectors import as_double, top2
+from evidence.operators.scale import spread
 from evidence.plans.catalog import table
 
 LANGS = ["de", "en", "es", "fr"]
@@ -161,11 +162,16 @@ dims AS (
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """(item_id, domain, file_hash, content_hash): the text digest stands for the file hash, the
     digest of the normal form for the hash of the decoded content."""
-    return table(spark, folder, "documents").select(
+    return digests(table(spark, folder, "documents")).drop("text")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").alias("item_id"),
         domain_of(F.col("source")).alias("domain"),
         text_digest(F.col("text")).alias("file_hash"),
         text_digest(normalised_text(F.col("text"))).alias("content_hash"),
+        "text",
     )
 
 
@@ -178,10 +184,9 @@ TEXTS = r"""texts AS (
 
 
 def signatures(spark: SparkSession, folder: str) -> DataFrame:
-    """(item_id, domain, file_hash, content_hash, h): texts with their 63-bit signature."""
-    docs = table(spark, folder, "documents")
-    signed = token_signatures(docs.select(F.col("doc_id").alias("item_id"), "text"), "item_id", "text")
-    return texts(spark, folder).join(signed, "item_id")
+    """(item_id, domain, file_hash, content_hash, h): texts with their 63-bit signature, in one scan."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return token_signatures(digests(docs), ["item_id", "domain", "file_hash", "content_hash"], "text")
 
 
 SIGNATURES = TEXTS + r""",
