@@ -6,6 +6,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evidence.functions.vectors import let
+
 BITS = 63
 
 
@@ -21,12 +23,12 @@ def signature_from_coefficients(values: Column) -> Column:
     """Drop the first of 64 numbers, set a bit where a number exceeds the median of the
     other 63; the first number left is the most significant bit."""
     tail = F.slice(values, 2, BITS)
-    median = F.element_at(F.array_sort(tail), 32)
-    return F.aggregate(
-        tail,
-        F.lit(0).cast("bigint"),
-        lambda acc, x: F.shiftleft(acc, 1) + F.when(x > median, F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
-    )
+
+    def packed(median: Column) -> Column:
+        bit = lambda x: F.when(x > median, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+        return F.aggregate(tail, F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1) + bit(x))
+
+    return let(F.element_at(F.array_sort(tail), 32), packed)
 
 
 def token_signatures(texts: DataFrame, by: list[str], text: str) -> DataFrame:

@@ -9,6 +9,11 @@ def as_double(vec: Column) -> Column:
     return vec.cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also when body uses it per array element."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -23,8 +28,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """v / |v|; the zero vector stays zero."""
-    length = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x / length)
+    return let(F.greatest(norm(v), F.lit(1e-12)), lambda length: F.transform(v, lambda x: x / length))
 
 
 def top2(scores: str) -> Column:
@@ -64,6 +68,9 @@ def target_margin(scores: Column, target: Column) -> Column:
 
 def cross_entropy(scores: Column, target: Column) -> Column:
     """-log softmax(scores)[target], shifted by the maximum for stability."""
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.log(total) + top - F.get(scores, target)
+
+    def loss(top: Column) -> Column:
+        total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+        return F.log(total) + top - F.get(scores, target)
+
+    return let(F.array_max(scores), loss)

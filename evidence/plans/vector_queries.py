@@ -133,8 +133,8 @@ def calinski_harabasz(spark, folder):
 , normed AS (SELECT vec_id, class, dim, x / sqrt(SUM(x * x) OVER (PARTITION BY vec_id)) AS x FROM dims),
 means AS (SELECT class, dim, AVG(x) AS m FROM normed GROUP BY class, dim),
 protos AS (SELECT class, dim, m / sqrt(SUM(m * m) OVER (PARTITION BY class)) AS p FROM means),
-scores AS (SELECT d.vec_id, d.class AS true_class, p.class, round(SUM(d.x * p.p), 10) AS s FROM dims d JOIN protos p ON d.dim = p.dim GROUP BY 1, 2, 3),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, class) AS k FROM scores)
+scores AS (SELECT d.vec_id, d.class AS true_class, p.class, SUM(d.x * p.p) AS s FROM dims d JOIN protos p ON d.dim = p.dim GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 10) DESC, class) AS k FROM scores)
 SELECT vec_id, true_class, MAX(CASE WHEN k = 1 THEN class END) AS predicted_class, MAX(CASE WHEN k = 2 THEN class END) AS runner_up_class,
        {r('MAX(CASE WHEN k = 1 THEN s END)', 'score')},
        {r('MAX(CASE WHEN k = 1 THEN s END) - MAX(CASE WHEN k = 2 THEN s END)', 'margin')} FROM ranked GROUP BY vec_id, true_class"""))
