@@ -61,10 +61,10 @@ def nearest(
     partial lists are merged per query. Both ways give the same rows.
     """
     q = queries.select(query, *carry_query, vec)
-    g = gallery.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"neighbour_{c}") for c in carry], vec)
+    g = gallery.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"neighbour_{c}") for c in carry], F.col(vec).alias("_gallery"))
     names = [f"neighbour_{c}" for c in carry]
     schema = T.StructType(
-        [f for f in q.schema.fields if f.name != vec] + [f for f in g.schema.fields if f.name != vec]
+        [f for f in q.schema.fields if f.name != vec] + [f for f in g.schema.fields if f.name != "_gallery"]
         + [T.StructField("similarity", T.DoubleType())]
     )
     left = [query, *carry_query]
@@ -78,7 +78,7 @@ def nearest(
         )
         return out.assign(similarity=sims)
 
-    small = small_matrix(g, "neighbour", vec, names, max_bytes)
+    small = small_matrix(g, "neighbour", "_gallery", names, max_bytes)
     if small is not None:
         shared = queries.sparkSession.sparkContext.broadcast(small)
 
@@ -95,15 +95,15 @@ def nearest(
         number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         qs = q.withColumn("_q", number(query, q_blocks)).withColumn("_g", every(g_blocks))
-        gs = g.withColumn("_g", number("neighbour", g_blocks)).withColumn("_q", every(q_blocks))
+        gs = g.withColumn("_gg", number("neighbour", g_blocks)).withColumn("_gq", every(q_blocks))
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame(columns=[*left, *right, "similarity"])
             b = b.sort_values("neighbour", kind="stable")
-            return assemble(a, b, np.vstack(b[vec].to_numpy()).astype(np.float64))
+            return assemble(a, b, np.vstack(b["_gallery"].to_numpy()).astype(np.float64))
 
-        found = qs.groupBy("_q", "_g").cogroup(gs.groupBy("_q", "_g")).applyInPandas(meet, schema)
+        found = qs.groupBy("_q", "_g").cogroup(gs.groupBy("_gq", "_gg")).applyInPandas(meet, schema)
     order = Window.partitionBy(query).orderBy(F.round("similarity", DIGITS).desc(), F.asc("neighbour"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -100,12 +100,12 @@ def file_format(content) -> F.Column:
     return out
 
 
-def inspect_images(spark: SparkSession, root: str) -> DataFrame:
+def inspect_images(spark: SparkSession, root: str, folders: list[str] = []) -> DataFrame:
     """One record per file below root: listing, digests, size, profile, signature, validity.
 
-    A file that cannot be decoded is recorded, not raised.
+    A file that cannot be decoded is recorded, not raised. Empty files are found in ``folders``.
     """
-    files = list_files(spark, root)
+    files = list_files(spark, root, folders)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
         plain_path("path").alias("path"), F.sha2("content", 256).alias("file_sha256"), file_format("content").alias("format")
     )
@@ -116,7 +116,7 @@ def inspect_images(spark: SparkSession, root: str) -> DataFrame:
     pixels = good.mapInPandas(_describe, _PIXELS).withColumn("h", signature_from_coefficients(F.col("coefficients")))
     modes = F.when(F.col("nChannels") == 1, "L").when(F.col("nChannels") == 4, "RGBA").otherwise("RGB")
     sizes = good.select("path", "width", "height", modes.alias("source_mode"))
-    joined = files.join(raw, "path").join(sizes, "path", "left").join(pixels, "path", "left")
+    joined = files.join(raw, "path", "left").join(sizes, "path", "left").join(pixels, "path", "left")
     return joined.select(
         "path", "identifier", "split", "class", "extension", "size_bytes", "file_sha256", "pixel_rgb_sha256", "h",
         signature_hex(F.col("h")).alias("phash_63bit_hex"), "width", "height",
