@@ -211,15 +211,15 @@ def history(spark, folder):
         F.concat_ws("_", "l_returnflag", (F.col("l_suppkey") % 10).cast("string")).alias("run"),
         F.month("l_shipdate").alias("epoch"),
     ).agg(
-        F.round(F.avg("l_quantity") / 50.0, 2).alias("validation_accuracy"),
-        F.round(F.avg(F.round(F.col("l_discount") * 100).cast("int")) / 100.0, 3).alias("validation_loss"),
+        (F.floor(F.avg("l_quantity") * 10) / 500.0).alias("validation_accuracy"),
+        (F.floor(F.avg(F.round(F.col("l_discount") * 100).cast("int")) * 10) / 1000.0).alias("validation_loss"),
     )
 
 
 HISTORY = """history AS (
   SELECT l_returnflag || '_' || (l_suppkey % 10) AS run, CAST(month(l_shipdate) AS INTEGER) AS epoch,
-         round(AVG(l_quantity) / 50.0::DOUBLE, 2) AS validation_accuracy,
-         round(AVG(CAST(round(l_discount * 100) AS INTEGER)) / 100.0::DOUBLE, 3) AS validation_loss
+         floor(AVG(l_quantity) * 10) / 500.0::DOUBLE AS validation_accuracy,
+         floor(AVG(CAST(round(l_discount * 100) AS INTEGER)) * 10) / 1000.0::DOUBLE AS validation_loss
   FROM lineitem GROUP BY 1, 2)"""
 
 
@@ -238,33 +238,33 @@ def running_best(spark, folder):
 
 
 @query("""WITH results AS (
-  SELECT l_returnflag AS encoder, 'P' || (l_linenumber % 4 + 1) AS family, round(AVG(l_quantity) / 50.0::DOUBLE, 2) AS macro_f1,
-         round(AVG(l_partkey % 10) / 10.0::DOUBLE, 2) AS accuracy FROM lineitem GROUP BY 1, 2)
+  SELECT l_returnflag AS encoder, 'P' || (l_linenumber % 4 + 1) AS family, floor(AVG(l_quantity) * 10) / 500.0::DOUBLE AS macro_f1,
+         floor(AVG(l_partkey % 10) * 10) / 100.0::DOUBLE AS accuracy FROM lineitem GROUP BY 1, 2)
 SELECT encoder, family, macro_f1, accuracy FROM (
   SELECT *, row_number() OVER (PARTITION BY encoder ORDER BY macro_f1 DESC, accuracy DESC, family) AS k FROM results) WHERE k = 1""")
 def prompt_selection(spark, folder):
     results = table(spark, folder, "lineitem").groupBy(
         F.col("l_returnflag").alias("encoder"), F.concat(F.lit("P"), (F.col("l_linenumber") % 4 + 1).cast("string")).alias("family"),
-    ).agg(F.round(F.avg("l_quantity") / 50.0, 2).alias("macro_f1"), F.round(F.avg(F.col("l_partkey") % 10) / 10.0, 2).alias("accuracy"))
+    ).agg((F.floor(F.avg("l_quantity") * 10) / 500.0).alias("macro_f1"), (F.floor(F.avg(F.col("l_partkey") % 10) * 10) / 100.0).alias("accuracy"))
     return ranking.select_family(results, ["encoder"], ["P1", "P2", "P3", "P4"])
 
 
 @query("""WITH runs AS (
-  SELECT l_returnflag AS study, l_suppkey AS experiment, round(AVG(l_quantity) / 50.0::DOUBLE, 2) AS train_accuracy,
-         round(AVG(l_partkey % 50) / 50.0::DOUBLE, 1) AS validation_accuracy, round(AVG(l_linenumber), 1) AS validation_loss
+  SELECT l_returnflag AS study, l_suppkey AS experiment, floor(AVG(l_quantity) * 10) / 500.0::DOUBLE AS train_accuracy,
+         floor(AVG(l_partkey % 50)) / 50.0::DOUBLE AS validation_accuracy, floor(AVG(l_linenumber) * 10) / 10.0::DOUBLE AS validation_loss
   FROM lineitem GROUP BY 1, 2)
 SELECT study, experiment, CAST(row_number() OVER (PARTITION BY study ORDER BY validation_accuracy DESC, validation_loss,
   abs(train_accuracy - validation_accuracy), experiment) AS INTEGER) AS position FROM runs""")
 def experiment_order(spark, folder):
     runs = table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("study"), F.col("l_suppkey").alias("experiment")).agg(
-        F.round(F.avg("l_quantity") / 50.0, 2).alias("train_accuracy"),
-        F.round(F.avg(F.col("l_partkey") % 50) / 50.0, 1).alias("validation_accuracy"),
-        F.round(F.avg("l_linenumber"), 1).alias("validation_loss"))
+        (F.floor(F.avg("l_quantity") * 10) / 500.0).alias("train_accuracy"),
+        (F.floor(F.avg(F.col("l_partkey") % 50)) / 50.0).alias("validation_accuracy"),
+        (F.floor(F.avg("l_linenumber") * 10) / 10.0).alias("validation_loss"))
     return ranking.experiment_order(runs, ["study"]).select("study", "experiment", "position")
 
 
 @query(f"""WITH measured AS (
-  SELECT l_returnflag AS domain, l_suppkey AS unit, round(AVG(l_quantity), 1) AS value FROM lineitem GROUP BY 1, 2),
+  SELECT l_returnflag AS domain, l_suppkey AS unit, floor(AVG(l_quantity) * 10) / 10.0::DOUBLE AS value FROM lineitem GROUP BY 1, 2),
 pairs(a, b) AS (VALUES ('A', 'N'), ('A', 'R'), ('N', 'R')),
 paired AS (
   SELECT p.a || '_vs_' || p.b AS pair, m.unit, m.value AS x, o.value AS y
@@ -279,7 +279,7 @@ tau AS (
 SELECT rho.pair, n, {r('rho', 'spearman_rho')}, {r('tau', 'kendall_tau_b')} FROM rho JOIN tau ON rho.pair = tau.pair""")
 def spearman_tau(spark, folder):
     measured = table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("domain"), F.col("l_suppkey").alias("unit")).agg(
-        F.round(F.avg("l_quantity"), 1).alias("value"))
+        (F.floor(F.avg("l_quantity") * 10) / 10.0).alias("value"))
     paired = ranking.paired_values(measured, "unit", "domain", "value", [("A", "N"), ("A", "R"), ("N", "R")])
     return rounded(ranking.spearman(paired, ["pair"]).join(ranking.kendall_tau_b(paired, ["pair"]), "pair"))
 
