@@ -123,9 +123,8 @@ def hash_draws(items: DataFrame, cls: str, item: str, replicates: int, seed: int
     int(sha256(``seed|b|class|j``)[:8], 16) mod n. Each item makes the draws of its own number, so
     the draws are spread like the items.
     """
-    ranked = hash_rank(items.select(cls, item), [cls], stable_key(seed, F.col(cls), F.col(item)), item)
-    sizes = items.groupBy(F.col(cls).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = ranked.join(sizes, F.col(cls) == F.col("_c")).select(cls, item, (F.col("rank") - 1).alias("_j"), "_n")
+    ranked = hash_rank(items.select(cls, item), [cls], stable_key(seed, F.col(cls), F.col(item)), item, total="_n")
+    numbered = ranked.select(cls, item, (F.col("rank") - 1).alias("_j"), "_n")
     draws = numbered.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(
         cls, "replicate",
         (hash_number(stable_key(seed, F.col("replicate"), F.col(cls), F.col("_j"))) % F.col("_n")).alias("_j"),

@@ -12,15 +12,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidence.functions.signatures import BITS, block_keys, block_masks, first_block, hamming
-from evidence.session import work_folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """A table read several times, written once to the shared checkpoint folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoints"))
-    return df.checkpoint()
+from evidence.operators.scale import stored
 
 
 # --- exact and equivalent duplicates ----------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evidence.functions.vectors import cosine, dot, l2_normalize
 from evidence.operators.retrieval import nearest
 from evidence.operators.sampling import hash_sample
-from evidence.operators.scale import BROADCAST_BYTES, small_matrix, spread
+from evidence.operators.scale import BROADCAST_BYTES, small_matrix, spread, stored
 
 
 def group_means(df: DataFrame, by: list[str], vec: str = "v") -> DataFrame:
@@ -106,7 +106,7 @@ def silhouette_cosine(
     the nearest other cluster is the largest product. Means of checked small size go to every
     task, otherwise the two best means per row are searched block by block.
     """
-    means = group_means(df.select(label, vec), [label], vec)
+    means = stored(group_means(df.select(label, vec), [label], vec))
     rows = df.select(item, label, vec)
     small = small_matrix(means, label, "mean", ["n"], max_bytes)
     if small is not None:
@@ -185,4 +185,4 @@ def zero_shot(items: DataFrame, protos: DataFrame, item: list[str], cls: str, ve
     """Best and second class by cosine to the class prototypes, for unit vectors: the two nearest rows of
     a gallery that holds one vector per class."""
     key, carry = item[0], item[1:]
-    return nearest(items, protos.withColumnRenamed("unit", vec), key, cls, vec, 2, carry, **options)
+    return nearest(items, stored(protos).withColumnRenamed("unit", vec), key, cls, vec, 2, carry, **options)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidence.functions.vectors import cross_entropy
 from evidence.operators.metrics import class_report, evaluate, full_grid, summary_report
-from evidence.operators.sampling import nested_budgets, stratified_folds
+from evidence.operators.sampling import hash_sample, stratified_folds
 from evidence.operators.scale import spread
 
 
@@ -135,11 +135,10 @@ def few_shot_fits(
     A group holds at most max(budgets) × classes rows, whatever the size of ``train``.
     """
     number = {c: i for i, c in enumerate(classes)}
-    chosen = None
-    for seed in seeds:
-        one = nested_budgets(train.select(cls, item, vec), cls, item, budgets, seed).select(
-            F.lit(seed).alias("seed"), cls, item, vec, F.explode("budget_membership").alias("budget"))
-        chosen = one if chosen is None else chosen.unionByName(one)
+    drawn = train.select(cls, item, vec).withColumn("seed", F.explode(F.array(*[F.lit(x) for x in seeds])))
+    picked = hash_sample(drawn, ["seed", cls], item, max(budgets), 0)
+    member = F.filter(F.array(*[F.lit(b) for b in sorted(budgets)]), lambda b: F.col("rank") <= b)
+    chosen = picked.select("seed", cls, item, vec, F.explode(member).alias("budget"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)

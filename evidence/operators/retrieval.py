@@ -65,7 +65,7 @@ def nearest(
     names = [f"neighbour_{c}" for c in carry]
     schema = T.StructType(
         [f for f in q.schema.fields if f.name != vec] + [f for f in g.schema.fields if f.name != "_gallery"]
-        + [T.StructField("similarity", T.DoubleType())]
+        + [T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.IntegerType())]
     )
     left = [query, *carry_query]
     right = ["neighbour", *names]
@@ -76,7 +76,8 @@ def nearest(
         out = pd.concat(
             [qs[left].iloc[qi].reset_index(drop=True), gs[right].iloc[gi].reset_index(drop=True)], axis=1
         )
-        return out.assign(similarity=sims)
+        place = np.arange(len(qi)) - np.searchsorted(qi, qi) + 1  # the rows of a query follow each other, best first
+        return out.assign(similarity=sims, rank=place.astype(np.int32))
 
     small = small_matrix(g, "neighbour", "_gallery", names, max_bytes)
     if small is not None:
@@ -88,22 +89,22 @@ def nearest(
                 if len(qs) and len(gs):
                     yield assemble(qs, gs, matrix)
 
-        found = spread(q).mapInPandas(search, schema)
-    else:
-        q_blocks = max(1, -(-q.count() // block_rows))
-        g_blocks = max(1, -(-g.count() // block_rows))
-        number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        qs = q.withColumn("_q", number(query, q_blocks)).withColumn("_g", every(g_blocks))
-        gs = g.withColumn("_gg", number("neighbour", g_blocks)).withColumn("_gq", every(q_blocks))
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame(columns=[*left, *right, "similarity"])
-            b = b.sort_values("neighbour", kind="stable")
-            return assemble(a, b, np.vstack(b["_gallery"].to_numpy()).astype(np.float64))
-
-        found = qs.groupBy("_q", "_g").cogroup(gs.groupBy("_gq", "_gg")).applyInPandas(meet, schema)
+        return spread(q).mapInPandas(search, schema)
+
+    q_blocks = max(1, -(-q.count() // block_rows))
+    g_blocks = max(1, -(-g.count() // block_rows))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    qs = q.withColumn("_q", number(query, q_blocks)).withColumn("_g", every(g_blocks))
+    gs = g.withColumn("_gg", number("neighbour", g_blocks)).withColumn("_gq", every(q_blocks))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=schema.names)
+        b = b.sort_values("neighbour", kind="stable")
+        return assemble(a, b, np.vstack(b["_gallery"].to_numpy()).astype(np.float64))
+
+    found = qs.groupBy("_q", "_g").cogroup(gs.groupBy("_gq", "_gg")).applyInPandas(meet, schema)
     order = Window.partitionBy(query).orderBy(F.round("similarity", DIGITS).desc(), F.asc("neighbour"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

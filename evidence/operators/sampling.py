@@ -16,8 +16,11 @@ def hash_sample(df: DataFrame, strata: list[str], item: str, n: int, seed: int,
     key = stable_key(seed, *[F.col(c) for c in strata], F.col(item))
     if n > GROUP_LIMIT:
         return hash_rank(df, strata, key, item, into).where(F.col(into) <= n)
+    keyed = df.withColumn("order_key", key)
+    if not strata:  # a global top n, cut inside every task first
+        keyed = keyed.orderBy("order_key", item).limit(n)
     order = Window.partitionBy(*strata).orderBy("order_key", item)
-    return df.withColumn("order_key", key).withColumn(into, F.row_number().over(order)).where(F.col(into) <= n)
+    return keyed.withColumn(into, F.row_number().over(order)).where(F.col(into) <= n)
 
 
 def shortfall(df: DataFrame, strata: list[str], n: int) -> DataFrame:
@@ -60,25 +63,21 @@ def ratio_split(
     """
     if not (0 < train < 1 and 0 < validation < 1 and train + validation < 1):
         raise ValueError("train and validation ratios must be positive and leave room for test")
-    totals = df.groupBy(F.col(cls).alias("_cls")).agg(F.count(F.lit(1)).alias("_total"))
-    checked = totals.withColumn(
-        "_total",
-        F.when(F.col("_total") >= smallest, F.col("_total")).otherwise(
-            F.raise_error(F.concat(F.lit("class too small to split: "), F.col("_cls").cast("string"))).cast("bigint")
-        ),
+    ranked = hash_rank(df, [cls], stable_key(seed, F.col(cls), F.col(item)), item, total="_total")
+    size = F.when(F.col("_total") >= smallest, F.col("_total")).otherwise(
+        F.raise_error(F.concat(F.lit("class too small to split: "), F.col(cls).cast("string"))).cast("bigint")
     )
-    ranked = hash_rank(df, [cls], stable_key(seed, F.col(cls), F.col(item)), item)
-    n_train = F.floor(F.col("_total") * F.lit(train))
-    n_validation = F.floor(F.col("_total") * F.lit(validation))
+    n_train = F.floor(F.col("_size") * F.lit(train))
+    n_validation = F.floor(F.col("_size") * F.lit(validation))
     return (
-        ranked.join(checked, F.col(cls).eqNullSafe(F.col("_cls")))
+        ranked.withColumn("_size", size)
         .withColumn(
             "split",
             F.when(F.col("rank") <= n_train, "train")
             .when(F.col("rank") <= n_train + n_validation, "validation")
             .otherwise("test"),
         )
-        .drop("_cls", "_total")
+        .drop("_size", "_total")
     )
 
 
@@ -91,11 +90,9 @@ def group_split(df: DataFrame, family: str, is_test: str, seed: int, share: floa
     test = df.where(F.col(is_test))
     families = df.groupBy(family).agg(F.max(F.col(is_test).cast("int")).alias("_in_test"))
     free = families.where(F.col("_in_test") == 0).select(family)
-    ranked = hash_rank(free, [], stable_key(seed, F.col(family)), family)
-    total = free.agg(F.count(F.lit(1)).alias("n"))
+    ranked = hash_rank(free, [], stable_key(seed, F.col(family)), family, total="_total")
     assigned = ranked.select(
-        family,
-        F.when(F.col("rank") <= F.floor(total.scalar() * F.lit(share)), "train").otherwise("validation").alias("split"),
+        family, F.when(F.col("rank") <= F.floor(F.col("_total") * F.lit(share)), "train").otherwise("validation").alias("split")
     )
     rest = df.where(~F.col(is_test)).join(assigned, family)
     return test.withColumn("split", F.lit("test")).unionByName(rest)

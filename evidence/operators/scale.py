@@ -8,10 +8,31 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from evidence.session import work_folder
+
 #: A table may be handed to every executor only up to this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+#: A checked table of up to this many narrow rows is sent to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table read several times, written once to the shared checkpoint folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoints"))
+    return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table written once and counted: broadcast below the bound, else left to a shuffle join,
+    where adaptive execution splits the partitions of a hot key."""
+    held = stored(df)
+    return F.broadcast(held) if held.count() <= max_rows else held
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where a scan has fewer partitions than the session has cores.
 
@@ -22,7 +43,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def hash_rank(
-    df: DataFrame, strata: list[str], key: Column, tie: str, into: str = "rank", digits: int = 3
+    df: DataFrame, strata: list[str], key: Column, tie: str, into: str = "rank", total: str | None = None, digits: int = 3
 ) -> DataFrame:
     """Number the rows of each stratum from 1 in the order of a hexadecimal hash key.
 
@@ -30,24 +51,26 @@ def hash_rank(
     of the hash cut each stratum into even slices instead: slices are numbered on their
     own, and the row counts of the slices before them (at most ``16**digits`` per stratum)
     give the offset. The numbers equal those of the plain window. ``key`` must start
-    with uniformly spread hex digits.
+    with uniformly spread hex digits. ``total`` adds the size of the stratum.
     """
-    keyed = df.withColumn("_key", key).withColumn("_slice", F.substring("_key", 1, digits))
-    slices = keyed.groupBy(*strata, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # one struct as the stratum keeps null strata together and lets window and join share a shuffle
+    keyed = (
+        df.withColumn("order_key", key)
+        .withColumn("_slice", F.substring("order_key", 1, digits))
+        .withColumn("_stratum", F.struct(*strata) if strata else F.lit(0))
+    )
+    slices = keyed.groupBy("_stratum", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_stratum").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(
-        *[F.col(c).alias(f"_s_{c}") for c in strata],
-        F.col("_slice").alias("_s_slice"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        "_stratum", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy("_stratum")).alias("_stratum_size"),
     )
-    match = F.col("_slice") == F.col("_s_slice")
-    for c in strata:
-        match = match & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    within = Window.partitionBy(*strata, "_slice").orderBy("_key", tie)
-    numbered = keyed.withColumn("_in_slice", F.row_number().over(within)).join(offsets, match)
-    return numbered.withColumn(into, F.col("_in_slice") + F.col("_before")).drop(
-        "_in_slice", "_before", "_slice", "_s_slice", *[f"_s_{c}" for c in strata]
-    ).withColumnRenamed("_key", "order_key")
+    within = Window.partitionBy("_stratum", "_slice").orderBy("order_key", tie)
+    numbered = keyed.withColumn("_in_slice", F.row_number().over(within)).join(offsets, ["_stratum", "_slice"])
+    out = numbered.withColumn(into, F.col("_in_slice") + F.col("_before"))
+    if total:
+        out = out.withColumn(total, F.col("_stratum_size"))
+    return out.drop("_in_slice", "_before", "_stratum_size", "_slice", "_stratum")
 
 
 def exact_quantiles(
@@ -83,11 +106,9 @@ def exact_quantiles(
         "n",
         F.array(*[target(i, p) for i, p in enumerate(probabilities)]).alias("_targets"),
     )
-    if by:
-        match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by])
-        placed = base.join(targets, match)
-    else:
-        placed = base.withColumn("_one", F.lit(1)).join(targets.withColumn("_uno", F.lit(1)), F.col("_one") == F.col("_uno"))
+    targets = broadcast_if_small(targets)
+    match = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by] or [F.lit(True)]
+    placed = base.join(targets, reduce(lambda a, b: a & b, match))
     spread = placed.select(*by, "n", "_v", F.explode("_targets").alias("_t")).where(F.col("_v") <= F.col("_t.hi"))
     counted = (
         spread.select(
