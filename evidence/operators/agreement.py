@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evidence.functions.labels import outcome
 from evidence.operators.metrics import ratio
-from evidence.operators.scale import exact_quantiles_wide
+from evidence.operators.scale import quantile_summary
 
 
 def pair_systems(predictions: DataFrame, left: str, right: str, keys: list[str]) -> DataFrame:
@@ -46,14 +46,10 @@ def disagreement(paired: DataFrame, by: list[str]) -> DataFrame:
 
 def outcome_margins(paired: DataFrame, by: list[str]) -> DataFrame:
     """Count, mean margins and the median right margin per outcome."""
-    keys = [*by, "outcome"]
-    means = paired.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("left_margin").alias("left_margin_mean"),
-        F.avg("right_margin").alias("right_margin_mean"),
-    )
-    medians = exact_quantiles_wide(paired, keys, "right_margin", {"right_margin_median": 0.5})
-    return means.join(medians, keys, "left")
+    extra = [
+        F.count(F.lit(1)).alias("n"), F.avg("left_margin").alias("left_margin_mean"), F.avg("right_margin").alias("right_margin_mean"),
+    ]
+    return quantile_summary(paired, [*by, "outcome"], "right_margin", {"right_margin_median": 0.5}, extra)
 
 
 def class_outcomes(paired: DataFrame, by: list[str]) -> DataFrame:

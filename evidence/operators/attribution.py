@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidence.functions.grids import grid_radius, is_edge
-from evidence.operators.scale import exact_quantiles_wide
+from evidence.operators.scale import quantile_summary, stored
 
 IMAGE = ["system", "domain", "identifier"]
 
@@ -66,9 +66,9 @@ def with_groups(records: DataFrame) -> DataFrame:
 
 def group_summary(records: DataFrame) -> DataFrame:
     """Images, gap mean, median and positive share, mean areas, edge share and radius per group."""
-    grouped = with_groups(records)
+    grouped = with_groups(stored(records))
     by = ["system", "group"]
-    means = grouped.groupBy(*by).agg(
+    extra = [
         F.count(F.lit(1)).alias("images"),
         F.avg("gap").alias("gap_mean"),
         F.avg((F.col("gap") > 0).cast("double")).alias("gap_positive"),
@@ -76,8 +76,8 @@ def group_summary(records: DataFrame) -> DataFrame:
         F.avg("random_auc").alias("random_auc_mean"),
         F.avg("edge_share").alias("edge_share_mean"),
         F.avg("top5_radius").alias("top5_radius_mean"),
-    )
-    return means.join(exact_quantiles_wide(grouped, by, "gap", {"gap_median": 0.5}), by, "left")
+    ]
+    return quantile_summary(grouped, by, "gap", {"gap_median": 0.5}, extra)
 
 
 def importance_grid(regions: DataFrame, by: list[str] = IMAGE) -> DataFrame:

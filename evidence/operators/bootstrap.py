@@ -174,6 +174,8 @@ def direction_replicates(
     parts = rows.groupBy(*keys, "_block").cogroup(plan.groupBy(*[f"_p_{k}" for k in keys], "_p_block")).applyInPandas(
         draw, f"{kept}, replicate bigint, part array<double>"
     )
+    # every later grouping has the replicate among its keys, so this is the last shuffle of the vectors
+    parts = parts.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "replicate")
     return parts.groupBy(*keys, "replicate").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("part")))).alias("mean"))
 
 

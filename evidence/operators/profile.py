@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evidence.operators.scale import exact_quantiles_wide
+from evidence.operators.scale import quantile_summary
 
 
 def class_counts(items: DataFrame, by: list[str], cls: str, classes: list[str]) -> DataFrame:
@@ -30,12 +30,12 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def describe(long: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Count, mean, population deviation, range and exact quantiles per group."""
-    basic = long.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
+    """Count, mean, population deviation, range and exact quantiles per group; nulls are not counted."""
+    extra = [
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
         F.min(value).alias("minimum"), F.max(value).alias("maximum"),
-    )
-    return basic.join(exact_quantiles_wide(long, by, value, quantiles), by)
+    ]
+    return quantile_summary(long, by, value, quantiles, extra)
 
 
 def domain_profile(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

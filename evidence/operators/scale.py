@@ -19,18 +19,14 @@ BROADCAST_ROWS = 100_000
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A table read several times, written once to the shared checkpoint folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoints"))
-    return df.checkpoint()
-
+    """A table read several times, written once to the shared folder of the cluster and read back.
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table written once and counted: broadcast below the bound, else left to a shuffle join,
-    where adaptive execution splits the partitions of a hot key."""
-    held = stored(df)
-    return F.broadcast(held) if held.count() <= max_rows else held
+    It cuts the lineage, survives lost executors, and its size is known to the optimizer.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, "stored")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -73,71 +69,75 @@ def hash_rank(
     return out.drop("_in_slice", "_before", "_stratum_size", "_slice", "_stratum")
 
 
-def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probabilities: list[float], accuracy: int = 10_000
+def _match(by: list[str], prefix: str) -> Column:
+    """Null-safe equality of the key columns with their prefixed copies."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in by], F.lit(True))
+
+
+def _prefixed(by: list[str], prefix: str) -> list[Column]:
+    return [F.col(c).alias(prefix + c) for c in by]
+
+
+def quantile_summary(
+    df: DataFrame, by: list[str], value: str, named: dict[str, float], extra: list[Column] = [], accuracy: int = 10_000
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles: one row (by…, p, n, quantile) per group and p.
+    """Exact, linearly interpolated quantiles with other aggregates: (by…, extra…, one column per name).
 
     The built-in exact ``percentile`` keeps every distinct value of a group in one buffer.
-    Here a mergeable sketch first brackets each quantile to within ``2/accuracy`` of the
-    ranks, one more pass counts the rows below the bracket and the values inside it, and only
-    the few values inside are sorted. Small groups are bracketed by their whole range.
+    Here one aggregate computes ``extra`` and a mergeable sketch that brackets each quantile to within
+    ``2/accuracy`` of the ranks. One more pass counts the rows below the bracket and the values
+    inside it, and only the few values inside are sorted. A small group is bracketed by its
+    whole range.
     """
+    points = sorted(set(named.values()))
     slack = 2.0 / accuracy
-    edges = [max(0.0, p - slack) for p in probabilities] + [min(1.0, p + slack) for p in probabilities]
-    base = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    bounds = base.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, accuracy).alias("_edges"),
+    edges = [max(0.0, p - slack) for p in points] + [min(1.0, p + slack) for p in points]
+    v = F.col(value).cast("double")
+    bounds = stored(
+        df.groupBy(*by).agg(
+            *extra, F.count(v).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"),
+            F.percentile_approx(v, edges, accuracy).alias("_edges"),
+        )
     )
-    small = F.col("n") < 2 * accuracy
+    found = _inside(df.select(*by, v.alias("_v")), by, bounds, points, accuracy)
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for n, p in named.items()])
+    kept = bounds.drop("_n", "_min", "_max", "_edges")
+    wide = wide.select(*_prefixed(by, "_w_"), *named)
+    return kept.join(wide, _match(by, "_w_"), "left").select(*kept.columns, *named)
+
+
+def _inside(base: DataFrame, by: list[str], bounds: DataFrame, points: list[float], accuracy: int) -> DataFrame:
+    """(by…, p, quantile) from the bracket of each group and probability."""
+    small = F.col("_n") < 2 * accuracy
 
     def target(i: int, p: float) -> Column:
         return F.struct(
             F.lit(p).alias("p"),
             F.when(small, F.col("_min")).otherwise(F.col("_edges")[i]).alias("lo"),
-            F.when(small, F.col("_max")).otherwise(F.col("_edges")[i + len(probabilities)]).alias("hi"),
+            F.when(small, F.col("_max")).otherwise(F.col("_edges")[i + len(points)]).alias("hi"),
         )
 
-    targets = bounds.select(
-        *[F.col(c).alias(f"_b_{c}") for c in by],
-        "n",
-        F.array(*[target(i, p) for i, p in enumerate(probabilities)]).alias("_targets"),
+    targets = bounds.where("_n > 0").select(
+        *_prefixed(by, "_b_"), "_n", F.array(*[target(i, p) for i, p in enumerate(points)]).alias("_targets")
     )
-    targets = broadcast_if_small(targets)
-    match = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by] or [F.lit(True)]
-    placed = base.join(targets, reduce(lambda a, b: a & b, match))
-    spread = placed.select(*by, "n", "_v", F.explode("_targets").alias("_t")).where(F.col("_v") <= F.col("_t.hi"))
+    if bounds.count() <= BROADCAST_ROWS:  # else a shuffle join, where adaptive execution splits a hot key
+        targets = F.broadcast(targets)
+    placed = base.where(F.col("_v").isNotNull()).join(targets, _match(by, "_b_"))
     counted = (
-        spread.select(
-            *by, "n", F.col("_t.p").alias("p"),
-            F.when(F.col("_v") >= F.col("_t.lo"), F.col("_v")).alias("_v"),  # null: below the bracket
-        )
-        .groupBy(*by, "n", "p", "_v")
+        placed.select(*by, "_n", "_v", F.explode("_targets").alias("_t")).where(F.col("_v") <= F.col("_t.hi"))
+        .select(*by, "_n", F.col("_t.p").alias("p"), F.when(F.col("_v") >= F.col("_t.lo"), F.col("_v")).alias("_v"))
+        .groupBy(*by, "_n", "p", "_v")  # a null value counts the rows below the bracket
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    running = Window.partitionBy(*by, "n", "p").orderBy(F.col("_v").asc_nulls_first())
-    position = F.col("p") * (F.col("n") - 1)
+    running = Window.partitionBy(*by, "_n", "p").orderBy(F.col("_v").asc_nulls_first())
+    position = F.col("p") * (F.col("_n") - 1)
     ranked = counted.withColumn("_end", F.sum("_c").over(running)).where(F.col("_v").isNotNull())
-    picked = ranked.groupBy(*by, "n", "p").agg(
+    picked = ranked.groupBy(*by, "_n", "p").agg(
         F.min(F.when(F.col("_end") > F.floor(position), F.col("_v"))).alias("_lo"),
         F.min(F.when(F.col("_end") > F.ceil(position), F.col("_v"))).alias("_hi"),
     )
     return picked.select(
-        *by, "p", "n",
-        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (position - F.floor(position))).alias("quantile"),
-    )
-
-
-def exact_quantiles_wide(
-    df: DataFrame, by: list[str], value: str, named: dict[str, float], accuracy: int = 10_000
-) -> DataFrame:
-    """As :func:`exact_quantiles`, one column per named probability."""
-    long = exact_quantiles(df, by, value, sorted(set(named.values())), accuracy)
-    return long.groupBy(*by).agg(
-        *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name) for name, p in named.items()]
+        *by, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (position - F.floor(position))).alias("quantile")
     )
 
 

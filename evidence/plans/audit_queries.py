@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidence.functions.hashing import text_digest
 from evidence.operators import dedup, gates
 from evidence.plans.catalog import query, r, rounded, table, with_views
-from evidence.plans.views import CLASSES, LABELLED, SIGNATURES, TEXTS, labelled, signatures, texts
+from evidence.plans.views import CLASSES, LABELLED, SIGNATURES, TEXTS, labelled, signatures, text_table, texts
 
 THRESHOLD = 6
 DIGESTS = ["file_hash", "content_hash"]
@@ -31,7 +31,7 @@ def duplicate_groups(spark, folder):
 , groups AS (SELECT file_hash, COUNT(*) AS n, MIN(item_id) AS first FROM texts GROUP BY file_hash HAVING COUNT(*) > 1)
 SELECT t.file_hash, t.item_id, g.n, t.item_id = g.first AS is_first FROM texts t JOIN groups g ON t.file_hash = g.file_hash"""))
 def duplicate_members(spark, folder):
-    return dedup.duplicate_members(texts(spark, folder), "file_hash", "item_id")
+    return dedup.duplicate_members(text_table(spark, folder), "file_hash", "item_id")
 
 
 @query(with_views(TEXTS, body=f"""
@@ -41,7 +41,7 @@ SELECT COUNT(*) AS items, COUNT(*) FILTER (a > 1 OR b > 1) AS secondary,
        {r('COUNT(*) FILTER (a > 1 OR b > 1)::DOUBLE / COUNT(*)', 'fraction')},
        COUNT(*) FILTER (a > 1 OR b > 1)::DOUBLE / COUNT(*) > 0.10 AS severe FROM numbered"""))
 def secondary_fraction(spark, folder):
-    return rounded(dedup.secondary_fraction(texts(spark, folder), "item_id", DIGESTS))
+    return rounded(dedup.secondary_fraction(text_table(spark, folder), "item_id", DIGESTS))
 
 
 def _match_sql(digest: str) -> str:
@@ -53,12 +53,12 @@ SELECT l.*, x.right_items, x.right_first, left_items * right_items AS item_pairs
 
 @query(_match_sql("file_hash"))
 def exact_match(spark, folder):
-    return dedup.hash_matches(*_sides(texts(spark, folder)), "file_hash", "item_id")
+    return dedup.hash_matches(*_sides(text_table(spark, folder)), "file_hash", "item_id")
 
 
 @query(_match_sql("content_hash"))
 def normalised_match(spark, folder):
-    return dedup.hash_matches(*_sides(texts(spark, folder)), "content_hash", "item_id")
+    return dedup.hash_matches(*_sides(text_table(spark, folder)), "content_hash", "item_id")
 
 
 @query(with_views(TEXTS, body="""
@@ -66,7 +66,7 @@ SELECT item_id, domain FROM texts t WHERE domain <> 0
   AND NOT EXISTS (SELECT 1 FROM texts s WHERE s.domain = 0 AND s.file_hash = t.file_hash)
   AND NOT EXISTS (SELECT 1 FROM texts s WHERE s.domain = 0 AND s.content_hash = t.content_hash)"""))
 def exclude_contaminated(spark, folder):
-    source, external = _sides(texts(spark, folder))
+    source, external = _sides(text_table(spark, folder))
     excluded = dedup.contaminated(external, source, DIGESTS, "item_id")
     return dedup.exclude(external.select("item_id", "domain"), excluded, "item_id")
 
@@ -168,7 +168,7 @@ def cache_alignment(spark, folder):
 @query(with_views(TEXTS, body="""
 SELECT item_id, domain FROM texts t WHERE domain <> 0 AND EXISTS (SELECT 1 FROM texts s WHERE s.domain = 0 AND s.content_hash = t.content_hash)"""))
 def overlap_check(spark, folder):
-    train, validation = _sides(texts(spark, folder))
+    train, validation = _sides(text_table(spark, folder))
     return gates.overlap(train, validation, "content_hash").select("item_id", "domain")
 
 

@@ -9,7 +9,7 @@ from evidence.operators import agreement, profile, ranking, sampling
 from evidence.plans.catalog import query, r, rounded, table, with_views
 from evidence.plans.metric_queries import _DOMAIN_SUMMARY, _WIDE, _KEPT, _pair, domain_metrics
 from evidence.plans.views import (
-    CLASSES, EXTERNALS, LABELLED, PREDICTIONS, SOURCE, SYSTEMS, TEXTS, labelled, predictions, scored, texts,
+    CLASSES, EXTERNALS, LABELLED, PREDICTIONS, SOURCE, SYSTEMS, TEXTS, labelled, predictions, scored, text_table,
 )
 from evidence.operators import metrics
 
@@ -91,7 +91,7 @@ UNION ALL
 SELECT t.item_id, t.domain, CASE WHEN f.rank <= floor(f.total * 0.85::DOUBLE) THEN 'train' ELSE 'validation' END
 FROM texts t JOIN free f ON t.content_hash = f.content_hash WHERE t.domain <> 2"""))
 def group_split(spark, folder):
-    rows = texts(spark, folder).withColumn("is_test", F.col("domain") == 2)
+    rows = text_table(spark, folder).withColumn("is_test", F.col("domain") == 2)
     return sampling.group_split(rows, "content_hash", "is_test", SEED).select("item_id", "domain", "split")
 
 

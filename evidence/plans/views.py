@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from evidence.functions.hashing import normalised_text, text_digest
 from evidence.functions.signatures import token_signatures
 from evidence.functions.vectors import as_double, top2
-from evidence.operators.scale import spread
+from evidence.operators.scale import spread, stored
 from evidence.plans.catalog import table
 
 LANGS = ["de", "en", "es", "fr"]
@@ -162,7 +162,12 @@ dims AS (
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """(item_id, domain, file_hash, content_hash): the text digest stands for the file hash, the
     digest of the normal form for the hash of the decoded content."""
-    return digests(table(spark, folder, "documents")).drop("text")
+    return digests(spread(table(spark, folder, "documents").select("doc_id", "source", "text"))).drop("text")
+
+
+def text_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The digests written once, for plans that read them several times: the texts are scanned once."""
+    return stored(texts(spark, folder))
 
 
 def digests(docs: DataFrame) -> DataFrame:

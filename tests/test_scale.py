@@ -28,16 +28,19 @@ def test_hash_rank_equals_row_number(spark, digits):
 @pytest.mark.parametrize("accuracy", [20, 200, 10_000])
 def test_exact_quantiles_equal_numpy(spark, accuracy):
     df = skewed(spark)
-    ps = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = {(r.cls, r.p): r.quantile for r in scale.exact_quantiles(df, ["cls"], "x", ps, accuracy).collect()}
+    ps = {f"q{i}": p for i, p in enumerate([0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])}
+    got = {r.cls: r for r in scale.quantile_summary(df, ["cls"], "x", ps, [F.count(F.lit(1)).alias("n")], accuracy).collect()}
     for cls, part in df.toPandas().groupby("cls"):
-        for p in ps:
-            assert got[(cls, p)] == pytest.approx(np.quantile(part["x"], p), abs=1e-9), (cls, p)
+        assert got[cls].n == len(part)
+        for name, p in ps.items():
+            assert got[cls][name] == pytest.approx(np.quantile(part["x"], p), abs=1e-9), (cls, p)
 
 
 def test_exact_quantiles_without_groups_and_with_nulls(spark):
-    df = spark.createDataFrame([(1.0,), (2.0,), (None,), (10.0,)], "x double")
-    assert scale.exact_quantiles(df, [], "x", [0.5]).first().quantile == 2.0
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, None), (None, 10.0), ("b", None)], "g string, x double")
+    assert scale.quantile_summary(df, [], "x", {"m": 0.5}).first().m == 2.0
+    got = {r.g: (r.n, r.m) for r in scale.quantile_summary(df, ["g"], "x", {"m": 0.5}, [F.count("x").alias("n")]).collect()}
+    assert got == {"a": (2, 1.5), None: (1, 10.0), "b": (0, None)}
 
 
 def test_describe_uses_population_deviation(spark):
