@@ -86,12 +86,17 @@ def freeze_order(items: DataFrame, cls: str, item: str, classes: list[str], drop
 # --- near duplicates --------------------------------------------------------------------
 
 
-def block_count(signatures: int, threshold: int) -> int:
-    """Blocks so that a bucket of evenly spread signatures holds some 64 of them."""
-    for blocks in range(threshold + 1, min(threshold + 5, BITS)):
+def block_count(signatures: int, threshold: int, most: int = 256) -> int:
+    """Blocks so that a bucket of evenly spread signatures holds some 64 of them, with at most
+    ``most`` keys per signature."""
+    best = threshold + 1
+    for blocks in range(threshold + 1, BITS + 1):
+        if comb(blocks, threshold) > most:
+            break
+        best = blocks
         if 2 ** (BITS * (blocks - threshold) / blocks) * 64 >= signatures:
-            return blocks
-    return blocks
+            break
+    return best
 
 
 def _inner_masks(masks: list[int], threshold: int) -> list[list[int]]:
@@ -248,7 +253,3 @@ def gate(broken: Column, severe: Column, candidates: Column) -> list[Column]:
         F.when(candidates > 0, "REVIEW_REQUIRED").otherwise("PASS_NO_CANDIDATES").alias("contamination_status"),
     ]
 
-
-def work(threshold: int, blocks: int) -> int:
-    """Number of keys each signature is given, for choosing ``blocks``."""
-    return comb(blocks, threshold)

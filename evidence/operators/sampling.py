@@ -104,6 +104,12 @@ def stratified_folds(df: DataFrame, cls: str, item: str, k: int, seed: int) -> D
     return ranked.withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank", "order_key")
 
 
+def subset_rows(selected: DataFrame, vectors: DataFrame, item: str, budget: int) -> DataFrame:
+    """The rows of one budget joined to their vectors by item."""
+    member = selected.where(F.array_contains("budget_membership", budget))
+    return member.join(vectors, item)
+
+
 def subset_balance(selected: DataFrame, cls: str, item: str, budget: int, classes: list[str]) -> DataFrame:
     """One row per class: PASS when it has exactly ``budget`` distinct items."""
     counted = selected.where(F.col("selection_rank") <= budget).groupBy(cls).agg(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidence.functions.labels import factor_a, factor_b
-from evidence.operators import agreement, bootstrap, geometry, metrics, retrieval
+from evidence.functions.signatures import signature_from_coefficients
+from evidence.operators import bootstrap, geometry, metrics, ranking, retrieval, sampling
 from evidence.plans.catalog import query, r, rounded, with_views
 from evidence.plans.metric_queries import _PAIRED, _grid, _report, _summary, beacon_pair
 from evidence.plans.views import CLASSES, PREDICTIONS, VECTOR_ROWS, VECTORS, predictions, vectors
@@ -244,6 +245,42 @@ def failure_associations(spark, folder):
     return rounded(failure_cells(spark, folder))
 
 
+@query(with_views(VECTORS, body=_CELLS + f"""
+, paired AS (
+  SELECT unnest(['drift', 'alignment', 'consistency']) AS metric, round(error_rate, 6) AS x,
+         unnest([round(drift, 6), round(alignment, 6), round(consistency, 6)]) AS y FROM cells),
+ranks AS (
+  SELECT metric, rank() OVER (PARTITION BY metric ORDER BY x) + (COUNT(*) OVER (PARTITION BY metric, x) - 1) / 2.0::DOUBLE AS rx,
+         rank() OVER (PARTITION BY metric ORDER BY y) + (COUNT(*) OVER (PARTITION BY metric, y) - 1) / 2.0::DOUBLE AS ry FROM paired)
+SELECT metric, COUNT(*) AS n, {r('corr(rx, ry)', 'spearman_rho')} FROM ranks GROUP BY metric"""))
+def failure_correlations(spark, folder):
+    """Rank correlation of the error rate with drift, alignment and retrieval over the cells."""
+    cells = rounded(failure_cells(spark, folder))
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("y")) for m in ("drift", "alignment", "consistency")])
+    paired = cells.select(F.col("error_rate").alias("x"), F.explode(entries).alias("e")).select("x", "e.*")
+    return rounded(ranking.spearman(paired, ["metric"]))
+
+
+@query(with_views(VECTORS, body="""
+, tails AS (SELECT vec_id, v[2:64] AS t, list_median(v[2:64]) AS m FROM vectors)
+SELECT vec_id, CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN t[i] > m THEN 1::BIGINT << (63 - i) ELSE 0 END)) AS BIGINT) AS h FROM tails"""))
+def embedding_signatures(spark, folder):
+    """The 63-bit signature of every vector, taken like that of an image from its low frequencies."""
+    return vectors(spark, folder).select("vec_id", signature_from_coefficients(F.col("v")).alias("h"))
+
+
+@query(with_views(VECTORS, body=f"""
+, chosen AS (SELECT vec_id, class, v, row_number() OVER (PARTITION BY class ORDER BY sha256('42|' || class || '|' || vec_id), vec_id) AS k FROM vectors)
+SELECT class, COUNT(*) AS n, {r('SUM(list_sum(v))', 'checksum')} FROM chosen WHERE k <= 10 GROUP BY class"""))
+def subset_vectors(spark, folder):
+    """The rows of the ten-per-class budget with their vectors."""
+    v = vectors(spark, folder)
+    chosen = sampling.nested_budgets(v.select("class", "vec_id"), "class", "vec_id", [1, 5, 10, 20], 42)
+    held = sampling.subset_rows(chosen, v.select("vec_id", "v"), "vec_id", 10)
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return rounded(held.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("checksum")))
+
+
 # --- bootstrap --------------------------------------------------------------------------
 
 REPLICATES = 20

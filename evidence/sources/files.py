@@ -65,7 +65,7 @@ def read_metrics(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame
 
 # --- predictions ------------------------------------------------------------------------
 
-#: Columns of a prediction table, in file order.
+# Names and types of the columns of a prediction file, in file order.
 PREDICTION_COLUMNS = {
     "condition": "string", "system": "string", "image_identifier": "string", "ground_truth_class": "string",
     "predicted_class": "string", "correct": "boolean", "fruit_identity_correct": "boolean",

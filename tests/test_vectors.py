@@ -165,3 +165,33 @@ def test_probes_learn_separable_classes(spark):
     assert len(report) == 4 and {r.samples for r in report} == {df.where("domain <> 0").count()}
     mean = lambda b: np.mean([r.accuracy for r in report if r.budget == b])
     assert mean(20) > mean(1)
+
+
+def test_deletion_orders_and_counts(spark):
+    from evidence.functions.hashing import stable_key
+    from evidence.operators import attribution
+
+    regions = spark.createDataFrame([("s", 0, 1, i, x) for i, x in enumerate([0.5, 2.0, 0.5, -1.0])], "system string, domain int, identifier int, index int, importance double")
+    assert [r["index"] for r in attribution.deletion_order(regions).orderBy("order").collect()] == [1, 0, 2, 3]
+    shuffled = attribution.random_order(regions, stable_key(1, F.col("index")))
+    assert sorted(r.order for r in shuffled.collect()) == [1, 2, 3, 4]
+    assert attribution.deletion_counts(49, [0.0, 0.1, 0.5, 1.0]) == [0, 5, 24, 49]
+
+
+def test_deletion_area_is_the_trapezoid(spark):
+    from evidence.operators import attribution
+
+    f = np.linspace(0, 1, 11)
+    top, rand = np.exp(-3 * f), 1 - f
+    rows = [("s", 0, 1, k, float(a), float(m), -2.0) for k, ms in (("top", top), ("random", rand)) for a, m in zip(f, ms)]
+    got = attribution.deletion_areas(spark.createDataFrame(rows, "system string, domain int, identifier int, kind string, fraction double, margin double, base_margin double")).first()
+    assert got.top_auc == pytest.approx(np.trapezoid(top / 2, f)) and got.gap == pytest.approx(np.trapezoid((rand - top) / 2, f))
+
+
+def test_region_shares_are_null_without_positive_importance(spark):
+    from evidence.operators import attribution
+
+    rows = [("s", 0, i, k, k // 3, k % 3, v if i else -1.0) for i in (0, 1) for k, v in enumerate([1.0, 0, 0, 0, 3.0, 0, 0, 0, 0])]
+    got = {r.identifier: r for r in attribution.region_summary(spark.createDataFrame(rows, "system string, domain int, identifier int, index int, row int, column int, importance double"), 3, 3).collect()}
+    assert got[0].edge_share is None and got[1].edge_share == 0.25 and got[1].interior_share == 0.75
+    assert got[1].top5_radius == pytest.approx(np.mean([0, 2**0.5, 1, 2**0.5, 1]))
