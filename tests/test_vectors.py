@@ -191,7 +191,7 @@ def test_deletion_area_is_the_trapezoid(spark):
 def test_region_shares_are_null_without_positive_importance(spark):
     from evidence.operators import attribution
 
-    rows = [("s", 0, i, k, k // 3, k % 3, v if i else -1.0) for i in (0, 1) for k, v in enumerate([1.0, 0, 0, 0, 3.0, 0, 0, 0, 0])]
+    rows = [("s", 0, i, k, k // 3, k % 3, float(v) if i else -1.0) for i in (0, 1) for k, v in enumerate([1.0, 0, 0, 0, 3.0, 0, 0, 0, 0])]
     got = {r.identifier: r for r in attribution.region_summary(spark.createDataFrame(rows, "system string, domain int, identifier int, index int, row int, column int, importance double"), 3, 3).collect()}
     assert got[0].edge_share is None and got[1].edge_share == 0.25 and got[1].interior_share == 0.75
     assert got[1].top5_radius == pytest.approx(np.mean([0, 2**0.5, 1, 2**0.5, 1]))
