@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from evidence.functions.labels import outcome
 from evidence.operators.metrics import ratio
@@ -54,10 +54,10 @@ def outcome_margins(paired: DataFrame, by: list[str]) -> DataFrame:
 
 def class_outcomes(paired: DataFrame, by: list[str]) -> DataFrame:
     """Share of each outcome within each true class."""
-    counted = paired.groupBy(*by, "true_class", "outcome").agg(F.count(F.lit(1)).alias("n"))
-    totals = paired.groupBy(*by, "true_class").agg(F.count(F.lit(1)).alias("total"))
     keys = [*by, "true_class"]
-    return counted.join(totals, keys).select(*keys, "outcome", "n", ratio(F.col("n"), F.col("total")).alias("share"))
+    counted = paired.groupBy(*keys, "outcome").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*keys))  # at most four counts per class
+    return counted.select(*keys, "outcome", "n", ratio(F.col("n"), total).alias("share"))
 
 
 def common_items(predictions: DataFrame, systems: list[str], keys: list[str]) -> DataFrame:

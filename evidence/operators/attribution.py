@@ -82,6 +82,7 @@ def group_summary(records: DataFrame) -> DataFrame:
 
 def importance_grid(regions: DataFrame, by: list[str] = IMAGE) -> DataFrame:
     """Mean share of positive importance per cell and group; ``regions`` carries class and correct."""
-    total = regions.groupBy(*by).agg(F.sum(F.greatest(F.col("importance"), F.lit(0.0))).alias("_total"))
-    share = F.greatest(F.col("importance"), F.lit(0.0)) / F.greatest(F.col("_total"), F.lit(1e-12))
-    return with_groups(regions.join(total, by)).groupBy("system", "group", "row", "column").agg(F.avg(share).alias("mean_share"))
+    positive = F.greatest(F.col("importance"), F.lit(0.0))
+    total = F.sum(positive).over(Window.partitionBy(*by))  # the cells of one image
+    shared = regions.withColumn("_share", positive / F.greatest(total, F.lit(1e-12)))
+    return with_groups(shared).groupBy("system", "group", "row", "column").agg(F.avg("_share").alias("mean_share"))

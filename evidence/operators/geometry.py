@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evidence.functions.vectors import cosine, dot, l2_normalize
 from evidence.operators.retrieval import nearest
 from evidence.operators.sampling import hash_sample
-from evidence.operators.scale import BROADCAST_BYTES, small_matrix, spread, stored
+from evidence.operators.scale import BROADCAST_BYTES, small_matrix, stored
 
 
 def group_means(df: DataFrame, by: list[str], vec: str = "v") -> DataFrame:
@@ -126,7 +126,7 @@ def silhouette_cosine(
                 scores[at, own] = -np.inf
                 yield pd.DataFrame({"own": mine, "other": scores.max(axis=1), "n": sizes[own]})
 
-        placed = spread(rows).mapInPandas(products, "own double, other double, n bigint")
+        placed = rows.mapInPandas(products, "own double, other double, n bigint")
     else:
         found = nearest(rows, means.withColumnRenamed("mean", vec), item, label, vec, 2, [label], max_bytes=max_bytes)
         others = found.where(F.col("neighbour") != F.col(label)).groupBy(item).agg(F.max("similarity").alias("other"))

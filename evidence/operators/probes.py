@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from evidence.functions.vectors import cross_entropy
 from evidence.operators.metrics import class_report, evaluate, full_grid, summary_report
 from evidence.operators.sampling import hash_sample, stratified_folds
-from evidence.operators.scale import spread
 
 
 def _points(df: DataFrame, vec: str) -> DataFrame:
@@ -40,7 +39,7 @@ def linear_probe(
     Order: accuracy falling, loss rising, first candidate. ``label`` holds class numbers from 0.
     Returns one row per candidate with a ``selected`` flag, and the chosen model.
     """
-    points, held = spread(_points(train, vec)).cache(), spread(_points(validation, vec)).cache()
+    points, held = _points(train, vec).select(label, "_x").cache(), _points(validation, vec).select(label, "_x").cache()
 
     def fit(candidate):
         i, (reg, iterations) = candidate
@@ -178,7 +177,7 @@ def few_shot_report(fits: DataFrame, test: DataFrame, cls: str, vec: str, classe
                 "true_class": [classes[i // k] for i in hit], "predicted_class": [classes[i % k] for i in hit], "n": row[hit],
             })
 
-    counted = spread(test.select(cls, vec)).mapInPandas(count, "budget int, seed int, true_class string, predicted_class string, n bigint")
+    counted = test.select(cls, vec).mapInPandas(count, "budget int, seed int, true_class string, predicted_class string, n bigint")
     by = ["budget", "seed"]
     summed = counted.groupBy(*by, "true_class", "predicted_class").agg(F.sum("n").alias("n"))
     return summary_report(class_report(full_grid(summed, by, classes), by), by)

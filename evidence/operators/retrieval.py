@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from evidence.operators.scale import BROADCAST_BYTES, small_matrix, spread
+from evidence.operators.scale import BROADCAST_BYTES, small_matrix
 
 #: Similarities are ordered after rounding, so equal vectors tie whatever the addition order.
 DIGITS = 10
@@ -89,7 +89,7 @@ def nearest(
                 if len(qs) and len(gs):
                     yield assemble(qs, gs, matrix)
 
-        return spread(q).mapInPandas(search, schema)
+        return q.mapInPandas(search, schema)
 
     q_blocks = max(1, -(-q.count() // block_rows))
     g_blocks = max(1, -(-g.count() // block_rows))

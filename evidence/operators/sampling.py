@@ -115,7 +115,7 @@ def subset_balance(selected: DataFrame, cls: str, item: str, budget: int, classe
     counted = selected.where(F.col("selection_rank") <= budget).groupBy(cls).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct(item).alias("items")
     )
-    names = selected.sparkSession.createDataFrame([(c,) for c in classes], f"{cls} string")
+    names = selected.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in classes])).alias(cls))
     zero = F.lit(0).cast("bigint")
     return names.join(counted, cls, "left").select(
         cls, F.coalesce("rows", zero).alias("rows"), F.coalesce("items", zero).alias("items"),

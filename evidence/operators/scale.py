@@ -32,7 +32,8 @@ def stored(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where a scan has fewer partitions than the session has cores.
 
-    Only for heavy per-row work; a large table has more splits than cores and is left alone.
+    Only for plain scans ahead of heavy per-row work; a large table has more splits than cores
+    and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -31,6 +31,16 @@ def test_once_only_across_batches_and_restarts(spark, tmp_path, rows):
     assert drain() == want  # nothing new, nothing scored twice
 
 
+def test_once_only_with_bounded_state(spark, tmp_path, rows):
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "ck")
+    write(spark, src, "a", [("s", 1, "2024-01-01 00:00", 1.0), ("s", 2, "2024-01-01 00:01", 2.0)])
+    write(spark, src, "b", [("s", 1, "2024-01-09 00:00", 7.0), ("s", 3, "2024-01-09 00:00", 3.0)])
+    keep = lambda df: df
+    for _ in range(2):
+        ledger.once_only(stream(spark, src), ["system", "item"], "ts", keep, out, ck, max_wait="1 day").awaitTermination()
+    assert rows(spark.read.parquet(out), "system", "item") == [("s", 1), ("s", 2), ("s", 3)]
+
+
 def test_repeated_batch_replaces_itself(spark, tmp_path):
     fields = spark.createDataFrame([], "system string, item bigint").schema.fields
     path = str(tmp_path / "ledger")
