@@ -7,8 +7,11 @@ item pairs for a review.
 
 from __future__ import annotations
 
+from itertools import combinations
 from math import comb
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidence.functions.signatures import BITS, block_keys, block_masks, first_block, hamming
@@ -99,14 +102,40 @@ def block_count(signatures: int, threshold: int, most: int = 256) -> int:
     return best
 
 
-def _inner_masks(masks: list[int], threshold: int) -> list[list[int]]:
-    """For each mask, threshold + 1 masks that share out the bits outside it."""
-    out = []
-    for m in masks:
-        free = [1 << i for i in range(BITS) if not m >> i & 1]
-        cuts = [round(i * len(free) / (threshold + 1)) for i in range(threshold + 2)]
-        out.append([sum(free[a:b]) for a, b in zip(cuts, cuts[1:])])
-    return out
+def _informed_masks(n: int, ones: np.ndarray, threshold: int, most: int = 84) -> list[int]:
+    """Masks for one crowded bucket of n signatures, from how many of them have each bit.
+
+    The bits are cut into blocks of equal information (a bit all members share has none), so
+    members spread over the keys of every mask although they agree on much of the signature.
+    """
+    share = ones / n
+    information = -np.log2(share**2 + (1 - share) ** 2)
+    total = information.sum()
+    for blocks in range(threshold + 1, BITS + 1):
+        if comb(blocks + 1, threshold) > most or total * (blocks - threshold) / blocks >= np.log2(n / 64):
+            break
+    before = np.concatenate([[0.0], np.cumsum(information)[:-1]])
+    place = np.minimum((before / max(total, 1e-9) * blocks + 1e-9).astype(int), blocks - 1)
+    parts = [sum(1 << i for i in range(BITS) if place[i] == b) for b in range(blocks)]
+    return [sum(chosen) for chosen in combinations(parts, blocks - threshold)]
+
+
+def _crowded(everyone: DataFrame, limit: int, threshold: int) -> DataFrame:
+    """(block, key, inner): the buckets with more than ``limit`` members and their own masks."""
+    keys = ["block", "key"]
+    heavy = everyone.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    # two bit counts to a sum, as in the token signatures
+    ones = [F.expr(f"sum(((h >> {i}) & 1L) | (((h >> {i}) & 2L) << 31))").alias(f"s{i}") for i in range(0, BITS, 2)]
+    counted = everyone.join(F.broadcast(heavy), keys).groupBy(*keys, "n").agg(*ones)
+
+    def masks(batches):
+        for pdf in batches:
+            sums = pdf[[f"s{i}" for i in range(0, BITS, 2)]].to_numpy(dtype=np.int64)
+            ones = np.stack([sums & 0xFFFFFFFF, sums >> 32], axis=2).reshape(len(pdf), -1)[:, :BITS]
+            inner = [_informed_masks(int(n), o, threshold) for n, o in zip(pdf["n"], ones)]
+            yield pd.DataFrame({"block": pdf["block"], "key": pdf["key"], "inner": inner})
+
+    return counted.mapInPandas(masks, "block int, key bigint, inner array<bigint>")
 
 
 def signature_pairs(
@@ -117,32 +146,29 @@ def signature_pairs(
     ``left`` and ``right`` have one row per signature ``h``; without ``right`` the pairs lie
     inside ``left`` with left_h < right_h. Signatures meet on equal blocks (exact by the pigeonhole
     rule), and each pair is kept only in the first block it agrees on. A bucket with more
-    than ``hot`` members is cut once more: its members agree on the block, so at most
-    ``threshold`` bits differ outside it and one of ``threshold + 1`` inner blocks agrees too.
+    than ``hot`` members is cut once more by masks made for its members, exact by the same
+    rule.
     """
     itself = right is None
     lefts = stored(left.select("h"))
     rights = lefts if itself else stored(right.select("h"))
     rows = lefts.count() + (0 if itself else rights.count())
     masks = block_masks(threshold, blocks or block_count(rows, threshold))
-    inner = _inner_masks(masks, threshold)
-    inner_sql = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in ms) + ")" for ms in inner) + ")"
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.select("h", F.explode(block_keys("h", masks)).alias("b")).select("h", "b.block", "b.key")
 
     everyone = keyed(lefts) if itself else keyed(lefts).unionAll(keyed(rights))
-    # at most len(masks) * rows / limit keys can pass, so this table is small whatever the data
-    limit = max(hot, rows * len(masks) // 50_000)
-    heavy = everyone.groupBy("block", "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    heavy = F.broadcast(heavy.select("block", "key", F.lit(True).alias("_hot")))
+    # at most len(masks) * rows / limit keys pass, so this table is small whatever the data
+    limit = max(hot, rows * len(masks) // 20_000)
+    crowded = F.broadcast(stored(_crowded(everyone, limit, threshold)))
 
     def bucketed(df: DataFrame, name: str) -> DataFrame:
         cut = F.expr(
-            f"IF(_hot, transform({inner_sql}[block], (m, i) -> named_struct('sub', i, 'rest', h & m)),"
-            " array(named_struct('sub', -1, 'rest', 0L)))"
+            "IF(inner IS NULL, array(named_struct('sub', -1, 'rest', 0L)),"
+            " transform(inner, (m, i) -> named_struct('sub', i, 'rest', h & m)))"
         )
-        marked = keyed(df).join(heavy, ["block", "key"], "left")
+        marked = keyed(df).join(crowded, ["block", "key"], "left")
         return marked.select(F.col("h").alias(f"{name}_h"), "block", "key", F.explode(cut).alias("c")).select(
             f"{name}_h", "block", "key", "c.sub", "c.rest"
         )
@@ -152,12 +178,11 @@ def signature_pairs(
     if itself:
         met = met.where(F.col("left_h") < F.col("right_h"))
     near = met.withColumn("distance", hamming(F.col("left_h"), F.col("right_h"))).where(F.col("distance") <= threshold)
-    first_inner = F.expr(
-        f"IF(sub < 0, -1, array_position(transform({inner_sql}[block], m -> ((left_h ^ right_h) & m) = 0), true) - 1)"
-    )
-    return near.where((first_block("left_h", "right_h", masks) == F.col("block")) & (first_inner == F.col("sub"))).select(
-        "left_h", "right_h", "distance"
-    )
+    near = near.where(first_block("left_h", "right_h", masks) == F.col("block"))
+    first_inner = F.expr("array_position(transform(inner, m -> ((left_h ^ right_h) & m) = 0), true) - 1")
+    return near.join(crowded, ["block", "key"], "left").where(
+        (F.col("sub") < 0) | (first_inner == F.col("sub"))
+    ).select("left_h", "right_h", "distance")
 
 
 def _counts(items: DataFrame, name: str) -> DataFrame:

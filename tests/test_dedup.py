@@ -44,6 +44,19 @@ def test_signature_pairs_across(spark, rows, hot):
     assert got == brute(left, right, 6)
 
 
+def test_crowded_buckets_that_share_most_bits(spark, rows):
+    """Members that agree on half of the signature meet on the other half."""
+    rng = np.random.default_rng(4)
+    hs = {int(x) for x in rng.integers(0, 1 << 31, 300)}
+    hs |= {h ^ (1 << int(rng.integers(0, 31))) ^ (1 << int(rng.integers(31, 63))) for h in list(hs)[:60]}
+    hs = sorted(hs)
+    assert rows(dedup.signature_pairs(frame(spark, hs), None, 6, blocks=8, hot=20)) == brute(hs, hs, 6)
+    ones = np.array([sum(h >> i & 1 for h in hs) for i in range(63)])
+    masks = dedup._informed_masks(len(hs), ones, 6)
+    largest = max(max(np.unique([h & m for h in hs], return_counts=True)[1]) for m in masks)
+    assert largest < len(hs) / 3
+
+
 def test_block_count_grows_with_the_data():
     assert [dedup.block_count(n, 6) for n in (1000, 10**6, 10**8, 10**12)] == [7, 8, 9, 10]
 
