@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evidence.session import work_folder
+from evidence.session import delete_on_exit, work_folder
 
 #: A table may be handed to every executor only up to this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -22,10 +22,12 @@ def stored(df: DataFrame) -> DataFrame:
     """A table read several times, written once to the shared folder of the cluster and read back.
 
     It cuts the lineage, survives lost executors, and its size is known to the optimizer.
+    The folder is deleted when the application ends.
     """
     spark = df.sparkSession
     path = work_folder(spark, "stored")
     df.write.parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

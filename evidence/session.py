@@ -43,6 +43,12 @@ def local_session(cpus: int | str = 8, app: str = "evidence") -> SparkSession:
     return spark
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Let the driver's file system remove a stored table when the application ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint folder of the session.
 
