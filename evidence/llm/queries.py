@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from evidence.llm import dense_topk
+from evidence.llm import dense_topk, mixing
 from evidence.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,35 @@ def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Five highest inner products of every fiftieth vector among all others."""
     vectors = dense_topk.integer_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding")
     return dense_topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+MIX_RATES = """
+WITH counts AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source),
+rates AS (
+  SELECT source, sum(n_docs) OVER () * sqrt(n_docs) / sum(sqrt(n_docs)) OVER () / n_docs AS rate FROM counts),
+parts AS (SELECT source, CAST(ceil(rate / 16.0) AS INTEGER) AS parts, rate / ceil(rate / 16.0) AS part_rate FROM rates),
+terms AS (
+  SELECT source, parts, i,
+         coalesce(list_product(list_transform(range(1, i + 1), lambda j: part_rate / j)), 1) * exp(-part_rate) AS term
+  FROM parts, range(0, 101) t(i)),
+cdf AS (SELECT source, parts, i, sum(term) OVER (PARTITION BY source ORDER BY i) AS p FROM terms)
+"""
+
+
+@query(MIX_RATES + """,
+draws AS (
+  SELECT d.doc_id, d.source, c.parts, part,
+         CAST('0x' || substr(md5('0|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || part), 1, 13) AS BIGINT)
+           / 4503599627370496.0 AS u
+  FROM documents d JOIN (SELECT DISTINCT source, parts FROM parts) c ON d.source IS NOT DISTINCT FROM c.source,
+       LATERAL (SELECT unnest(range(1, c.parts + 1)) AS part)),
+counted AS (
+  SELECT doc_id, sum((SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM draws.source AND c.p <= draws.u)) AS n
+  FROM draws GROUP BY doc_id)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(copy AS INTEGER) AS copy,
+       CAST('0x' || substr(md5('0|order|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || copy), 1, 13) AS BIGINT) AS shuffle_key
+FROM documents d JOIN counted USING (doc_id), LATERAL (SELECT unnest(range(1, CAST(n AS BIGINT) + 1)) AS copy)
+""")
+def op4_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents repeated so that sources appear in proportion to the square root of their size, in shuffled order."""
+    return mixing.mix(table(spark, folder, "documents"))
