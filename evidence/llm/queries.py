@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from evidence.llm import dense_topk, mixing
+from evidence.llm import dense_topk, mixing, warc
 from evidence.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,18 @@ FROM documents d JOIN counted USING (doc_id), LATERAL (SELECT unnest(range(1, CA
 def op4_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Documents repeated so that sources appear in proportion to the square root of their size, in shuffled order."""
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p),
+m AS (SELECT *, payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to
+FROM m
+""")
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to an archive and read back, repeated payloads as revisits."""
+    records = warc.round_trip(spark, table(spark, folder, "pages"), "page_id", "url", "html")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
