@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from evidence.llm import dense_topk, mixing, warc
+from evidence.llm import dense_topk, mixing, quality_rules, warc
 from evidence.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,14 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to an archive and read back, repeated payloads as revisits."""
     records = warc.round_trip(spark, table(spark, folder, "pages"), "page_id", "url", "html")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of every document and the verdict of the base rule and the learned decision list."""
+    docs = table(spark, folder, "documents")
+    rules = quality_rules.fit(docs, table(spark, folder, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality_rules.judge(docs, rules).select(
+        F.col("_row.doc_id").alias("doc_id"), *[F.col(f"_s.{c}").alias(c) for c in counts], "base_failed", "kept", "rule"
+    )
