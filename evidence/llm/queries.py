@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from evidence.llm import dense_topk, mixing, quality_rules, warc
+from evidence.llm import dense_topk, mixing, pieces, quality_rules, warc
 from evidence.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select(
         F.col("_row.doc_id").alias("doc_id"), *[F.col(f"_s.{c}").alias(c) for c in counts], "base_failed", "kept", "rule"
     )
+
+
+@query()
+def op2_piece_viterbi(spark: SparkSession, folder: str) -> DataFrame:
+    """Piece ids of every whole text, with the check that they decode to it."""
+    return pieces.encode(table(spark, folder, "documents"), pieces.Vocabulary.load())
