@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from evidence.llm import dense_topk, mixing, pieces, quality_rules, warc
+from evidence.llm import dense_topk, mixing, personal_data, pieces, quality_rules, warc
 from evidence.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op2_piece_viterbi(spark: SparkSession, folder: str) -> DataFrame:
     """Piece ids of every whole text, with the check that they decode to it."""
     return pieces.encode(table(spark, folder, "documents"), pieces.Vocabulary.load())
+
+
+@query()
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and digests of the spans of personal data in every whole text."""
+    docs = table(spark, folder, "documents")
+    return personal_data.digests(docs, personal_data.train(docs))
