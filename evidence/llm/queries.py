@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from evidence.llm import dense_topk, mixing, personal_data, pieces, quality_rules, warc
+from evidence.llm import dense_topk, mixing, near_dedup, personal_data, pieces, quality_rules, warc
 from evidence.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,9 @@ def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and digests of the spans of personal data in every whole text."""
     docs = table(spark, folder, "documents")
     return personal_data.digests(docs, personal_data.train(docs))
+
+
+@query()
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return near_dedup.classes(table(spark, folder, "documents"))
