@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from evidence.llm import dense_topk, mixing, near_dedup, personal_data, pieces, quality_rules, warc
+from evidence.llm import dense_topk, mixing, near_dedup, personal_data, pieces, quality_rules, warc, weak_quality
 from evidence.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,10 @@ def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The class of near-duplicates of every document."""
     return near_dedup.classes(table(spark, folder, "documents"))
+
+
+@query()
+def op8_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores and verdict of the weakly supervised classifier for every document."""
+    docs = table(spark, folder, "documents")
+    return weak_quality.classify(docs, weak_quality.train(docs, table(spark, folder, "labels")))

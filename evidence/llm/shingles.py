@@ -29,6 +29,11 @@ _PLACE = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(_GOLD)) | np.uint64
 _LETTER = mix(np.arange(1000, 1256, dtype=np.uint64) * np.uint64(_GOLD))
 
 
+def letters_hash(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of a matrix of bytes, never 0."""
+    return mix((_LETTER[rows] * _PLACE[100 : 100 + rows.shape[1]]).sum(axis=1, dtype=np.uint64)) | np.uint64(1)
+
+
 @dataclass
 class Words:
     """Words of a list of texts: hash, text number, and place in the joined bytes; ``first`` has one entry more than texts."""
