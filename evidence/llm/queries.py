@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from evidence.llm import dense_topk, mixing, near_dedup, personal_data, pieces, quality_rules, warc, weak_quality
+from evidence.llm import dense_topk, mixing, near_dedup, personal_data, pieces, quality_rules, substring_dedup, warc, weak_quality
 from evidence.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ def op8_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Scores and verdict of the weakly supervised classifier for every document."""
     docs = table(spark, folder, "documents")
     return weak_quality.classify(docs, weak_quality.train(docs, table(spark, folder, "labels")))
+
+
+@query()
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that start earlier."""
+    return substring_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
