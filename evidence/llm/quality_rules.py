@@ -246,8 +246,10 @@ def fit(
     s = F.col("_s")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     joined = texts.join(F.broadcast(sample), F.col("key") == F.col("_key"))
-    rows = joined.select("key", "bad", text_statistics(F.col("text")).alias("_s")).where(~base_failed(s))
-    return learn_rules(stored(rows.select("key", "bad", *[c.alias(n) for n, c in features(s).items()])), **options)
+    rows = joined.select("key", "bad", text_statistics(F.col("text")).alias("_s"))
+    # filtered after it is stored: a filter on statistics would move below the join and read every text
+    table = stored(rows.select("key", "bad", base_failed(s).alias("failed"), *[c.alias(n) for n, c in features(s).items()]))
+    return learn_rules(table.where(~F.col("failed")), **options)
 
 
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
