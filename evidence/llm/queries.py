@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from evidence.llm import dense_topk, mixing, near_dedup, personal_data, pieces, quality_rules, substring_dedup, warc, weak_quality
+from evidence.llm import dense_topk, mixing, near_dedup, near_passages, personal_data, pieces, quality_rules, substring_dedup, warc, weak_quality
 from evidence.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ def op8_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without strings of 100 bytes that start earlier."""
     return substring_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query()
+def op5_near_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of fifty words or more that an earlier document holds too, word for word or nearly."""
+    return near_passages.near_passages(table(spark, folder, "documents"))
