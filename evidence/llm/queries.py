@@ -138,3 +138,8 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op5_near_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of fifty words or more that an earlier document holds too, word for word or nearly."""
     return near_passages.near_passages(table(spark, folder, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
