@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from evidence.functions.hashing import hash_number, stable_key
 from evidence.functions.vectors import l2_normalize
 from evidence.operators.geometry import direction_alignment
-from evidence.operators.metrics import cells
+from evidence.operators.metrics import OTHER, cells, fold_cells
 from evidence.operators.scale import hash_rank
 
 #: Replicates drawn by one task.
@@ -30,14 +30,14 @@ def draw_seed(*parts) -> int:
     return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 
 
-def _rates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Accuracy and macro F1 of a stack of confusion matrices (replicate, true, predicted)."""
+def _rates(counts: np.ndarray, listed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Accuracy over all cells, and macro F1 over the first ``listed`` classes, of confusion matrices (replicate, true, predicted)."""
     hits = np.diagonal(counts, axis1=1, axis2=2).astype(float)
     total = counts.sum(axis=(1, 2))
     denominator = counts.sum(axis=1) + counts.sum(axis=2)
     f1 = np.divide(2 * hits, denominator, out=np.zeros_like(hits), where=denominator > 0)
     accuracy = np.divide(hits.sum(axis=1), total, out=np.zeros(len(counts)), where=total > 0)
-    return accuracy, f1.mean(axis=1)
+    return accuracy, f1[:, :listed].mean(axis=1)
 
 
 def _chunks(packed: DataFrame, replicates: int) -> DataFrame:
@@ -45,16 +45,20 @@ def _chunks(packed: DataFrame, replicates: int) -> DataFrame:
 
 
 def bootstrap_replicates(predictions: DataFrame, by: list[str], classes: list[str], replicates: int, seed: int) -> DataFrame:
-    """(by…, replicate, accuracy, macro_f1) for every system."""
-    packed = cells(predictions, by).groupBy(*by).agg(
+    """(by…, replicate, accuracy, macro_f1) for every system, and one row of the observed values with a null replicate.
+
+    Classes off the list, and nulls, are drawn with the rest: they count for the accuracy, not for the macro average.
+    """
+    packed = fold_cells(cells(predictions, by), by, classes).groupBy(*by).agg(
         F.collect_list(F.struct("true_class", "predicted_class", "n")).alias("_cells")
     )
-    index = {c: i for i, c in enumerate(classes)}
+    # rows and columns for classes off the list; a null prediction is never right
+    index: dict[str | None, int] = {c: i for i, c in enumerate([*classes, OTHER, None])}
 
     def draw(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                counts = np.zeros((len(classes), len(classes)), dtype=np.int64)
+                counts = np.zeros((len(index), len(index)), dtype=np.int64)
                 for cell in row["_cells"]:
                     counts[index[cell["true_class"]], index[cell["predicted_class"]]] = cell["n"]
                 first = row["_chunk"] * CHUNK
@@ -64,10 +68,12 @@ def bootstrap_replicates(predictions: DataFrame, by: list[str], classes: list[st
                 for c, line in enumerate(counts):
                     if line.sum():
                         drawn[:, c] = rng.multinomial(line.sum(), line / line.sum(), size=size)
-                accuracy, f1 = _rates(drawn)
-                yield pd.DataFrame(
-                    {**{b: row[b] for b in by}, "replicate": np.arange(first, first + size), "accuracy": accuracy, "macro_f1": f1}
-                )
+                accuracy, f1 = _rates(drawn, len(classes))
+                keys = {b: row[b] for b in by}
+                yield pd.DataFrame({**keys, "replicate": np.arange(first, first + size), "accuracy": accuracy, "macro_f1": f1})
+                if first == 0:
+                    accuracy, f1 = _rates(counts[None], len(classes))
+                    yield pd.DataFrame({**keys, "replicate": pd.array([None], "Int64"), "accuracy": accuracy, "macro_f1": f1})
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema.fields if f.name in by)
     schema = f"{kept}, replicate bigint, accuracy double, macro_f1 double"
@@ -75,22 +81,26 @@ def bootstrap_replicates(predictions: DataFrame, by: list[str], classes: list[st
 
 
 def intervals(replicates: DataFrame, by: list[str], values: list[str], level: float = 0.95) -> DataFrame:
-    """Mean and percentile interval; groups hold one row per replicate."""
+    """Observed value, mean and percentile interval; groups hold one row per replicate, and one without for the observed value."""
     lo, hi = (1 - level) / 2, (1 + level) / 2
     out = []
     for v in values:
-        out += [F.avg(v).alias(f"{v}_mean"), F.percentile(v, lo).alias(f"{v}_lower"), F.percentile(v, hi).alias(f"{v}_upper")]
+        drawn, seen = F.when(F.col("replicate").isNotNull(), F.col(v)), F.when(F.col("replicate").isNull(), F.col(v))
+        out += [
+            F.max(seen).alias(f"{v}_observed"), F.avg(drawn).alias(f"{v}_mean"),
+            F.percentile(drawn, lo).alias(f"{v}_lower"), F.percentile(drawn, hi).alias(f"{v}_upper"),
+        ]
     return replicates.groupBy(*by).agg(*out)
 
 
 def paired_replicates(paired: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
-    """(by…, replicate, difference): left minus right accuracy under the same draws.
+    """(by…, replicate, difference): left minus right accuracy under the same draws; the observed difference has a null replicate.
 
     ``paired`` has one row per item with true_class, left_class and right_class. Only whether each
     side is right matters, so a class has four joint cells.
     """
-    left = (F.col("left_class") == F.col("true_class")).cast("int").alias("l")
-    right = (F.col("right_class") == F.col("true_class")).cast("int").alias("r")
+    left = F.coalesce((F.col("left_class") == F.col("true_class")).cast("int"), F.lit(0)).alias("l")
+    right = F.coalesce((F.col("right_class") == F.col("true_class")).cast("int"), F.lit(0)).alias("r")
     counted = paired.select(*by, "true_class", left, right).groupBy(*by, "true_class", "l", "r").agg(F.count(F.lit(1)).alias("n"))
     packed = counted.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("true_class", "l", "r", "n"))).alias("_cells"))
 
@@ -102,12 +112,14 @@ def paired_replicates(paired: DataFrame, by: list[str], replicates: int, seed: i
                 rng = np.random.default_rng(draw_seed(seed, *[row[b] for b in by], row["_chunk"]))
                 held = pd.DataFrame([dict(c) if isinstance(c, dict) else c.asDict() for c in row["_cells"]])
                 difference = np.zeros(size)
-                for _, part in held.groupby("true_class", sort=True):
+                for _, part in held.groupby("true_class", sort=True, dropna=False):
                     n = part["n"].to_numpy()
                     difference += rng.multinomial(n.sum(), n / n.sum(), size=size) @ (part["l"] - part["r"]).to_numpy()
-                yield pd.DataFrame(
-                    {**{b: row[b] for b in by}, "replicate": np.arange(first, first + size), "difference": difference / held["n"].sum()}
-                )
+                keys, total = {b: row[b] for b in by}, held["n"].sum()
+                yield pd.DataFrame({**keys, "replicate": np.arange(first, first + size), "difference": difference / total})
+                if first == 0:
+                    seen = (held["n"] * (held["l"] - held["r"])).sum() / total
+                    yield pd.DataFrame({**keys, "replicate": pd.array([None], "Int64"), "difference": [seen]})
 
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in packed.schema.fields if f.name in by)
     return _chunks(packed, replicates).repartition("_chunk").mapInPandas(draw, f"{kept}replicate bigint, difference double")

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidence.functions.labels import error_category
 
+#: Name of the row for classes off the list, nulls included.
+OTHER = "(other)"
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
@@ -22,23 +25,48 @@ def cells(predictions: DataFrame, by: list[str]) -> DataFrame:
     return predictions.groupBy(*by, "true_class", "predicted_class").agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion(predictions: DataFrame, by: list[str], classes: list[str]) -> DataFrame:
-    """All class × class cells, zeros included, rows true and columns predicted."""
-    return full_grid(cells(predictions, by), by, classes)
+def confusion(predictions: DataFrame, by: list[str], classes: list[str], off_list: str = "keep") -> DataFrame:
+    """All class × class cells, zeros included, rows true and columns predicted; see :func:`full_grid` for other classes."""
+    return full_grid(cells(predictions, by), by, classes, off_list)
+
+
+def listed(cls: Column, classes: list[str]) -> Column:
+    """The class where it is on the list, else OTHER."""
+    return F.when(cls.isin(*classes), cls).otherwise(F.lit(OTHER))
+
 
+def fold_cells(counted: DataFrame, by: list[str], classes: list[str], off_list: str = "keep") -> DataFrame:
+    """Cells with classes off the list, and nulls, under the name OTHER, so that no row is lost.
 
-def full_grid(counted: DataFrame, by: list[str], classes: list[str]) -> DataFrame:
-    """Add the empty cells: one row per system holds its few cells, then the grid is unfolded."""
-    pair = F.concat_ws("\u0001", "true_class", "predicted_class")
-    packed = counted.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct(pair.alias("k"), F.col("n").alias("v")))).alias("_cells")
+    A cell (OTHER, OTHER) is right: both sides have one and the same name off the list. Where a true class off the list meets
+    another name off the list or a null, the predicted side is null: never right. ``off_list="fail"`` stops the query instead.
+    """
+    true, predicted = listed(F.col("true_class"), classes), listed(F.col("predicted_class"), classes)
+    if off_list == "fail":
+        bad = (true == OTHER) | (predicted == OTHER)
+        name = F.concat_ws(" -> ", F.coalesce("true_class", F.lit("null")), F.coalesce("predicted_class", F.lit("null")))
+        true = F.when(bad, F.raise_error(F.concat(F.lit("class off the list: "), name))).otherwise(true)
+    same = F.col("true_class") == F.col("predicted_class")
+    predicted = F.when((true == OTHER) & (predicted == OTHER) & ~F.coalesce(same, F.lit(False)), F.lit(None)).otherwise(predicted)
+    return counted.select(*by, true.alias("true_class"), predicted.alias("predicted_class"), "n").groupBy(
+        *by, "true_class", "predicted_class"
+    ).agg(F.sum("n").alias("n"))
+
+
+def full_grid(counted: DataFrame, by: list[str], classes: list[str], off_list: str = "keep") -> DataFrame:
+    """Add the empty cells: one row per system holds its few cells, then the grid is unfolded.
+
+    Cells off the list follow as :func:`fold_cells` names them, only where there are any.
+    """
+    cell = F.struct(F.coalesce("true_class", F.lit("")).alias("t"), F.coalesce("predicted_class", F.lit("")).alias("p"))
+    packed = fold_cells(counted, by, classes, off_list).groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct(cell.alias("k"), F.col("n").alias("v")))).alias("_cells")
     )
-    names = F.array(*[F.lit(c) for c in classes])
-    return (
-        packed.withColumn("true_class", F.explode(names))
-        .withColumn("predicted_class", F.explode(names))
-        .withColumn("n", F.coalesce(F.try_element_at("_cells", pair), F.lit(0)))
-        .drop("_cells")
+    grid = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t in classes for p in classes])
+    more = F.filter(F.map_keys("_cells"), lambda k: (k["t"] == OTHER) | (k["p"] == OTHER))
+    return packed.withColumn("_k", F.explode(F.concat(grid, more))).select(
+        *by, F.col("_k.t").alias("true_class"), F.nullif(F.col("_k.p"), F.lit("")).alias("predicted_class"),
+        F.coalesce(F.try_element_at("_cells", F.col("_k")), F.lit(0)).alias("n"),
     )
 
 
@@ -48,11 +76,11 @@ def confusion_wide(long: DataFrame, by: list[str], classes: list[str]) -> DataFr
 
 
 def class_report(grid: DataFrame, by: list[str]) -> DataFrame:
-    """Precision, recall, F1 and support per class; a zero denominator gives 0."""
+    """Precision, recall, F1 and support per class; a zero denominator gives 0. Classes off the list share the row OTHER."""
     hit = F.when(F.col("true_class") == F.col("predicted_class"), F.col("n")).otherwise(0)
     sides = F.array(
         F.struct(F.col("true_class").alias("class"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted"), hit.alias("hits")),
-        F.struct(F.col("predicted_class").alias("class"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("bigint").alias("hits")),
+        F.struct(F.coalesce("predicted_class", F.lit(OTHER)).alias("class"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("bigint").alias("hits")),
     )
     sums = (
         grid.select(*by, F.explode(sides).alias("s"))
@@ -69,18 +97,19 @@ def class_report(grid: DataFrame, by: list[str]) -> DataFrame:
 
 
 def summary_report(report: DataFrame, by: list[str]) -> DataFrame:
-    """Accuracy, macro averages over all classes and support-weighted averages."""
-    weight = F.col("support")
+    """Samples and accuracy over all rows; macro and support-weighted averages over the listed classes."""
+    on_list = F.col("class") != OTHER
+    weight = F.when(on_list, F.col("support"))
     aggregates = [F.sum("support").alias("samples"), ratio(F.sum("hits"), F.sum("support")).alias("accuracy")]
     for m in ("precision", "recall", "f1"):
-        aggregates.append(F.avg(m).alias(f"macro_{m}"))
+        aggregates.append(F.avg(F.when(on_list, F.col(m))).alias(f"macro_{m}"))
     for m in ("precision", "recall", "f1"):
         aggregates.append(ratio(F.sum(F.col(m) * weight), F.sum(weight)).alias(f"weighted_{m}"))
     return report.groupBy(*by).agg(*aggregates)
 
 
-def evaluate(predictions: DataFrame, by: list[str], classes: list[str]) -> DataFrame:
-    return summary_report(class_report(confusion(predictions, by, classes), by), by)
+def evaluate(predictions: DataFrame, by: list[str], classes: list[str], off_list: str = "keep") -> DataFrame:
+    return summary_report(class_report(confusion(predictions, by, classes, off_list), by), by)
 
 
 def semantic_errors(counted: DataFrame, by: list[str]) -> DataFrame:

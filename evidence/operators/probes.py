@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidence.functions.vectors import cross_entropy
-from evidence.operators.metrics import class_report, evaluate, full_grid, summary_report
+from evidence.operators.metrics import OTHER, class_report, evaluate, full_grid, summary_report
 from evidence.operators.sampling import hash_sample, stratified_folds
 
 

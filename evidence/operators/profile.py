@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evidence.operators.metrics import OTHER, listed
 from evidence.operators.scale import quantile_summary
 
 
 def class_counts(items: DataFrame, by: list[str], cls: str, classes: list[str]) -> DataFrame:
-    """Rows per class, zero for a class without rows."""
-    counted = items.groupBy(*by, cls).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per class, zero for a class without rows; classes off the list and nulls share the row OTHER, if there are any."""
+    counted = items.groupBy(*by, listed(F.col(cls), classes).alias(cls)).agg(F.count(F.lit(1)).alias("n"))
     held = counted.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(cls, "n"))).alias("_m"))
-    return held.withColumn(cls, F.explode(F.array(*[F.lit(c) for c in classes]))).select(
+    names = F.array(*[F.lit(c) for c in classes])
+    names = F.when(F.map_contains_key("_m", OTHER), F.array_append(names, OTHER)).otherwise(names)
+    return held.withColumn(cls, F.explode(names)).select(
         *by, cls, F.coalesce(F.try_element_at("_m", F.col(cls)), F.lit(0)).alias("n")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from evidence.functions.labels import factor_a, factor_b
@@ -299,7 +301,12 @@ times AS (SELECT d.true_class, n.item_id, d.replicate, COUNT(*) AS times FROM dr
 
 
 def _interval_sql(value: str) -> str:
-    return f"{r(f'AVG({value})', f'{value}_mean')}, {r(f'quantile_cont({value}, 0.025)', f'{value}_lower')}, {r(f'quantile_cont({value}, 0.975)', f'{value}_upper')}"
+    return f"{r(f'MAX(seen_{value})', f'{value}_observed')}, {r(f'AVG({value})', f'{value}_mean')}, {r(f'quantile_cont({value}, 0.025)', f'{value}_lower')}, {r(f'quantile_cont({value}, 0.975)', f'{value}_upper')}"
+
+
+def _apart(sql: str) -> str:
+    """The same views under other names, for the values observed without resampling."""
+    return re.sub(r"\b(names|counted|groups|grid|per_class|report|summary)\b", r"\1_seen", sql)
 
 
 def _draws(spark, folder):
@@ -312,25 +319,32 @@ _DRAWN = _draw_sql(REPLICATES) + """
 
 
 @query(with_views(PREDICTIONS, body=_DRAWN + ", " + _grid("drawn", "system, replicate").replace(
-    "COUNT(*) AS n", "CAST(SUM(times) AS BIGINT) AS n") + ", " + _report("system, replicate") + ", " + _summary("system, replicate") + f"""
-SELECT system, {_interval_sql('accuracy')}, {_interval_sql('macro_f1')} FROM summary GROUP BY system"""))
+    "COUNT(*) AS n", "CAST(SUM(times) AS BIGINT) AS n") + ", " + _report("system, replicate") + ", " + _summary("system, replicate")
+    + ", " + _apart(_grid("predictions", "system") + ", " + _report("system") + ", " + _summary("system")) + f"""
+SELECT s.system, {_interval_sql('accuracy')}, {_interval_sql('macro_f1')}
+FROM summary s JOIN (SELECT system, accuracy AS seen_accuracy, macro_f1 AS seen_macro_f1 FROM summary_seen) o ON s.system = o.system
+GROUP BY s.system"""))
 def bootstrap_hash(spark, folder):
     by = ["system", "replicate"]
     drawn = predictions(spark, folder).join(_draws(spark, folder), ["true_class", "item_id"])
     counted = drawn.groupBy(*by, "true_class", "predicted_class").agg(F.sum("times").alias("n"))
     summary = metrics.summary_report(metrics.class_report(metrics.full_grid(counted, by, CLASSES), by), by)
-    return rounded(bootstrap.intervals(summary, ["system"], ["accuracy", "macro_f1"]))
+    seen = metrics.evaluate(predictions(spark, folder), ["system"], CLASSES).withColumn("replicate", F.lit(None).cast("int"))
+    return rounded(bootstrap.intervals(summary.unionByName(seen), ["system"], ["accuracy", "macro_f1"]))
 
 
 @query(with_views(PREDICTIONS, body=_PAIRED + _draw_sql(REPLICATES) + f"""
 , deltas AS (SELECT t.replicate, SUM(t.times * (CAST(p.lc = p.true_class AS INTEGER) - CAST(p.rc = p.true_class AS INTEGER)))::DOUBLE / SUM(t.times) AS difference
   FROM times t JOIN paired p ON p.item_id = t.item_id GROUP BY t.replicate)
-SELECT {_interval_sql('difference')} FROM deltas"""))
+SELECT {_interval_sql('difference')}
+FROM deltas, (SELECT AVG(CAST(lc = true_class AS INTEGER) - CAST(rc = true_class AS INTEGER)) AS seen_difference FROM paired)"""))
 def paired_bootstrap_hash(spark, folder):
     drawn = beacon_pair(spark, folder).join(_draws(spark, folder), ["true_class", "item_id"])
     gain = (F.col("left_class") == F.col("true_class")).cast("int") - (F.col("right_class") == F.col("true_class")).cast("int")
     deltas = drawn.groupBy("replicate").agg((F.sum(F.col("times") * gain) / F.sum("times")).alias("difference"))
-    return rounded(bootstrap.intervals(deltas, [], ["difference"]))
+    seen = beacon_pair(spark, folder).select(F.lit(None).cast("int").alias("replicate"), gain.alias("difference"))
+    seen = seen.groupBy("replicate").agg(F.avg("difference").alias("difference"))
+    return rounded(bootstrap.intervals(deltas.unionByName(seen), [], ["difference"]))
 
 
 @query()
