@@ -105,9 +105,17 @@ def silhouette_cosine(
     1 − x·mean. One product of every row with the cluster means replaces the n × n distances;
     the nearest other cluster is the largest product. Means of checked small size go to every
     task, otherwise the two best means per row are searched block by block.
+
+    Rows with a null label take no part. With one cluster there is no other to compare with: all rows are counted, and the
+    silhouette is null. No rows: 0 items, 0 clusters and null.
     """
-    means = stored(group_means(df.select(label, vec), [label], vec))
-    rows = df.select(item, label, vec)
+    rows = df.where(F.col(label).isNotNull()).select(item, label, vec)
+    means = stored(group_means(rows.select(label, vec), [label], vec))
+    if means.limit(2).count() < 2:
+        counts = rows.agg(F.count(F.lit(1)).alias("items"))
+        return counts.select(
+            "items", means.agg(F.count(F.lit(1))).scalar().alias("clusters"), F.lit(None).cast("double").alias("silhouette")
+        )
     small = small_matrix(means, label, "mean", ["n"], max_bytes)
     if small is not None:
         shared = df.sparkSession.sparkContext.broadcast(small)

@@ -14,8 +14,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidence.functions.vectors import cross_entropy
-from evidence.operators.metrics import OTHER, class_report, evaluate, full_grid, summary_report
+from evidence.operators.metrics import OTHER, class_report, evaluate, full_grid, ratio, summary_report
+from evidence.operators.ranking import draw_statistics
 from evidence.operators.sampling import hash_sample, stratified_folds
+from evidence.operators.scale import BROADCAST_BYTES
 
 
 def _points(df: DataFrame, vec: str) -> DataFrame:
@@ -110,77 +112,143 @@ def factor_gap(condition: DataFrame, identity: DataFrame) -> DataFrame:
 # --- label efficiency -------------------------------------------------------------------
 
 
-def _fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, epochs: int, rate: float, decay: float) -> np.ndarray:
-    """Full-batch gradient descent with momentum; returns (classes, dimension + 1) weights."""
+def _fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, epochs: int, rate: float, decay: float) -> list[np.ndarray]:
+    """Full-batch gradient descent with momentum; the (classes, dimension + 1) weights after every epoch."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros((classes, x.shape[1]))
     step = np.zeros_like(w)
     target = np.eye(classes)[y]
+    every = []
     for _ in range(epochs):
         z = x @ w.T
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         step = 0.9 * step - rate * ((p - target).T @ x / len(x) + decay * w)
-        w += step
-    return w
+        w = w + step
+        every.append(w)
+    return every
+
+
+#: What tells the fits of a label-efficiency study apart.
+FIT = ["encoder", "budget", "seed"]
 
 
 def few_shot_fits(
     train: DataFrame, cls: str, item: str, vec: str, classes: list[str], budgets: list[int], seeds: list[int],
     epochs: int = 50, rate: float = 1.0, decay: float = 1e-4,
 ) -> DataFrame:
-    """(budget, seed, weights): one fit per nested budget and draw.
+    """(encoder, budget, seed, epoch, weights): the weights after every epoch of a fit per encoder, nested budget and draw.
 
-    A group holds at most max(budgets) × classes rows, whatever the size of ``train``.
+    ``train`` has a column ``encoder``; all encoders see the same drawn items. A group holds at most max(budgets) × classes
+    rows, whatever the size of ``train``. Rows of classes off the list take no part.
     """
     number = {c: i for i, c in enumerate(classes)}
-    drawn = train.select(cls, item, vec).withColumn("seed", F.explode(F.array(*[F.lit(x) for x in seeds])))
-    picked = hash_sample(drawn, ["seed", cls], item, max(budgets), 0)
+    drawn = train.where(F.col(cls).isin(*classes)).select("encoder", cls, item, vec).withColumn(
+        "seed", F.explode(F.array(*[F.lit(x) for x in seeds]))
+    )
+    picked = hash_sample(drawn, ["encoder", "seed", cls], item, max(budgets), 0, key=["seed", cls, item])
     member = F.filter(F.array(*[F.lit(b) for b in sorted(budgets)]), lambda b: F.col("rank") <= b)
-    chosen = picked.select("seed", cls, item, vec, F.explode(member).alias("budget"))
+    chosen = picked.select("encoder", "seed", cls, item, vec, F.explode(member).alias("budget"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)
-        w = _fit_softmax(np.vstack(pdf[vec].to_numpy()), pdf[cls].map(number).to_numpy(), len(classes), epochs, rate, decay)
-        return pd.DataFrame({"budget": [pdf["budget"].iloc[0]], "seed": [pdf["seed"].iloc[0]], "weights": [w.ravel()]})
+        x = np.array(pdf[vec].to_list(), dtype=float)
+        weights = _fit_softmax(x, pdf[cls].map(number).to_numpy(), len(classes), epochs, rate, decay)
+        keys = {k: pdf[k].iloc[0] for k in FIT}
+        return pd.DataFrame({**keys, "epoch": np.arange(1, epochs + 1), "weights": [w.ravel() for w in weights]})
 
-    return chosen.groupBy("budget", "seed").applyInPandas(fit, "budget int, seed int, weights array<double>")
+    encoder = train.schema["encoder"].dataType.simpleString()
+    return chosen.groupBy(*FIT).applyInPandas(fit, f"encoder {encoder}, budget int, seed int, epoch int, weights array<double>")
 
 
-def few_shot_report(fits: DataFrame, test: DataFrame, cls: str, vec: str, classes: list[str]) -> DataFrame:
-    """(budget, seed, metrics…): every fit on the whole test table in one pass.
+def few_shot_cells(fits: DataFrame, rows: DataFrame, cls: str, vec: str, classes: list[str], max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(encoder, budget, seed, epoch, true_class, predicted_class, n, loss): confusion cells of every set of weights.
 
-    There are budgets × seeds weight matrices, a number fixed by the design of the study; the test rows
-    stay distributed and each task returns only confusion counts.
+    The number of weights follows from the design of the study. Their bytes are measured first, and they go out in as many
+    parts of at most ``max_bytes`` as that takes, one pass over ``rows`` each; the rows stay distributed and tasks return
+    counts and sums of cross-entropy. A row off the list counts as class OTHER without a loss.
     """
-    models = fits.orderBy("budget", "seed").toPandas()
-    held = test.sparkSession.sparkContext.broadcast(
-        (models[["budget", "seed"]], np.stack([w.reshape(len(classes), -1) for w in models["weights"]]))
-    )
-    number = {c: i for i, c in enumerate(classes)}
+    size = fits.agg(F.coalesce(F.sum(F.size("weights") * 8 + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    parts = max(1, -(-size * 2 // max_bytes))  # hashed parts are uneven: aim at half the bound
+    place = {c: i for i, c in enumerate(classes)}
     k = len(classes)
+    encoder = fits.schema["encoder"].dataType.simpleString()
+    schema = f"encoder {encoder}, budget int, seed int, epoch int, true_class string, predicted_class string, n bigint, loss double"
+
+    def counts(part: int) -> DataFrame:
+        models = fits.where(F.pmod(F.xxhash64(*FIT, "epoch"), F.lit(parts)) == part).orderBy(*FIT, "epoch").collect()
+        by_encoder: dict = {}
+        for m in models:
+            by_encoder.setdefault(m["encoder"], []).append(m)
+        packed = {
+            e: ([(m["budget"], m["seed"], m["epoch"]) for m in ms], np.array([m["weights"] for m in ms], float).reshape(len(ms), k, -1))
+            for e, ms in by_encoder.items()
+        }
+        held = rows.sparkSession.sparkContext.broadcast(packed)
+
+        def count(batches):
+            sums: dict = {}
+            for pdf in batches:
+                for e, group in pdf.groupby("encoder"):
+                    if e not in held.value:
+                        continue
+                    keys, weights = held.value[e]
+                    x = np.array(group[vec].to_list(), dtype=float)
+                    x = np.hstack([x, np.ones((len(x), 1))])
+                    y = group[cls].map(place).fillna(k).to_numpy(int)
+                    for key, w in zip(keys, weights):
+                        z = x @ w.T
+                        top = z.max(axis=1)
+                        at = y * k + z.argmax(axis=1)
+                        own = np.where(y < k, z[np.arange(len(y)), np.minimum(y, k - 1)], np.nan)
+                        loss = np.where(y < k, np.log(np.exp(z - top[:, None]).sum(axis=1)) + top - own, 0.0)
+                        n, total = sums.setdefault((e, *key), (np.zeros((k + 1) * k, np.int64), np.zeros((k + 1) * k)))
+                        n += np.bincount(at, minlength=len(n))
+                        total += np.bincount(at, loss, minlength=len(n))
+            names = [*classes, OTHER]
+            for key, (n, total) in sums.items():
+                hit = np.flatnonzero(n)
+                yield pd.DataFrame({
+                    **dict(zip([*FIT, "epoch"], key)), "true_class": [names[i // k] for i in hit],
+                    "predicted_class": [classes[i % k] for i in hit], "n": n[hit], "loss": total[hit],
+                })
+
+        return rows.select("encoder", cls, vec).mapInPandas(count, schema)
+
+    counted = reduce(DataFrame.unionByName, [counts(i) for i in range(parts)])
+    return counted.groupBy(*FIT, "epoch", "true_class", "predicted_class").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+
+
+def epoch_table(counted: DataFrame) -> DataFrame:
+    """(encoder, budget, seed, epoch, validation_accuracy, validation_loss) from the cells of a validation table."""
+    right = F.sum(F.when(F.col("true_class") == F.col("predicted_class"), F.col("n")).otherwise(0))
+    return counted.groupBy(*FIT, "epoch").agg(
+        ratio(right, F.sum("n")).alias("validation_accuracy"), ratio(F.sum("loss"), F.sum("n")).alias("validation_loss")
+    )
+
+
+def select_epochs(fits: DataFrame, validation: DataFrame, cls: str, vec: str, classes: list[str], max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The weights of the epoch of each fit with the highest validation accuracy; then lowest loss, then the earliest."""
+    table = epoch_table(few_shot_cells(fits, validation, cls, vec, classes, max_bytes))
+    order = F.struct(-F.col("validation_accuracy"), F.round("validation_loss", 9), "epoch")
+    chosen = table.groupBy(*FIT).agg(F.min_by("epoch", order).alias("epoch"))
+    return fits.join(chosen, [*FIT, "epoch"])
+
+
+def few_shot_report(
+    fits: DataFrame, test: DataFrame, cls: str, vec: str, classes: list[str], max_bytes: int = BROADCAST_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """(per class, in total) metrics of every fit on the whole test table: (encoder, budget, seed, epoch, …)."""
+    by = [*FIT, "epoch"]
+    report = class_report(full_grid(few_shot_cells(fits, test, cls, vec, classes, max_bytes).drop("loss"), by, classes), by)
+    return report, summary_report(report, by)
+
 
-    def count(batches):
-        keys, weights = held.value
-        sums = np.zeros((len(keys), k * k), dtype=np.int64)
-        for pdf in batches:
-            if len(pdf):
-                x = np.vstack(pdf[vec].to_numpy())
-                x = np.hstack([x, np.ones((len(x), 1))])
-                y = pdf[cls].map(number).to_numpy()
-                for m, w in enumerate(weights):
-                    sums[m] += np.bincount(y * k + (x @ w.T).argmax(axis=1), minlength=k * k)
-        for m, row in enumerate(sums):
-            hit = np.flatnonzero(row)
-            yield pd.DataFrame({
-                "budget": keys["budget"].iloc[m], "seed": keys["seed"].iloc[m],
-                "true_class": [classes[i // k] for i in hit], "predicted_class": [classes[i % k] for i in hit], "n": row[hit],
-            })
-
-    counted = test.select(cls, vec).mapInPandas(count, "budget int, seed int, true_class string, predicted_class string, n bigint")
-    by = ["budget", "seed"]
-    summed = counted.groupBy(*by, "true_class", "predicted_class").agg(F.sum("n").alias("n"))
-    return summary_report(class_report(full_grid(summed, by, classes), by), by)
+def class_draw_statistics(report: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, class, metric, draws, mean, standard_deviation, minimum, maximum) of a class report over its draws."""
+    long = report.unpivot([*by, "class"], ["precision", "recall", "f1"], "metric", "value")
+    stats = draw_statistics(long, [*by, "class", "metric"], "value")
+    return stats.select(*by, "class", "metric", "draws", "mean", "standard_deviation", "minimum", "maximum")
 
 
 def class_number(cls: Column, classes: list[str]) -> Column:

@@ -11,11 +11,16 @@ from evidence.operators.scale import hash_rank
 GROUP_LIMIT = 1000
 
 
-def hash_sample(df: DataFrame, strata: list[str], item: str, n: int, seed: int, into: str = "rank") -> DataFrame:
-    """The first n rows of each stratum in the order of sha256(``seed|strata…|item``)."""
-    key = stable_key(seed, *[F.col(c) for c in strata], F.col(item))
+def hash_sample(
+    df: DataFrame, strata: list[str], item: str, n: int, seed: int, into: str = "rank", key: list[str] | None = None
+) -> DataFrame:
+    """The first n rows of each stratum in the order of sha256(``seed|strata…|item``), numbered by an int from 1.
+
+    ``key`` names other columns to hash, so that strata can share an order.
+    """
+    key = stable_key(seed, *[F.col(c) for c in (key or [*strata, item])])
     if n > GROUP_LIMIT:
-        return hash_rank(df, strata, key, item, into).where(F.col(into) <= n)
+        return hash_rank(df, strata, key, item, into).where(F.col(into) <= n).withColumn(into, F.col(into).cast("int"))
     keyed = df.withColumn("order_key", key)
     if not strata:  # a global top n, cut inside every task first
         keyed = keyed.orderBy("order_key", item).limit(n)

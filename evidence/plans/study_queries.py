@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from evidence.functions.grids import grid_regions
 from evidence.functions.labels import factor_a, factor_b
-from evidence.operators import attribution, probes
+from evidence.operators import attribution, metrics, probes
+from evidence.operators.scale import stored
 from evidence.plans.catalog import query, r, rounded, table, with_views
-from evidence.plans.views import VECTOR_CLASSES, vectors
+from evidence.plans.metric_queries import _grid, _report
+from evidence.plans.views import CLASSES, PREDICTIONS, VECTOR_CLASSES, predictions, vectors
 from evidence.session import work_folder
 from evidence.streaming import ledger, windows
 
@@ -145,11 +147,45 @@ def factor_gap(spark, folder):
         probes.cross_validated_probe(v, "condition", "vec_id", "v"), probes.cross_validated_probe(v, "identity", "vec_id", "v")))
 
 
+def encoders(spark, folder):
+    """The vectors as two encoders see them: whole, and the first half of the dimensions."""
+    seen = F.array(
+        F.struct(F.lit("whole").alias("encoder"), F.col("v").alias("v")),
+        F.struct(F.lit("half").alias("encoder"), F.slice("v", 1, 32).alias("v")),
+    )
+    return vectors(spark, folder).select("vec_id", "domain", "class", F.explode(seen).alias("e")).select("vec_id", "domain", "class", "e.*")
+
+
+def _efficiency(spark, folder):
+    v = encoders(spark, folder)
+    fits = stored(probes.few_shot_fits(v.where("domain = 0"), "class", "vec_id", "v", VECTOR_CLASSES, [1, 2, 5, 10], [11, 22, 33, 44, 55]))
+    chosen = stored(probes.select_epochs(fits, v.where("domain = 1"), "class", "v", VECTOR_CLASSES))
+    return probes.few_shot_report(chosen, v.where("domain = 2"), "class", "v", VECTOR_CLASSES)
+
+
 @query()
 def label_efficiency(spark, folder):
-    v = vectors(spark, folder)
-    fits = probes.few_shot_fits(v.where("domain = 0"), "class", "vec_id", "v", VECTOR_CLASSES, [1, 2, 5, 10], [11, 22, 33, 44, 55])
-    return rounded(probes.few_shot_report(fits, v.where("domain <> 0"), "class", "v", VECTOR_CLASSES))
+    """Every fit on the test domain, at the epoch chosen on the validation domain."""
+    return rounded(_efficiency(spark, folder)[1])
+
+
+@query()
+def label_efficiency_classes(spark, folder):
+    """Per encoder, budget and class: precision, recall and F1 over the draws."""
+    return rounded(probes.class_draw_statistics(_efficiency(spark, folder)[0], ["encoder", "budget"]))
+
+
+@query(with_views(PREDICTIONS, _grid("predictions", "system, domain"), _report("system, domain"), body=f"""
+, long AS (
+  SELECT system, class, 'precision' AS metric, precision AS value FROM report UNION ALL
+  SELECT system, class, 'recall', recall FROM report UNION ALL SELECT system, class, 'f1', f1 FROM report)
+SELECT system, class, metric, COUNT(*) AS draws, {r('AVG(value)', 'mean')}, {r('stddev_samp(value)', 'standard_deviation')},
+       {r('MIN(value)', 'minimum')}, {r('MAX(value)', 'maximum')} FROM long GROUP BY system, class, metric"""))
+def class_draws(spark, folder):
+    """The statistics over draws, with the domains as the draws of a system."""
+    by = ["system", "domain"]
+    report = metrics.class_report(metrics.confusion(predictions(spark, folder), by, CLASSES), by)
+    return rounded(probes.class_draw_statistics(report, ["system"]))
 
 
 # --- streams ----------------------------------------------------------------------------

@@ -100,9 +100,9 @@ def write_embedding_cache(df: DataFrame, identity: dict[str, str], path: str) ->
 
 
 def read_embedding_cache(spark: SparkSession, path: str, expected: dict[str, str] | None = None) -> DataFrame:
-    """The vectors of a cache, after comparing its identity with the expected one."""
+    """The vectors of a cache, after comparing its whole identity (one row per field) with the expected one."""
     if expected is not None:
-        recorded = {r["field"]: r["value"] for r in spark.read.parquet(f"{path}/identity").limit(1000).collect()}
+        recorded = {r["field"]: r["value"] for r in spark.read.parquet(f"{path}/identity").collect()}
         wrong = identity_check(recorded, {k: str(v) for k, v in expected.items()})
         if wrong:
             raise ValueError(f"cache identity differs in {', '.join(wrong)}: {path}")

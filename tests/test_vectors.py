@@ -4,7 +4,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from evidence.operators import bootstrap, geometry, probes, retrieval, scoring
+from evidence.operators import bootstrap, geometry, probes, retrieval, sampling, scoring
 
 CLASSES = [f"{c}_k{i}" for i in range(2) for c in ("fresh", "stale")]
 
@@ -160,11 +160,64 @@ def test_probes_learn_separable_classes(spark):
     assert len(chosen) == 1 and chosen[0].validation_accuracy == table.agg(F.max("validation_accuracy")).first()[0] > 0.6
     folds = probes.cross_validated_probe(df, "class", "vec_id", "v", k=3, iterations=20)
     assert sorted(r.fold for r in folds.collect()) == [0, 1, 2] and probes.fold_summary(folds).first().accuracy_mean > 0.6
-    fits = probes.few_shot_fits(df.where("domain = 0"), "class", "vec_id", "v", CLASSES, [1, 20], [1, 2])
-    report = probes.few_shot_report(fits, df.where("domain <> 0"), "class", "v", CLASSES).collect()
-    assert len(report) == 4 and {r.samples for r in report} == {df.where("domain <> 0").count()}
-    mean = lambda b: np.mean([r.accuracy for r in report if r.budget == b])
-    assert mean(20) > mean(1)
+
+
+@pytest.mark.parametrize("arrow", ["true", "false"])
+@pytest.mark.parametrize("max_bytes", [64 << 20, 4000])
+def test_label_efficiency(spark, arrow, max_bytes):
+    x, label = points(400)
+    df = frame(spark, x, label).withColumn("encoder", F.lit("e"))
+    was = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", arrow)
+    try:
+        train, test = df.where("domain = 0"), df.where("domain <> 0")
+        test = test.unionByName(test.where("vec_id = 1").withColumn("class", F.lit("unknown")))
+        fits = probes.few_shot_fits(train, "class", "vec_id", "v", CLASSES, [1, 20], [1, 2], epochs=12).cache()
+        assert fits.count() == 2 * 2 * 12
+        cells = probes.few_shot_cells(fits, test, "class", "v", CLASSES, max_bytes).collect()
+        rows = [(r["class"], np.array(r["v"])) for r in test.collect()]
+        for fit in fits.where("epoch IN (1, 12)").collect():
+            w = np.array(fit["weights"]).reshape(len(CLASSES), -1)
+            z = [w[:, :-1] @ v + w[:, -1] for _, v in rows]
+            want_right = sum(c == CLASSES[int(s.argmax())] for (c, _), s in zip(rows, z))
+            want_loss = sum(np.log(np.exp(s).sum()) - s[CLASSES.index(c)] for (c, _), s in zip(rows, z) if c in CLASSES)
+            mine = [c for c in cells if all(c[k] == fit[k] for k in ("budget", "seed", "epoch"))]
+            assert sum(c["n"] for c in mine) == len(rows) and sum(c["n"] for c in mine if c["true_class"] == c["predicted_class"]) == want_right
+            assert sum(c["loss"] for c in mine) == pytest.approx(want_loss)
+        table = {(r["budget"], r["seed"], r["epoch"]): (-r["validation_accuracy"], round(r["validation_loss"], 9), r["epoch"])
+                 for r in probes.epoch_table(probes.few_shot_cells(fits, test, "class", "v", CLASSES)).collect()}
+        chosen = probes.select_epochs(fits, test, "class", "v", CLASSES, max_bytes)
+        assert {(r["budget"], r["seed"], r["epoch"]) for r in chosen.collect()} == {
+            min((k for k in table if k[:2] == g), key=table.get) for g in {k[:2] for k in table}}
+        report, total = probes.few_shot_report(chosen, test, "class", "v", CLASSES, max_bytes)
+        found = total.collect()
+        assert len(found) == 4 and {r["samples"] for r in found} == {len(rows)}
+        mean = lambda b: np.mean([r["accuracy"] for r in found if r["budget"] == b])
+        assert mean(20) > mean(1)
+        stats = probes.class_draw_statistics(report, ["encoder", "budget"]).collect()
+        assert all(r["draws"] == 2 for r in stats) and len(stats) == 2 * 3 * (len(CLASSES) + 1)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", was)
+
+
+@pytest.mark.parametrize("max_bytes", [64 << 20, 1])
+def test_silhouette_of_one_cluster_and_null_labels(spark, max_bytes):
+    x, label = points(60)
+    df = frame(spark, x, label).select("vec_id", "class", "v")
+    both = geometry.silhouette_cosine(df, "vec_id", "class", max_bytes=max_bytes).first()
+    with_null = df.unionByName(df.where("vec_id < 3").withColumn("class", F.lit(None).cast("string")).withColumn("vec_id", F.col("vec_id") + 1000))
+    again = geometry.silhouette_cosine(with_null, "vec_id", "class", max_bytes=max_bytes).first()
+    assert again["items"] == both["items"] == 60 and again["silhouette"] == pytest.approx(both["silhouette"])
+    one = geometry.silhouette_cosine(df.withColumn("class", F.lit("c")), "vec_id", "class", max_bytes=max_bytes).first()
+    assert (one["items"], one["clusters"], one["silhouette"]) == (60, 1, None)
+    assert geometry.silhouette_cosine(df.limit(0), "vec_id", "class", max_bytes=max_bytes).first()["items"] == 0
+
+
+def test_hash_sample_has_one_type(spark):
+    df = spark.range(1500).withColumn("s", F.lit("x"))
+    small, large = (sampling.hash_sample(df, ["s"], "id", n, 1) for n in (1000, 1001))
+    assert small.schema["rank"].dataType == large.schema["rank"].dataType
+    assert small.select("id", "rank").exceptAll(large.select("id", "rank")).count() == 0 and large.count() == 1001
 
 
 def test_deletion_orders_and_counts(spark):
