@@ -7,6 +7,7 @@ item pairs for a review.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidence.functions.signatures import BITS, block_keys, block_masks, first_block, hamming
-from evidence.operators.scale import stored
+from evidence.operators.scale import BROADCAST_ROWS, stored
 
 
 # --- exact and equivalent duplicates ----------------------------------------------------
@@ -120,69 +121,101 @@ def _informed_masks(n: int, ones: np.ndarray, threshold: int, most: int = 84) ->
     return [sum(chosen) for chosen in combinations(parts, blocks - threshold)]
 
 
-def _crowded(everyone: DataFrame, limit: int, threshold: int) -> DataFrame:
-    """(block, key, inner): the buckets with more than ``limit`` members and their own masks."""
-    keys = ["block", "key"]
-    heavy = everyone.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+#: Members up to which a bucket is compared pair by pair, whatever the size of the tables.
+CROWD = 4096
+
+
+def _crowded(members: DataFrame, keys: list[str], limit: int, threshold: int) -> DataFrame:
+    """(keys…, inner): the buckets with more than ``limit`` members and masks made for those members."""
+    heavy = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
     # two bit counts to a sum, as in the token signatures
     ones = [F.expr(f"sum(((h >> {i}) & 1L) | (((h >> {i}) & 2L) << 31))").alias(f"s{i}") for i in range(0, BITS, 2)]
-    counted = everyone.join(F.broadcast(heavy), keys).groupBy(*keys, "n").agg(*ones)
+    counted = members.join(heavy, keys).groupBy(*keys, "n").agg(*ones)
 
     def masks(batches):
         for pdf in batches:
             sums = pdf[[f"s{i}" for i in range(0, BITS, 2)]].to_numpy(dtype=np.int64)
             ones = np.stack([sums & 0xFFFFFFFF, sums >> 32], axis=2).reshape(len(pdf), -1)[:, :BITS]
             inner = [_informed_masks(int(n), o, threshold) for n, o in zip(pdf["n"], ones)]
-            yield pd.DataFrame({"block": pdf["block"], "key": pdf["key"], "inner": inner})
+            yield pdf[[*keys, "n"]].assign(inner=inner)
+
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return counted.mapInPandas(masks, f"{schema}, n bigint, inner array<bigint>")
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A stored table of buckets, sent to all tasks only if its counted rows (under 1 KB each) stay below the bound."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS // 2 else table
+
 
-    return counted.mapInPandas(masks, "block int, key bigint, inner array<bigint>")
+def _cut(members: DataFrame, crowded: DataFrame, keys: list[str], sub: str, rest: str) -> DataFrame:
+    """Members with a row for every mask of their bucket; (-1, 0) where the bucket is not crowded."""
+    pieces = F.expr(
+        f"IF(inner IS NULL, array(named_struct('{sub}', -1, '{rest}', 0L)),"
+        f" transform(inner, (m, i) -> named_struct('{sub}', i, '{rest}', h & m)))"
+    )
+    marked = members.join(crowded.drop("n"), keys, "left")
+    return marked.select(*members.columns, F.explode(pieces).alias("_c")).select(*members.columns, f"_c.{sub}", f"_c.{rest}")
 
 
 def signature_pairs(
-    left: DataFrame, right: DataFrame | None, threshold: int, blocks: int | None = None, hot: int = 4096
+    left: DataFrame, right: DataFrame | None, threshold: int, blocks: int | None = None, hot: int = CROWD
 ) -> DataFrame:
     """All pairs of distinct signatures within ``threshold`` bits: (left_h, right_h, distance).
 
     ``left`` and ``right`` have one row per signature ``h``; without ``right`` the pairs lie
     inside ``left`` with left_h < right_h. Signatures meet on equal blocks (exact by the pigeonhole
     rule), and each pair is kept only in the first block it agrees on. A bucket with more
-    than ``hot`` members is cut once more by masks made for its members, exact by the same
-    rule.
+    than ``hot`` members, a fixed number, is cut by masks made for its members, exact by the same
+    rule, and what is still crowded is cut again until no bucket is, or until a cut parts nothing.
     """
     itself = right is None
     lefts = stored(left.select("h"))
     rights = lefts if itself else stored(right.select("h"))
     rows = lefts.count() + (0 if itself else rights.count())
     masks = block_masks(threshold, blocks or block_count(rows, threshold))
-
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.select("h", F.explode(block_keys("h", masks)).alias("b")).select("h", "b.block", "b.key")
-
-    everyone = keyed(lefts) if itself else keyed(lefts).unionAll(keyed(rights))
-    # at most len(masks) * rows / limit keys pass, so this table is small whatever the data
-    limit = max(hot, rows * len(masks) // 20_000)
-    crowded = F.broadcast(stored(_crowded(everyone, limit, threshold)))
-
-    def bucketed(df: DataFrame, name: str) -> DataFrame:
-        cut = F.expr(
-            "IF(inner IS NULL, array(named_struct('sub', -1, 'rest', 0L)),"
-            " transform(inner, (m, i) -> named_struct('sub', i, 'rest', h & m)))"
-        )
-        marked = keyed(df).join(crowded, ["block", "key"], "left")
-        return marked.select(F.col("h").alias(f"{name}_h"), "block", "key", F.explode(cut).alias("c")).select(
-            f"{name}_h", "block", "key", "c.sub", "c.rest"
+    sides = lefts.withColumn("side", F.lit(0)) if itself else lefts.withColumn("side", F.lit(0)).unionAll(rights.withColumn("side", F.lit(1)))
+    top, second = ["block", "key"], ["block", "key", "sub", "rest"]
+    everyone = sides.select("h", "side", F.explode(block_keys("h", masks)).alias("b")).select("h", "side", "b.block", "b.key")
+    crowded = _sent(stored(_crowded(everyone, top, hot, threshold)))
+    placed = _cut(everyone, crowded, top, "sub", "rest")
+
+    def met(members: DataFrame, keys: list[str]) -> DataFrame:
+        """Near pairs that share a bucket, in the first block of theirs and the first mask of a crowded one."""
+        a = members.where("side = 0").select(F.col("h").alias("left_h"), *keys)
+        b = members.where(f"side = {0 if itself else 1}").select(F.col("h").alias("right_h"), *keys)
+        found = a.join(b, keys)
+        if itself:
+            found = found.where(F.col("left_h") < F.col("right_h"))
+        near = found.withColumn("distance", hamming(F.col("left_h"), F.col("right_h"))).where(F.col("distance") <= threshold)
+        near = near.where(first_block("left_h", "right_h", masks) == F.col("block"))
+        first_inner = F.expr("array_position(transform(inner, m -> ((left_h ^ right_h) & m) = 0), true) - 1")
+        return near.join(crowded.drop("n"), top, "left").where((F.col("sub") < 0) | (first_inner == F.col("sub"))).select(
+            "left_h", "right_h", "distance"
         )
 
-    a, b = bucketed(lefts, "left"), bucketed(rights, "right")
-    met = a.join(b, ["block", "key", "sub", "rest"])
-    if itself:
-        met = met.where(F.col("left_h") < F.col("right_h"))
-    near = met.withColumn("distance", hamming(F.col("left_h"), F.col("right_h"))).where(F.col("distance") <= threshold)
-    near = near.where(first_block("left_h", "right_h", masks) == F.col("block"))
-    first_inner = F.expr("array_position(transform(inner, m -> ((left_h ^ right_h) & m) = 0), true) - 1")
-    return near.join(crowded, ["block", "key"], "left").where(
-        (F.col("sub") < 0) | (first_inner == F.col("sub"))
-    ).select("left_h", "right_h", "distance")
+    again = stored(_crowded(placed.where("sub >= 0"), second, hot, threshold))
+    if again.isEmpty():
+        return met(placed, second)
+    # deeper cuts: few members, so a pair that meets twice is dropped by distinct
+    deep = [*second, "path"]
+    calm = [placed.join(_sent(again).select(*second), second, "left_anti").withColumn("path", F.lit(""))]
+    members = placed.join(_sent(again).select(*second), second).withColumn("path", F.lit(""))
+    heavy = again.withColumn("path", F.lit(""))
+    while True:
+        pieces = _cut(members, heavy, deep, "_sub", "_rest")
+        longer = F.concat_ws("/", "path", "_sub", F.col("_rest").cast("string"))
+        members = stored(pieces.select("h", "side", *second, longer.alias("path"), F.col("path").alias("parent")))
+        before = heavy.select(*second, F.col("path").alias("parent"), F.col("n").alias("parent_n"))
+        found = _crowded(members, deep, hot, threshold)
+        parents = members.select(*deep, "parent").distinct().join(before, [*second, "parent"]).select(*deep, "parent_n")
+        heavy = stored(found.join(parents, deep).where("n < 0.9 * parent_n").select(*deep, "n", "inner"))
+        calm.append(members.join(heavy.select(*deep), deep, "left_anti").select("h", "side", *deep))
+        if heavy.isEmpty():
+            break
+        members = members.join(heavy.select(*deep), deep).select("h", "side", *deep)
+    return met(calm[0], deep).unionAll(reduce(DataFrame.unionAll, [met(c, deep) for c in calm[1:]]).distinct())
 
 
 def _counts(items: DataFrame, name: str) -> DataFrame:

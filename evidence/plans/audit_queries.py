@@ -108,14 +108,24 @@ def distance_histogram(spark, folder):
     return dedup.distance_histogram(dedup.near_matches_within(signed(spark, folder), THRESHOLD, DIGESTS))
 
 
-@query(with_views(SIGNATURES, body=_CROSS + """
-, state AS (SELECT COUNT(*) FILTER (distance <= 4) AS matched, COUNT(*) FILTER (distance > 4) AS unreviewed FROM matches)
-SELECT matched, unreviewed, CAST(0 AS BIGINT) AS stale,
-       CASE WHEN unreviewed = 0 THEN 'PASS_REVIEW_COMPLETE' ELSE 'REVIEW_INCOMPLETE' END AS status FROM state"""))
+@query(with_views(SIGNATURES, body=_CROSS + f"""
+, seen AS (SELECT DISTINCT domain = 0 AS source, h FROM signatures WHERE item_id IN (SELECT doc_id FROM labels)),
+reviewed AS (
+  SELECT a.h AS left_h, b.h AS right_h, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance
+  FROM seen a, seen b WHERE a.source AND NOT b.source AND bit_count(xor(a.h, b.h)) <= {THRESHOLD + 1}),
+state AS (
+  SELECT COUNT(*) FILTER (m.left_h IS NOT NULL AND v.left_h IS NOT NULL) AS matched,
+         COUNT(*) FILTER (v.left_h IS NULL) AS unreviewed, COUNT(*) FILTER (m.left_h IS NULL) AS stale
+  FROM matches m FULL JOIN reviewed v ON m.left_h = v.left_h AND m.right_h = v.right_h AND m.distance = v.distance)
+SELECT matched, unreviewed, stale,
+       CASE WHEN unreviewed = 0 AND stale = 0 THEN 'PASS_REVIEW_COMPLETE' ELSE 'REVIEW_INCOMPLETE' END AS status FROM state"""))
 def review_reconcile(spark, folder):
-    """Candidates against a review that covered the distances up to 4."""
-    candidates = dedup.near_matches(*_sides(signed(spark, folder)), THRESHOLD)
-    return dedup.reconcile(candidates, candidates.where("distance <= 4"), ["left_h", "right_h", "distance"])
+    """Candidates against a review of the labelled documents only, made with a threshold one bit wider."""
+    items = signed(spark, folder)
+    candidates = dedup.near_matches(*_sides(items), THRESHOLD)
+    labelled = items.join(table(spark, folder, "labels").select(F.col("doc_id").alias("item_id")), "item_id", "left_semi")
+    reviewed = dedup.near_matches(*_sides(labelled), THRESHOLD + 1)
+    return dedup.reconcile(candidates, reviewed, ["left_h", "right_h", "distance"])
 
 
 @query(with_views(SIGNATURES, body=_CROSS + """

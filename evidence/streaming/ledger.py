@@ -31,6 +31,7 @@ def once_only(
 ):
     """Append each key's first item, scored, to the ledger; runs until the input is drained.
 
+    Of the items of a key the first by ``order`` counts, and of equal ones the smallest by all other columns.
     A batch keeps one item per key, drops the keys of earlier batches with an anti-join and writes
     its own folder. A batch repeated after a failure reads only earlier folders and overwrites its
     own, so nothing is scored twice or lost.
@@ -38,8 +39,8 @@ def once_only(
     source = stream if max_wait is None else stream.withWatermark(order, max_wait).dropDuplicatesWithinWatermark(keys)
 
     def handle(batch: DataFrame, number: int) -> None:
-        columns = [c for c in batch.columns if c not in keys]
-        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.col(order)).alias("_r")).select(*keys, "_r.*")
+        columns = [order, *sorted(c for c in batch.columns if c not in keys and c != order)]
+        first = batch.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_r")).select(*keys, "_r.*")
         fields = [f for f in first.schema.fields if f.name in keys]
         done = scored_keys(batch.sparkSession, ledger, fields).where(F.col("batch") < number)
         fresh = first.join(done.select(*keys), keys, "left_anti")

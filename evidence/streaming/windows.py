@@ -9,7 +9,7 @@ def window_confusion(stream: DataFrame, ts: str, width: str, delay: str, out: st
     """Count (window, true, predicted) and write the changed counts of each batch.
 
     Rows later than ``delay`` behind the newest event of earlier batches are dropped with their
-    closed windows. Every batch writes its own folder, so a repeated batch replaces itself.
+    closed windows; :func:`dropped_rows` tells how many. Every batch writes its own folder, so a repeated batch replaces itself.
     """
     counted = (
         stream.withWatermark(ts, delay)
@@ -27,6 +27,11 @@ def window_confusion(stream: DataFrame, ts: str, width: str, delay: str, out: st
     )
 
 
+def dropped_rows(query) -> int:
+    """Rows that came too late for their windows, over the batches whose progress the finished or running query still holds."""
+    return sum(state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators)
+
+
 def latest_counts(spark: SparkSession, out: str) -> DataFrame:
     """The newest count of every cell."""
     keys = ["window_start", "true_class", "predicted_class"]

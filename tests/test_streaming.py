@@ -31,6 +31,13 @@ def test_once_only_across_batches_and_restarts(spark, tmp_path, rows):
     assert drain() == want  # nothing new, nothing scored twice
 
 
+def test_once_only_breaks_ties_by_the_other_columns(spark, tmp_path, rows):
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "ck")
+    write(spark, src, "a", [("s", 1, "2024-01-01 00:00", v) for v in (5.0, 2.0, 9.0)])
+    ledger.once_only(stream(spark, src).repartition(3), ["system", "item"], "ts", lambda df: df, out, ck).awaitTermination()
+    assert rows(spark.read.parquet(out), "system", "item", "value") == [("s", 1, 2.0)]
+
+
 def test_once_only_with_bounded_state(spark, tmp_path, rows):
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "ck")
     write(spark, src, "a", [("s", 1, "2024-01-01 00:00", 1.0), ("s", 2, "2024-01-01 00:01", 2.0)])
@@ -54,8 +61,12 @@ def test_windows_count_and_drop_late_rows(spark, tmp_path):
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     named = lambda s: s.select("ts", F.col("system").alias("true_class"), F.when(F.col("value") > 5, "x").otherwise("y").alias("predicted_class"))
 
+    dropped = []
+
     def drain():
-        windows.window_confusion(named(stream(spark, src)), "ts", "1 hour", "10 minutes", out, ck).awaitTermination()
+        query = windows.window_confusion(named(stream(spark, src)), "ts", "1 hour", "10 minutes", out, ck)
+        query.awaitTermination()
+        dropped.append(windows.dropped_rows(query))
         return windows.latest_counts(spark, out)
 
     write(spark, src, "a", [("x", 1, "2024-01-01 00:10", 9.0), ("x", 2, "2024-01-01 00:20", 1.0), ("y", 3, "2024-01-01 00:30", 1.0)])
@@ -66,5 +77,6 @@ def test_windows_count_and_drop_late_rows(spark, tmp_path):
     counts = drain()
     per_window = {str(r.window_start)[11:16]: (r.samples, round(r.accuracy, 3)) for r in windows.window_accuracy(counts).collect()}
     assert per_window == {"00:00": (3, 0.667), "05:00": (2, 0.5)}  # the row of 00:40 came too late
+    assert dropped == [0, 0, 1]
     running = windows.running_accuracy(windows.window_accuracy(counts)).orderBy("window_start").collect()
     assert [round(r.running_accuracy, 3) for r in running] == [0.667, 0.6]
