@@ -178,18 +178,26 @@ def signature_pairs(
     sides = lefts.withColumn("side", F.lit(0)) if itself else lefts.withColumn("side", F.lit(0)).unionAll(rights.withColumn("side", F.lit(1)))
     top, second = ["block", "key"], ["block", "key", "sub", "rest"]
     everyone = sides.select("h", "side", F.explode(block_keys("h", masks)).alias("b")).select("h", "side", "b.block", "b.key")
-    crowded = _sent(stored(_crowded(everyone, top, hot, threshold)))
-    placed = _cut(everyone, crowded, top, "sub", "rest")
+    found_crowded = stored(_crowded(everyone, top, hot, threshold))
 
-    def met(members: DataFrame, keys: list[str]) -> DataFrame:
-        """Near pairs that share a bucket, in the first block of theirs and the first mask of a crowded one."""
+    def close(members: DataFrame, keys: list[str]) -> DataFrame:
+        """Near pairs that share a bucket, each in the first block it agrees on."""
         a = members.where("side = 0").select(F.col("h").alias("left_h"), *keys)
         b = members.where(f"side = {0 if itself else 1}").select(F.col("h").alias("right_h"), *keys)
         found = a.join(b, keys)
         if itself:
             found = found.where(F.col("left_h") < F.col("right_h"))
         near = found.withColumn("distance", hamming(F.col("left_h"), F.col("right_h"))).where(F.col("distance") <= threshold)
-        near = near.where(first_block("left_h", "right_h", masks) == F.col("block"))
+        return near.where(first_block("left_h", "right_h", masks) == F.col("block"))
+
+    if found_crowded.isEmpty():
+        return close(everyone, top).select("left_h", "right_h", "distance")
+    crowded = _sent(found_crowded)
+    placed = _cut(everyone, crowded, top, "sub", "rest")
+
+    def met(members: DataFrame, keys: list[str]) -> DataFrame:
+        """Near pairs in the first mask of a crowded bucket, too."""
+        near = close(members, keys)
         first_inner = F.expr("array_position(transform(inner, m -> ((left_h ^ right_h) & m) = 0), true) - 1")
         return near.join(crowded.drop("n"), top, "left").where((F.col("sub") < 0) | (first_inner == F.col("sub"))).select(
             "left_h", "right_h", "distance"
