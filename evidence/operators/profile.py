@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidence.operators.metrics import OTHER, listed
-from evidence.operators.scale import quantile_summary
+from evidence.operators.scale import fits_buffers, quantile_summary
 
 
 def class_counts(items: DataFrame, by: list[str], cls: str, classes: list[str]) -> DataFrame:
@@ -32,31 +32,48 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return counted.select(field.alias("field"), value.alias("value"), "n")
 
 
-def describe(long: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Count, mean, population deviation, range and exact quantiles per group; nulls are not counted."""
-    extra = [
+def _described(value: str) -> list[Column]:
+    return [
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
         F.min(value).alias("minimum"), F.max(value).alias("maximum"),
     ]
-    return quantile_summary(long, by, value, quantiles, extra)
+
+
+def describe(long: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Count, mean, population deviation, range and exact quantiles per group; nulls are not counted."""
+    return quantile_summary(long, by, value, quantiles, _described(value))
+
+
+def describe_columns(df: DataFrame, by: list[str], columns: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """:func:`describe` of several double columns: (by…, metric, n, mean, …), without a row per value and column.
+
+    One wide aggregate reads every row once. Where groups are too large for exact percentiles in one buffer, the columns
+    are described one under the other from sketches.
+    """
+    if not fits_buffers(df, by):
+        long = df.select(*by, *columns).unpivot(by, columns, "metric", "value")
+        return quantile_summary(long, [*by, "metric"], "value", quantiles, _described("value"), small=False)
+    points = list(quantiles.values())
+    wide = df.groupBy(*by).agg(*[
+        F.struct(F.lit(c).alias("metric"), *_described(c), F.percentile(c, points).alias("_q")).alias(f"_s_{i}") for i, c in enumerate(columns)
+    ])
+    rows = wide.select(*by, F.explode(F.array(*[F.col(f"_s_{i}") for i in range(len(columns))])).alias("_s")).select(*by, "_s.*")
+    return rows.select(*rows.columns[:-1], *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(quantiles)])
 
 
 def domain_profile(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Mean, population deviation, median, 5 % and 95 % quantiles and range of several columns."""
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        by, columns, "metric", "value"
-    )
-    return describe(long, [*by, "metric"], "value", {"q05": 0.05, "median": 0.5, "q95": 0.95})
+    numbers = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    return describe_columns(numbers, by, columns, {"q05": 0.05, "median": 0.5, "q95": 0.95})
 
 
 def dimension_summary(df: DataFrame, by: list[str], width: str, height: str) -> DataFrame:
     """Summaries of width, height and their ratio, with the number of distinct sizes."""
-    sized = df.withColumn("_aspect", F.try_divide(F.col(width).cast("double"), F.col(height).cast("double")))
-    long = sized.select(
+    sized = df.select(
         *by, F.col(width).cast("double").alias("width"), F.col(height).cast("double").alias("height"),
-        F.col("_aspect").alias("aspect_ratio"),
-    ).unpivot(by, ["width", "height", "aspect_ratio"], "metric", "value")
-    summary = describe(long, [*by, "metric"], "value", {"median": 0.5})
+        F.try_divide(F.col(width).cast("double"), F.col(height).cast("double")).alias("aspect_ratio"),
+    )
+    summary = describe_columns(sized, by, ["width", "height", "aspect_ratio"], {"median": 0.5})
     sizes = df.groupBy(*by).agg(F.count_distinct(F.struct(width, height)).alias("distinct_sizes"))
     return summary.join(sizes, by)
 

@@ -18,6 +18,17 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 100_000
 
 
+#: Exact percentiles keep the values of a group in one buffer: allowed up to so many values in all groups together, or in each.
+BUFFERED_VALUES, BUFFERED_GROUP = 2_000_000, 15_000
+
+
+def fits_buffers(df: DataFrame, by: list[str]) -> bool:
+    """Whether the counted values of the groups fit the buffers of built-in percentiles; only the key columns are read."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    found = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("all"), F.coalesce(F.max("_n"), F.lit(0)).alias("largest")).first()
+    return found["all"] <= BUFFERED_VALUES or found["largest"] <= BUFFERED_GROUP
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A table read several times, written once to the shared folder of the cluster and read back.
 
@@ -82,16 +93,20 @@ def _prefixed(by: list[str], prefix: str) -> list[Column]:
 
 
 def quantile_summary(
-    df: DataFrame, by: list[str], value: str, named: dict[str, float], extra: list[Column] = [], accuracy: int = 10_000
+    df: DataFrame, by: list[str], value: str, named: dict[str, float], extra: list[Column] = [], accuracy: int = 10_000,
+    small: bool | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles with other aggregates: (by…, extra…, one column per name).
 
-    The built-in exact ``percentile`` keeps every distinct value of a group in one buffer.
-    Here one aggregate computes ``extra`` and a mergeable sketch that brackets each quantile to within
+    The built-in exact ``percentile`` keeps every distinct value of a group in one buffer. It is used where the
+    groups are small by count (``small`` tells if that is known). Otherwise one aggregate computes ``extra`` and a mergeable sketch that brackets each quantile to within
     ``2/accuracy`` of the ranks. One more pass counts the rows below the bracket and the values
     inside it, and only the few values inside are sorted. A small group is bracketed by its
     whole range.
     """
+    if fits_buffers(df, by) if small is None else small:
+        number = F.col(value).cast("double")
+        return df.groupBy(*by).agg(*extra, *[F.percentile(number, p).alias(n) for n, p in named.items()])
     points = sorted(set(named.values()))
     slack = 2.0 / accuracy
     edges = [max(0.0, p - slack) for p in points] + [min(1.0, p + slack) for p in points]

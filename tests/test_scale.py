@@ -25,24 +25,35 @@ def test_hash_rank_equals_row_number(spark, digits):
     assert got.count() == 3000
 
 
-@pytest.mark.parametrize("accuracy", [20, 200, 10_000])
-def test_exact_quantiles_equal_numpy(spark, accuracy):
+@pytest.mark.parametrize("accuracy, small", [(20, False), (200, False), (10_000, False), (200, None)])
+def test_exact_quantiles_equal_numpy(spark, accuracy, small):
     df = skewed(spark)
     ps = {f"q{i}": p for i, p in enumerate([0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])}
-    got = {r.cls: r for r in scale.quantile_summary(df, ["cls"], "x", ps, [F.count(F.lit(1)).alias("n")], accuracy).collect()}
+    got = {r.cls: r for r in scale.quantile_summary(df, ["cls"], "x", ps, [F.count(F.lit(1)).alias("n")], accuracy, small).collect()}
     for cls, part in df.toPandas().groupby("cls"):
         assert got[cls].n == len(part)
         for name, p in ps.items():
             assert got[cls][name] == pytest.approx(np.quantile(part["x"], p), abs=1e-9), (cls, p)
 
 
-def test_exact_quantiles_without_groups_and_with_nulls(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_exact_quantiles_without_groups_and_with_nulls(spark, small):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, None), (None, 10.0), ("b", None)], "g string, x double")
-    assert scale.quantile_summary(df, [], "x", {"m": 0.5}).first().m == 2.0
-    got = {r.g: (r.n, r.m) for r in scale.quantile_summary(df, ["g"], "x", {"m": 0.5}, [F.count("x").alias("n")]).collect()}
+    assert scale.quantile_summary(df, [], "x", {"m": 0.5}, small=small).first().m == 2.0
+    got = {r.g: (r.n, r.m) for r in scale.quantile_summary(df, ["g"], "x", {"m": 0.5}, [F.count("x").alias("n")], small=small).collect()}
     assert got == {"a": (2, 1.5), None: (1, 10.0), "b": (0, None)}
 
 
+def test_columns_are_described_alike_on_both_paths(spark, monkeypatch):
+    df = skewed(spark).withColumn("y", F.when(F.col("item") % 7 > 0, F.col("x") * 2))
+    wide = profile.describe_columns(df, ["cls"], ["x", "y"], {"q05": 0.05, "median": 0.5})
+    monkeypatch.setattr(profile, "fits_buffers", lambda *_: False)
+    long = profile.describe_columns(df, ["cls"], ["x", "y"], {"q05": 0.05, "median": 0.5})
+    assert wide.columns == long.columns
+    a, b = (sorted(map(tuple, d.collect())) for d in (wide, long))
+    assert len(a) == len(b) and all(x == pytest.approx(y) for x, y in zip(a, b))
+
+
 def test_describe_uses_population_deviation(spark):
     row = profile.describe(spark.createDataFrame([("a", 1.0), ("a", 3.0)], "g string, x double"), ["g"], "x", {"median": 0.5}).first()
     assert (row.n, row.mean, row["std"], row.median) == (2, 2.0, 1.0, 2.0)
