@@ -17,6 +17,8 @@ from evidence.operators.scale import stored
 
 #: Bytes of a repeated string, and of the strings inside whose smallest hash stands for it.
 WINDOW, ANCHOR = 100, 24
+#: Bytes of texts that a worker hashes together, beyond one whole text: some 150 bytes of memory each.
+BATCH_BYTES = 700_000
 #: Mean bytes of one suffix array, and different passages of one anchor from which on they are spread over several arrays.
 SHARD_BYTES, CROWD = 400_000, 1000
 
@@ -111,7 +113,7 @@ def all_passages(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 ["doc", "start", "n", "anchor", "content", "repeats"],
             )
 
-        yield from in_batches(batches, "text", then, 2_000_000)
+        yield from in_batches(batches, "text", then, BATCH_BYTES)
 
     return docs.mapInArrow(run, "doc long, start long, n long, anchor long, content long, repeats boolean")
 
