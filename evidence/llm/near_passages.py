@@ -14,10 +14,8 @@ from evidence.operators.scale import stored
 
 #: Hash functions, words of a passage and similarity of the sets of shingles of two passages, at least.
 FUNCTIONS, PASSAGE, SIMILARITY = 4, 50, 0.8
-#: Unmatched shingles inside a passage: two changed words side by side, one, none.
-GAPS = (10, 5, 0)
-#: Words that one side of a passage may have more than the other.
-BAND = 12
+#: Unmatched shingles side by side, and words that one side has more than the other, that are allowed in passages of any length.
+GAP, BAND = 10, 12
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -127,26 +125,44 @@ def packed_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, packed binary")
 
 
-def _around(matched: np.ndarray, place: int, gap: int) -> tuple[int, int]:
-    """First and last of the matched places that chain up with ``place``, at most ``gap`` unmatched ones between two."""
-    breaks = np.flatnonzero(np.diff(matched) > gap + 1)
-    at = int(np.searchsorted(matched, place))
-    run = int(np.searchsorted(breaks, at))
-    first = int(breaks[run - 1]) + 1 if run else 0
-    last = int(breaks[run]) if run < len(breaks) else len(matched) - 1
-    return int(matched[first]), int(matched[last])
-
-
-def _banded(x: np.ndarray, y: np.ndarray, shift: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of x and of y whose shingle the other has ``shift`` places away, give or take BAND (words added or left out)."""
-    mx, my = np.zeros(len(x), bool), np.zeros(len(y), bool)
-    for s in range(shift - BAND, shift + BAND + 1):
-        a, b = max(0, s), min(len(x), len(y) + s)
-        if a < b and not (same and s == 0):
-            equal = x[a:b] == y[a - s : b - s]
-            mx[a:b] |= equal
-            my[a - s : b - s] |= equal
-    return np.flatnonzero(mx), np.flatnonzero(my)
+def _sorted_places(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Places of y ordered by shingle and place, and the rank of each shingle of x among those of y, as numbers to search in."""
+    values, rank = np.unique(y, return_inverse=True)
+    wide = 2 * (len(x) + len(y))
+    mine = np.searchsorted(values, x)
+    known = values[np.minimum(mine, len(values) - 1)] == x
+    return np.sort(rank * (2 * wide) + np.arange(len(y)) + wide), mine, known, wide
+
+
+def _partners(places: tuple[np.ndarray, np.ndarray, np.ndarray, int], shift: int, band: int) -> np.ndarray:
+    """For each place of x the place of y with the same shingle nearest to ``shift`` places away, at most ``band`` beside it; or -1."""
+    there, rank, known, wide = places
+    want = np.arange(len(rank)) - shift
+    key = rank * (2 * wide) + want + wide
+    at = np.searchsorted(there, key)
+    best, off = np.full(len(rank), -1), np.full(len(rank), band + 1)
+    for i in (at - 1, at):
+        inside = known & (i >= 0) & (i < len(there))
+        far = np.where(inside, np.abs(there[np.clip(i, 0, len(there) - 1)] - key), band + 1)
+        nearer = far < off
+        best[nearer] = there[i[nearer]] - rank[nearer] * (2 * wide) - wide
+        off[nearer] = far[nearer]
+    return best
+
+
+def _growing(matched: np.ndarray, place: int, most: int) -> list[tuple[int, int]]:
+    """(first, last) of the run of matched places around ``place`` and of it with ever more runs, the nearest first, over gaps of up to ``most``."""
+    breaks = np.flatnonzero(np.diff(matched) > 1)
+    first, last = matched[np.concatenate([[0], breaks + 1])].tolist(), matched[np.append(breaks, len(matched) - 1)].tolist()
+    left = right = int(np.searchsorted(first, place, "right")) - 1
+    spans = [(first[left], last[right])]
+    while True:
+        before = first[left] - last[left - 1] - 1 if left else most + 1
+        after = first[right + 1] - last[right] - 1 if right + 1 < len(first) else most + 1
+        if min(before, after) > most:
+            return spans
+        left, right = (left - 1, right) if before <= after else (left, right + 1)
+        spans.append((first[left], last[right]))
 
 
 def _verbatim(x: np.ndarray, y: np.ndarray, p: int, q: int, same: bool) -> tuple[int, int, int, int]:
@@ -167,24 +183,34 @@ def common_passages(
 ) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start there, end there, similarity) of passages of x and y around places with equal shingles.
 
-    A passage grows from the place over shingles that both have at about the same distance, with ever smaller gaps, until
-    the sets of shingles on both sides are similar enough; last comes the run of equal shingles. Places inside a
-    passage that was found, or a run that was tried, are not tried again.
+    A passage grows from the place over shingles that both have at about the same distance. The similarity leaves room for
+    about m * (1 / similarity - 1) unmatched ones beside m matched ones: so wide may a gap be, and so far may places shift by words
+    added or left out. Of the growing spans the largest whose sets of shingles are similar enough on both sides counts;
+    last comes the run of equal shingles. Places inside a passage that was found, or a run that was tried, are not tried again.
     """
     found: list[tuple[int, int, int, int, float]] = []
     tried: list[tuple[int, int, int, int]] = []
+    room = 1 / similarity - 1
+    band = max(BAND, int(min(len(x), len(y)) * room))
+    ranks = _sorted_places(x, y)
     for p, q in sorted(places):
-        if any(a <= p <= b and c <= q <= d and abs((p - q) - (a - c)) <= BAND for a, b, c, d in tried):
+        if any(a <= p <= b and c <= q <= d and abs((p - q) - (a - c)) <= band for a, b, c, d in tried):
             continue
-        mx, my = _banded(x, y, p - q, same)
         run = _verbatim(x, y, p, q, same)
-        options = [(*_around(mx, p, gap), *_around(my, q, gap)) for gap in GAPS]
+        options = []
+        for width in (band, BAND):
+            partner = _partners(ranks, p - q, min(width, abs(p - q) - 1) if same else width)
+            matched = np.flatnonzero(partner >= 0)
+            options += [(a, b, int(partner[a]), int(partner[b])) for a, b in _growing(matched, p, max(GAP, int(len(matched) * room)))]
         if same:
             options = [o for o in options if o[1] < o[2] or o[3] < o[0]]
+        options = sorted(dict.fromkeys(options), key=lambda o: o[0] - o[1])
         for a, b, c, d in [*options, run]:
             if min(b - a, d - c) + 1 < least:
                 continue
             s, t = np.unique(x[a : b + 1]), np.unique(y[c : d + 1])
+            if min(len(s), len(t)) < similarity * max(len(s), len(t)):
+                continue
             common = len(np.intersect1d(s, t, assume_unique=True))
             alike = common / (len(s) + len(t) - common)
             if alike >= similarity:

@@ -111,6 +111,23 @@ def test_passages(spark):
     assert not {1, 4, 7, 8, 9, 10, 11, 14, 15} & set(cover)
 
 
+def test_passages_with_words_put_in_or_taken_out():
+    hashes = lambda w: near_passages.shingles(near_passages.words([" ".join(w).encode()])).hash
+    for n in (70, 90):
+        for words in range(7, 16):
+            for at in (n // 3, n // 2, 2 * n // 3):
+                plain = passage(n, n).split(" ")
+                longer = plain[:at] + passage(1000 + words, words).split(" ") + plain[at:]
+                a, b = shingle_set(" ".join(plain)), shingle_set(" ".join(longer))
+                if len(a & b) < 0.8 * len(a | b):
+                    continue
+                x, y = (hashes(passage(7, 60).split(" ") + w + passage(8, 60).split(" ")) for w in (plain, longer))
+                other = hashes(passage(9, 80).split(" ") + longer)
+                for left, right, p, q in ((x, other, 62, 82), (other, x, 82, 62), (hashes(plain), y, 2, 62)):
+                    got = near_passages.common_passages(left, right, [(p, q)], 46, 0.8, False)
+                    assert len(got) == 1 and min(got[0][1] - got[0][0], got[0][3] - got[0][2]) >= n - 5 and got[0][4] >= 0.8, (n, words, at)
+
+
 def test_compact_windows_hold_all_parts():
     draw = np.random.default_rng(4)
     for _ in range(100):
