@@ -13,7 +13,7 @@ from evidence.llm.shingles import SHINGLE, in_batches, mix, shingles, words
 from evidence.operators.scale import stored
 
 #: Hash functions, words of a passage and similarity of the sets of shingles of two passages, at least.
-FUNCTIONS, PASSAGE, SIMILARITY = 4, 50, 0.8
+FUNCTIONS, PASSAGE, SIMILARITY = 8, 50, 0.8
 #: Unmatched shingles side by side, and words that one side has more than the other, that are allowed in passages of any length.
 GAP, BAND = 10, 12
 
@@ -232,8 +232,8 @@ def near_passages(
        the chance of their similarity.
     2. Windows of equal signature are aggregated to the one of the smallest key (a row a task for a signature that a third of all
        rows have), and every other window is linked to it, never all pairs. All windows of two documents are brought together once,
-       and two documents go on if two signatures or more agree: always for a verbatim passage, which all functions see, and with a
-       chance of 0.97 for one of similarity 0.8 (0.996 for 0.9).
+       and two documents go on if two signatures or more agree: always for a verbatim passage, which all functions see, and for one
+       of similarity 0.8 but for a chance of 8e-5.
     3. Whole texts verify: the passage around a common shingle must have ``passage`` words or more on both sides and a
        similarity of sets of five-word shingles of ``similarity`` or more.
 
