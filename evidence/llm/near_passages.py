@@ -9,6 +9,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from evidence.llm.components import sent
 from evidence.llm.shingles import SHINGLE, in_batches, mix, shingles, words
 from evidence.operators.scale import stored
 
@@ -16,6 +17,8 @@ from evidence.operators.scale import stored
 FUNCTIONS, PASSAGE, SIMILARITY = 8, 50, 0.8
 #: Unmatched shingles side by side, and words that one side has more than the other, that are allowed in passages of any length.
 GAP, BAND = 10, 12
+#: Windows of one signature that are compared in pairs after two centres; the shingle of a larger group is no smallest one any more.
+CROWD = 32
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -79,10 +82,19 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return centre[wide], left[wide], right[wide]
 
 
-def all_windows(docs: DataFrame, functions: int, passage: int) -> DataFrame:
-    """(signature, doc, place): the centre of every compact window of every text of (doc, text)."""
+def ordered(found: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of shingles for the function of number ``k`` (under 16), which the last bits hold; never 0 and without the first bit."""
+    return (mix(found ^ (np.uint64(k + 1) * _GOLD)) >> np.uint64(1)) & ~np.uint64(31) | np.uint64(16 + k)
+
+
+def all_windows(docs: DataFrame, functions: int, passage: int, crowded: np.ndarray | None = None) -> DataFrame:
+    """(signature, doc, place): the centre of every compact window of every text of (doc, text).
+
+    With the signatures of crowded groups their shingles come after all others in every function, and only windows that
+    hold such a shingle are given. A negative signature is that of a window with no other shingles in reach.
+    """
     least = passage - SHINGLE + 1
-    seeds = np.arange(1, functions + 1, dtype=np.uint64) * _GOLD
+    shared = None if crowded is None else docs.sparkSession.sparkContext.broadcast(np.sort(crowded).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def then(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
@@ -90,13 +102,22 @@ def all_windows(docs: DataFrame, functions: int, passage: int) -> DataFrame:
             counts = np.diff(found.first)
             owner = np.repeat(np.arange(len(texts)), counts)
             at = np.arange(len(found.hash)) + owner  # a stop after each text
+            late = np.zeros(len(found.hash), bool)
+            if shared is not None:
+                for k in range(functions):
+                    late |= np.isin(ordered(found.hash, k), shared.value)
+            before = np.zeros(len(found.hash) + len(texts) + 1, np.int64)
+            before[at + 1] = late
+            before = np.cumsum(before)
             signature, text, place = [], [], []
             for k in range(functions):
                 hashes = np.zeros(len(found.hash) + len(texts), np.uint64)
-                hashes[at] = mix(found.hash ^ seeds[k]) | np.uint64(1)
-                centre, _, _ = compact_windows(hashes, least)
+                hashes[at] = ordered(found.hash, k) | (late.astype(np.uint64) << np.uint64(63))
+                centre, left, right = compact_windows(hashes, least)
+                if shared is not None:
+                    centre = centre[before[right + 1] > before[left]]
                 which = np.searchsorted(found.first[1:] + np.arange(len(texts)), centre, "left")
-                signature.append(mix(hashes[centre] + np.uint64(k)))
+                signature.append(hashes[centre])
                 text.append(which)
                 place.append(centre - which - found.first[which])
             text = np.concatenate(text)
@@ -165,6 +186,23 @@ def _growing(matched: np.ndarray, place: int, most: int) -> list[tuple[int, int]
         spans.append((first[left], last[right]))
 
 
+def _enters(codes: np.ndarray, first: np.ndarray, last: np.ndarray, place: int, size: int) -> np.ndarray:
+    """For each code the first of the growing spans that holds it; as many as there are spans if none does."""
+    lo, hi = int(first[-1]), int(last[-1])
+    at = np.arange(lo, hi + 1)
+    step = np.where(at > place, np.searchsorted(last, at), np.searchsorted(-first, -at))
+    out = np.full(size, len(first))
+    np.minimum.at(out, codes[lo : hi + 1], step)
+    return out
+
+
+def _alikes(x: np.ndarray, y: np.ndarray, spans: np.ndarray, p: int, q: int, size: int) -> np.ndarray:
+    """Similarity of the sets of codes of growing spans (first, last, first there, last there) around two places."""
+    mine, theirs = _enters(x, spans[:, 0], spans[:, 1], p, size), _enters(y, spans[:, 2], spans[:, 3], q, size)
+    s, t, common = (np.cumsum(np.bincount(e, minlength=len(spans) + 1)[:-1]) for e in (mine, theirs, np.maximum(mine, theirs)))
+    return common / (s + t - common)
+
+
 def _verbatim(x: np.ndarray, y: np.ndarray, p: int, q: int, same: bool) -> tuple[int, int, int, int]:
     """The longest equal runs around two places; in one text they do not overlap."""
     n, m = min(p, q) + 1, min(len(x) - p, len(y) - q)
@@ -193,6 +231,8 @@ def common_passages(
     room = 1 / similarity - 1
     band = max(BAND, int(min(len(x), len(y)) * room))
     ranks = _sorted_places(x, y)
+    values, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
+    codes, size = (codes[: len(x)], codes[len(x) :]), len(values)
     for p, q in sorted(places):
         if any(a <= p <= b and c <= q <= d and abs((p - q) - (a - c)) <= band for a, b, c, d in tried):
             continue
@@ -201,27 +241,64 @@ def common_passages(
         for width in (band, BAND):
             partner = _partners(ranks, p - q, min(width, abs(p - q) - 1) if same else width)
             matched = np.flatnonzero(partner >= 0)
-            options += [(a, b, int(partner[a]), int(partner[b])) for a, b in _growing(matched, p, max(GAP, int(len(matched) * room)))]
-        if same:
-            options = [o for o in options if o[1] < o[2] or o[3] < o[0]]
-        options = sorted(dict.fromkeys(options), key=lambda o: o[0] - o[1])
-        for a, b, c, d in [*options, run]:
-            if min(b - a, d - c) + 1 < least:
-                continue
-            s, t = np.unique(x[a : b + 1]), np.unique(y[c : d + 1])
-            if min(len(s), len(t)) < similarity * max(len(s), len(t)):
-                continue
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            alike = common / (len(s) + len(t) - common)
-            if alike >= similarity:
-                found.append((a, b, c, d, alike))
-                tried.append((a, b, c, d))
-                break
+            span = np.array(_growing(matched, p, max(GAP, int(len(matched) * room))))
+            spans = np.column_stack([span, np.minimum.accumulate(np.minimum(partner[span[:, 0]], q)), np.maximum.accumulate(np.maximum(partner[span[:, 1]], q))])
+            fits = np.minimum(span[:, 1] - span[:, 0], spans[:, 3] - spans[:, 2]) + 1 >= least
+            if same:
+                fits &= (spans[:, 1] < spans[:, 2]) | (spans[:, 3] < spans[:, 0])
+            if fits.any():
+                alike = _alikes(*codes, spans, p, q, size)
+                good = np.flatnonzero(fits & (alike >= similarity))
+                options += [(*spans[i].tolist(), float(alike[i])) for i in good[-1:]]
+        if not options and min(run[1] - run[0], run[3] - run[2]) + 1 >= least:
+            options = [(*run, 1.0)]
+        if options:
+            found.append(max(options, key=lambda o: o[1] - o[0]))
+            tried.append(found[-1][:4])
         else:
             tried.append(run)
     return found
 
 
+_FOUND = "doc long, start_word long, n_words long, first long, first_start_word long, first_n_words long, similarity double"
+
+
+def compare(pairs: DataFrame, plain: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Passages of the pairs (doc, other, places) from their whole texts; rows without a passage hold the new windows that no passage covers."""
+    # only texts that are compared are packed and shuffled; their ids go to the scan while their counted rows are few
+    needed = sent(stored(pairs.select(F.explode(F.array("doc", "other")).alias("doc")).distinct()))
+    packed = packed_words(plain.join(needed, "doc", "left_semi"))
+    mine = pairs.join(packed, "doc").select("doc", "other", "places", F.col("packed").alias("mine"))
+    theirs = packed.select(F.col("doc").alias("other"), F.col("packed").alias("theirs"))
+    both = mine.join(theirs, "other").select("doc", "other", "places", "mine", "theirs")
+    left_type = pa.list_(pa.struct([("signature", pa.int64()), ("place", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        types = [pa.int64()] * 6 + [pa.float64(), left_type]
+        names = ["doc", "start_word", "n_words", "first", "first_start_word", "first_n_words", "similarity", "open"]
+        last: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint64))
+        for batch in batches:
+            rows = []
+            for doc, other, places, a, b in zip(*(batch.column(i) for i in range(5))):
+                doc, other, places = doc.as_py(), other.as_py(), places.as_py()
+                x = shingles(words([unpack(a.as_py())])).hash
+                if last[0] != other:
+                    last = other, shingles(words([unpack(b.as_py())])).hash
+                found = common_passages(x, last[1], sorted({(p["place"], p["there"]) for p in places}), least, similarity, doc == other)
+                rows += [(doc, i, j - i + SHINGLE, other, k, m - k + SHINGLE, alike, None) for i, j, k, m, alike in found]
+                still = [
+                    {"signature": p["signature"], "place": p["place"]} for p in places
+                    if p["new"] and not any(i <= p["place"] <= j and k <= p["there"] <= m for i, j, k, m, _ in found)
+                ]
+                if still:
+                    rows.append((doc, None, None, None, None, None, None, still))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return both.mapInArrow(run, f"{_FOUND}, open array<struct<signature:long,place:int>>")
+
+
 def near_passages(
     docs: DataFrame, key: str = "doc_id", text: str = "text", functions: int = FUNCTIONS, passage: int = PASSAGE, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -230,54 +307,88 @@ def near_passages(
     1. For each of several hash functions, compact windows hold every part of a text of ``passage`` words or more; two parts share their
        min-hash exactly if their windows have one signature. Verbatim passages meet in every function, similar ones in each with
        the chance of their similarity.
-    2. Windows of equal signature are aggregated to the one of the smallest key (a row a task for a signature that a third of all
-       rows have), and every other window is linked to it, never all pairs. All windows of two documents are brought together once,
-       and two documents go on if two signatures or more agree: always for a verbatim passage, which all functions see, and for one
-       of similarity 0.8 but for a chance of 8e-5.
+    2. Windows of equal signature are aggregated to the one of the smallest key, and every other window is linked to it. All
+       links of two documents are brought together, and two documents are compared once two signatures or more agree, in
+       this turn and those before: always for a verbatim passage, which all functions see, and for one of similarity 0.8 but for a
+       chance of 8e-5.
     3. Whole texts verify: the passage around a common shingle must have ``passage`` words or more on both sides and a
        similarity of sets of five-word shingles of ``similarity`` or more.
+    4. Windows whose link no passage confirms go on to the next smallest window of their signature, and what is left
+       then is compared in pairs where a signature has up to CROWD windows. A larger group has a frequent phrase at its
+       centre: its shingle comes after all others from then on, so that windows around it get signatures of
+       the other words, and all steps are repeated for them, until no signature has two unconfirmed windows left.
 
-    So every repeated passage is one row, which names the document that represents it; repeats inside one document count. Null
+    So every repeated passage is a row, which names a document that represents it; repeats inside one document count. Null
     texts and texts under ``passage`` words have none. Rows that repeat a key count as one document (the one of the largest text);
     rows with a null key are left out. No rows: no rows.
     """
     plain = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     if not plain.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         plain = stored(plain.groupBy("doc").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")))
-    windows = all_windows(plain, functions, passage)
-    where = F.struct("doc", "place")
-    groups = windows.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).where("n > 1").select("signature", "first")
-    met = windows.join(groups, "signature").where(where != F.col("first"))
-    pairs = stored(
-        met.select("doc", F.col("first.doc").alias("other"), "signature", F.struct("place", F.col("first.place").alias("there")).alias("at"))
-        .groupBy("doc", "other")
-        .agg(F.collect_set("at").alias("places"), F.min("signature").alias("least"), F.max("signature").alias("most"))
-        .where("least <> most").select("doc", "other", "places")
-    )
-    packed = packed_words(plain)
-    mine = pairs.join(packed, "doc").select("doc", "other", "places", F.col("packed").alias("mine"))
-    theirs = packed.select(F.col("doc").alias("other"), F.col("packed").alias("theirs"))
-    both = mine.join(theirs, "other").select("doc", "other", "places", "mine", "theirs")
     least = passage - SHINGLE + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        names = ["doc", "start_word", "n_words", "first", "first_start_word", "first_n_words", "similarity"]
-        last: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint64))
-        for batch in batches:
-            rows = []
-            for doc, other, places, a, b in zip(*(batch.column(i) for i in range(5))):
-                doc, other = doc.as_py(), other.as_py()
-                x = shingles(words([unpack(a.as_py())])).hash
-                if last[0] != other:
-                    last = other, shingles(words([unpack(b.as_py())])).hash
-                at = [(p["place"], p["there"]) for p in places.as_py()]
-                for i, j, k, m, alike in common_passages(x, last[1], at, least, similarity, doc == other):
-                    rows.append((doc, i, j - i + SHINGLE, other, k, m - k + SHINGLE, alike))
-            if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))))
-
-    out = both.mapInArrow(
-        run, "doc long, start_word long, n_words long, first long, first_start_word long, first_n_words long, similarity double"
-    )
+    where = F.struct("doc", "place")
+    found: list[DataFrame] = []
+    before: list[DataFrame] = []
+
+    def grouped(windows: DataFrame) -> DataFrame:
+        groups = windows.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).where("n > 1")
+        return windows.join(groups, "signature")
+
+    def turn(met: DataFrame) -> DataFrame:
+        """Compare the links (signature, doc, place, first) as far as two signatures agree; windows that are not confirmed."""
+        at = F.struct("signature", "place", F.col("first.place").alias("there"), F.lit(True).alias("new"))
+        pairs = met.select("doc", F.col("first.doc").alias("other"), "signature", at.alias("at")).groupBy("doc", "other").agg(
+            F.collect_set("at").alias("places"), F.min("signature").alias("least"), F.max("signature").alias("most")
+        )
+        if before:
+            pairs = stored(pairs)
+            touched = sent(stored(pairs.select("doc", "other")))
+            for earlier in before:
+                # a pair compared before brings that two signatures agree, one that waits also brings its places
+                waiting = F.when(F.col("least") == F.col("most"), F.transform("places", lambda p: p.withField("new", F.lit(False)))).otherwise(F.slice("places", 1, 0))
+                pairs = pairs.unionByName(earlier.join(touched, ["doc", "other"], "left_semi").withColumn("places", waiting))
+            pairs = pairs.groupBy("doc", "other").agg(
+                F.flatten(F.collect_list("places")).alias("places"), F.min("least").alias("least"), F.max("most").alias("most")
+            )
+        pairs = stored(pairs)
+        before.append(pairs)
+        checked = stored(compare(pairs.where("least <> most").select("doc", "other", "places"), plain, least, similarity))
+        found.append(checked.where("open IS NULL").drop("open").withColumn("turn", F.lit(len(found))))
+        alone = pairs.where("least = most").select("doc", F.explode(F.filter("places", lambda p: p["new"])).alias("w"))
+        still = checked.where("open IS NOT NULL").select("doc", F.explode("open").alias("w"))
+        return alone.select("w.signature", "doc", "w.place").unionByName(still.select("w.signature", "doc", "w.place"))
+
+    windows, crowded = all_windows(plain, functions, passage).repartition("signature"), np.zeros(0, np.int64)
+    while True:
+        for _ in range(2):
+            windows = turn(grouped(windows).where(where != F.col("first")))
+        rest = stored(grouped(windows))
+        few = rest.where((F.col("n") <= CROWD) | (F.col("signature") < 0))
+        later = few.select("signature", "doc", "place").join(few.select("signature", where.alias("first")), "signature").where(where > F.col("first"))
+        if not later.isEmpty():
+            turn(later)
+        many = rest.where((F.col("n") > CROWD) & (F.col("signature") >= 0))
+        new = [r[0] for r in many.select("signature").distinct().collect()]
+        if not new:
+            break
+        crowded = np.append(crowded, np.array(new, np.int64))
+        again = plain.join(sent(stored(many.select("doc").distinct())), "doc", "left_semi")
+        windows = all_windows(again, functions, passage, crowded).repartition("signature")
+    first, *others = found
+    out = first.drop("turn")
+    if others:
+        # what a later turn finds is left out where a row of the document covers it and names an earlier one
+        added = others[0]
+        for more in others[1:]:
+            added = added.unionByName(more)
+        added = stored(added.dropDuplicates(["doc", "start_word", "n_words", "first"]))
+        of = first.unionByName(added).select(*[F.col(c).alias(f"of_{c}") for c in first.columns]).join(
+            sent(stored(added.select(F.col("doc").alias("of_doc")).distinct())), "of_doc", "left_semi"
+        )
+        end, of_end = F.col("start_word") + F.col("n_words"), F.col("of_start_word") + F.col("of_n_words")
+        larger = (F.col("of_turn") < F.col("turn")) | (F.col("of_n_words") > F.col("n_words"))
+        covered = (F.col("doc") == F.col("of_doc")) & (F.col("of_start_word") <= F.col("start_word")) & (of_end >= end) & (
+            (F.col("of_first") < F.col("first")) | ((F.col("of_first") == F.col("first")) & larger)
+        )
+        out = out.unionByName(added.join(of, covered, "left_anti").drop("turn"))
     return out.withColumnsRenamed({"doc": key, "first": f"first_{key}"})

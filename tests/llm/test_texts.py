@@ -111,6 +111,25 @@ def test_passages(spark):
     assert not {1, 4, 7, 8, 9, 10, 11, 14, 15} & set(cover)
 
 
+@pytest.mark.parametrize("crowd", [32, 3])
+def test_passages_whose_first_document_holds_a_part(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_passages, "CROWD", crowd)
+    whole = passage(50, 60)
+    part = " ".join(whole.split(" ")[8:52])
+    alone = passage(51, 60).split(" ")  # earlier documents own ten words each of it
+    line = passage(52, 40)
+    rows = [(1, passage(60, 70) + " " + part + " " + passage(61, 70)), *[(i, f"{passage(60 + i, 80)} {whole} {passage(80 + i, 50)}") for i in (20, 21)]]
+    rows += [(2 + k, f"{passage(200 + k, 60)} {' '.join(alone[10 * k : 10 * k + 10])} {passage(210 + k, 60)}") for k in range(6)]
+    rows += [(i, f"{passage(300 + i, 60)} {' '.join(alone)} {passage(330 + i, 60)}") for i in (22, 23)]
+    rows += [(i, f"{passage(400 + i, 50)} {line} {passage(500 + i, 50)}") for i in range(30, 75)]
+    rows += [(i, f"{passage(600 + i, 50)} {passage(53, 10)} {line} {passage(54, 10)} {passage(700 + i, 50)}") for i in (80, 81, 82)]
+    cover = defaultdict(list)
+    for r in near_passages.near_passages(documents(spark, rows)).collect():
+        cover[r["doc_id"]].append((r["start_word"], r["n_words"], r["first_doc_id"], r["similarity"]))
+    got = {i: sorted(c) for i, c in cover.items()}
+    assert got == {21: [(80, 60, 20, 1.0)], 23: [(60, 60, 22, 1.0)], 81: [(50, 60, 80, 1.0)], 82: [(50, 60, 80, 1.0)]}
+
+
 def test_passages_with_words_put_in_or_taken_out():
     hashes = lambda w: near_passages.shingles(near_passages.words([" ".join(w).encode()])).hash
     for n in (70, 90):
