@@ -40,6 +40,17 @@ def test_near_classes_equal_brute_force(spark):
     assert got[2] == got[3] == 1 and got[11] == 10 and got[8] == 8
 
 
+def test_bucket_of_three_where_the_larger_two_are_alike(spark):
+    for seed in range(100):
+        b = passage(seed, 100)
+        rows = [(1, b[: len(b) // 2] + passage(seed + 1000, 50)), (2, b), (3, b + " end")]
+        found = near_dedup.weighted(near_dedup.shingles(near_dedup.words([t.encode() for _, t in rows])))
+        if len(set(near_dedup.signatures(*found, 3, 1).ravel().tolist())) == 1:
+            break
+    got = near_dedup.classes(documents(spark, rows), bands=1, rows=1).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 2), (3, 2)]
+
+
 def test_keep_one(spark):
     docs = documents(spark)
     kept = near_dedup.keep_one(docs)
