@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from evidence.llm import dense_topk, mixing, near_dedup, near_passages, personal_data, pieces, quality_rules, substring_dedup, warc, weak_quality
+from evidence.llm import (
+    dense_topk, hard_negatives, mixing, near_dedup, near_passages, personal_data, pieces, quality_rules, spelling, substring_dedup,
+    toxicity, warc, weak_quality,
+)
 from evidence.plans.catalog import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +143,48 @@ def op5_near_passages(spark: SparkSession, folder: str) -> DataFrame:
     return near_passages.near_passages(table(spark, folder, "documents"))
 
 
+@query()
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words one edit apart in the vocabulary of all texts, the frequent form and the root of each."""
+    return spelling.variants(spelling.vocabulary(table(spark, folder, "documents")))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY 2, 3) = 1),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+""")
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Near vectors of other labels for every fiftieth vector and its nearest of the same label."""
+    moved = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(hard_negatives.labelled_vectors(rows, "vec_id", "embedding", "label"), F.expr("vec_id % 50 = 0"))
+
+
+@query()
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole text after disguised words are restored; a fifth of the labels is never learned from."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels"))).drop("matched")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
