@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +32,17 @@ SYMBOLS = len(_LATIN) + 4
 #: Code points beyond this one count as other letters.
 _TABLED = 0x3000
 #: Bytes of text that a worker handles together, and words whose restoration it remembers.
-BATCH_BYTES, REMEMBERED = 4_000_000, 200_000
+BATCH_BYTES, REMEMBERED = 4_000_000, 300_000
 
 _STRETCH = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+# three equal letters, or three pairs
+_REPEATS = re.compile(r"(.)\1(?:\1|.*(.)\2.*(.)\3)", re.DOTALL)
 _RUNS = re.compile(r"(.)\1*", re.DOTALL)
 _WORD = re.compile(r"[^\W_]+")
 _PREFIXES = (4, 5, 6)
+# signs that are no letters in disguise, and those that are none at the end of a word
+_AROUND = "".join(c for c in string.punctuation if c not in READINGS) + "«»“”„‚‘’…–—¡¿·•"
+_BEHIND = _AROUND + "!|+"
 
 
 def symbol(c: str) -> int:
@@ -163,10 +168,6 @@ def decode(token: str, model: LanguageModel) -> str:
     return "".join(reversed(parts))
 
 
-def _suspicious(token: str) -> bool:
-    return not token.isalpha() or sum(map(eq, token, token[1:])) >= 3 or any(a == b == c for a, b, c in zip(token, token[1:], token[2:]))
-
-
 @dataclass
 class Reader:
     """Distinct restored words of texts; ``model`` None leaves disguises as they are."""
@@ -175,33 +176,29 @@ class Reader:
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def token(self, token: str) -> tuple[str, ...]:
-        found = self.known.get(token)
-        if found is None:
-            core = token
-            if not token.isalpha():  # signs around a word are punctuation, but for those that may be its letters
-                a, b = 0, len(token)
-                while a < b and not token[a].isalnum() and (token[a] not in READINGS):
-                    a += 1
-                while b > a and not token[b - 1].isalnum() and (token[b - 1] not in READINGS or token[b - 1] in "!|+"):
-                    b -= 1
-                core = token[a:b]
-            if self.model and len(core) > 2 and _suspicious(core) and any(map(str.isalpha, core)):
-                found = tuple(_WORD.findall(decode(core, self.model)))
-            else:
-                found = (core,) if core.isalpha() else tuple(_WORD.findall(core))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[token] = found
-        return found
+        """Words that one token stands for."""
+        core = token
+        if not token.isalpha():  # signs around a word are punctuation, but for those that may be its letters
+            core = token.strip(_AROUND).rstrip(_BEHIND)
+        if self.model and len(core) > 2 and (not core.isalpha() or _REPEATS.search(core)) and any(map(str.isalpha, core)):
+            return tuple(_WORD.findall(decode(core, self.model)))
+        return (core,) if core.isalpha() else tuple(_WORD.findall(core))
+
+    def spaced(self, flat: str) -> list[str]:
+        """Words that stretches of single characters stand for."""
+        return [w for s in _STRETCH.finditer(flat) for w in _WORD.findall(decode(s.group(), self.model))] if self.model else []
 
     def words(self, text: str) -> set[str]:
         flat = " ".join(text.lower().split())
         out: set[str] = set()
         for token in set(flat.split(" ")):
-            out.update(self.token(token))
-        if self.model:
-            for stretch in _STRETCH.finditer(flat):
-                out.update(_WORD.findall(decode(stretch.group(), self.model)))
+            found = self.known.get(token)
+            if found is None:
+                found = self.known[token] = self.token(token)
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+            out.update(found)
+        out.update(self.spaced(flat))
         return out
 
 
@@ -225,20 +222,32 @@ class Scorer:
     model: LanguageModel | None
 
     def reader(self) -> Callable[[str], tuple[float, list[str]]]:
-        words, weights, known = Reader(self.model), self.weights, {}
+        """A function from a text to its score and the features found."""
+        reader, weights = Reader(self.model), self.weights
+        telling: dict[str, list[str]] = {}
+        plain: set[str] = set()  # tokens without features: nearly all, set aside by one difference of sets
 
-        def hits(word: str) -> tuple[str, ...]:
-            found = known.get(word)
-            if found is None:
-                found = tuple(f for f in features({word}) if f in weights)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = found
-            return found
+        def hits(words) -> list[str]:
+            return [f for w in words for f in ("=" + w, *("^" + w[:n] for n in _PREFIXES if len(w) > n)) if f in weights]
 
         def score(text: str) -> tuple[float, list[str]]:
-            present = sorted({f for w in words.words(text) for f in hits(w)})
-            return float(1 / (1 + np.exp(-np.clip(self.intercept + sum(weights[f] for f in present), -500, 500)))), present
+            flat = " ".join(text.lower().split())
+            present: set[str] = set(hits(reader.spaced(flat)))
+            for token in set(flat.split(" ")) - plain:
+                found = telling.get(token)
+                if found is None:
+                    found = hits(reader.token(token))
+                    if found:
+                        telling[token] = found
+                    else:
+                        plain.add(token)
+                present.update(found)
+            if len(plain) > REMEMBERED:
+                plain.clear()
+            if len(telling) > REMEMBERED:
+                telling.clear()
+            matched = sorted(present)
+            return float(1 / (1 + np.exp(-np.clip(self.intercept + sum(weights[f] for f in matched), -500, 500)))), matched
 
         return score
 

@@ -27,7 +27,7 @@ def duck():
 
 
 def test_one_query_for_each_operator():
-    assert sorted({int(n[2:].split("_")[0]) for n in OWN if n != "pipeline"}) == list(range(1, 11)) and "pipeline" in OWN
+    assert sorted({int(n[2:].split("_")[0]) for n in OWN if n != "pipeline"}) == list(range(1, 14)) and "pipeline" in OWN
 
 
 @pytest.mark.parametrize("name", sorted(n for n in OWN if n in entry.oracle_sql()))
