@@ -21,8 +21,10 @@ READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e",
 }
-#: Costs (negative logarithms) of what the channel does: a letter written as another sign, written more than once, parted by signs or by a space.
-SUBSTITUTED, REPEATED, PARTED, SPACED = 2.0, 1.5, 0.7, 0.7
+#: Costs (negative logarithms) of what the channel does to a letter: written as another sign, written more than once,
+#: parted from the next by a sign or a space. Against them: a sign or space that does end a word, digits that
+#: are digits, and a sign for a letter that stands for none.
+SUBSTITUTED, REPEATED, PARTED, ENDS, DIGITS, STRAY = 1.0, 1.0, 0.2, 2.0, 3.0, 4.0
 
 # Symbols of the language model: 0 is a boundary, then a-z, ß to ÿ, other letters, digits, other signs.
 _LATIN = [chr(c) for c in (*range(ord("a"), ord("z") + 1), *range(0xDF, 0x100))]
@@ -137,9 +139,9 @@ def lattice(token: str) -> list[list[tuple[str, float, tuple[int, ...]]]]:
                 if n > 1:
                     options.append(option(letter * 2, SUBSTITUTED + (REPEATED if n > 2 else 0.0)))
             if c.isalnum():
-                options.append((run.group(), 0.0, (_DIGIT,) * min(n, 3)))
+                options.append((run.group(), DIGITS, (_DIGIT,) * min(n, 3)))
             else:
-                options += [option("", SPACED if c == " " else PARTED), option(" ", 0.0)]
+                options += [option("", PARTED), option(" ", ENDS)] if c not in READINGS else [option("", STRAY), option(" ", STRAY)]
         out.append(options)
     return out
 
