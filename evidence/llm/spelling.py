@@ -246,8 +246,8 @@ def variants(words: DataFrame, factor: int = 5, index_words: int = INDEX_WORDS)
     chain gains a factor a step, so the largest count bounds its length, and roots are found by so many joins that
     double the steps. No words: no rows.
     """
-    # the root table is read once a round
-    near = stored(near_words(words, index_words))
+    # the vocabulary is counted and then dealt, the found words are judged and then followed
+    near = stored(near_words(stored(words), index_words))
     takes = F.col("best_n") >= factor * F.col("n")
     judged = near.select(
         "word", F.when(takes, F.col("best")).alias("form"), "n", "n_near", F.when(takes, F.col("best_n")).alias("form_n")
