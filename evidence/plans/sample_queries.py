@@ -281,7 +281,7 @@ def spearman_tau(spark, folder):
     measured = table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("domain"), F.col("l_suppkey").alias("unit")).agg(
         (F.floor(F.avg("l_quantity") * 10) / 10.0).alias("value"))
     paired = ranking.paired_values(measured, "unit", "domain", "value", [("A", "N"), ("A", "R"), ("N", "R")])
-    return rounded(ranking.spearman(paired, ["pair"]).join(ranking.kendall_tau_b(paired, ["pair"]), "pair"))
+    return rounded(ranking.rank_correlations(paired, ["pair"]))
 
 
 # --- profiles ---------------------------------------------------------------------------
