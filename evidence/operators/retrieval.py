@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from evidence.operators.scale import BROADCAST_BYTES, small_matrix
+from evidence.operators.scale import BROADCAST_BYTES, small_matrix, stored
 
 #: Similarities are ordered after rounding, so equal vectors tie whatever the addition order.
 DIGITS = 10
 GALLERY_STEP = 8192
+#: Most cells of a large gallery.
+CELLS = 2_048
 
 
 def _best(similarity: np.ndarray, k: int) -> list[np.ndarray]:
@@ -52,13 +56,15 @@ def nearest(
     carry: list[str] = [],
     max_bytes: int = BROADCAST_BYTES,
     block_rows: int = 20_000,
+    cell_rows: int = 4_096,
 ) -> DataFrame:
     """The k best gallery rows of every query: (query, query columns…, rank, neighbour, gallery columns…, similarity).
 
     Order: similarity falling, gallery key rising. A gallery of checked small size is sent to every
-    task and multiplied block by block. A larger one is cut into blocks; each pair of a query
-    block and a gallery block is one bounded task that returns k rows per query, and the
-    partial lists are merged per query. Both ways give the same rows.
+    task and multiplied block by block. A larger one is cut into cells around pivots. Each query sees the cells nearest to it,
+    which bounds what its k-th row can be; then it sees only those other cells that the triangle inequality does not rule out.
+    A task holds one part of a cell and one block of the queries that see it, so query vectors are copied once a visit, and gallery
+    vectors once a block of visits and round. Both ways give the same rows.
     """
     q = queries.select(query, *carry_query, vec)
     g = gallery.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"neighbour_{c}") for c in carry], F.col(vec).alias("_gallery"))
@@ -91,22 +97,127 @@ def nearest(
 
         return q.mapInPandas(search, schema)
 
-    q_blocks = max(1, -(-q.count() // block_rows))
-    g_blocks = max(1, -(-g.count() // block_rows))
-    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    qs = q.withColumn("_q", number(query, q_blocks)).withColumn("_g", every(g_blocks))
-    gs = g.withColumn("_gg", number("neighbour", g_blocks)).withColumn("_gq", every(q_blocks))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=schema.names)
-        b = b.sort_values("neighbour", kind="stable")
-        return assemble(a, b, np.vstack(b["_gallery"].to_numpy()).astype(np.float64))
-
-    found = qs.groupBy("_q", "_g").cogroup(gs.groupBy("_gq", "_gg")).applyInPandas(meet, schema)
-    order = Window.partitionBy(query).orderBy(F.round("similarity", DIGITS).desc(), F.asc("neighbour"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    placed, cells = gallery_cells(g, cell_rows, block_rows)
+    if cells is None:
+        return queries.sparkSession.createDataFrame([], schema)
+
+    def met(rows: DataFrame) -> DataFrame:
+        """At most k gallery rows of every visited cell for every visit, none below the visit's bound."""
+        told = visits(rows, vec, cells, k)
+        asked = {r["_cell"]: r["n"] for r in told.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        blocks = [(c, max(1, -(-n // (block_rows * int(cells.parts[c]))))) for c, n in asked.items()]
+        sizes = lambda: F.broadcast(queries.sparkSession.createDataFrame(blocks, "_cell int, _blocks int"))
+        left = told.join(sizes(), "_cell").withColumn("_block", F.pmod(F.xxhash64(query), F.col("_blocks")).cast("int"))
+        dealt = placed.join(sizes(), "_cell").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        keys = ["_cell", "_part", "_block"]
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame(columns=schema.names)
+            b = b.sort_values("neighbour", kind="stable")
+            a = a.reset_index(drop=True)
+            found = assemble(a, b, np.vstack(b["_gallery"].to_numpy()).astype(np.float64))
+            place = np.cumsum(found["rank"].to_numpy() == 1) - 1  # each visit finds one row at least
+            return found[found["similarity"].to_numpy() >= a["_tau"].to_numpy()[place]]
+
+        return left.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(meet, schema)
+
+    def best(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy(query).orderBy(F.round("similarity", DIGITS).desc(), F.asc("neighbour"))
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    first = stored(best(met(q.withColumn("_tau", F.lit(None).cast("double")))))
+    bound = first.groupBy(query).agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).otherwise(F.lit(float("-inf"))).alias("_tau"))
+    return best(first.unionByName(met(q.join(bound, query))))
+
+
+@dataclass
+class Cells:
+    """Pivots of a gallery: each row belongs to the nearest pivot, at most ``radius`` away; a cell has ``parts`` parts."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    rows: np.ndarray
+    parts: np.ndarray
+    longest: float
+
+
+def gallery_cells(gallery: DataFrame, cell_rows: int, block_rows: int) -> tuple[DataFrame, Cells | None]:
+    """(stored gallery with _cell and _part, cells) over (neighbour, …, _gallery); None for an empty gallery.
+
+    Pivots are the vectors of the first keys in hash order, one for ``cell_rows`` rows, at most CELLS and BROADCAST_BYTES of
+    them, so the table of pivots is of bounded size. A cell that grows beyond ``block_rows`` rows, such as one of a vector that
+    very many rows share, is dealt over several parts.
+    """
+    n = gallery.count()
+    if not n:
+        return gallery, None
+    width = gallery.select(F.size("_gallery")).first()[0]
+    number = max(1, min(-(-n // cell_rows), CELLS, BROADCAST_BYTES // (8 * max(width, 1))))
+    drawn = gallery.select("neighbour", "_gallery").orderBy(F.xxhash64("neighbour"), "neighbour").limit(number).collect()
+    pivots = np.array([r["_gallery"] for r in drawn], np.float64)
+    shared = gallery.sparkSession.sparkContext.broadcast(pivots)
+
+    def assign(batches):
+        centres = shared.value
+        half, step = (centres**2).sum(axis=1) / 2, max(1, 4_000_000 // len(centres))
+        for rows in batches:
+            if not len(rows):
+                continue
+            vectors = np.vstack(rows["_gallery"].to_numpy()).astype(np.float64)
+            near = np.concatenate([(vectors[i : i + step] @ centres.T - half).argmax(axis=1) for i in range(0, len(vectors), step)])
+            yield rows.assign(_cell=near.astype(np.int32), _away=np.linalg.norm(vectors - centres[near], axis=1), _long=np.linalg.norm(vectors, axis=1))
+
+    fields = [T.StructField("_cell", T.IntegerType()), T.StructField("_away", T.DoubleType()), T.StructField("_long", T.DoubleType())]
+    assigned = stored(gallery.mapInPandas(assign, T.StructType([*gallery.schema.fields, *fields])))
+    rows, radius, longest = np.zeros(number, np.int64), np.zeros(number), 0.0
+    for r in assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_away").alias("away"), F.max("_long").alias("long")).collect():
+        rows[r["_cell"]], radius[r["_cell"]], longest = r["n"], r["away"], max(longest, r["long"])
+    cells = Cells(pivots, radius, rows, np.maximum(1, -(-rows // block_rows)), longest)
+    parts = gallery.sparkSession.createDataFrame([(i, int(p)) for i, p in enumerate(cells.parts)], "_cell int, _parts int")
+    part = F.pmod(F.xxhash64("neighbour"), F.col("_parts")).cast("int")
+    return assigned.join(F.broadcast(parts), "_cell").withColumn("_part", part).drop("_parts", "_away", "_long"), cells
+
+
+def visits(queries: DataFrame, vec: str, cells: Cells, k: int) -> DataFrame:
+    """(queries…, _cell, _part): the cells that each query has to see.
+
+    A query without a bound (null ``_tau``) sees the cells of its nearest pivots that hold k rows, two cells at least. With the similarity
+    of its k-th row so far as bound it sees, of the other cells, those that may hold a row as good: for every row g of a cell of
+    pivot p and radius r, q·g = q·p + q·(g − p) ≤ q·p + |q|·r. A null vector has no visits.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def choose(batches):
+        c = shared.value
+        held = c.rows > 0
+        step = max(1, 4_000_000 // len(c.rows))
+        for whole in batches:
+            whole = whole[whole[vec].notna()]
+            for at in range(0, len(whole), step):
+                rows = whole.iloc[at : at + step]
+                vectors = np.vstack(rows[vec].to_numpy()).astype(np.float64)
+                close = np.where(held, vectors @ c.pivots.T, -np.inf)
+                order = np.argsort(-close, axis=1, kind="stable")
+                before = np.cumsum(c.rows[order], axis=1) - c.rows[order]
+                early = np.zeros(close.shape, bool)
+                np.put_along_axis(early, order, (before < k) | (np.arange(len(c.rows)) < 2), axis=1)
+                tau = rows["_tau"].to_numpy(np.float64, na_value=np.nan)
+                norms = np.linalg.norm(vectors, axis=1)
+                slack = 1e-9 * np.maximum(1.0, norms * c.longest)
+                reach = close + norms[:, None] * c.radius[None, :]
+                later = ~early & (reach >= (tau - slack)[:, None])
+                who, cell = np.nonzero(np.where(np.isnan(tau)[:, None], early, later) & held)
+                parts = c.parts[cell]
+                who, cell = np.repeat(who, parts), np.repeat(cell, parts)
+                part = np.arange(len(who)) - np.repeat(np.cumsum(parts) - parts, parts)
+                # rows below the bound by more than the rounding of similarities are not returned
+                yield rows.iloc[who].assign(
+                    _tau=np.where(np.isnan(tau), -np.inf, tau - slack)[who], _cell=cell.astype(np.int32), _part=part.astype(np.int32)
+                )
+
+    fields = [T.StructField("_cell", T.IntegerType()), T.StructField("_part", T.IntegerType())]
+    return queries.mapInPandas(choose, T.StructType([*queries.schema.fields, *fields]))
 
 
 def packed_neighbours(found: DataFrame, query: list[str], cls: str) -> DataFrame:
