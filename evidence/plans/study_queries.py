@@ -205,7 +205,7 @@ def stream_once_only(spark, folder):
     stream = event_stream(spark, folder).select("event_type", "user_id", "event_id", "ts", "value")
     score = lambda df: df.withColumn("score", F.col("value") * 2)
     ledger.once_only(stream, ["event_type", "user_id"], "ts", score, f"{base}/ledger", f"{base}/checkpoint").awaitTermination()
-    return rounded(spark.read.parquet(f"{base}/ledger").select("event_type", "user_id", "event_id", "score"))
+    return rounded(ledger.read(spark, f"{base}/ledger").select("event_type", "user_id", "event_id", "score"))
 
 
 @query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS true_class,

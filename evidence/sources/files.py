@@ -2,17 +2,61 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence.operators.gates import identity_check
+from evidence.sources import commits
 
 # --- write once -------------------------------------------------------------------------
 
 
 def write_once(df: DataFrame, path: str, format: str = "parquet") -> None:
-    """Write a table that must not exist yet; JSON gets its keys in sorted order."""
+    """Write a table that must not exist yet; JSON gets its keys in sorted order.
+
+    Every writer writes into a hidden folder of its own. The commit record, which one writer alone can create, names the files of
+    the winner; only then they are moved into place. All other writers fail and leave nothing.
+    """
+    spark = df.sparkSession
+    if commits.names(spark, path) and (commits.read_record(spark, f"{path}/{_RECORD}") or _visible(spark, path)):
+        raise FileExistsError(f"[PATH_ALREADY_EXISTS] {path} is written already")
+    attempt = f"_attempt-{uuid.uuid4().hex}"
     out = df.select(*sorted(df.columns)) if format == "json" else df
-    out.write.mode("errorifexists").format(format).save(path)
+    out.write.format(format).save(f"{path}/{attempt}")
+    held = [n for n in commits.names(spark, f"{path}/{attempt}") if n[0] not in "._"]
+    if not commits.create_once(spark, f"{path}/{_RECORD}", {"attempt": attempt, "files": held, "format": format}):
+        commits.delete(spark, f"{path}/{attempt}")
+        raise FileExistsError(f"[PATH_ALREADY_EXISTS] {path} was written by another writer")
+    settle(spark, path)
+
+
+_RECORD = "_COMMITTED"
+
+
+def _visible(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in commits.names(spark, path) if n[0] not in "._"]
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Move the files of a committed writer into place; goes on where one that crashed has stopped."""
+    record = commits.read_record(spark, f"{path}/{_RECORD}")
+    waiting = set(commits.names(spark, f"{path}/{record['attempt']}"))
+    for name in record["files"]:
+        if name in waiting:
+            commits.move(spark, f"{path}/{record['attempt']}/{name}", f"{path}/{name}")
+    commits.delete(spark, f"{path}/{record['attempt']}")
+
+
+def read_once(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table of ``write_once``: the files that its record names, and no others; fails if nothing was committed."""
+    record = commits.read_record(spark, f"{path}/{_RECORD}")
+    if record is None:
+        raise FileNotFoundError(f"nothing is committed at {path}")
+    if set(record["files"]) - set(_visible(spark, path)):
+        settle(spark, path)
+    reader = spark.read.format(record["format"])
+    return (reader.schema(schema) if schema else reader).load([f"{path}/{n}" for n in record["files"]])
 
 
 def file_digest(spark: SparkSession, path: str) -> str:

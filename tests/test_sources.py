@@ -1,3 +1,4 @@
+import threading
 import hashlib
 import json
 import struct
@@ -133,6 +134,54 @@ def test_embedding_cache_and_write_once(spark, tmp_path):
         files.write_once(df, str(tmp_path / "j"), "json")
 
 
+def test_one_of_two_writers_wins(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    frames = [spark.range(i * 1000, i * 1000 + 1000, numPartitions=3) for i in range(6)]
+    start = threading.Barrier(len(frames))
+    create = files.commits.create_once
+    monkeypatch.setattr(files.commits, "create_once", lambda *a: (start.wait(), create(*a))[1])  # all reach the record together
+    seen, failed = [], []
+
+    def run(df):
+        try:
+            files.write_once(df, path)
+        except FileExistsError as error:
+            failed.append(str(error))
+
+    writers = [threading.Thread(target=run, args=(df,)) for df in frames]
+    for w in writers:
+        w.start()
+    while any(w.is_alive() for w in writers):  # a reader meanwhile
+        try:
+            seen.append(sorted(r[0] for r in files.read_once(spark, path).collect()))
+        except FileNotFoundError:
+            pass
+    for w in writers:
+        w.join()
+    held = sorted(r[0] for r in files.read_once(spark, path).collect())
+    assert len(failed) == 5 and all("PATH_ALREADY_EXISTS" in f for f in failed)
+    assert held in [list(range(i * 1000, i * 1000 + 1000)) for i in range(6)] and all(s == held for s in seen)
+    assert sorted(r[0] for r in spark.read.parquet(path).collect()) == held
+    assert not list((tmp_path / "t").glob("_attempt-*"))
+
+
+def test_readers_finish_what_a_crashed_writer_committed(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    settle = files.settle
+    monkeypatch.setattr(files, "settle", lambda *a: None)
+    files.write_once(spark.range(10, numPartitions=2), path, "json")
+    monkeypatch.setattr(files, "settle", settle)
+    with pytest.raises(FileExistsError, match="PATH_ALREADY_EXISTS"):
+        files.write_once(spark.range(3), path)
+    assert sorted(r["id"] for r in files.read_once(spark, path, "id long").collect()) == list(range(10))
+    with pytest.raises(FileNotFoundError):
+        files.read_once(spark, str(tmp_path / "none"))
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "x.json").write_text("{}")
+    with pytest.raises(FileExistsError):
+        files.write_once(spark.range(3), str(tmp_path / "plain"))
+
+
 def test_run_records(spark, tmp_path):
     for budget, seed in ((1, 42), (10, 43)):
         p = tmp_path / f"budget_{budget:03d}" / f"seed_{seed}.json"
