@@ -148,38 +148,54 @@ def hash_draws(items: DataFrame, cls: str, item: str, replicates: int, seed: int
 # --- bootstrap of centroid directions ---------------------------------------------------
 
 
+def block_totals(counts: np.ndarray, block: int, replicates: int, seed: int, names: list) -> np.ndarray:
+    """How many of the draws of each replicate fall into one block of 2^depth blocks.
+
+    ``counts`` holds the rows of the blocks that share the first 0, 1, … depth bits with this one. A node of the tree splits its
+    draws by one binomial, seeded by the node, so all blocks below it derive the same split: the totals of all blocks
+    are a multinomial, and a block draws one number a level.
+    """
+    depth = len(counts) - 1
+    totals = np.full(replicates, counts[0], np.int64)
+    for level in range(depth):
+        prefix, right = block >> (depth - level), (block >> (depth - level - 1)) & 1
+        left = counts[level] - counts[level + 1] if right else counts[level + 1]
+        taken = np.random.default_rng(draw_seed(seed, *names, level, prefix)).binomial(totals, left / counts[level])
+        totals = totals - taken if right else taken
+    return totals
+
+
 def direction_replicates(
     vectors: DataFrame, keys: list[str], item: str, vec: str, dimension: int, replicates: int, seed: int, block_rows: int = 4096
 ) -> DataFrame:
     """(keys…, replicate, mean): bootstrap means of every group, whatever its size.
 
-    A multinomial over n rows splits exactly into totals per block and draws inside each
-    block. The rows of a group are hashed into blocks of about ``block_rows``; every task derives the
-    same totals from the seed and draws only its own block, and the block sums are added.
+    The rows of a group are hashed into 2^d blocks of about ``block_rows`` rows. A multinomial over all rows splits down a binary
+    tree of binomials to a total per block, and inside each block into draws; the block sums are added. A task needs the d + 1
+    counts on the way to its block, not those of the other blocks.
     """
     sizes = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = F.ceil(F.col("_n") / F.lit(float(block_rows))).cast("int")
-    rows = vectors.select(*keys, item, vec).join(sizes.select(*keys, blocks.alias("_k")), keys).withColumn(
-        "_block", F.pmod(F.xxhash64(item), F.col("_k")).cast("int")
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(float(block_rows))))).cast("int")
+    rows = vectors.select(*keys, item, vec).join(sizes.select(*keys, depth.alias("_d")), keys).withColumn(
+        "_block", F.pmod(F.xxhash64(item), F.expr("shiftleft(1L, _d)"))
     )
-    held = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_m"))
-    layout = held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_m"))).alias("_layout"))
-    plan = held.join(layout, keys).select(
-        *[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_block").alias("_p_block"),
-        F.transform("_layout", lambda x: x["_m"]).alias("_sizes"),
-        (F.array_position(F.transform("_layout", lambda x: x["_block"]), F.col("_block")) - 1).alias("_at"),
+    held = rows.groupBy(*keys, "_d", "_block").agg(F.count(F.lit(1)).alias("_m"))
+    paths = held.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_d")))).withColumn("_node", F.expr("shiftright(_block, _d - _level)"))
+    node = [*keys, "_level", "_node"]
+    counts = paths.groupBy(*node).agg(F.sum("_m").alias("_rows"))
+    plan = paths.join(counts, node).groupBy(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_block").alias("_p_block")).agg(
+        F.array_sort(F.collect_list(F.struct("_level", "_rows"))).alias("_counts")
     )
 
     def draw(pdf: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)
         x = np.vstack(pdf[vec].to_numpy()).astype(np.float64)
-        sizes = np.asarray(info["_sizes"].iloc[0], dtype=np.int64)
-        at, n = int(info["_at"].iloc[0]), int(sizes.sum())
-        names = [pdf[k].iloc[0] for k in keys]
-        totals = np.random.default_rng(draw_seed(seed, *names)).multinomial(n, sizes / n, size=replicates)[:, at]
-        rng = np.random.default_rng(draw_seed(seed, *names, at))
+        path = np.array([c["_rows"] for c in info["_counts"].iloc[0]], np.int64)
+        block, names = int(info["_p_block"].iloc[0]), [pdf[k].iloc[0] for k in keys]
+        totals = block_totals(path, block, replicates, seed, names)
+        rng = np.random.default_rng(draw_seed(seed, *names, "rows", block))
         parts = [rng.multinomial(totals[i : i + CHUNK], np.full(len(x), 1 / len(x))) @ x for i in range(0, replicates, CHUNK)]
-        sums = np.vstack(parts) / n
+        sums = np.vstack(parts) / path[0]
         return pd.DataFrame({**dict(zip(keys, names)), "replicate": np.arange(replicates), "part": list(sums)})
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select(*keys).schema.fields)
@@ -191,6 +207,15 @@ def direction_replicates(
     return parts.groupBy(*keys, "replicate").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("part")))).alias("mean"))
 
 
+def hash_direction_replicates(vectors: DataFrame, keys: list[str], item: str, vec: str, replicates: int, seed: int) -> DataFrame:
+    """(keys…, replicate, mean) from draws that any engine can replay; the group is named by its keys joined by ``_``."""
+    named = vectors.withColumn("_group", F.concat_ws("_", *keys))
+    times = hash_draws(named, "_group", item, replicates, seed)
+    drawn = named.select(*keys, "_group", item, vec).join(times, ["_group", item])
+    weighted = Summarizer.mean(array_to_vector(F.transform(vec, lambda x: x.cast("double"))), F.col("times").cast("double"))
+    return drawn.groupBy(*keys, "replicate").agg(vector_to_array(weighted).alias("mean"))
+
+
 def direction_intervals(means: DataFrame, domain: str, identity: str, condition: str, first: str, second: str) -> DataFrame:
     """Bootstrap mean and 95 % interval of the cosine between the directions of two domains."""
     side = lambda c: F.max(F.when(F.col(condition) == c, F.col("mean")))

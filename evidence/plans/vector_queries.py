@@ -366,6 +366,32 @@ def bootstrap_directions(spark, folder):
     return rounded(bootstrap.direction_intervals(means, "domain", "identity", "condition", "fresh", "stale"))
 
 
+_DIRECTION_DRAWS = f"""
+, items AS (SELECT DISTINCT vec_id, domain || '_' || split_part(class, '_', 2) || '_' || split_part(class, '_', 1) AS g FROM dims),
+sizes AS (SELECT g, COUNT(*) AS n FROM items GROUP BY g),
+numbered AS (SELECT g, vec_id, row_number() OVER (PARTITION BY g ORDER BY sha256('42|' || g || '|' || vec_id), vec_id) - 1 AS j FROM items),
+draws AS (
+  SELECT m.g, b.replicate, ('0x' || substr(sha256('42|' || b.replicate || '|' || m.g || '|' || m.j), 1, 8))::BIGINT % s.n AS j
+  FROM numbered m JOIN sizes s ON m.g = s.g CROSS JOIN range({REPLICATES}) b(replicate)),
+times AS (SELECT n.vec_id, d.replicate, COUNT(*) AS times FROM draws d JOIN numbered n ON d.g = n.g AND d.j = n.j GROUP BY 1, 2),
+drawn AS (SELECT t.replicate, d.domain, split_part(d.class, '_', 2) AS identity, split_part(d.class, '_', 1) AS condition, d.dim,
+    SUM(t.times * d.x) / SUM(t.times) AS m FROM dims d JOIN times t ON d.vec_id = t.vec_id GROUP BY ALL),
+dirs AS (SELECT replicate, domain, identity, dim, SUM(CASE condition WHEN 'stale' THEN m ELSE -m END) AS d FROM drawn GROUP BY ALL),
+unit AS (SELECT *, d / sqrt(SUM(d * d) OVER (PARTITION BY replicate, domain, identity)) AS u FROM dirs),
+cosines AS (SELECT a.replicate, a.identity, a.domain AS a, b.domain AS b, SUM(a.u * b.u) AS cosine FROM unit a JOIN unit b
+    ON a.replicate = b.replicate AND a.identity = b.identity AND a.dim = b.dim AND a.domain < b.domain GROUP BY ALL)"""
+
+
+@query(with_views(VECTOR_ROWS, body=_DIRECTION_DRAWS + f"""
+SELECT identity, a, b, {r('AVG(cosine)', 'cosine_mean')}, {r('quantile_cont(cosine, 0.025)', 'cosine_lower')},
+       {r('quantile_cont(cosine, 0.975)', 'cosine_upper')} FROM cosines GROUP BY identity, a, b"""))
+def bootstrap_directions_hash(spark, folder):
+    v = vectors(spark, folder).withColumn("condition", factor_a(F.col("class"))).withColumn("identity", factor_b(F.col("class")))
+    means = bootstrap.hash_direction_replicates(v, ["domain", "identity", "condition"], "vec_id", "v", REPLICATES, 42)
+    found = bootstrap.direction_intervals(means, "domain", "identity", "condition", "fresh", "stale")
+    return rounded(found.select("identity", "a", "b", "cosine_mean", "cosine_lower", "cosine_upper"))
+
+
 @query()
 def pca_ratio(spark, folder):
     return rounded(geometry.pca_ratio(vectors(spark, folder), ["class"], "vec_id", 200))

@@ -141,10 +141,10 @@ def test_hash_draws_keep_class_sizes(spark):
     assert len(got) == 12 and all(r.n == sizes[int(r.true_class[1])] for r in got)
 
 
-@pytest.mark.parametrize("block_rows", [4096, 20])
+@pytest.mark.parametrize("block_rows", [4096, 20, 3])
 def test_direction_replicates_have_bootstrap_moments(spark, block_rows):
     x, label = points(300, 3)
-    df = frame(spark, x, label).where("class = 'fresh_k0'")
+    df = frame(spark, x, label).where("vec_id < 192").withColumn("class", F.lit("c"))  # one block, 16 and 64 blocks
     held = np.stack([r.v for r in df.collect()])
     got = np.array([r.mean for r in bootstrap.direction_replicates(df, ["class"], "vec_id", "v", 3, 1500, 1, block_rows).collect()])
     assert got.shape == (1500, 3)
@@ -152,6 +152,17 @@ def test_direction_replicates_have_bootstrap_moments(spark, block_rows):
     assert got.std(0) == pytest.approx(held.std(0) / np.sqrt(len(held)), rel=0.1)
 
 
+def test_block_totals_are_a_multinomial():
+    sizes = np.array([5, 0, 40, 3, 7, 7, 1, 37])
+    at = lambda b: np.array([sizes[(b >> (3 - k)) << (3 - k) : ((b >> (3 - k)) + 1) << (3 - k)].sum() for k in range(4)])
+    totals = np.array([bootstrap.block_totals(at(b), b, 4000, 7, ["g"]) for b in range(8) if sizes[b]])
+    n, p = sizes.sum(), sizes[sizes > 0] / sizes.sum()
+    assert (totals.sum(axis=0) == n).all()  # blocks agree on every split
+    assert totals.mean(axis=1) == pytest.approx(n * p, abs=0.5)
+    assert np.cov(totals) == pytest.approx(n * (np.diag(p) - np.outer(p, p)), abs=1.5)
+    assert (bootstrap.block_totals(np.array([9]), 0, 3, 7, ["g"]) == 9).all()
+
+
 def test_probes_learn_separable_classes(spark):
     x, label = points(400)
     df = frame(spark, x, label).withColumn("y", probes.class_number(F.col("class"), CLASSES))
