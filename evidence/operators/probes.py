@@ -3,61 +3,47 @@
 from __future__ import annotations
 
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from evidence.functions.vectors import cross_entropy
-from evidence.operators.metrics import OTHER, class_report, evaluate, full_grid, ratio, summary_report
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, functions as F
+
+from evidence.operators import softmax
+from evidence.operators.metrics import OTHER, class_report, full_grid, ratio, summary_report
 from evidence.operators.ranking import draw_statistics
 from evidence.operators.sampling import hash_sample, stratified_folds
-from evidence.operators.scale import BROADCAST_BYTES
-
-
-def _points(df: DataFrame, vec: str) -> DataFrame:
-    return df.withColumn("_x", array_to_vector(F.col(vec)))
+from evidence.operators.scale import BROADCAST_BYTES, stored
 
 
-def _together(spark: SparkSession, fit, candidates: list) -> list:
-    """Independent fits submitted at once, so their small jobs share the cores."""
-    pool = ThreadPool(min(len(candidates), 8))
-    try:
-        return pool.map(inheritable_thread_target(spark)(fit), candidates)
-    finally:
-        pool.close()
+def _points(df: DataFrame, label, vec: str, *more) -> DataFrame:
+    """(x, y, fold, …) of the rows with a class number and a vector, kept for the passes of a fit."""
+    rows = df.select(F.col(vec).cast("array<double>").alias("x"), label.cast("int").alias("y"), *more)
+    return stored(rows.where("x IS NOT NULL AND y >= 0")).persist()
 
 
 def linear_probe(
     train: DataFrame, validation: DataFrame, label: str, vec: str, grid: list[tuple[float, int]]
-) -> tuple[DataFrame, object]:
+) -> tuple[DataFrame, softmax.Model]:
     """Softmax regression per (regularisation, iterations); keeps the best on validation.
 
-    Order: accuracy falling, loss rising, first candidate. ``label`` holds class numbers from 0.
-    Returns one row per candidate with a ``selected`` flag, and the chosen model.
+    Order: accuracy falling, loss rising, first candidate. ``label`` holds class numbers from 0; rows without one are left out.
+    All candidates are fitted together, so the passes over the training rows do not depend on their number, and one pass
+    over the validation rows judges them. Returns one row per candidate with a ``selected`` flag, and the chosen model.
     """
-    points, held = _points(train, vec).select(label, "_x").cache(), _points(validation, vec).select(label, "_x").cache()
-
-    def fit(candidate):
-        i, (reg, iterations) = candidate
-        model = LogisticRegression(
-            featuresCol="_x", labelCol=label, family="multinomial", regParam=reg, maxIter=iterations, standardization=False
-        ).fit(points)
-        loss = cross_entropy(vector_to_array(F.col("rawPrediction")), F.col(label).cast("int"))
-        found = model.transform(held).agg(
-            F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("a"), F.avg(loss).alias("l")
-        ).first()
-        return (i, reg, iterations, found["a"], found["l"]), model
-
-    fitted = _together(train.sparkSession, fit, list(enumerate(grid)))
+    points, held = (_points(df, F.col(label), vec, F.lit(0).alias("fold")) for df in (train, validation))
+    known = points.agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"), F.max(F.size("x")).alias("d")).first()
+    judged = held.agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y")).first()
+    classes = 1 + max(known["y"], judged["y"] if judged["n"] else 0)  # a class seen in validation alone is never right, but counted
+    plain = np.zeros(known["d"]), np.ones(known["d"])
+    models = softmax.fit(softmax.Rows(points), classes, [softmax.Problem(known["n"], reg, steps, *plain) for reg, steps in grid])
+    stacked = np.stack([np.column_stack([m.weights, m.intercept]) for m in models])
+    loss, right, _ = softmax.Rows(held).sums(stacked, [-1] * len(grid))
     points.unpersist(), held.unpersist()
-    rows, models = [x[0] for x in fitted], [x[1] for x in fitted]
-    best = min(rows, key=lambda x: (-x[3], x[4], x[0]))[0]
+    n = judged["n"]
+    rows = [(i, reg, steps, float(right[i] / n) if n else None, float(loss[i] / n) if n else None) for i, (reg, steps) in enumerate(grid)]
+    best = min(rows, key=lambda x: (-(x[3] or 0), x[4] or 0, x[0]))[0]
     table = train.sparkSession.createDataFrame(
         [(*x, x[0] == best) for x in rows],
         "candidate int, regularisation double, iterations int, validation_accuracy double, validation_loss double, selected boolean",
@@ -65,31 +51,56 @@ def linear_probe(
     return table, models[best]
 
 
+def _fold_problems(points: DataFrame, k: int, c: float, iterations: int) -> list[softmax.Problem]:
+    """One problem a fold over the rows of the others; mean and population deviation of those rows from sums per fold."""
+    x = array_to_vector("x")
+    stats = points.groupBy("fold").agg(
+        Summarizer.metrics("count", "mean", "variance").summary(x).alias("s")
+    ).select("fold", "s.count", "s.mean", "s.variance").collect()
+    # sample variances of the folds turned to sums of squares around the fold's mean, which add up
+    held = {r["fold"]: (r["count"], r["mean"].toArray(), r["variance"].toArray() * max(r["count"] - 1, 0)) for r in stats}
+
+    def rest(fold: int) -> softmax.Problem:
+        others = [v for f, v in held.items() if f != fold]
+        n = sum(m for m, _, _ in others)
+        mean = sum(m * mu for m, mu, _ in others) / n
+        variance = sum(s + m * (mu - mean) ** 2 for m, mu, s in others) / n
+        scale = np.sqrt(variance)
+        return softmax.Problem(n, 1 / (c * n), iterations, mean, np.where(scale > 0, scale, 1.0), fold)
+
+    return [rest(f) for f in range(k) if f in held and len(held) > 1]
+
+
 def cross_validated_probe(
     df: DataFrame, label: str, item: str, vec: str, k: int = 5, c: float = 1.0, seed: int = 42, iterations: int = 100
 ) -> DataFrame:
-    """(fold, accuracy, macro_f1): standardise inside each fold, then logistic regression of strength C."""
-    indexed = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(df).transform(df)
-    folded = stratified_folds(_points(indexed, vec).select(item, label, "_y", "_x"), label, item, k, seed).cache()
-    classes = [r[0] for r in folded.select(label).distinct().orderBy(label).collect()]
-    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
-    total = sum(sizes.values())
-    names = F.array(*[F.lit(x) for x in classes])
+    """(fold, accuracy, macro_f1): standardise inside each fold, then logistic regression of strength C.
 
-    def fit(fold: int) -> DataFrame:
-        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        scaler = StandardScaler(inputCol="_x", outputCol="_s", withMean=True, withStd=True).fit(train)
-        model = LogisticRegression(
-            featuresCol="_s", labelCol="_y", family="multinomial", standardization=False, maxIter=iterations,
-            regParam=1.0 / (c * (total - sizes[fold])),
-        ).fit(scaler.transform(train))
-        return model.transform(scaler.transform(test)).select(
-            F.lit(fold).alias("fold"), F.col(label).alias("true_class"),
-            F.get(names, F.col("prediction").cast("int")).alias("predicted_class"),
-        )
-
-    out = reduce(DataFrame.unionByName, _together(df.sparkSession, fit, list(range(k))))
-    return evaluate(out, ["fold"], classes).select("fold", "accuracy", "macro_f1")
+    Features are scaled by the population deviation of the training folds; a constant feature is left unscaled. All folds are fitted
+    together: a row counts in the problems of all folds but its own. One more pass predicts each row by the model of its fold.
+    """
+    classes = [r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]
+    folded = stratified_folds(df.select(item, label, vec), label, item, k, seed)
+    points = _points(folded, class_number(F.col(label), classes), vec, F.col("fold").cast("int").alias("fold"))
+    problems = _fold_problems(points, k, c, iterations)
+    models = softmax.fit(softmax.Rows(points), len(classes), problems) if problems else []
+    shared = df.sparkSession.sparkContext.broadcast({p.without: m for p, m in zip(problems, models)})
+
+    def predict(batches):
+        for rows in batches:
+            for fold, part in rows.groupby("fold"):
+                m = shared.value.get(fold)
+                if m is not None:
+                    best = (np.vstack(part["x"].to_numpy()) @ m.weights.T + m.intercept).argmax(axis=1)
+                    yield pd.DataFrame({"fold": fold, "y": part["y"].to_numpy(), "p": best.astype(np.int32)})
+
+    names = F.array(*[F.lit(x) for x in classes])
+    found = points.select("x", "y", "fold").mapInPandas(predict, "fold int, y int, p int")
+    counted = stored(found.groupBy("fold", "y", "p").agg(F.count(F.lit(1)).alias("n")))
+    points.unpersist()
+    cells = counted.select("fold", F.get(names, F.col("y")).alias("true_class"), F.get(names, F.col("p")).alias("predicted_class"), "n")
+    grid = full_grid(cells, ["fold"], classes)
+    return summary_report(class_report(grid, ["fold"]), ["fold"]).select("fold", "accuracy", "macro_f1")
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:

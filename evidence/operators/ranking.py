@@ -109,9 +109,11 @@ def paired_values(df: DataFrame, unit: str, domain: str, value: str, pairs: list
 
 #: Values of a group are cut into about so many slices of rows, and as many values that make a cut.
 SLICES = 128
+#: A group has fewer slices if they would hold less than so many rows.
+SLICE_ROWS = 4096
 
 
-def _cells(paired: DataFrame, by: list[str], slices: int) -> DataFrame:
+def _cells(paired: DataFrame, by: list[str], slices: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(_g, x, y, n, xs, ys), stored: counted pairs of values with the slices of both.
 
     Approximate quantiles cut the values of a group. A value that makes a cut is a slice of its own with an odd number, and the
@@ -121,7 +123,11 @@ def _cells(paired: DataFrame, by: list[str], slices: int) -> DataFrame:
     key = F.struct(*by).alias("_g")  # null groups stay groups
     rows = paired.where("x IS NOT NULL AND y IS NOT NULL").select(key, "x", "y")
     points = [i / slices for i in range(1, slices)]
-    cuts = stored(rows.groupBy("_g").agg(*[F.array_distinct(F.percentile_approx(c, points, 20 * slices)).alias(f"_{c}") for c in "xy"]))
+    edges = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(c, points, 20 * slices).alias(f"_{c}") for c in "xy"])
+    apart = F.greatest(F.lit(1), F.floor(F.lit(slices * slice_rows) / F.col("_n"))).cast("int")  # a small group keeps every so many cuts
+    cuts = stored(edges.withColumn("_apart", apart).select(
+        "_g", *[F.array_distinct(F.filter(f"_{c}", lambda _, i: (i + 1) % F.col("_apart") == 0)).alias(f"_{c}") for c in "xy"]
+    ))
     step = 1 << (slices.bit_length() - 1)
     steps = F.array(*[F.lit(step >> i) for i in range(step.bit_length())])
 
@@ -233,17 +239,17 @@ def _kendall(cells: DataFrame) -> DataFrame:
     )
 
 
-def spearman(paired: DataFrame, by: list[str], slices: int = SLICES) -> DataFrame:
+def spearman(paired: DataFrame, by: list[str], slices: int = SLICES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(by…, n, spearman_rho) over (by…, x, y): equal values share the mean of their ranks; null for constant values."""
-    return _spearman(_cells(paired, by, slices)).select("_g.*", "n", "spearman_rho")
+    return _spearman(_cells(paired, by, slices, slice_rows)).select("_g.*", "n", "spearman_rho")
 
 
-def kendall_tau_b(paired: DataFrame, by: list[str], slices: int = SLICES) -> DataFrame:
+def kendall_tau_b(paired: DataFrame, by: list[str], slices: int = SLICES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(by…, kendall_tau_b) over (by…, x, y); null where a side is constant."""
-    return _kendall(_cells(paired, by, slices)).select("_g.*", "kendall_tau_b")
+    return _kendall(_cells(paired, by, slices, slice_rows)).select("_g.*", "kendall_tau_b")
 
 
-def rank_correlations(paired: DataFrame, by: list[str], slices: int = SLICES) -> DataFrame:
+def rank_correlations(paired: DataFrame, by: list[str], slices: int = SLICES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(by…, n, spearman_rho, kendall_tau_b) from one table of counted and sliced pairs."""
-    cells = _cells(paired, by, slices)
+    cells = _cells(paired, by, slices, slice_rows)
     return _spearman(cells).join(_kendall(cells), "_g").select("_g.*", "n", "spearman_rho", "kendall_tau_b")
