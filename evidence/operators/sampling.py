@@ -90,17 +90,21 @@ def group_split(df: DataFrame, family: str, is_test: str, seed: int, share: floa
     """Keep the test rows, drop training rows related to them, split the other families.
 
     Whole families move together: the hash order runs over distinct families, and the first
-    floor(share · families) of them are training.
+    floor(share · families) of them are training. A row without a family is related to equal rows only, and is split
+    by a hash of all its columns; a null flag marks no test row.
     """
-    test = df.where(F.col(is_test))
-    families = df.groupBy(family).agg(F.max(F.col(is_test).cast("int")).alias("_in_test"))
-    free = families.where(F.col("_in_test") == 0).select(family)
-    ranked = hash_rank(free, [], stable_key(seed, F.col(family)), family, total="_total")
+    flagged = df.withColumn("_test", F.coalesce(F.col(is_test), F.lit(False)))
+    alone = F.concat(F.lit("row|"), F.sha2(F.to_json(F.struct(*[F.col(c).cast("string") for c in df.columns])), 256))
+    kept = flagged.withColumn("_family", F.coalesce(F.col(family).cast("string"), alone))
+    families = kept.groupBy("_family").agg(F.max(F.col("_test").cast("int")).alias("_in_test"))
+    free = families.where(F.col("_in_test") == 0).select("_family")
+    ranked = hash_rank(free, [], stable_key(seed, F.col("_family")), "_family", total="_total")
     assigned = ranked.select(
-        family, F.when(F.col("rank") <= F.floor(F.col("_total") * F.lit(share)), "train").otherwise("validation").alias("split")
+        "_family", F.when(F.col("rank") <= F.floor(F.col("_total") * F.lit(share)), "train").otherwise("validation").alias("split")
     )
-    rest = df.where(~F.col(is_test)).join(assigned, family)
-    return test.withColumn("split", F.lit("test")).unionByName(rest)
+    test = kept.where("_test").withColumn("split", F.lit("test"))
+    rest = kept.where("NOT _test").join(assigned, "_family").select(*test.columns)
+    return test.unionByName(rest).drop("_test", "_family")
 
 
 def stratified_folds(df: DataFrame, cls: str, item: str, k: int, seed: int) -> DataFrame:

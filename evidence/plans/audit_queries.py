@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidence.functions.hashing import text_digest
-from evidence.operators import dedup, gates
+from evidence.operators import dedup, families, gates, sampling
+from evidence.operators.scale import stored
 from evidence.plans.catalog import query, r, rounded, table, with_views
 from evidence.plans.views import CLASSES, LABELLED, SIGNATURES, TEXTS, labelled, signatures, text_table, texts
 
@@ -102,6 +103,39 @@ def hamming_self_join(spark, folder):
     return dedup.near_matches_within(signed(spark, folder), THRESHOLD, DIGESTS)
 
 
+_FAMILIES = f""",
+edges AS (
+  SELECT a.item_id AS a, b.item_id AS b FROM signatures a JOIN signatures b ON a.item_id <> b.item_id
+    AND (a.file_hash = b.file_hash OR a.content_hash = b.content_hash OR bit_count(xor(a.h, b.h)) <= {THRESHOLD})),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+found AS (SELECT s.item_id, s.domain, LEAST(s.item_id, COALESCE(MIN(r.b), s.item_id)) AS family
+          FROM signatures s LEFT JOIN reach r ON r.a = s.item_id GROUP BY s.item_id, s.domain)"""
+
+
+def _families(spark, folder):
+    return families.near_families(signed(spark, folder), "item_id", DIGESTS, "h", THRESHOLD)
+
+
+@query(with_views(SIGNATURES, body=_FAMILIES + """
+SELECT item_id, family, COUNT(*) OVER (PARTITION BY family) AS members FROM found""").replace("WITH", "WITH RECURSIVE", 1))
+def near_families(spark, folder):
+    found = stored(_families(spark, folder).select("item_id", "family"))
+    return found.join(found.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family")
+
+
+@query(with_views(SIGNATURES, body=_FAMILIES + """,
+grouped AS (SELECT family, MAX(CASE WHEN domain = 2 THEN 1 ELSE 0 END) AS in_test FROM found GROUP BY family),
+free AS (SELECT family, row_number() OVER (ORDER BY sha256('42|' || family), family) AS rank, COUNT(*) OVER () AS total FROM grouped WHERE in_test = 0)
+SELECT item_id, family, 'test' AS split FROM found WHERE domain = 2
+UNION ALL
+SELECT t.item_id, t.family, CASE WHEN f.rank <= floor(f.total * 0.85::DOUBLE) THEN 'train' ELSE 'validation' END
+FROM found t JOIN free f ON t.family = f.family WHERE t.domain <> 2""").replace("WITH", "WITH RECURSIVE", 1))
+def near_family_split(spark, folder):
+    """No family of copies or near copies has rows on two sides of the split."""
+    rows = stored(_families(spark, folder).select("item_id", "family", (F.col("domain") == 2).alias("is_test")))
+    return sampling.group_split(rows, "family", "is_test", 42).select("item_id", "family", "split")
+
+
 @query(with_views(SIGNATURES, body=_WITHIN + """
 SELECT distance, COUNT(*) AS signature_pairs, CAST(SUM(item_pairs) AS BIGINT) AS item_pairs FROM matches GROUP BY distance"""))
 def distance_histogram(spark, folder):
