@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidence.operators.metrics import OTHER, listed
 from evidence.operators.scale import fits_buffers, quantile_summary
@@ -85,3 +85,49 @@ def timing_summary(log: DataFrame, by: list[str], seconds: str) -> DataFrame:
     return log.groupBy(*by).agg(
         items.alias("items"), total.alias("total_seconds"), F.try_divide(total * 1000, items).alias("ms_per_item")
     )
+
+
+# --- profiles that grow ------------------------------------------------------------------
+
+#: Size of a sketch, and the share of a group's rows by which the rank of a quantile read from it may be off.
+SKETCH_K, RANK_ERROR = 800, 0.01
+
+
+def profile_states(df: DataFrame, by: list[str], columns: list[str], k: int = SKETCH_K) -> DataFrame:
+    """(by…, metric, n, mean, squares, minimum, maximum, sketch): what a profile keeps of some rows, to be stored per source or day.
+
+    ``squares`` is the sum of squared distances from the mean, ``sketch`` a mergeable quantile sketch of bounded size. Nulls are
+    not counted. One partially aggregated pass.
+    """
+    wide = df.groupBy(*by).agg(*[
+        F.struct(
+            F.lit(c).alias("metric"), F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("squares"),
+            F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.kll_sketch_agg_double(v, k).alias("sketch"),
+        ).alias(f"_s_{i}")
+        for i, (c, v) in enumerate((c, F.col(c).cast("double")) for c in columns)
+    ])
+    return wide.select(*by, F.explode(F.array(*[F.col(f"_s_{i}") for i in range(len(columns))])).alias("_s")).select(*by, "_s.*")
+
+
+def merge_states(states: DataFrame, by: list[str]) -> DataFrame:
+    """The states of coarser groups, as if all their rows had been read together; old states and new ones come as one table."""
+    held = states.where("n > 0")
+    mean = F.sum(F.col("n") * F.col("mean")).over(Window.partitionBy(*by, "metric")) / F.sum("n").over(Window.partitionBy(*by, "metric"))
+    around = held.withColumn("_mean", mean)
+    return around.groupBy(*by, "metric").agg(
+        F.sum("n").alias("n"), F.first("_mean").alias("mean"),
+        F.sum(F.col("squares") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), F.lit(2.0))).alias("squares"),
+        F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum"), F.kll_merge_agg_double("sketch").alias("sketch"),
+    )
+
+
+def describe_states(states: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """(by…, metric, n, mean, standard_deviation, minimum, maximum, a column per quantile) of stored states.
+
+    A quantile is a value of the group whose rank is within RANK_ERROR of the asked one (for the default sketch size);
+    where exact ones are asked, use :func:`describe`.
+    """
+    return states.where("n > 0").select(
+        *by, "metric", "n", "mean", F.sqrt(F.col("squares") / F.col("n")).alias("standard_deviation"), "minimum", "maximum",
+        *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in quantiles.items()],
+    )

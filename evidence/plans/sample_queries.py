@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidence.functions.vectors import scaled_logits, top2
 from evidence.operators import agreement, profile, ranking, sampling
+from evidence.operators.scale import stored
 from evidence.plans.catalog import query, r, rounded, table, with_views
 from evidence.plans.metric_queries import _DOMAIN_SUMMARY, _WIDE, _KEPT, _pair, domain_metrics
 from evidence.plans.views import (
@@ -329,6 +330,25 @@ def dimension_summary(spark, folder):
     return rounded(profile.dimension_summary(table(spark, folder, "lineitem"), ["l_returnflag"], "l_quantity", "l_linenumber"))
 
 
+@query("\nUNION ALL\n".join(f"""SELECT l_returnflag, '{c}' AS metric, COUNT(*) AS n, {r(f'AVG({c})', 'mean')},
+  {r(f'stddev_pop({c})', 'standard_deviation')}, {r(f'MIN({c})', 'minimum')}, {r(f'MAX({c})', 'maximum')}, TRUE AS within_bound
+FROM lineitem GROUP BY l_returnflag""" for c in ("l_quantity", "l_extendedprice")))
+def merged_profile(spark, folder):
+    """Profiles of line numbers stored apart and merged; the quantiles read from them are held against exact ranks."""
+    columns = ["l_quantity", "l_extendedprice"]
+    rows = table(spark, folder, "lineitem").select("l_returnflag", "l_linenumber", *columns)
+    parts = profile.profile_states(rows, ["l_returnflag", "l_linenumber"], columns)
+    points = {"p25": 0.25, "median": 0.5, "p95": 0.95}
+    told = stored(profile.describe_states(profile.merge_states(parts, ["l_returnflag"]), ["l_returnflag"], points))
+    long = rows.select("l_returnflag", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["l_returnflag"], columns, "metric", "value")
+    ranks = [
+        (F.avg((F.col("value") <= F.col(q)).cast("double")) >= p - profile.RANK_ERROR)
+        & (F.avg((F.col("value") < F.col(q)).cast("double")) <= p + profile.RANK_ERROR) for q, p in points.items()
+    ]
+    held = long.join(told, ["l_returnflag", "metric"]).groupBy("l_returnflag", "metric").agg((ranks[0] & ranks[1] & ranks[2]).alias("within_bound"))
+    return rounded(told.drop(*points).join(held, ["l_returnflag", "metric"]))
+
+
 @query(with_views(PREDICTIONS, body="""
 , long AS (
   SELECT system, predicted_class = true_class AS correct, unnest(['cosine', 'logit']) AS kind,
