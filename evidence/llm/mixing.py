@@ -80,17 +80,20 @@ def mix(
         .withColumn("_cdf", _distribution(F.col("rate") / F.col("_parts")))
         .select(F.col("source").alias("_source"), "_parts", "_cdf")
     )
-    wide = docs.select(*names).join(rates, F.col(source).eqNullSafe(F.col("_source")))
+    # the row travels as one column, so that its names meet no others
+    packed = docs.select(F.struct(*names).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_from"))
+    wide = packed.join(rates, F.col("_from").eqNullSafe(F.col("_source")))
     scale = float(2**KEY_BITS)
 
     def draw(part: Column) -> Column:
-        u = hash_key(seed, F.col(key), part) / scale
+        u = hash_key(seed, F.col("_key"), part) / scale
         return F.size(F.filter("_cdf", lambda c: c <= u))
 
     count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda acc, part: acc + draw(part))
     copies = wide.withColumn("_count", count).where("_count > 0").select(
-        *names, F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy")
-    ).withColumn("shuffle_key", hash_key(seed, "order", F.col(key), F.col("copy")))
+        "_row", "_key", F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy")
+    ).withColumn("shuffle_key", hash_key(seed, "order", F.col("_key"), F.col("copy")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.floor(F.col("shuffle_key") * parts / scale).cast("int")
-    return copies.repartitionById(parts, place).sortWithinPartitions("shuffle_key", key, "copy")
+    dealt = copies.repartitionById(parts, place).sortWithinPartitions("shuffle_key", "_key", "copy")
+    return dealt.select("_row.*", "copy", "shuffle_key")

@@ -268,7 +268,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame | None, key: str, text: str
     share = min(1.0, training_rows / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64(key, F.lit("lexicon")), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = drawn.groupBy(F.col(key).alias("_key")).agg(F.when(F.max(label) == 1, 1).otherwise(0).alias("bad"))
-    rows = stored(docs.join(F.broadcast(sample), F.col(key) == F.col("_key")).select(F.col(text).cast("string").alias("text"), "bad"))
+    rows = stored(_texts(docs, text, F.col(key).alias("_key")).join(F.broadcast(sample), "_key").select("text", "bad"))
 
     def units(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, text, hash of the word before) of every word and start."""
