@@ -18,6 +18,8 @@ from evidence.operators.scale import stored
 BANDS, ROWS = 20, 4
 #: Documents are near-duplicates from this similarity of their sets of five-word shingles on.
 SIMILARITY = 0.8
+#: Texts with one difference from their centre in common that are compared in pairs; more are compared with centres first.
+CROWD = 64
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -99,39 +101,123 @@ def sign(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = R
     return wide.mapInArrow(run, "id long, same binary, bands array<long>, packed binary")
 
 
-def verify(pairs: DataFrame, packed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) of the pairs whose sets of shingles are similar enough, from the whole texts of both."""
+def _beside(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """(a, b, left, right): pairs with the whole texts of both."""
     # only texts that are compared are joined; ids and pairs go to the texts while their counted rows are few
     needed = sent(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     texts = stored(packed.join(needed, "id", "left_semi"))
     pairs = sent(pairs)
     left = texts.select(F.col("id").alias("a"), F.col("packed").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("packed").alias("right"))
-    both = left.join(pairs, "a").join(right, "b").select("a", "b", "left", "right")
+    return left.join(pairs, "a").join(right, "b").select("a", "b", "left", "right")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Rows of (a, b, left, right) in parts of 200, with the distinct shingles of both texts of every row."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for start in range(0, batch.num_rows, 200):
+            part = batch.slice(start, 200)
+            ids = {}
+            for id_column, column in (("a", "left"), ("b", "right")):
+                for i, x in zip(part.column(id_column).to_pylist(), part.column(column)):
+                    if i not in ids:
+                        ids[i] = unpack(x.as_py())
+            t, h, _ = weighted(shingles(words(list(ids.values()))))
+            found = dict(zip(ids, np.split(h, np.searchsorted(t, np.arange(1, len(ids))))))
+            yield part, [(found[a], found[b]) for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist())]
 
-    def sets(texts: list[bytes]) -> list[np.ndarray]:
-        t, h, _ = weighted(shingles(words(texts)))
-        return np.split(h, np.searchsorted(t, np.arange(1, len(texts))))
+
+def verify(pairs: DataFrame, packed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) of the pairs whose sets of shingles are similar enough, from the whole texts of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                ids = {}
-                for id_column, column in (("a", "left"), ("b", "right")):
-                    for i, x in zip(part.column(id_column).to_pylist(), part.column(column)):
-                        if i not in ids:
-                            ids[i] = unpack(x.as_py())
-                found = dict(zip(ids, sets(list(ids.values()))))
-                keep = []
-                for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist()):
-                    x, y = found[a], found[b]
-                    common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                    keep.append(common >= similarity * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(keep)), part.column("b").filter(pa.array(keep))], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+        for part, both in _sets(batches):
+            keep = []
+            for x, y in both:
+                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(keep)), part.column("b").filter(pa.array(keep))], ["a", "b"])
+
+    return _beside(pairs, packed).mapInArrow(run, "a long, b long")
+
+
+def differences(near: DataFrame, packed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, centre, added, missing, size, linked) for pairs (id, centre).
+
+    The shingles that a text has beside its centre and those of the centre that it lacks, how many the centre has, and whether the
+    two are similar.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, both in _sets(batches):
+            added = [np.setdiff1d(x, o, assume_unique=True).view(np.int64) for x, o in both]
+            missing = [np.setdiff1d(o, x, assume_unique=True).view(np.int64) for x, o in both]
+            size = [len(o) for _, o in both]
+            linked = [n - len(m) >= similarity * (n + len(a)) for a, m, n in zip(added, missing, size)]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("a"), part.column("b"), pa.array(added, longs), pa.array(missing, longs), pa.array(size, pa.int64()), pa.array(linked, pa.bool_())],
+                ["id", "centre", "added", "missing", "size", "linked"],
+            )
+
+    pairs = near.select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    return _beside(pairs, packed).mapInArrow(run, "id long, centre long, added array<long>, missing array<long>, size long, linked boolean")
+
+
+def regroup(parts: DataFrame, labels: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(bucket, mixed, id, label, linked, added, a, m, size, n): texts of one centre that share a shingle by which they differ from it.
+
+    Let D be the symmetric difference of a text and the centre, A its added shingles, M the missing ones. If x and y are similar and y
+    is not similar to the centre, D(x) and D(y) have more than (|D(x)| - (1 - similarity) |A(x)|) / 2 shingles in
+    common: their symmetric difference is that of D(x) and D(y), at most (1 - similarity) |x u y|, and |D(y)| is more than
+    (1 - similarity) |y u centre|. So, in one order of all shingles, the first common one is among the
+    first |D(x)| less that number (the head). Two texts unlike the centre meet by their heads; one like the centre meets, by its head,
+    all of the difference of the other. Added shingles come before missing ones and rare before frequent.
+    If y is unlike the centre and x has no added shingle in common with y, similarity asks for |A(x)| < |M(x)|, the missing ones.
+    A bucket is one such shingle of one centre, n its texts, or the fewer of those like and unlike the centre. Only buckets with two classes that
+    may meet are given.
+    """
+    a, m = F.size("added"), F.size("missing")
+    common = F.floor((a + m - (1 - similarity) * a) / 2 - 1e-9)
+    kinds = F.array(
+        F.struct(F.lit(True).alias("plus"), F.col("added").alias("tokens")), F.struct(F.lit(False).alias("plus"), F.col("missing").alias("tokens"))
+    )
+    flat = parts.select("id", "centre", "size", "linked", a.alias("a"), m.alias("m"), (a + m - common).alias("head"), F.explode(kinds).alias("k"))
+    flat = stored(flat.select("id", "centre", "size", "linked", "a", "m", "head", "k.plus", F.explode("k.tokens").alias("token")))
+    often = flat.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("centre", "id").orderBy(F.desc("plus"), "often", "token")
+    placed = flat.join(often, ["centre", "token"]).withColumn("early", F.row_number().over(order) <= F.col("head")).where("often > 1")
+    # a text that meets one unlike the centre at missing shingles only lacks more than it adds: copies with changed words do not meet there
+    early = F.col("early") & (F.col("plus") | (F.col("a") < F.col("m")))
+    both, mixed, none = F.array(F.lit(True), F.lit(False)), F.array(F.lit(True)), F.array().cast("array<boolean>")
+    # mixed buckets hold the heads of texts like the centre and all differences of the others, the rest heads of texts unlike the centre
+    dealt = placed.withColumn("mixed", F.explode(F.when(F.col("linked"), F.when(early, mixed).otherwise(none)).otherwise(F.when(early, both).otherwise(mixed))))
+    dealt = stored(dealt.join(labels, "id").select(
+        F.xxhash64("centre", "token", "mixed").alias("bucket"), "mixed", "id", "label", "linked", F.col("plus").alias("added"), "a", "m", "size"
+    ))
+    counted = dealt.groupBy("bucket", "mixed").agg(
+        F.count(F.lit(1)).alias("all"), F.count_if("linked").alias("close"), F.min("label").alias("low"), F.max("label").alias("high")
+    ).where("low <> high and (not mixed or close between 1 and all - 1)")
+    n = F.when(F.col("mixed"), F.least("close", F.col("all") - F.col("close"))).otherwise(F.col("all")).alias("n")
+    return dealt.join(counted.select("bucket", n), "bucket")
+
+
+def within(groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): pairs of texts of one bucket and unlike classes that can be similar by their counts of shingles.
+
+    Two texts that share no added shingle, as those that first meet at a missing one, have
+    similarity * (A(x) + A(y)) + max(M) - similarity * min(M) <= (1 - similarity) * |centre|.
+    """
+    x = groups.select("bucket", "mixed", "added", "size", F.col("id").alias("a"), F.col("label").alias("left"), F.col("linked").alias("l"), F.col("a").alias("ax"), F.col("m").alias("mx"))
+    y = groups.select("bucket", F.col("id").alias("b"), F.col("label").alias("right"), F.col("linked").alias("r"), F.col("a").alias("ay"), F.col("m").alias("my"))
+    n, k = F.col("size") + F.col("ax") - F.col("mx"), F.col("size") + F.col("ay") - F.col("my")
+    high, low = F.greatest("mx", "my"), F.least("mx", "my")
+    alone = similarity * (F.col("ax") + F.col("ay")) + high - similarity * low <= (1 - similarity) * F.col("size") + 1e-6
+    may = (F.greatest(n, k) * similarity <= F.least(n, k) + 1e-6) & (F.col("added") | alone)
+    sides = F.when(F.col("mixed"), F.col("l") & ~F.col("r")).otherwise(F.col("a") < F.col("b"))
+    met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("left") != F.col("right")) & sides & may)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(
@@ -141,11 +227,13 @@ def classes(
 
     1. Each text gets a ProbMinHash signature over its weighted five-word shingles. Documents with the same words are folded to
        the smallest id, so copies cost one row.
-    2. Bands of equal registers make buckets. In a bucket, each class known so far sends one member to be compared with one
-       member of each class at the centre: one class at first, then two, four and so on. The whole texts decide (share of common
-       shingles), and links make classes. Former centres leave the bucket, and it is done when one class is left, so
-       each two of its classes were compared through members, whatever happens in other buckets.
-    3. Buckets are aggregated before they are joined, and a bucket with a third of all rows is joined by adaptive skew
+    2. Bands of equal registers make buckets. All members of a bucket are compared with its smallest id, the centre, by whole texts
+       (share of common shingles), and links make classes. Most buckets are then of one class and done.
+    3. Members of the others are compared with each other only if they differ from the centre by a common shingle,
+       which two similar texts must (see ``regroup``). What many texts have in common with the centre thus makes no pairs.
+       Up to ``CROWD`` texts with one such shingle are compared in pairs, more are a bucket of the next
+       turn, with two, four ... centres, so turns are few. Every two similar members of a bucket are compared, or in one class.
+    4. Buckets are aggregated before they are joined, and a bucket with a third of all rows is joined by adaptive skew
        splitting. Links and classes stay distributed.
 
     A text of one to four words has one shingle; null texts and texts without words are classes of their own. Rows that repeat an id
@@ -157,33 +245,46 @@ def classes(
     bucketed = signed.join(leaders, "id", "left_semi").select("id", F.explode("bands").alias("bucket")).distinct()
     shared = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = stored(bucketed.join(shared, "bucket").withColumn("label", F.col("id")))
+    packed = signed.select("id", "packed")
     links = tested = labels = None
-    turn = 0
-    while not members.isEmpty():
-        order = F.struct(F.xxhash64("id", F.lit(turn)), "id") if turn else F.struct(F.lit(0).cast("long"), F.col("id"))
-        picks = members.groupBy("bucket", "label").agg(F.min(order).alias("pick")).select("bucket", "label", F.col("pick.id").alias("pick"))
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("label"))
-        centres = stored(picks.withColumn("place", place).where(F.col("place") <= 2**turn).select("bucket", F.col("label").alias("centre"), F.col("pick").alias("c")))
-        a, b = F.col("pick"), F.col("c")
-        pairs = picks.join(centres, "bucket").where("label > centre").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal links, tested, labels
         if tested is not None:
             pairs = pairs.join(sent(tested), ["a", "b"], "left_anti")
         pairs = stored(pairs)
-        if not pairs.isEmpty():
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = stored(verify(pairs, signed.select("id", "packed"), similarity).distinct())
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                labels = components(links)
-        # centres were compared with every other class of their bucket and leave it
-        members = members.join(centres.select("bucket", F.col("centre").alias("label")), ["bucket", "label"], "left_anti").select("bucket", "id", "label")
-        if labels is not None:
-            known = sent(labels.select("id", F.col("label").alias("now")))
-            members = members.join(known, "id", "left").select("bucket", "id", F.coalesce("now", "label").alias("label"))
-        # classes only grow: a bucket whose members are of one class is done for good
-        members = stored(members)
-        still = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        members = stored(members.join(sent(stored(still.select("bucket"))), "bucket", "left_semi"))
+        if pairs.isEmpty():
+            return
+        tested = pairs if tested is None else stored(tested.unionByName(pairs))
+        found = stored(verify(pairs, packed, similarity).distinct())
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+
+    def relabelled(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows
+        known = sent(labels.select("id", F.col("label").alias("now")))
+        return rows.join(known, "id", "left").select(*[F.coalesce("now", "label").alias("label") if c == "label" else F.col(c) for c in rows.columns])
+
+    turn = 0
+    while not members.isEmpty():
+        slot = F.pmod(F.xxhash64("id"), F.lit(2**turn)).alias("slot")
+        centres = stored(members.groupBy("bucket", slot).agg(F.min(F.struct("id", "label")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.label").alias("own")))
+        met = members.join(centres, "bucket").where("label <> own")
+        compare(met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
+        # centres were compared with all others of their bucket and leave it; a bucket of one class is done for good, as classes only grow
+        members = stored(relabelled(members.join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "label")))
+        still = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        members = stored(members.join(sent(stored(still)), "bucket", "left_semi"))
+        if members.isEmpty():
+            break
+        least = centres.groupBy("bucket").agg(F.min("centre").alias("centre"))
+        near = stored(members.join(least, "bucket").select("id", "centre").distinct())
+        classed = stored(members.select("id", "label").distinct())
+        groups = stored(regroup(differences(near, packed, similarity), classed, similarity))
+        compare(within(groups.where(F.col("n") <= CROWD), similarity))
+        members = stored(relabelled(groups.where(F.col("n") > CROWD).select("bucket", "id", "label")))
         turn += 1
     named = copies.select("same", F.col("leader").alias("id"))
     if labels is not None:

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, with hard rows and with none."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -51,6 +52,71 @@ def test_bucket_of_three_where_the_larger_two_are_alike(spark):
     assert sorted(map(tuple, got)) == [(1, 1), (2, 2), (3, 2)]
 
 
+def classes_by_brute_force(rows, similarity=0.8):
+    sets = {i: shingle_set(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in sets}
+
+
+def around(seed, kinds):
+    """Variants of one text: changed words, cut ends, an own half, and variants of these."""
+    draw = random.Random(seed)
+    base = passage(seed, 90).split(" ")
+    rows = [base]
+    for k in range(kinds):
+        own = list(draw.choice(rows[:6]))
+        for _ in range(draw.choice([1, 2, 3, 4])):
+            own[draw.randrange(len(own))] = f"w{draw.randrange(40)}"
+        cut = draw.choice([0, 0, 4, 9, 15, 20])
+        own = own[cut:] if k % 2 else own[: len(own) - cut]
+        if k % 5 == 0:
+            own = own[:50] + passage(seed + 1000 + k % 3, 45).split(" ")
+        rows.append(own)
+    return [(i, " ".join(w)) for i, w in enumerate(rows, 1)]
+
+
+@pytest.mark.parametrize("crowd", [3, 64])
+def test_all_in_one_bucket_equals_brute_force(spark, monkeypatch, crowd):
+    # every text in the same bucket: what the differences from the centres leave out must be unlike
+    monkeypatch.setattr(near_dedup, "band_keys", lambda signature, bands, rows: np.ones((len(signature), bands), np.int64))
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    rows = around(crowd + 1, 40 if crowd < 64 else 120)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(spark, rows), bands=1, rows=1).collect()}
+    want = classes_by_brute_force(rows)
+    assert len(set(want.values())) > 5 and got == want
+
+
+def test_texts_with_much_in_common_make_few_pairs(spark, monkeypatch):
+    # 300 texts share half of their words, or are copies of one text with a tenth of the words changed: all in one bucket
+    seen = []
+    check = near_dedup.verify
+    monkeypatch.setattr(near_dedup, "band_keys", lambda signature, bands, rows: np.ones((len(signature), bands), np.int64))
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, *a: seen.append(pairs.count()) or check(pairs, *a))
+    base, draw = passage(50, 100).split(" "), random.Random(7)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        own = list(base)
+        if i % 2:
+            own[50:] = passage(2000 + i, 50).split(" ")
+        else:
+            for k in draw.sample(range(100), 5):
+                own[k] = f"w{i}x{k}"
+        rows.append((i, " ".join(own)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(spark, rows), bands=1, rows=1).collect()}
+    assert got == classes_by_brute_force(rows) and sum(seen) < 3 * len(rows)
+
+
 def test_keep_one(spark):
     docs = documents(spark)
     kept = near_dedup.keep_one(docs)
