@@ -175,24 +175,28 @@ def regroup(parts: DataFrame, labels: DataFrame, similarity: float = SIMILARITY)
     first |D(x)| less that number (the head). Two texts unlike the centre meet by their heads; one like the centre meets, by its head,
     all of the difference of the other. Added shingles come before missing ones and rare before frequent.
     If y is unlike the centre and x has no added shingle in common with y, similarity asks for |A(x)| < |M(x)|, the missing ones.
+    A text of n shingles shares one of its first (1 - similarity) n + 1 with every similar text, whatever the order. Where it adds so many to the
+    centre, its head is these only, against the heads of other such texts and all added shingles of the rest.
     A bucket is one such shingle of one centre, n its texts, or the fewer of those like and unlike the centre. Only buckets with two classes that
     may meet are given.
     """
     a, m = F.size("added"), F.size("missing")
     common = F.floor((a + m - (1 - similarity) * a) / 2 - 1e-9)
+    first = F.floor((1 - similarity) * (F.col("size") + a - m) + 1e-9) + 1
+    head = F.when(a >= first, first).otherwise(F.greatest(a + m - common, a)).alias("head")
     kinds = F.array(
         F.struct(F.lit(True).alias("plus"), F.col("added").alias("tokens")), F.struct(F.lit(False).alias("plus"), F.col("missing").alias("tokens"))
     )
-    flat = parts.select("id", "centre", "size", "linked", a.alias("a"), m.alias("m"), (a + m - common).alias("head"), F.explode(kinds).alias("k"))
-    flat = stored(flat.select("id", "centre", "size", "linked", "a", "m", "head", "k.plus", F.explode("k.tokens").alias("token")))
+    flat = parts.select("id", "centre", "size", "linked", a.alias("a"), m.alias("m"), head, (a >= first).alias("own"), F.explode(kinds).alias("k"))
+    flat = stored(flat.select("id", "centre", "size", "linked", "a", "m", "head", "own", "k.plus", F.explode("k.tokens").alias("token")))
     often = flat.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy("centre", "id").orderBy(F.desc("plus"), "often", "token")
     placed = flat.join(often, ["centre", "token"]).withColumn("early", F.row_number().over(order) <= F.col("head")).where("often > 1")
     # a text that meets one unlike the centre at missing shingles only lacks more than it adds: copies with changed words do not meet there
     early = F.col("early") & (F.col("plus") | (F.col("a") < F.col("m")))
     both, mixed, none = F.array(F.lit(True), F.lit(False)), F.array(F.lit(True)), F.array().cast("array<boolean>")
-    # mixed buckets hold the heads of texts like the centre and all differences of the others, the rest heads of texts unlike the centre
-    dealt = placed.withColumn("mixed", F.explode(F.when(F.col("linked"), F.when(early, mixed).otherwise(none)).otherwise(F.when(early, both).otherwise(mixed))))
+    # mixed buckets hold the heads of texts like the centre and those of the others, or all their differences where they add little, the rest heads of texts unlike the centre
+    dealt = placed.withColumn("mixed", F.explode(F.when(F.col("linked"), F.when(early, mixed).otherwise(none)).otherwise(F.when(early, both).when(F.col("own"), none).otherwise(mixed))))
     dealt = stored(dealt.join(labels, "id").select(
         F.xxhash64("centre", "token", "mixed").alias("bucket"), "mixed", "id", "label", "linked", F.col("plus").alias("added"), "a", "m", "size"
     ))
