@@ -42,25 +42,18 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     """(centre, left, right): all parts i..j with left <= i <= centre <= j <= right have their smallest hash at the centre.
 
     These are the nodes of the Cartesian tree over the hashes, with the spans of their subtrees, and together they hold every part
-    of the sequence. Only spans of ``least`` places or more are given. Their centres are the minima of parts of that
-    length; the nearest smaller hash on either side bounds the span and is found by steps of powers of two over range
-    minima. Of equal hashes the leftmost counts as the smallest. A hash of 0 ends a text.
+    of the sequence. Only spans of ``least`` places or more are given. A place is a centre if it is the minimum of some part
+    of that length, that is if the largest of the minima of the parts around it is its own hash; the nearest smaller hash
+    on either side bounds the span and is found by steps of powers of two over range minima. Of equal hashes the
+    leftmost counts as the smallest, so each of a row of equal minima has a span of its own. A hash of 0 ends a text.
     """
     empty = np.zeros(0, np.int64)
     low = sliding_min(hashes, least)
-    inside = np.flatnonzero(low > 0)
-    if not len(inside):
+    if not low.any():
         return empty, empty, empty
-    value = low[inside]
-    new = np.concatenate([[True], (value[1:] != value[:-1]) | (np.diff(inside) > 1)])
-    first, last = inside[new], inside[np.append(np.flatnonzero(new)[1:] - 1, len(inside) - 1)]
-    views = np.lib.stride_tricks.sliding_window_view(hashes, least)
-    found = []
-    for start in (first, last):
-        for a in range(0, len(start), 16384):
-            part = start[a : a + 16384]
-            found.append((views[part] == low[part, None]).argmax(axis=1) + part)
-    centre = np.unique(np.concatenate(found))
+    sides = np.zeros(least - 1, np.uint64)
+    highest = ~sliding_min(~np.concatenate([sides, low, sides]), least)
+    centre = np.flatnonzero((highest == hashes) & (hashes > 0))
     stops = np.flatnonzero(hashes == 0)
     longest = int(np.diff(np.concatenate([[-1], stops, [len(hashes)]])).max())
     levels = [hashes]
@@ -203,16 +196,12 @@ def _alikes(x: np.ndarray, y: np.ndarray, spans: np.ndarray, p: int, q: int, siz
     return common / (s + t - common)
 
 
-def _verbatim(x: np.ndarray, y: np.ndarray, p: int, q: int, same: bool) -> tuple[int, int, int, int]:
-    """The longest equal runs around two places; in one text they do not overlap."""
+def _verbatim(x: np.ndarray, y: np.ndarray, p: int, q: int) -> tuple[int, int, int, int]:
+    """The longest equal runs around two places."""
     n, m = min(p, q) + 1, min(len(x) - p, len(y) - q)
-    if same:
-        n, m = min(n, abs(p - q)), min(m, abs(p - q))
     back, ahead = x[p - n + 1 : p + 1][::-1] == y[q - n + 1 : q + 1][::-1], x[p : p + m] == y[q : q + m]
     left = n if back.all() else int(np.argmin(back))
     right = m if ahead.all() else int(np.argmin(ahead))
-    if same:
-        right = min(right, abs(p - q) - left + 1)
     return p - left + 1, p + right - 1, q - left + 1, q + right - 1
 
 
@@ -225,6 +214,9 @@ def common_passages(
     about m * (1 / similarity - 1) unmatched ones beside m matched ones: so wide may a gap be, and so far may places shift by words
     added or left out. Of the growing spans the largest whose sets of shingles are similar enough on both sides counts;
     last comes the run of equal shingles. Places inside a passage that was found, or a run that was tried, are not tried again.
+
+    In one text (``same``) places nearer than the words of a passage are no repeat. Passages do not overlap, but for a run of equal
+    shingles in a periodic text: it may run on into itself, as each part of it is equal to one that lies far enough before.
     """
     found: list[tuple[int, int, int, int, float]] = []
     tried: list[tuple[int, int, int, int]] = []
@@ -236,7 +228,9 @@ def common_passages(
     for p, q in sorted(places):
         if any(a <= p <= b and c <= q <= d and abs((p - q) - (a - c)) <= band for a, b, c, d in tried):
             continue
-        run = _verbatim(x, y, p, q, same)
+        if same and abs(p - q) < least + SHINGLE - 1:
+            continue
+        run = _verbatim(x, y, p, q)
         options = []
         for width in (band, BAND):
             partner = _partners(ranks, p - q, min(width, abs(p - q) - 1) if same else width)
@@ -245,12 +239,12 @@ def common_passages(
             spans = np.column_stack([span, np.minimum.accumulate(np.minimum(partner[span[:, 0]], q)), np.maximum.accumulate(np.maximum(partner[span[:, 1]], q))])
             fits = np.minimum(span[:, 1] - span[:, 0], spans[:, 3] - spans[:, 2]) + 1 >= least
             if same:
-                fits &= (spans[:, 1] < spans[:, 2]) | (spans[:, 3] < spans[:, 0])
+                fits &= (spans[:, 1] + SHINGLE <= spans[:, 2]) | (spans[:, 3] + SHINGLE <= spans[:, 0])
             if fits.any():
                 alike = _alikes(*codes, spans, p, q, size)
                 good = np.flatnonzero(fits & (alike >= similarity))
                 options += [(*spans[i].tolist(), float(alike[i])) for i in good[-1:]]
-        if not options and min(run[1] - run[0], run[3] - run[2]) + 1 >= least:
+        if (same or not options) and min(run[1] - run[0], run[3] - run[2]) + 1 >= least:
             options = [(*run, 1.0)]
         if options:
             found.append(max(options, key=lambda o: o[1] - o[0]))

@@ -207,6 +207,30 @@ def test_passages_whose_first_document_holds_a_part(spark, monkeypatch, crowd):
     assert got == {21: [(80, 60, 20, 1.0)], 23: [(60, 60, 22, 1.0)], 81: [(50, 60, 80, 1.0)], 82: [(50, 60, 80, 1.0)]}
 
 
+def test_verbatim_windows_are_covered(spark):
+    # every 50 words that stand in an earlier document, or earlier in the same without overlap, lie in a row: also where texts are periodic
+    block, line = passage(70, 30), passage(71, 55)
+    rows = [
+        (1, f"{passage(72, 9)} {' '.join([block] * 5)} {passage(73, 20)}"), (2, "again " * 400), (3, f"{passage(74, 40)} {' '.join(['again'] * 130)}"),
+        (4, f"{line} {passage(75, 70)} {line} {passage(76, 30)} {line}"), (5, f"{passage(77, 12)} {' '.join([block] * 3)} {line}"),
+        (6, " ".join([passage(78, 7)] * 40)), (7, passage(79, 300)), (8, f"{passage(80, 60)} {passage(78, 7)} {passage(81, 60)}"),
+    ]
+    cover = defaultdict(set)
+    for r in near_passages.near_passages(documents(spark, rows)).collect():
+        cover[r["doc_id"]].update(range(r["start_word"], r["start_word"] + r["n_words"] - 49))
+    seen, missed, repeated = {}, [], 0
+    for key, text in rows:
+        split = text.split()
+        for p in range(len(split) - 49):
+            first = seen.setdefault(tuple(split[p : p + 50]), (key, p))
+            if first[0] < key or first[1] <= p - 50:
+                repeated += 1
+                if p not in cover[key]:
+                    missed.append((key, p, first))
+    assert repeated > 600 and missed == []
+    assert not cover[7] and not cover[8]
+
+
 def test_passages_with_words_put_in_or_taken_out():
     hashes = lambda w: near_passages.shingles(near_passages.words([" ".join(w).encode()])).hash
     for n in (70, 90):
@@ -235,11 +259,12 @@ def test_two_signatures_agree_on_near_passages():
     assert missed <= 1
 
 
-def test_compact_windows_hold_all_parts():
+@pytest.mark.parametrize("values", [60, 8, 2])
+def test_compact_windows_hold_all_parts(values):
     draw = np.random.default_rng(4)
     for _ in range(100):
         n, least = int(draw.integers(1, 60)), int(draw.integers(2, 9))
-        h = draw.permutation(np.arange(1, n + 1)).astype(np.uint64)
+        h = (draw.permutation(np.arange(n)) % values + 1).astype(np.uint64)
         h[draw.integers(0, n, 2)] = 0
         found = set(zip(*(x.tolist() for x in near_passages.compact_windows(h, least))))
         for i in range(n):
