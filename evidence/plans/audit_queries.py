@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidence.functions.hashing import text_digest
-from evidence.operators import dedup, families, gates, sampling
+from evidence.operators import dedup, families, fingerprints, gates, sampling
 from evidence.operators.scale import stored
 from evidence.plans.catalog import query, r, rounded, table, with_views
 from evidence.plans.views import CLASSES, LABELLED, SIGNATURES, TEXTS, labelled, signatures, text_table, texts
@@ -298,3 +298,42 @@ def registered_counts(spark, folder):
     items = labelled(spark, folder)
     counts = lambda d: items.where(F.col("domain") == d).groupBy("true_class").agg(F.count(F.lit(1)).alias("n"))
     return gates.multiset_difference(counts(1), counts(2))
+
+
+_CHANGED = """WITH changed AS (
+  SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 997 = 3 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_totalprice
+  FROM orders WHERE o_orderkey % 1009 <> 5
+  UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 1013 = 7),
+plain AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders)"""
+_ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+
+
+def _changed(spark, folder):
+    """The orders, and a copy with values set to null, rows left out and rows that occur twice."""
+    orders = table(spark, folder, "orders").select(*_ORDER)
+    status = F.when(F.col("o_orderkey") % 997 != 3, F.col("o_orderstatus")).alias("o_orderstatus")
+    copy = orders.where("o_orderkey % 1009 <> 5").select("o_orderkey", "o_custkey", status, "o_totalprice")
+    return orders, copy.unionAll(orders.where("o_orderkey % 1013 = 7"))
+
+
+@query(_CHANGED + """
+SELECT *, 'left_only' AS side FROM (SELECT * FROM plain EXCEPT ALL SELECT * FROM changed)
+UNION ALL SELECT *, 'right_only' FROM (SELECT * FROM changed EXCEPT ALL SELECT * FROM plain)""")
+def table_changes(spark, folder):
+    """Rows in which two tables differ, found through unequal branches of their fingerprints."""
+    return fingerprints.differing_rows(*_changed(spark, folder), _ORDER)
+
+
+@query(_CHANGED + """
+SELECT 'copy' AS compared, COUNT(*) AS left_rows, COUNT(*) AS right_rows, 'EQUAL' AS status FROM plain
+UNION ALL SELECT 'changed', (SELECT COUNT(*) FROM plain), (SELECT COUNT(*) FROM changed),
+  CASE WHEN EXISTS (FROM plain EXCEPT ALL FROM changed) OR EXISTS (FROM changed EXCEPT ALL FROM plain) THEN 'DIFFERENT' ELSE 'EQUAL' END""")
+def table_equality(spark, folder):
+    """The orders against a copy in another order, and against a changed one."""
+    orders, changed = _changed(spark, folder)
+    moved = orders.repartition(7, "o_custkey").sortWithinPartitions(F.desc("o_totalprice"))
+    pairs = {"copy": moved, "changed": changed}
+    first, second = (
+        fingerprints.equality(orders, other, _ORDER).select(F.lit(name).alias("compared"), "*") for name, other in pairs.items()
+    )
+    return first.unionAll(second)
