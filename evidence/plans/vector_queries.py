@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from evidence.functions.labels import factor_a, factor_b
 from evidence.functions.signatures import signature_from_coefficients
-from evidence.operators import bootstrap, geometry, metrics, ranking, retrieval, sampling
+from evidence.operators import bootstrap, geometry, metrics, ranking, retrieval, sampling, subspace
+from evidence.operators.scale import stored
 from evidence.plans.catalog import query, r, rounded, with_views
 from evidence.plans.metric_queries import _PAIRED, _grid, _report, _summary, beacon_pair
 from evidence.plans.views import CLASSES, PREDICTIONS, VECTOR_ROWS, VECTORS, predictions, vectors
@@ -395,3 +396,15 @@ def bootstrap_directions_hash(spark, folder):
 @query()
 def pca_ratio(spark, folder):
     return rounded(geometry.pca_ratio(vectors(spark, folder), ["class"], "vec_id", 200))
+
+
+@query()
+def pca_external(spark, folder):
+    """Axes of a balanced sample of the source domain, and all rows of all domains on them."""
+    rows = vectors(spark, folder)
+    source = stored(sampling.hash_sample(rows.where("domain = 0").select("class", "vec_id", "v"), ["class"], "vec_id", 200, 42))
+    axes = subspace.principal_axes(source, 2)
+    p = subspace.on_axes(axes, "v")
+    return rounded(rows.select("vec_id", "domain", "class", p.alias("p")).select(
+        "vec_id", "domain", "class", F.col("p")[0].alias("first"), F.col("p")[1].alias("second")
+    ))
