@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,11 +16,11 @@ from evidence.llm.shingles import in_batches, mix
 from evidence.llm.suffix_array import permuted_prefixes, suffix_array
 from evidence.operators.scale import stored
 
-#: Bytes of a repeated string, and of the strings inside whose smallest hash stands for it.
-WINDOW, ANCHOR = 100, 24
+#: Bytes of a repeated string, and of the strings inside whose smallest hash stands for it; longer ones where many passages share an anchor.
+WINDOW, ANCHOR, LONGER = 100, 24, 72
 #: Bytes of texts that a worker hashes together, beyond one whole text: some 150 bytes of memory each.
 BATCH_BYTES = 700_000
-#: Mean bytes of one suffix array, and different passages of one anchor from which on they are spread over several arrays.
+#: Mean bytes of one suffix array, and different passages of one anchor from which on they are told apart by longer anchors.
 SHARD_BYTES, CROWD = 400_000, 1000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -158,6 +159,26 @@ def cut_passages(packed: DataFrame, wanted: DataFrame, window: int) -> DataFrame
     )
 
 
+def shorter_passages(pieces: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The passages (doc, start, n, key, bytes) cut again at longer anchors: (doc, start, n, anchor, content, repeats).
+
+    The new anchor is that of the old key and the longer string together, so equal windows of one old anchor still meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def then(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+            text, start, count, key, content, repeats = passages([t or b"" for t in texts], window, anchor)
+            doc, begin, old = (batch.column(i).to_numpy()[text] for i in range(3))
+            key = mix(mix(old.view(np.uint64)) ^ key.view(np.uint64)).view(np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (doc, begin + start, count, key, content, repeats)], ["doc", "start", "n", "anchor", "content", "repeats"]
+            )
+
+        yield from in_batches(batches, "bytes", then, BATCH_BYTES)
+
+    return pieces.select("doc", "start", "key", "bytes").mapInArrow(run, "doc long, start long, n long, anchor long, content long, repeats boolean")
+
+
 def repeats_in_shard(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     """Windows of a shard that start earlier in it, as runs (doc, start, n); firsts of crowded anchors with a digest.
 
@@ -206,35 +227,48 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, window: int = WINDOW, anc
        passages of equal anchors, so only passages whose anchor occurs twice go on.
     2. Passages of equal content are folded: all but the first consist of repeats. A passage that a third of all
        documents share costs one row a task.
-    3. Different passages with one anchor go to a shard together, and a suffix array of the shard finds their equal windows. An
-       anchor with very many different passages is spread over shards, and the windows left there are compared
-       by digest, one row per shard and window.
+    3. Different passages with one anchor go to a shard together, and a suffix array of the shard finds their equal windows.
+    4. Where very many different passages have one anchor (a frequent phrase) they are cut again at the smallest hash of longer strings
+       inside, and steps 1 to 3 are repeated: most have no other passage with that string. What is left of
+       crowds around one long string is spread over shards, and the windows left there are compared by digest, one
+       row per shard and window.
     """
-    rows = all_passages(docs, window, anchor)
-    often = rows.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor", F.lit(True).alias("often"))
-    candidates = stored(rows.join(often, "anchor", "left").where("often OR repeats").drop("often"))
-    first = F.min(F.struct("doc", "start")).alias("first")
-    leaders = stored(
-        candidates.groupBy("anchor", "content").agg(first, F.first("n").alias("n"), F.max("repeats").alias("repeats"))
-    )
     place = F.struct("doc", "start")
-    copies = candidates.join(leaders.select("anchor", "content", "first"), ["anchor", "content"]).where(place != F.col("first"))
-    groups = leaders.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))
-    alike = leaders.join(groups, "anchor").where("different > 1 OR repeats")
-    salt = F.pmod(F.xxhash64("content"), F.ceil(F.col("different") / CROWD))
-    wanted = stored(alike.select(
-        F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "n",
-        F.xxhash64("anchor", salt).alias("key"), (F.col("different") > CROWD).alias("crowd"),
-    ))
-    size = wanted.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, size // SHARD_BYTES)
-    pieces = cut_passages(packed, wanted, window).withColumn("shard", F.pmod("key", F.lit(shards)))
+    longer = [size for size in (LONGER,) if anchor < size < window]
+    rows, copies, wanted = all_passages(docs, window, anchor), [], []
+    for size in [*longer, None]:
+        often = rows.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor", F.lit(True).alias("often"))
+        candidates = stored(rows.join(often, "anchor", "left").where("often OR repeats").drop("often"))
+        leaders = stored(candidates.groupBy("anchor", "content").agg(
+            F.min(place).alias("first"), F.first("n").alias("n"), F.max("repeats").alias("repeats")
+        ))
+        copies.append(
+            candidates.join(leaders.select("anchor", "content", "first"), ["anchor", "content"]).where(place != F.col("first")).select("doc", "start", "n")
+        )
+        groups = leaders.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))
+        alike = leaders.join(groups, "anchor").where("different > 1 OR repeats")
+        crowd, salt = F.col("different") > CROWD, F.pmod(F.xxhash64("content"), F.ceil(F.col("different") / CROWD))
+        alike = stored(alike.select(
+            F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "n",
+            F.when(crowd & F.lit(size is None), F.xxhash64("anchor", salt)).otherwise(F.col("anchor")).alias("key"), crowd.alias("crowd"),
+        ))
+        crowded = alike.where("crowd")
+        if size is None or crowded.isEmpty():
+            wanted.append(alike)
+            break
+        wanted.append(alike.where("NOT crowd"))
+        rows = shorter_passages(cut_passages(packed, crowded, window), window, size)
+    wanted = stored(reduce(DataFrame.unionByName, wanted))
+    copies = reduce(DataFrame.unionByName, copies)
+    total = wanted.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("n")).first()["n"]
+    shards = max(1, total // SHARD_BYTES)
+    pieces = cut_passages(packed, wanted, window).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     found = stored(pieces.groupBy("shard").applyInPandas(
         lambda rows: repeats_in_shard(rows, window), "doc long, start long, n long, digest binary"
     ))
     earliest = Window.partitionBy("digest")
     loose = found.where("digest IS NOT NULL").withColumn("first", F.min(place).over(earliest)).where(place != F.col("first"))
-    return copies.select("doc", "start", "n").unionByName(found.where("digest IS NULL").select("doc", "start", "n")).unionByName(
+    return copies.unionByName(found.where("digest IS NULL").select("doc", "start", "n")).unionByName(
         loose.select("doc", "start", "n")
     )
 

@@ -163,6 +163,21 @@ def test_substrings_equal_brute_force(spark, monkeypatch, crowd):
     assert sorted(map(tuple, got), key=str) == sorted(removed_by_brute_force(rows, 100), key=str)
 
 
+def test_a_phrase_of_many_passages_is_told_apart_by_longer_strings(spark, monkeypatch):
+    # one phrase in 60 documents, with other words around it, with equal ones on one side, and twice in a document
+    monkeypatch.setattr(substring_dedup, "CROWD", 8)
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 3000)
+    phrase, tail = passage(900, 6), passage(901, 25)
+    rows = [(i, f"{passage(910 + i, 30)} {phrase} {tail if i % 3 == 0 else passage(1000 + i, 30)}") for i in range(60)]
+    rows += [(100 + i, f"{phrase} {phrase[:-1]}{i} {phrase} {passage(1100, 30)} {phrase}") for i in range(12)]
+    got = substring_dedup.remove_repeats(documents(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(removed_by_brute_force(rows, 100))
+    # every window lies in a passage, also after it is cut again
+    pieces = [t.encode() for _, t in rows]
+    text, start, count, *_ = substring_dedup.passages(pieces, 100, substring_dedup.LONGER)
+    assert np.bincount(text, count).tolist() == [max(0, len(t) - 99) for t in pieces]
+
+
 def test_suffix_array_and_prefixes():
     draw = np.random.default_rng(1)
     for trial in range(300):
