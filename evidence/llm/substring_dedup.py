@@ -133,50 +133,44 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, packed binary")
 
 
-def cut_passages(packed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Rows of ``wanted`` (doc, start, n, key, crowd) with the bytes of their passages."""
+def cut_passages(packed: DataFrame, wanted: DataFrame, window: int, anchor: int | None = None) -> DataFrame:
+    """Rows of ``wanted`` (doc, start, n, key, crowd) with the bytes of their passages.
+
+    With ``anchor`` they are cut again at longer anchors instead, in the same task: (doc, start, n, anchor, content, repeats). The
+    new anchor is that of the old key and the longer string together, so equal windows of one old anchor still meet.
+    """
     cuts = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "key", "crowd")).alias("cuts"))
+    most = 8_000_000 if anchor is None else BATCH_BYTES
+
+    def whole(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(dict(zip(["doc", "start", "n", "key", "crowd", "bytes"], zip(*rows))))
+
+    def again(rows: list[tuple]) -> pa.RecordBatch:
+        doc, begin, _, old, _, pieces = zip(*rows)
+        text, start, count, key, content, repeats = passages(list(pieces), window, anchor)
+        doc, begin, old = (np.array(x, np.int64)[text] for x in (doc, begin, old))
+        key = mix(mix(old.view(np.uint64)) ^ key.view(np.uint64)).view(np.int64)
+        columns = {"doc": doc, "start": begin + start, "n": count, "anchor": key, "content": content, "repeats": repeats}
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        names = ["doc", "start", "n", "key", "crowd", "bytes"]
+        unpack, out = zstandard.ZstdDecompressor().decompress, whole if anchor is None else again
+        rows, held = [], 0
         for batch in batches:
-            rows, held = [], 0
             for doc, data, cuts in zip(*(batch.column(i) for i in range(3))):
                 text = unpack(data.as_py())
                 for c in cuts.as_py():
                     piece = text[c["start"] : c["start"] + c["n"] + window - 1]
                     rows.append((doc.as_py(), c["start"], c["n"], c["key"], c["crowd"], piece))
                     held += len(piece)
-                if held > 8_000_000:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))))
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))))
-
-    return packed.join(cuts, "doc").select("doc", "packed", "cuts").mapInArrow(
-        run, "doc long, start long, n long, key long, crowd boolean, bytes binary"
-    )
-
-
-def shorter_passages(pieces: DataFrame, window: int, anchor: int) -> DataFrame:
-    """The passages (doc, start, n, key, bytes) cut again at longer anchors: (doc, start, n, anchor, content, repeats).
-
-    The new anchor is that of the old key and the longer string together, so equal windows of one old anchor still meet.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def then(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-            text, start, count, key, content, repeats = passages([t or b"" for t in texts], window, anchor)
-            doc, begin, old = (batch.column(i).to_numpy()[text] for i in range(3))
-            key = mix(mix(old.view(np.uint64)) ^ key.view(np.uint64)).view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (doc, begin + start, count, key, content, repeats)], ["doc", "start", "n", "anchor", "content", "repeats"]
-            )
-
-        yield from in_batches(batches, "bytes", then, BATCH_BYTES)
+                    if held > most:
+                        yield out(rows)
+                        rows, held = [], 0
+        if rows:
+            yield out(rows)
 
-    return pieces.select("doc", "start", "key", "bytes").mapInArrow(run, "doc long, start long, n long, anchor long, content long, repeats boolean")
+    kept = "key long, crowd boolean, bytes binary" if anchor is None else "anchor long, content long, repeats boolean"
+    return packed.join(cuts, "doc").select("doc", "packed", "cuts").mapInArrow(run, f"doc long, start long, n long, {kept}")
 
 
 def repeats_in_shard(rows: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -257,7 +251,7 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, window: int = WINDOW, anc
             wanted.append(alike)
             break
         wanted.append(alike.where("NOT crowd"))
-        rows = shorter_passages(cut_passages(packed, crowded, window), window, size)
+        rows = cut_passages(packed, crowded, window, size)
     wanted = stored(reduce(DataFrame.unionByName, wanted))
     copies = reduce(DataFrame.unionByName, copies)
     total = wanted.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("n")).first()["n"]
