@@ -75,8 +75,8 @@ class Vocabulary:
 
     @cached_property
     def starts_at_space(self) -> bool:
-        """No piece goes on past the start of a word, so all paths meet there."""
-        return not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
+        """No piece goes on past the start of a word or past either side of a line end, so all paths meet there."""
+        return not any(SPACE in p.lstrip(SPACE) or ("\n" in p and p.lstrip(SPACE) != "\n") for p in self.pieces)
 
 
 def segment(text: str, vocabulary: Vocabulary) -> Iterator[int]:

@@ -381,6 +381,20 @@ def test_pieces_equal_full_search_and_round_trip(spark):
             assert rows[i]["ids"] == best_pieces(escaped, v) == list(pieces.segment(escaped, v))
 
 
+@pytest.mark.parametrize("names, cut", [(["a", "b", "▁a", "▁\n", "\n", "▁▁"], True), (["a", "b", "a\n"], False), (["a", "\nb"], False), (["a", "a▁b"], False)])
+def test_texts_are_cut_only_where_no_piece_crosses(names, cut):
+    singles = ["a", "b", "▁", "\n"]
+    names = [*names, *[c for c in singles if c not in names]]
+    ids = {p: 256 + i for i, p in enumerate(names)}
+    scores = [0.0] * 256 + [-1.0 * (len(p) == 1) - 0.5 for p in names]
+    small = pieces.Vocabulary(ids, scores, list(range(256)), [bytes([i]) for i in range(256)] + [p.replace("▁", " ").encode() for p in names], True)
+    assert small.starts_at_space == cut
+    for text in ("a\nb a b", "ab\n a\n\nb  a", "\n", "a b\nb"):
+        whole = list(pieces.segment("▁" + text.replace(" ", "▁"), small))
+        assert np.frombuffer(pieces.Encoder(small).encode_all([text])[0], np.int32).tolist() == whole
+        assert pieces.decode(whole, small) == text
+
+
 def test_encoder_memory_does_not_matter():
     v = pieces.Vocabulary.load()
     small, large = pieces.Encoder(v, remembered=3), pieces.Encoder(v)
