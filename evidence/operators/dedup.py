@@ -127,7 +127,7 @@ CROWD = 4096
 
 def _crowded(members: DataFrame, keys: list[str], limit: int, threshold: int) -> DataFrame:
     """(keys…, inner): the buckets with more than ``limit`` members and masks made for those members."""
-    heavy = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    heavy = _sent(stored(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)))
     # two bit counts to a sum, as in the token signatures
     ones = [F.expr(f"sum(((h >> {i}) & 1L) | (((h >> {i}) & 2L) << 31))").alias(f"s{i}") for i in range(0, BITS, 2)]
     counted = members.join(heavy, keys).groupBy(*keys, "n").agg(*ones)
@@ -146,7 +146,7 @@ def _crowded(members: DataFrame, keys: list[str], limit: int, threshold: int) ->
 
 def _sent(table: DataFrame) -> DataFrame:
     """A stored table of buckets, sent to all tasks only if its counted rows (under 1 KB each) stay below the bound."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS // 2 else table
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS // 2 else table.hint("merge")
 
 
 def _cut(members: DataFrame, crowded: DataFrame, keys: list[str], sub: str, rest: str) -> DataFrame:
@@ -184,7 +184,8 @@ def signature_pairs(
         """Near pairs that share a bucket, each in the first block it agrees on."""
         a = members.where("side = 0").select(F.col("h").alias("left_h"), *keys)
         b = members.where(f"side = {0 if itself else 1}").select(F.col("h").alias("right_h"), *keys)
-        found = a.join(b, keys)
+        # the planner sizes a table before it is exploded to one row a mask, and would send the whole of it by the driver
+        found = a.join(b.hint("merge"), keys)
         if itself:
             found = found.where(F.col("left_h") < F.col("right_h"))
         near = found.withColumn("distance", hamming(F.col("left_h"), F.col("right_h"))).where(F.col("distance") <= threshold)
@@ -212,17 +213,19 @@ def signature_pairs(
     members = placed.join(_sent(again).select(*second), second).withColumn("path", F.lit(""))
     heavy = again.withColumn("path", F.lit(""))
     while True:
-        pieces = _cut(members, heavy, deep, "_sub", "_rest")
+        cut = _sent(heavy)
+        pieces = _cut(members, cut, deep, "_sub", "_rest")
         longer = F.concat_ws("/", "path", "_sub", F.col("_rest").cast("string"))
         members = stored(pieces.select("h", "side", *second, longer.alias("path"), F.col("path").alias("parent")))
-        before = heavy.select(*second, F.col("path").alias("parent"), F.col("n").alias("parent_n"))
-        found = _crowded(members, deep, hot, threshold)
+        before = cut.select(*second, F.col("path").alias("parent"), F.col("n").alias("parent_n"))
+        found = _sent(stored(_crowded(members, deep, hot, threshold)))
         parents = members.select(*deep, "parent").distinct().join(before, [*second, "parent"]).select(*deep, "parent_n")
-        heavy = stored(found.join(parents, deep).where("n < 0.9 * parent_n").select(*deep, "n", "inner"))
-        calm.append(members.join(heavy.select(*deep), deep, "left_anti").select("h", "side", *deep))
+        heavy = stored(parents.join(found, deep).where("n < 0.9 * parent_n").select(*deep, "n", "inner"))
+        left_over = _sent(heavy).select(*deep)
+        calm.append(members.join(left_over, deep, "left_anti").select("h", "side", *deep))
         if heavy.isEmpty():
             break
-        members = members.join(heavy.select(*deep), deep).select("h", "side", *deep)
+        members = members.join(left_over, deep).select("h", "side", *deep)
     return met(calm[0], deep).unionAll(reduce(DataFrame.unionAll, [met(c, deep) for c in calm[1:]]).distinct())
 
 
@@ -235,8 +238,8 @@ def near_matches(left: DataFrame, right: DataFrame, threshold: int, **options) -
     lc, rc = stored(_counts(left, "left")), stored(_counts(right, "right"))
     pairs = signature_pairs(lc, rc, threshold, **options)
     return (
-        pairs.join(lc.withColumnRenamed("h", "left_h"), "left_h")
-        .join(rc.withColumnRenamed("h", "right_h"), "right_h")
+        pairs.join(lc.withColumnRenamed("h", "left_h").hint("merge"), "left_h")
+        .join(rc.withColumnRenamed("h", "right_h").hint("merge"), "right_h")
         .withColumn("item_pairs", F.col("left_items") * F.col("right_items"))
     )
 
@@ -253,8 +256,8 @@ def near_matches_within(items: DataFrame, threshold: int, digests: list[str], **
     totals = contents.groupBy("h").agg(F.sum("_n").alias("n"))
     pairs = signature_pairs(totals, None, threshold, **options)
     different = (
-        pairs.join(totals.select(F.col("h").alias("left_h"), F.col("n").alias("left_items")), "left_h")
-        .join(totals.select(F.col("h").alias("right_h"), F.col("n").alias("right_items")), "right_h")
+        pairs.join(totals.select(F.col("h").alias("left_h"), F.col("n").alias("left_items")).hint("merge"), "left_h")
+        .join(totals.select(F.col("h").alias("right_h"), F.col("n").alias("right_items")).hint("merge"), "right_h")
         .withColumn("item_pairs", F.col("left_items") * F.col("right_items"))
     )
 
@@ -267,7 +270,7 @@ def near_matches_within(items: DataFrame, threshold: int, digests: list[str], **
     same = (
         together([], 1).unionAll(together([first], -1)).unionAll(together([second], -1)).unionAll(together([first, second], 1))
         .groupBy("h").agg(F.sum("_p").alias("item_pairs")).where(F.col("item_pairs") > 0)
-        .join(totals, "h")
+        .join(totals.hint("merge"), "h")
         .select(
             F.col("h").alias("left_h"), F.col("h").alias("right_h"), F.lit(0).alias("distance"),
             F.col("n").alias("left_items"), F.col("n").alias("right_items"), "item_pairs",

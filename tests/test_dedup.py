@@ -57,6 +57,20 @@ def test_crowded_buckets_that_share_most_bits(spark, rows):
     assert largest < len(hs) / 3
 
 
+def plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_rows_by_mask_do_not_pass_through_the_driver(spark):
+    """The planner takes a table of a few MB that becomes 28 rows a signature for one that may be sent to all tasks."""
+    hs = near_signatures()
+    items = frame(spark, hs).selectExpr("h", "h % 5 AS file_hash", "h % 7 AS content_hash")
+    left, right = items.where("h % 2 = 0"), items.where("h % 2 = 1")
+    assert "BroadcastExchange" not in plan(dedup.signature_pairs(left, right, 6, blocks=8))
+    assert "BroadcastExchange" not in plan(dedup.near_matches(left, right, 6, blocks=8))
+    assert "BroadcastExchange" not in plan(dedup.near_matches_within(items, 6, ["file_hash", "content_hash"], blocks=8))
+
+
 def test_block_count_grows_with_the_data():
     assert [dedup.block_count(n, 6) for n in (1000, 10**6, 10**8, 10**12)] == [7, 8, 9, 10]
 
