@@ -22,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
 
     def rewired(pairs: DataFrame) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        return pairs.join(least, "u")
+        return pairs.join(least.hint("merge"), "u")
 
     seen = None
     while True:
@@ -50,13 +50,14 @@ def near_families(items: DataFrame, item: str, digests: list[str], signature: st
     links = []
     for c in [*digests, signature]:
         first = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(item).alias("b"))
-        links.append(rows.select(F.col(item).alias("a"), c).join(first, c).select("a", "b"))
+        links.append(rows.select(F.col(item).alias("a"), c).join(first.hint("merge"), c).select("a", "b"))
     heads = stored(rows.where(F.col(signature).isNotNull()).groupBy(F.col(signature).alias("h")).agg(F.min(item).alias("first")))
     pairs = signature_pairs(heads, None, threshold, **options)
     left, right = (heads.select(F.col("h").alias(f"{s}_h"), F.col("first").alias(n)) for s, n in (("left", "a"), ("right", "b")))
+    left, right = left.hint("merge"), right.hint("merge")
     links.append(pairs.join(left, "left_h").join(right, "right_h").select("a", "b"))
     every = links[0]
     for more in links[1:]:
         every = every.unionAll(more)
     roots = components(every).withColumnRenamed("id", item).withColumnRenamed("root", "_root")
-    return items.join(roots, item, "left").withColumn("family", F.coalesce("_root", item)).drop("_root")
+    return items.join(roots.hint("merge"), item, "left").withColumn("family", F.coalesce("_root", item)).drop("_root")

@@ -103,7 +103,7 @@ def group_split(df: DataFrame, family: str, is_test: str, seed: int, share: floa
         "_family", F.when(F.col("rank") <= F.floor(F.col("_total") * F.lit(share)), "train").otherwise("validation").alias("split")
     )
     test = kept.where("_test").withColumn("split", F.lit("test"))
-    rest = kept.where("NOT _test").join(assigned, "_family").select(*test.columns)
+    rest = kept.where("NOT _test").join(assigned.hint("merge"), "_family").select(*test.columns)
     return test.unionByName(rest).drop("_test", "_family")
 
 

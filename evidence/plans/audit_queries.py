@@ -120,7 +120,7 @@ def _families(spark, folder):
 SELECT item_id, family, COUNT(*) OVER (PARTITION BY family) AS members FROM found""").replace("WITH", "WITH RECURSIVE", 1))
 def near_families(spark, folder):
     found = stored(_families(spark, folder).select("item_id", "family"))
-    return found.join(found.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family")
+    return found.join(found.groupBy("family").agg(F.count(F.lit(1)).alias("members")).hint("merge"), "family")
 
 
 @query(with_views(SIGNATURES, body=_FAMILIES + """,

@@ -74,3 +74,11 @@ def test_group_split_keeps_rows_without_a_family_or_flag(spark):
     alone = [got[i] for i, f, t in rows if f is None and not t]
     assert len(alone) > 40 and {"train", "validation"} == set(alone)
     assert sampling.group_split(df.limit(0), "family", "is_test", 42).count() == 0
+
+
+def test_families_and_splits_do_not_pass_through_the_driver(spark):
+    items = spark.createDataFrame([(i, i % 7, i % 11, i << 3) for i in range(60)], "item_id long, first long, second long, h long")
+    found = families.near_families(items, "item_id", ["first", "second"], "h", 6)
+    split = sampling.group_split(found.selectExpr("item_id", "family", "item_id % 3 = 0 AS is_test"), "family", "is_test", 42)
+    joined = [line for line in split._jdf.queryExecution().sparkPlan().toString().splitlines() if "HashJoin" in line]
+    assert not [line for line in joined if "item_id" in line or "[_family" in line]
