@@ -12,37 +12,48 @@ from evidence.operators.scale import BROADCAST_BYTES, small_matrix, stored
 
 #: Similarities are ordered after rounding, so equal vectors tie whatever the addition order.
 DIGITS = 10
-GALLERY_STEP = 8192
+#: Queries and gallery rows of a tile of products, 4 MB of them.
+QUERY_STEP, GALLERY_STEP = 128, 4096
+#: Products with pivots that are held at a time, and visits that leave a task at a time.
+PIVOT_STEP, VISIT_STEP = 250_000, 20_000
 #: Most cells of a large gallery.
 CELLS = 2_048
 
 
-def _best(similarity: np.ndarray, k: int) -> list[np.ndarray]:
-    """Column numbers of the k largest values per row; equal values in column order."""
-    n = similarity.shape[1]
-    if n <= k:
-        return [np.argsort(-row, kind="stable") for row in similarity]
-    limits = np.partition(similarity, n - k, axis=1)[:, n - k]
-    out = []
-    for row, limit in zip(similarity, limits):
-        held = np.flatnonzero(row >= limit)
-        out.append(held[np.argsort(-row[held], kind="stable")][:k])
-    return out
+def _search(queries: np.ndarray, gallery: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, gallery row, similarity) of the k best per query; gallery rows are in key order.
+
+    Queries and gallery meet in tiles of at most TILE products, so memory does not follow the number of rows on either side.
+    """
+    parts = [_search_few(queries[at : at + QUERY_STEP], gallery, k, at) for at in range(0, len(queries), QUERY_STEP)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(column) for column in zip(*parts))
 
 
-def _search(queries: np.ndarray, gallery: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, gallery row, similarity) of the k best per query; gallery rows are in key order."""
+def _search_few(queries: np.ndarray, gallery: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the rows of one tile, which are numbered from ``first``."""
     n = len(queries)
-    kept: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * n
-    values: list[np.ndarray] = [np.zeros(0)] * n
+    who, rows, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    kth = np.full(n, -np.inf)  # the k-th rounded value of each query so far; later rows have to exceed it
     for start in range(0, len(gallery), GALLERY_STEP):
         block = queries @ gallery[start : start + GALLERY_STEP].T
-        for i, held in enumerate(_best(np.round(block, DIGITS), k)):
-            rows, sims = np.concatenate([kept[i], held + start]), np.concatenate([values[i], block[i, held]])
-            order = np.argsort(-np.round(sims, DIGITS), kind="stable")[:k]
-            kept[i], values[i] = rows[order], sims[order]
-    counts = [len(x) for x in kept]
-    return np.repeat(np.arange(n), counts), np.concatenate(kept or [np.zeros(0, int)]), np.concatenate(values or [np.zeros(0)])
+        least = kth
+        if block.shape[1] > k and np.isneginf(kth).any():
+            least = np.fmax(kth, -np.partition(-block, k - 1, axis=1)[:, k - 1])
+        # what rounding may change is let in and sorted by rounded values
+        slack = 2 * 10.0**-DIGITS + 1e-14 * np.where(np.isfinite(least), np.abs(least), 0.0)
+        i, j = np.nonzero(~(block < (least - slack)[:, None]))
+        new = block[i, j]
+        later = ~(np.round(new, DIGITS) <= kth[i])
+        who, rows, sims = np.concatenate([who, i[later]]), np.concatenate([rows, j[later] + start]), np.concatenate([sims, new[later]])
+        order = np.lexsort((rows, -np.round(sims, DIGITS), who))
+        who, rows, sims = who[order], rows[order], sims[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        last = place == k - 1
+        kth[who[last]] = np.fmax(kth[who[last]], np.round(sims[last], DIGITS))
+        who, rows, sims = who[place < k], rows[place < k], sims[place < k]
+    return who + first, rows, sims
 
 
 def nearest(
@@ -76,14 +87,14 @@ def nearest(
     left = [query, *carry_query]
     right = ["neighbour", *names]
 
-    def assemble(qs: pd.DataFrame, gs: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
+    def assemble(qs: pd.DataFrame, gs: pd.DataFrame, matrix: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
         vectors = np.vstack(qs[vec].to_numpy()).astype(np.float64)
         qi, gi, sims = _search(vectors, matrix, k)
         out = pd.concat(
             [qs[left].iloc[qi].reset_index(drop=True), gs[right].iloc[gi].reset_index(drop=True)], axis=1
         )
         place = np.arange(len(qi)) - np.searchsorted(qi, qi) + 1  # the rows of a query follow each other, best first
-        return out.assign(similarity=sims, rank=place.astype(np.int32))
+        return qi, out.assign(similarity=sims, rank=place.astype(np.int32))
 
     small = small_matrix(g, "neighbour", "_gallery", names, max_bytes)
     if small is not None:
@@ -93,7 +104,7 @@ def nearest(
             gs, matrix = shared.value
             for qs in batches:
                 if len(qs) and len(gs):
-                    yield assemble(qs, gs, matrix)
+                    yield assemble(qs, gs, matrix)[1]
 
         return q.mapInPandas(search, schema)
 
@@ -116,8 +127,7 @@ def nearest(
                 return pd.DataFrame(columns=schema.names)
             b = b.sort_values("neighbour", kind="stable")
             a = a.reset_index(drop=True)
-            found = assemble(a, b, np.vstack(b["_gallery"].to_numpy()).astype(np.float64))
-            place = np.cumsum(found["rank"].to_numpy() == 1) - 1  # each visit finds one row at least
+            place, found = assemble(a, b, np.vstack(b["_gallery"].to_numpy()).astype(np.float64))
             return found[found["similarity"].to_numpy() >= a["_tau"].to_numpy()[place]]
 
         return left.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(meet, schema)
@@ -160,7 +170,7 @@ def gallery_cells(gallery: DataFrame, cell_rows: int, block_rows: int) -> tuple[
 
     def assign(batches):
         centres = shared.value
-        half, step = (centres**2).sum(axis=1) / 2, max(1, 4_000_000 // len(centres))
+        half, step = (centres**2).sum(axis=1) / 2, max(1, PIVOT_STEP // len(centres))
         for rows in batches:
             if not len(rows):
                 continue
@@ -191,7 +201,7 @@ def visits(queries: DataFrame, vec: str, cells: Cells, k: int) -> DataFrame:
     def choose(batches):
         c = shared.value
         held = c.rows > 0
-        step = max(1, 4_000_000 // len(c.rows))
+        step = max(1, PIVOT_STEP // len(c.rows))
         for whole in batches:
             whole = whole[whole[vec].notna()]
             for at in range(0, len(whole), step):
@@ -212,9 +222,10 @@ def visits(queries: DataFrame, vec: str, cells: Cells, k: int) -> DataFrame:
                 who, cell = np.repeat(who, parts), np.repeat(cell, parts)
                 part = np.arange(len(who)) - np.repeat(np.cumsum(parts) - parts, parts)
                 # rows below the bound by more than the rounding of similarities are not returned
-                yield rows.iloc[who].assign(
-                    _tau=np.where(np.isnan(tau), -np.inf, tau - slack)[who], _cell=cell.astype(np.int32), _part=part.astype(np.int32)
-                )
+                least = np.where(np.isnan(tau), -np.inf, tau - slack)
+                for out in range(0, len(who), VISIT_STEP):  # a visit copies its vector
+                    some = slice(out, out + VISIT_STEP)
+                    yield rows.iloc[who[some]].assign(_tau=least[who[some]], _cell=cell[some].astype(np.int32), _part=part[some].astype(np.int32))
 
     fields = [T.StructField("_cell", T.IntegerType()), T.StructField("_part", T.IntegerType())]
     return queries.mapInPandas(choose, T.StructType([*queries.schema.fields, *fields]))

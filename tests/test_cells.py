@@ -1,5 +1,7 @@
 """Neighbour search over pivot cells: equal to brute force, with counted visits."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +84,19 @@ def test_queries_are_equal_without_the_small_path(spark, monkeypatch, name):
     monkeypatch.setattr(retrieval, "nearest", forced)
     monkeypatch.setattr(geometry, "nearest", forced)
     assert differences(entry.queries()[name](spark, FOLDER), connect(FOLDER), entry.oracle_sql()[name]) == []
+
+
+def test_search_holds_one_tile_of_products():
+    """Memory of a task must not follow the product of its queries and gallery rows; ties go to the first rows."""
+    rng = np.random.default_rng(5)
+    gallery = rng.integers(-3, 4, (9_000, 8)).astype(float)
+    queries = rng.integers(-3, 4, (3_000, 8)).astype(float)
+    tracemalloc.start()
+    who, rows, sims = retrieval._search(queries, gallery, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # the products alone are 216 MB, 197 MB of them in one block before
+    for q in range(0, 3_000, 300):
+        want = np.argsort(-np.round(queries[q] @ gallery.T, retrieval.DIGITS), kind="stable")[:10]
+        assert rows[who == q].tolist() == want.tolist()
+        assert np.allclose(sims[who == q], queries[q] @ gallery[want].T)
