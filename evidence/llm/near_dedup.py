@@ -166,7 +166,7 @@ def differences(near: DataFrame, packed: DataFrame, similarity: float = SIMILARI
 
 
 def regroup(parts: DataFrame, labels: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(bucket, mixed, id, label, linked, added, a, m, size, n): texts of one centre that share a shingle by which they differ from it.
+    """(bucket, mixed, id, label, linked, added, a, m, size, lone, n): texts of one centre that share a shingle by which they differ from it.
 
     Let D be the symmetric difference of a text and the centre, A its added shingles, M the missing ones. If x and y are similar and y
     is not similar to the centre, D(x) and D(y) have more than (|D(x)| - (1 - similarity) |A(x)|) / 2 shingles in
@@ -177,6 +177,8 @@ def regroup(parts: DataFrame, labels: DataFrame, similarity: float = SIMILARITY)
     If y is unlike the centre and x has no added shingle in common with y, similarity asks for |A(x)| < |M(x)|, the missing ones.
     A text of n shingles shares one of its first (1 - similarity) n + 1 with every similar text, whatever the order. Where it adds so many to the
     centre, its head is these only, against the heads of other such texts and all added shingles of the rest.
+    An added shingle that no other text of the centre has is in common with none (``lone`` of them): a text with more than
+    (1 - similarity) of its shingles of this kind is like no other of the centre and left out.
     A bucket is one such shingle of one centre, n its texts, or the fewer of those like and unlike the centre. Only buckets with two classes that
     may meet are given.
     """
@@ -191,14 +193,16 @@ def regroup(parts: DataFrame, labels: DataFrame, similarity: float = SIMILARITY)
     flat = stored(flat.select("id", "centre", "size", "linked", "a", "m", "head", "own", "k.plus", F.explode("k.tokens").alias("token")))
     often = flat.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy("centre", "id").orderBy(F.desc("plus"), "often", "token")
-    placed = flat.join(often, ["centre", "token"]).withColumn("early", F.row_number().over(order) <= F.col("head")).where("often > 1")
+    lone = F.count_if(F.col("plus") & (F.col("often") == 1)).over(Window.partitionBy("centre", "id"))
+    placed = flat.join(often, ["centre", "token"]).withColumn("early", F.row_number().over(order) <= F.col("head")).withColumn("lone", lone)
+    placed = placed.where((F.col("often") > 1) & (F.col("lone") <= (1 - similarity) * (F.col("size") + F.col("a") - F.col("m")) + 1e-6))
     # a text that meets one unlike the centre at missing shingles only lacks more than it adds: copies with changed words do not meet there
     early = F.col("early") & (F.col("plus") | (F.col("a") < F.col("m")))
     both, mixed, none = F.array(F.lit(True), F.lit(False)), F.array(F.lit(True)), F.array().cast("array<boolean>")
     # mixed buckets hold the heads of texts like the centre and those of the others, or all their differences where they add little, the rest heads of texts unlike the centre
     dealt = placed.withColumn("mixed", F.explode(F.when(F.col("linked"), F.when(early, mixed).otherwise(none)).otherwise(F.when(early, both).when(F.col("own"), none).otherwise(mixed))))
     dealt = stored(dealt.join(labels, "id").select(
-        F.xxhash64("centre", "token", "mixed").alias("bucket"), "mixed", "id", "label", "linked", F.col("plus").alias("added"), "a", "m", "size"
+        F.xxhash64("centre", "token", "mixed").alias("bucket"), "mixed", "id", "label", "linked", F.col("plus").alias("added"), "a", "m", "size", "lone"
     ))
     counted = dealt.groupBy("bucket", "mixed").agg(
         F.count(F.lit(1)).alias("all"), F.count_if("linked").alias("close"), F.min("label").alias("low"), F.max("label").alias("high")
@@ -211,14 +215,16 @@ def within(groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): pairs of texts of one bucket and unlike classes that can be similar by their counts of shingles.
 
     Two texts that share no added shingle, as those that first meet at a missing one, have
-    similarity * (A(x) + A(y)) + max(M) - similarity * min(M) <= (1 - similarity) * |centre|.
+    similarity * (A(x) + A(y)) + max(M) - similarity * min(M) <= (1 - similarity) * |centre|. What is in common is no more than either
+    has without its lone shingles.
     """
-    x = groups.select("bucket", "mixed", "added", "size", F.col("id").alias("a"), F.col("label").alias("left"), F.col("linked").alias("l"), F.col("a").alias("ax"), F.col("m").alias("mx"))
-    y = groups.select("bucket", F.col("id").alias("b"), F.col("label").alias("right"), F.col("linked").alias("r"), F.col("a").alias("ay"), F.col("m").alias("my"))
+    x = groups.select("bucket", "mixed", "added", "size", F.col("id").alias("a"), F.col("label").alias("left"), F.col("linked").alias("l"), F.col("a").alias("ax"), F.col("m").alias("mx"), F.col("lone").alias("lx"))
+    y = groups.select("bucket", F.col("id").alias("b"), F.col("label").alias("right"), F.col("linked").alias("r"), F.col("a").alias("ay"), F.col("m").alias("my"), F.col("lone").alias("ly"))
     n, k = F.col("size") + F.col("ax") - F.col("mx"), F.col("size") + F.col("ay") - F.col("my")
     high, low = F.greatest("mx", "my"), F.least("mx", "my")
     alone = similarity * (F.col("ax") + F.col("ay")) + high - similarity * low <= (1 - similarity) * F.col("size") + 1e-6
-    may = (F.greatest(n, k) * similarity <= F.least(n, k) + 1e-6) & (F.col("added") | alone)
+    shared = F.least(n - F.col("lx"), k - F.col("ly"))
+    may = (F.greatest(n, k) * similarity <= F.least(n, k) + 1e-6) & (F.col("added") | alone) & (shared * (1 + similarity) + 1e-6 >= similarity * (n + k))
     sides = F.when(F.col("mixed"), F.col("l") & ~F.col("r")).otherwise(F.col("a") < F.col("b"))
     met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("left") != F.col("right")) & sides & may)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -231,8 +237,10 @@ def classes(
 
     1. Each text gets a ProbMinHash signature over its weighted five-word shingles. Documents with the same words are folded to
        the smallest id, so copies cost one row.
-    2. Bands of equal registers make buckets. All members of a bucket are compared with its smallest id, the centre, by whole texts
-       (share of common shingles), and links make classes. Most buckets are then of one class and done.
+    2. Bands of equal registers make buckets. All members of a bucket are compared with its centre by whole texts
+       (share of common shingles), and links make classes. Most buckets are then of one class and done. The centre is the member that meets
+       the most texts in all of its buckets (the smallest id of these): among copies with changed words that is the one least
+       changed, which most are like.
     3. Members of the others are compared with each other only if they differ from the centre by a common shingle,
        which two similar texts must (see ``regroup``). What many texts have in common with the centre thus makes no pairs.
        Up to ``CROWD`` texts with one such shingle are compared in pairs, more are a bucket of the next
@@ -248,7 +256,7 @@ def classes(
     leaders = copies.select(F.col("leader").alias("id"))
     bucketed = signed.join(leaders, "id", "left_semi").select("id", F.explode("bands").alias("bucket")).distinct()
     shared = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stored(bucketed.join(shared, "bucket").withColumn("label", F.col("id")))
+    members = stored(bucketed.join(shared, "bucket").select("bucket", "id", F.col("id").alias("label")))
     packed = signed.select("id", "packed")
     links = tested = labels = None
 
@@ -274,7 +282,12 @@ def classes(
     turn = 0
     while not members.isEmpty():
         slot = F.pmod(F.xxhash64("id"), F.lit(2**turn)).alias("slot")
-        centres = stored(members.groupBy("bucket", slot).agg(F.min(F.struct("id", "label")).alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.label").alias("own")))
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        meets = members.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("meets"))
+        central = F.min(F.struct((-F.col("meets")).alias("rank"), "id", "label")).alias("c")
+        centres = stored(members.join(meets, "id").groupBy("bucket", slot).agg(central).select(
+            "bucket", F.col("c.id").alias("centre"), F.col("c.label").alias("own"), "c.rank"
+        ))
         met = members.join(centres, "bucket").where("label <> own")
         compare(met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
         # centres were compared with all others of their bucket and leave it; a bucket of one class is done for good, as classes only grow
@@ -283,7 +296,7 @@ def classes(
         members = stored(members.join(sent(stored(still)), "bucket", "left_semi"))
         if members.isEmpty():
             break
-        least = centres.groupBy("bucket").agg(F.min("centre").alias("centre"))
+        least = centres.groupBy("bucket").agg(F.min(F.struct("rank", "centre")).alias("c")).select("bucket", "c.centre")
         near = stored(members.join(least, "bucket").select("id", "centre").distinct())
         classed = stored(members.select("id", "label").distinct())
         groups = stored(regroup(differences(near, packed, similarity), classed, similarity))

@@ -117,6 +117,26 @@ def test_texts_with_much_in_common_make_few_pairs(spark, monkeypatch):
     assert got == classes_by_brute_force(rows) and sum(seen) < 3 * len(rows)
 
 
+def test_changed_copies_around_a_much_changed_one_make_few_pairs(spark, monkeypatch):
+    # copies of one text with nought to twelve changed words, all in one bucket; the smallest id has the most changes
+    seen = []
+    check = near_dedup.verify
+    keys = near_dedup.band_keys
+    # a bucket of all, and others that hold the more texts the more alike these are
+    monkeypatch.setattr(near_dedup, "band_keys", lambda signature, bands, rows: np.where(np.arange(bands) == 0, 1, keys(signature, bands, rows)))
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, *a: seen.append(pairs.count()) or check(pairs, *a))
+    base, draw = passage(60, 150).split(" "), random.Random(3)
+    rows = []
+    for i in range(1, 301):
+        own = list(base)
+        for k in draw.sample(range(150), 12 if i == 1 else i % 13):
+            own[k] = f"w{draw.randrange(400)}"
+        rows.append((i, " ".join(own)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(spark, rows), bands=6, rows=3).collect()}
+    want = classes_by_brute_force(rows)
+    assert got == want and len(set(want.values())) > 100 and sum(seen) < 2 * len(rows)
+
+
 def test_keep_one(spark):
     docs = documents(spark)
     kept = near_dedup.keep_one(docs)
