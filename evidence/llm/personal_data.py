@@ -28,8 +28,8 @@ SECRET = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api
 
 #: The field is trained on windows of words from about so many documents, at most so many windows each.
 TRAINING_DOCS, WINDOWS_A_DOC, WINDOW = 3000, 4, 17
-#: Characters that a worker decodes together, beyond one whole text.
-BATCH_CHARS = 3_000_000
+#: Characters that a worker decodes together, beyond one whole text: each takes about 80 bytes.
+BATCH_CHARS = 500_000
 
 Span = tuple[str, int, int]
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -353,6 +354,18 @@ def test_field_learns_and_decodes():
         assert got[first:last].tolist() == paths[score.argmax()].tolist()
 
 
+def test_a_batch_of_personal_data_takes_little_memory():
+    # workers hold one batch each beside the executor's heap
+    field = personal_data.fit(training_table())
+    lines = [passage(k, 100) + " ask other.name@host.example.net" for k in range(200)]
+    batch = lines * (personal_data.BATCH_CHARS // sum(map(len, lines)) + 1)
+    tracemalloc.start()
+    found = personal_data.added_spans(field, batch, [[] for _ in batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(found) and peak < 100e6
+
+
 def test_personal_data_of_hard_rows(spark):
     field = personal_data.fit(training_table())
     docs = documents(spark)
