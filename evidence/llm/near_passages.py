@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ FUNCTIONS, PASSAGE, SIMILARITY = 8, 50, 0.8
 GAP, BAND = 10, 12
 #: Windows of one signature that are compared in pairs after two centres; the shingle of a larger group is no smallest one any more.
 CROWD = 32
+#: Ids of copies that may go to every task; more are left out by a shuffle.
+COPIES = 2_000_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -80,48 +83,199 @@ def ordered(found: np.ndarray, k: int) -> np.ndarray:
     return (mix(found ^ (np.uint64(k + 1) * _GOLD)) >> np.uint64(1)) & ~np.uint64(31) | np.uint64(16 + k)
 
 
-def all_windows(docs: DataFrame, functions: int, passage: int, crowded: np.ndarray | None = None) -> DataFrame:
-    """(signature, doc, place): the centre of every compact window of every text of (doc, text).
+def folded(plain: DataFrame) -> DataFrame:
+    """(doc, n_words, leader): texts of (doc, text) with the same words as that of a smaller document, the smallest of these."""
 
-    With the signatures of crowded groups their shingles come after all others in every function, and only windows that
-    hold such a shingle are given. A negative signature is that of a window with no other shingles in reach.
-    """
-    least = passage - SHINGLE + 1
-    shared = None if crowded is None else docs.sparkSession.sparkContext.broadcast(np.sort(crowded).view(np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def then(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+            split = [(t or b"").split() for t in texts]
+            same = pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in split], pa.binary())
+            return pa.RecordBatch.from_arrays([batch.column(0), same, pa.array([len(w) for w in split], pa.int64())], ["doc", "same", "n_words"])
+
+        yield from in_batches(batches, "text", then)
+
+    signed = stored(plain.mapInArrow(run, "doc long, same binary, n_words long"))
+    leaders = signed.groupBy("same").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(signed.join(leaders.drop("n"), "same").where("doc > leader").select("doc", "n_words", "leader"))
+
+
+def chunked(plain: DataFrame) -> DataFrame:
+    """(chunk, docs, packed): the words of many texts in one compressed row, which the smallest of its ids names; null as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+
         def then(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-            found = shingles(words([t or b"" for t in texts]))
-            counts = np.diff(found.first)
-            owner = np.repeat(np.arange(len(texts)), counts)
-            at = np.arange(len(found.hash)) + owner  # a stop after each text
-            late = np.zeros(len(found.hash), bool)
-            if shared is not None:
-                for k in range(functions):
-                    late |= np.isin(ordered(found.hash, k), shared.value)
-            before = np.zeros(len(found.hash) + len(texts) + 1, np.int64)
-            before[at + 1] = late
-            before = np.cumsum(before)
-            signature, text, place = [], [], []
-            for k in range(functions):
-                hashes = np.zeros(len(found.hash) + len(texts), np.uint64)
-                hashes[at] = ordered(found.hash, k) | (late.astype(np.uint64) << np.uint64(63))
-                centre, left, right = compact_windows(hashes, least)
-                if shared is not None:
-                    centre = centre[before[right + 1] > before[left]]
-                which = np.searchsorted(found.first[1:] + np.arange(len(texts)), centre, "left")
-                signature.append(hashes[centre])
-                text.append(which)
-                place.append(centre - which - found.first[which])
-            text = np.concatenate(text)
+            docs = batch.column(0).to_numpy()
+            plain = pack(b"\n".join(b" ".join((t or b"").split()) for t in texts))
             return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(signature).view(np.int64)), batch.column(0).take(pa.array(text)),
-                pa.array(np.concatenate(place).astype(np.int32)),
-            ], ["signature", "doc", "place"])
+                pa.array([docs.min()], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([plain], pa.binary()),
+            ], ["chunk", "docs", "packed"])
 
         yield from in_batches(batches, "text", then)
 
-    return docs.mapInArrow(run, "signature long, doc long, place int")
+    return plain.mapInArrow(run, "chunk long, docs array<long>, packed binary")
+
+
+def _slots(found: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (part, 32 bits) of hashes as numbers in order, the one of each hash, how often each occurs, and where each part begins."""
+    slot = (found >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | found & np.uint64(0xFFFFFFFF)
+    values, which, often = np.unique(slot, return_inverse=True, return_counts=True)
+    return values, which, often, np.searchsorted(values, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+
+
+def shared_elsewhere(chunks: DataFrame, parts: int) -> DataFrame:
+    """(chunk, part, bits): for the distinct shingles of a chunk, dealt to ``parts`` by their hashes, whether another chunk holds them.
+
+    Of a hash 32 bits beside the part are compared: a shingle of one place seldom counts as shared, one of two always.
+    """
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values, _, _, begin = _slots(shingles(words(unpack(packed.as_py()).split(b"\n"))).hash, parts)
+                low = values.astype(np.uint32)
+                some = np.flatnonzero(np.diff(begin))
+                rows = [low[begin[i] : begin[i + 1]].tobytes() for i in some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), chunk)), pa.array(some.astype(np.int32)), pa.array(rows, pa.binary())], ["chunk", "part", "held"]
+                )
+
+    def counted(table: pa.Table) -> pa.Table:
+        held = [np.frombuffer(h.as_py(), np.uint32) for h in table.column("held")]
+        every = np.sort(np.concatenate(held))
+        twice = every[1:][every[1:] == every[:-1]]
+        bits = [np.packbits(_among(h, twice)).tobytes() for h in held]
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "bits": pa.array(bits, pa.binary())})
+
+    return chunks.select("chunk", "packed").mapInArrow(dealt, "chunk long, part int, held binary").groupBy("part").applyInArrow(
+        counted, "chunk long, part int, bits binary"
+    )
+
+
+def _among(x: np.ndarray, ordered_values: np.ndarray) -> np.ndarray:
+    """Which of x are among values in order."""
+    if not len(ordered_values):
+        return np.zeros(len(x), bool)
+    return ordered_values[np.minimum(np.searchsorted(ordered_values, x), len(ordered_values) - 1)] == x
+
+
+def dense_runs(shared: np.ndarray, first: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the runs of places that lie in a part of ``least`` places or more, ``similarity`` of them shared; ``first`` is where texts begin.
+
+    A shingle that is not shared has one place, so the share of places is no less than that of different shingles. With
+    1 - similarity for a shared place, less similarity for another, and a fall after each text that nothing makes up for, such a part
+    is one whose sum is not negative; the longest from a place ends where the running maximum from the right is last as high.
+    """
+    counts = np.diff(first)
+    if len(counts) == 1 and len(shared) >= least and np.count_nonzero(shared) >= similarity * len(shared):
+        return first[:1], first[1:]
+    up, down = int(np.ceil((1 - similarity) * 1000 - 1e-6)), int(np.floor(similarity * 1000 + 1e-6))
+    at = np.arange(len(shared)) + np.repeat(np.arange(len(counts)), counts)
+    step = np.full(len(shared) + len(counts), -(up + down) * (int(counts.max(initial=0)) + 1), np.int64)
+    step[at] = np.where(shared, up, -down)
+    total = np.concatenate([[0], np.cumsum(step)])
+    # the largest e with total[e] >= total[i], among ever smaller maxima from the right
+    highest = np.maximum.accumulate(total[::-1])
+    last = len(total) - 1 - np.searchsorted(highest, total[:-1], "left")
+    begin = np.flatnonzero(last - np.arange(len(step)) >= least)
+    cover = np.zeros(len(step) + 1, np.int64)
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, last[begin], -1)
+    inside = (np.cumsum(cover)[:-1] > 0)[at]
+    turns = np.zeros(len(shared) + 1, bool)  # a text begins a run of its own
+    turns[first] = True
+    opens = inside & (turns[:-1] | ~np.concatenate([[False], inside[:-1]]))
+    closes = inside & (turns[1:] | ~np.concatenate([inside[1:], [False]]))
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def dense_parts(chunks: DataFrame, passage: int, similarity: float) -> DataFrame:
+    """(doc, place, size, held): where runs of ``dense_runs`` begin in a text, their sizes, and their hashes of shingles; texts without any are left out.
+
+    Both sides of a passage lie in such runs: they have ``similarity`` of their shingles in common, and these are shared.
+    """
+    least, parts = passage - SHINGLE + 1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = shared_elsewhere(chunks, parts).groupBy("chunk").agg(F.collect_list("part").alias("part"), F.collect_list("bits").alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for docs, packed, which, bits in zip(*(batch.column(i) for i in range(4))):
+                found = shingles(words(unpack(packed.as_py()).split(b"\n")))
+                _, slot, often, begin = _slots(found.hash, parts)
+                shared = often > 1
+                for i, b in zip(which.as_py() or [], bits.as_py() or []):
+                    lo, hi = begin[i], begin[i + 1]
+                    shared[lo:hi] |= np.unpackbits(np.frombuffer(b, np.uint8), count=hi - lo).view(bool)
+                start, end = dense_runs(shared[slot], found.first, least, similarity)
+                if not len(start):
+                    continue
+                text = np.searchsorted(found.first, start, "right") - 1
+                of = np.flatnonzero(np.diff(text, prepend=-1))
+                ends = np.append(of, len(text)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (start - found.first[text], end - start)]
+                held = [b"".join(found.hash[start[j] : end[j]].tobytes() for j in range(x, y)) for x, y in zip(ends[:-1], ends[1:])]
+                own = pa.array(np.asarray(docs.as_py(), np.int64)[text[of]])
+                yield pa.RecordBatch.from_arrays([own, *lists, pa.array(held, pa.binary())], ["doc", "place", "size", "held"])
+
+    return chunks.join(known, "chunk", "left").select("docs", "packed", "part", "bits").mapInArrow(
+        run, "doc long, place array<int>, size array<int>, held binary"
+    )
+
+
+def unpacked(places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed centres the place, and the first and last place where a part of ``least`` shingles begins that lies in the window and holds the centre."""
+    at = places >> 32
+    return at, at - (places >> 16 & 0xFFFF), at + (places & 0xFFFF) - least + 1
+
+
+def all_windows(dense: DataFrame, functions: int, passage: int, crowded: np.ndarray | None = None) -> DataFrame:
+    """(signature, doc, places): the centres of the compact windows of every text in its dense parts, each as a number (see ``unpacked``).
+
+    With the signatures of crowded groups their shingles come after all others in every function, and only windows that
+    hold such a shingle are given. A negative signature is that of a window with no other shingles in reach.
+    """
+    least = passage - SHINGLE + 1
+    shared = None if crowded is None else dense.sparkSession.sparkContext.broadcast(np.sort(crowded).view(np.uint64))
+
+    def found_in(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64)
+        begin, size = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (1, 2))
+        text = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
+        stop = np.cumsum(size + 1) - 1
+        at = np.arange(len(found)) + np.repeat(np.arange(len(size)), size)  # a stop after each run
+        late = np.zeros(len(found), bool)
+        if shared is not None:
+            for k in range(functions):
+                late |= np.isin(ordered(found, k), shared.value)
+        before = np.zeros(len(found) + len(size) + 1, np.int64)
+        before[at + 1] = late
+        before = np.cumsum(before)
+        signature, owner, place = [], [], []
+        for k in range(functions):
+            hashes = np.zeros(len(found) + len(size), np.uint64)
+            hashes[at] = ordered(found, k) | (late.astype(np.uint64) << np.uint64(63))
+            centre, left, right = compact_windows(hashes, least)
+            if shared is not None:
+                centre = centre[before[right + 1] > before[left]]
+            which = np.searchsorted(stop, centre, "left")
+            signature.append(hashes[centre].view(np.int64))
+            owner.append(text[which])
+            near = [np.minimum(d, least - 1) for d in (centre - left, right - centre)] if shared is None else [least - 1] * 2
+            place.append((centre - (stop - size)[which] + begin[which]) << 32 | near[0] << 16 | near[1])
+        signature, owner, place = np.concatenate(signature), np.concatenate(owner), np.concatenate(place)
+        order = np.lexsort((place, owner, signature))
+        signature, owner, place = signature[order], owner[order], place[order]
+        of = np.flatnonzero(np.concatenate([[True], (np.diff(signature) != 0) | (np.diff(owner) != 0)])[: len(signature)])
+        places = pa.ListArray.from_arrays(pa.array(np.append(of, len(place)).astype(np.int32)), pa.array(place))
+        return pa.RecordBatch.from_arrays([pa.array(signature[of]), batch.column(0).take(pa.array(owner[of])), places], ["signature", "doc", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_batches(batches, "held", lambda batch, _: found_in(batch))
+
+    return dense.mapInArrow(run, "signature long, doc long, places array<long>")
 
 
 def packed_words(docs: DataFrame) -> DataFrame:
@@ -148,20 +302,32 @@ def _sorted_places(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.sort(rank * (2 * wide) + np.arange(len(y)) + wide), mine, known, wide
 
 
-def _partners(places: tuple[np.ndarray, np.ndarray, np.ndarray, int], shift: int, band: int) -> np.ndarray:
-    """For each place of x the place of y with the same shingle nearest to ``shift`` places away, at most ``band`` beside it; or -1."""
+def _partners(places: tuple[np.ndarray, np.ndarray, np.ndarray, int], shift: int, band: int, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, place there): places of x from ``begin`` to ``end`` whose shingle y has ``shift`` places away or at most ``band`` beside it, the nearest there."""
     there, rank, known, wide = places
-    want = np.arange(len(rank)) - shift
-    key = rank * (2 * wide) + want + wide
-    at = np.searchsorted(there, key)
-    best, off = np.full(len(rank), -1), np.full(len(rank), band + 1)
-    for i in (at - 1, at):
-        inside = known & (i >= 0) & (i < len(there))
-        far = np.where(inside, np.abs(there[np.clip(i, 0, len(there) - 1)] - key), band + 1)
-        nearer = far < off
-        best[nearer] = there[i[nearer]] - rank[nearer] * (2 * wide) - wide
-        off[nearer] = far[nearer]
-    return best
+    at = begin + np.flatnonzero(known[begin:end])
+    key = rank[at] * (2 * wide) + (at - shift + wide)
+    i = np.searchsorted(there, key)
+    before, after = there[np.maximum(i - 1, 0)], there[np.minimum(i, len(there) - 1)]
+    ahead, behind = np.abs(before - key), np.abs(after - key)
+    near = np.minimum(ahead, behind) <= band
+    return at[near], (np.where(ahead <= behind, before, after) - key + at - shift)[near]
+
+
+def _dense_around(x: np.ndarray, matched: np.ndarray, low: int, high: int, place: int, least: int, similarity: float) -> tuple[int, int]:
+    """Begin and end of the dense run of x from ``low`` to ``high`` (see ``dense_runs``) around a place, both 0 if none; a shingle without a match counts where it comes first."""
+    if len(matched) < similarity * least - 1e-6:
+        return 0, 0
+    part = x[low:high]
+    bare = np.ones(len(part), bool)
+    bare[matched - low] = False
+    alone = np.flatnonzero(bare)
+    again = np.argsort(part[alone], kind="stable")
+    repeated = np.flatnonzero(np.diff(part[alone][again]) == 0) + 1
+    bare[alone[again[repeated]]] = False
+    begin, end = dense_runs(~bare, np.array([0, len(part)]), least, similarity)
+    i = int(np.searchsorted(begin, place - low, "right")) - 1
+    return (int(begin[i]) + low, int(end[i]) + low) if i >= 0 and place - low < end[i] else (0, 0)
 
 
 def _growing(matched: np.ndarray, place: int, most: int) -> list[tuple[int, int]]:
@@ -213,45 +379,114 @@ def common_passages(
     A passage grows from the place over shingles that both have at about the same distance. The similarity leaves room for
     about m * (1 / similarity - 1) unmatched ones beside m matched ones: so wide may a gap be, and so far may places shift by words
     added or left out. Of the growing spans the largest whose sets of shingles are similar enough on both sides counts;
-    last comes the run of equal shingles. Places inside a passage that was found, or a run that was tried, are not tried again.
+    last comes the run of equal shingles. Places inside a passage that was found, or a run that was tried, are not tried again,
+    nor is a place if passages hold every part of ``least`` shingles around it: parts without the place have others.
 
     In one text (``same``) places nearer than the words of a passage are no repeat. Passages do not overlap, but for a run of equal
     shingles in a periodic text: it may run on into itself, as each part of it is equal to one that lies far enough before.
     """
+    at = np.array(sorted(places), np.int64).reshape(-1, 2)
+    return passages_around(x, y, np.column_stack([at, at[:, 0] - least + 1, at[:, 0]]), least, similarity, same)[0]
+
+
+def passages_around(
+    x: np.ndarray, y: np.ndarray, at: np.ndarray, least: int, similarity: float, same: bool
+) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray]:
+    """``common_passages`` around the rows (place, place there, first and last begin of a part with the place) of ``at``; rows that need none as others hold these parts."""
+    covered = np.zeros(len(at), bool)
+    rows = np.arange(len(at))
+    values, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
+    mine, theirs = codes[: len(x)], codes[len(x) :]
+    often = [np.bincount(c, minlength=len(values)) for c in (mine, theirs)]
+    shared = often[0] > 1 if same else (often[0] > 0) & (often[1] > 0)
+    if same:
+        rows = rows[np.abs(at[:, 0] - at[:, 1]) >= least + SHINGLE - 1]
+    at = at[rows]
+    ends, of = [], []
+    for c, p in ((mine, at[:, 0]), (theirs, at[:, 1])):
+        # both sides of a passage lie in dense runs; a shingle that only one side has counts where it comes first
+        first = np.zeros(len(values), np.int64)
+        first[c[::-1]] = np.arange(len(c))[::-1]
+        begin, end = dense_runs(shared[c] | (first[c] < np.arange(len(c))), np.array([0, len(c)]), least, similarity)
+        i = np.searchsorted(begin, p, "right") - 1
+        ends.append((begin, end))
+        of.append(np.where((i >= 0) & (p < np.append(end, 0)[i]), i, -1))
+    both = (of[0] >= 0) & (of[1] >= 0)
+    rows, at, of = rows[both], at[both], np.column_stack(of)[both]
+    found = []
+    for i, j in np.unique(of, axis=0):
+        a, b, c, d = ends[0][0][i], ends[0][1][i], ends[1][0][j], ends[1][1][j]
+        inside = np.flatnonzero((of[:, 0] == i) & (of[:, 1] == j))
+        new, without = _in_runs(mine[a:b], theirs[c:d], at[inside] - [a, c, a, a], least, similarity, int(a - c) if same else None)
+        found += [(int(a + k), int(a + m), int(c + n), int(c + o), alike) for k, m, n, o, alike in new]
+        covered[rows[inside[without]]] = True
+    return sorted(found), covered
+
+
+def _in_runs(
+    x: np.ndarray, y: np.ndarray, at: np.ndarray, least: int, similarity: float, apart: int | None
+) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray]:
+    """``passages_around`` in runs x and y of shingles as small numbers; of one text if ``apart`` tells how far x begins after y."""
     found: list[tuple[int, int, int, int, float]] = []
-    tried: list[tuple[int, int, int, int]] = []
+    covered = np.zeros(len(at), bool)
+    held = np.zeros(len(x), bool)  # where parts of ``least`` shingles begin that a passage holds
+    same, ahead = apart is not None, apart or 0
     room = 1 / similarity - 1
     band = max(BAND, int(min(len(x), len(y)) * room))
     ranks = _sorted_places(x, y)
-    values, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
-    codes, size = (codes[: len(x)], codes[len(x) :]), len(values)
-    for p, q in sorted(places):
-        if any(a <= p <= b and c <= q <= d and abs((p - q) - (a - c)) <= band for a, b, c, d in tried):
-            continue
-        if same and abs(p - q) < least + SHINGLE - 1:
-            continue
+    low = min(x.min(), y.min())
+    codes, size = (x - low, y - low), int(max(x.max(), y.max()) - low) + 1
+    row = np.lexsort((at[:, 1], at[:, 0]))
+    lows, highs = np.maximum(at[:, 2], 0), np.minimum(at[:, 3], len(x) - least)
+    while len(row):
+        p, q, *_ = at[row[0]].tolist()
         run = _verbatim(x, y, p, q)
-        options = []
-        for width in (band, BAND):
-            partner = _partners(ranks, p - q, min(width, abs(p - q) - 1) if same else width)
-            matched = np.flatnonzero(partner >= 0)
+        away = abs(p - q + ahead)
+        options, known = [], False
+        for width in sorted({band, BAND}, reverse=True):
+            # a passage reaches no farther than y does, but for words put in
+            low, high = max(0, p - q - width), min(len(x), p - q + len(y) + width)
+            matched, partner = _partners(ranks, p - q, min(width, away - 1) if same else width, low, high)
+            begin, end = _dense_around(x, matched, low, high, p, least, similarity)
+            if end == 0:
+                break  # nor does a narrower band have one
+            if held[max(begin, lows[row[0]]) : min(highs[row[0]], end - least) + 1].all():  # all parts that hold p
+                known = True
+                break
             span = np.array(_growing(matched, p, max(GAP, int(len(matched) * room))))
-            spans = np.column_stack([span, np.minimum.accumulate(np.minimum(partner[span[:, 0]], q)), np.maximum.accumulate(np.maximum(partner[span[:, 1]], q))])
+            first, last = (partner[np.searchsorted(matched, span[:, i])] for i in (0, 1))
+            spans = np.column_stack([span, np.minimum.accumulate(np.minimum(first, q)), np.maximum.accumulate(np.maximum(last, q))])
             fits = np.minimum(span[:, 1] - span[:, 0], spans[:, 3] - spans[:, 2]) + 1 >= least
             if same:
-                fits &= (spans[:, 1] + SHINGLE <= spans[:, 2]) | (spans[:, 3] + SHINGLE <= spans[:, 0])
+                fits &= (spans[:, 1] + ahead + SHINGLE <= spans[:, 2]) | (spans[:, 3] + SHINGLE <= spans[:, 0] + ahead)
             if fits.any():
                 alike = _alikes(*codes, spans, p, q, size)
                 good = np.flatnonzero(fits & (alike >= similarity))
                 options += [(*spans[i].tolist(), float(alike[i])) for i in good[-1:]]
+                if len(good) and good[-1] == len(spans) - 1:
+                    break  # a narrower band gives no more
+        if known:
+            covered[row[0]] = True
+            row = row[1:]
+            continue
         if (same or not options) and min(run[1] - run[0], run[3] - run[2]) + 1 >= least:
             options = [(*run, 1.0)]
         if options:
             found.append(max(options, key=lambda o: o[1] - o[0]))
-            tried.append(found[-1][:4])
-        else:
-            tried.append(run)
-    return found
+            run = found[-1][:4]
+            held[run[0] : run[1] - least + 2] = True
+        i, j, k, m = run
+        here, there = at[row, 0], at[row, 1]
+        done = (i <= here) & (here <= j) & (k <= there) & (there <= m) & (np.abs((here - there) - (i - k)) <= band)
+        done[0] = True
+        row = row[~done]
+        if options and len(row):
+            sums = np.concatenate([[0], np.cumsum(held)])
+            low, high = lows[row], np.maximum(highs[row] + 1, lows[row])
+            full = sums[high] - sums[low] == high - low
+            covered[row[full]] = True
+            row = row[~full]
+    return found, covered
 
 
 _FOUND = "doc long, start_word long, n_words long, first long, first_start_word long, first_n_words long, similarity double"
@@ -264,8 +499,11 @@ def compare(pairs: DataFrame, plain: DataFrame, least: int, similarity: float) -
     packed = packed_words(plain.join(needed, "doc", "left_semi"))
     mine = pairs.join(packed, "doc").select("doc", "other", "places", F.col("packed").alias("mine"))
     theirs = packed.select(F.col("doc").alias("other"), F.col("packed").alias("theirs"))
-    both = mine.join(theirs, "other").select("doc", "other", "places", "mine", "theirs")
-    left_type = pa.list_(pa.struct([("signature", pa.int64()), ("place", pa.int32())]))
+    spark = pairs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    # dealt by pair: a document that many others are compared with is no hot key here, and partitions of few bytes are not put together
+    both = mine.join(theirs, "other").select("doc", "other", "places", "mine", "theirs").repartition(tasks, "doc", "other")
+    left_type = pa.list_(pa.struct([("signature", pa.int64()), ("places", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -279,18 +517,54 @@ def compare(pairs: DataFrame, plain: DataFrame, least: int, similarity: float) -
                 x = shingles(words([unpack(a.as_py())])).hash
                 if last[0] != other:
                     last = other, shingles(words([unpack(b.as_py())])).hash
-                found = common_passages(x, last[1], sorted({(p["place"], p["there"]) for p in places}), least, similarity, doc == other)
+                at = np.concatenate([p["places"] for p in places]).astype(np.int64)
+                size = [len(p["places"]) for p in places]
+                here, low, high = unpacked(at, least)
+                there = np.repeat(np.array([p["there"] for p in places], np.int64), size)
+                seeds = np.column_stack([here, there, low, high])
+                found, covered = passages_around(x, last[1], seeds, least, similarity, doc == other)
                 rows += [(doc, i, j - i + SHINGLE, other, k, m - k + SHINGLE, alike, None) for i, j, k, m, alike in found]
-                still = [
-                    {"signature": p["signature"], "place": p["place"]} for p in places
-                    if p["new"] and not any(i <= p["place"] <= j and k <= p["there"] <= m for i, j, k, m, _ in found)
-                ]
+                settled = covered
+                for i, j, k, m, _ in found:
+                    settled |= (i <= here) & (here <= j) & (k <= there) & (there <= m)
+                still = []
+                for p, rest in zip(places, np.split(np.where(settled, -1, at), np.cumsum(size)[:-1])):
+                    if p["new"] and (rest >= 0).any():
+                        still.append({"signature": p["signature"], "places": rest[rest >= 0].tolist()})
                 if still:
                     rows.append((doc, None, None, None, None, None, None, still))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return both.mapInArrow(run, f"{_FOUND}, open array<struct<signature:long,place:int>>")
+    return both.mapInArrow(run, f"{_FOUND}, open array<struct<signature:long,places:array<long>>>")
+
+
+def not_held(windows: DataFrame, rows: DataFrame, passage: int) -> DataFrame:
+    """The windows (signature, doc, places) around which the passages (doc, start_word, n_words) leave a part of ``passage`` words out."""
+    least = passage - SHINGLE + 1
+    open_ = windows.groupBy("doc").agg(F.collect_list(F.struct("signature", "places")).alias("w"))
+    spans = rows.groupBy("doc").agg(F.collect_list("start_word").alias("start"), F.collect_list(F.col("start_word") + F.col("n_words") - passage).alias("end"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, some, start, end in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                places = np.concatenate([w["places"] for w in some]).astype(np.int64)
+                _, low, high = unpacked(places, least)
+                known = np.zeros(len(places), bool)
+                if start:
+                    order = np.argsort(start, kind="stable")
+                    start, end = np.array(start)[order], np.maximum.accumulate(np.array(end)[order])
+                    begin = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1] + 1]))  # of rows that meet
+                    i = np.searchsorted(start[begin], low, "right") - 1
+                    known = (i >= 0) & (high <= end[np.append(begin[1:], len(end)) - 1][i])
+                for w, rest in zip(some, np.split(np.where(known, -1, places), np.cumsum([len(w["places"]) for w in some])[:-1])):
+                    if (rest >= 0).any():
+                        out.append((w["signature"], doc, rest[rest >= 0].tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["signature", "doc", "places"])
+
+    return open_.join(spans, "doc", "left").select("doc", "w", "start", "end").mapInArrow(run, "signature long, doc long, places array<long>")
 
 
 def near_passages(
@@ -298,16 +572,20 @@ def near_passages(
 ) -> DataFrame:
     """(key, start_word, n_words, first_<key>, first_start_word, first_n_words, similarity): passages that occur in an earlier document.
 
-    1. For each of several hash functions, compact windows hold every part of a text of ``passage`` words or more; two parts share their
+    1. Texts with the same words are folded to the smallest key; a copy is one passage of that document. Both sides of a
+       passage have ``similarity`` of their shingles in common, so these occur at two places or more: hashes of all shingles are dealt out to be counted, and
+       only parts of a text where that share of places has shared shingles (see ``dense_runs``) go on. No passage is lost by this, but phrases
+       that are frequent in otherwise different texts mostly are.
+    2. For each of several hash functions, compact windows hold every part of ``passage`` words or more; two parts share their
        min-hash exactly if their windows have one signature. Verbatim passages meet in every function, similar ones in each with
-       the chance of their similarity.
-    2. Windows of equal signature are aggregated to the one of the smallest key, and every other window is linked to it. All
+       the chance of their similarity. A text has one row a signature.
+    3. Windows of equal signature are aggregated to the one of the smallest key, and every other window is linked to it. All
        links of two documents are brought together, and two documents are compared once two signatures or more agree, in
        this turn and those before: always for a verbatim passage, which all functions see, and for one of similarity 0.8 but for a
        chance of 8e-5.
-    3. Whole texts verify: the passage around a common shingle must have ``passage`` words or more on both sides and a
+    4. Whole texts verify: the passage around a common shingle must have ``passage`` words or more on both sides and a
        similarity of sets of five-word shingles of ``similarity`` or more.
-    4. Windows whose link no passage confirms go on to the next smallest window of their signature, and what is left
+    5. Windows whose link no passage confirms, and around which the passages found so far do not hold every part of ``passage`` words, go on to the next smallest window of their signature, and what is left
        then is compared in pairs where a signature has up to CROWD windows. A larger group has a frequent phrase at its
        centre: its shingle comes after all others from then on, so that windows around it get signatures of
        the other words, and all steps are repeated for them, until no signature has two unconfirmed windows left.
@@ -320,19 +598,27 @@ def near_passages(
     if not plain.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         plain = stored(plain.groupBy("doc").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")))
     least = passage - SHINGLE + 1
+    copies = folded(plain)
+    whole = plain.join(sent(copies.select("doc"), COPIES), "doc", "left_anti")
+    dense = stored(dense_parts(stored(chunked(whole)), passage, similarity))
     where = F.struct("doc", "place")
     found: list[DataFrame] = []
     before: list[DataFrame] = []
 
     def grouped(windows: DataFrame) -> DataFrame:
-        groups = windows.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).where("n > 1")
+        smallest = F.struct("doc", F.array_min("places").alias("place"))
+        groups = windows.groupBy("signature").agg(F.sum(F.size("places")).alias("n"), F.min(smallest).alias("first")).where("n > 1")
         return windows.join(groups, "signature")
 
+    def after_first(met: DataFrame) -> DataFrame:
+        own = F.when(F.col("doc") == F.col("first.doc"), F.array_remove("places", F.col("first.place"))).otherwise(F.col("places"))
+        return met.withColumn("places", own).where(F.size("places") > 0)
+
     def turn(met: DataFrame) -> DataFrame:
-        """Compare the links (signature, doc, place, first) as far as two signatures agree; windows that are not confirmed."""
-        at = F.struct("signature", "place", F.col("first.place").alias("there"), F.lit(True).alias("new"))
+        """Compare the links (signature, doc, places, first) as far as two signatures agree; windows that are not confirmed."""
+        at = F.struct("signature", "places", F.shiftright("first.place", 32).alias("there"), F.lit(True).alias("new"))
         pairs = met.select("doc", F.col("first.doc").alias("other"), "signature", at.alias("at")).groupBy("doc", "other").agg(
-            F.collect_set("at").alias("places"), F.min("signature").alias("least"), F.max("signature").alias("most")
+            F.collect_list("at").alias("places"), F.min("signature").alias("least"), F.max("signature").alias("most")
         )
         if before:
             pairs = stored(pairs)
@@ -350,15 +636,29 @@ def near_passages(
         found.append(checked.where("open IS NULL").drop("open").withColumn("turn", F.lit(len(found))))
         alone = pairs.where("least = most").select("doc", F.explode(F.filter("places", lambda p: p["new"])).alias("w"))
         still = checked.where("open IS NOT NULL").select("doc", F.explode("open").alias("w"))
-        return alone.select("w.signature", "doc", "w.place").unionByName(still.select("w.signature", "doc", "w.place"))
+        left = alone.select("w.signature", "doc", "w.places").unionByName(still.select("w.signature", "doc", "w.places"))
+        rows = found[0]
+        for more in found[1:]:
+            rows = rows.unionByName(more)
+        return not_held(left, rows, passage)
 
-    windows, crowded = all_windows(plain, functions, passage).repartition("signature"), np.zeros(0, np.int64)
+    windows, crowded = all_windows(dense, functions, passage).repartition("signature"), np.zeros(0, np.int64)
     while True:
         for _ in range(2):
-            windows = turn(grouped(windows).where(where != F.col("first")))
-        rest = stored(grouped(windows))
+            windows = turn(after_first(grouped(windows)))
+        windows = stored(windows)
+        # a text without others whose places are too near each other has nothing left to compare
+        last = F.shiftright(F.max(F.array_max("places")), 32) - F.shiftright(F.min(F.array_min("places")), 32)
+        open_ = windows.groupBy("signature").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), last.alias("last")).where(
+            (F.col("low") != F.col("high")) | (F.col("last") >= passage)
+        )
+        rest = stored(grouped(windows.join(open_.select("signature"), "signature", "left_semi")))
         few = rest.where((F.col("n") <= CROWD) | (F.col("signature") < 0))
-        later = few.select("signature", "doc", "place").join(few.select("signature", where.alias("first")), "signature").where(where > F.col("first"))
+        flat = few.select("signature", "doc", F.explode("places").alias("place"))
+        later = flat.join(flat.select("signature", where.alias("first")), "signature").where(where > F.col("first"))
+        near = F.shiftright("place", 32) - F.shiftright("first.place", 32) < passage  # in one text these are no repeat
+        later = later.where((F.col("doc") != F.col("first.doc")) | ~near)
+        later = stored(later.groupBy("signature", "doc", "first").agg(F.collect_list("place").alias("places")))
         if not later.isEmpty():
             turn(later)
         many = rest.where((F.col("n") > CROWD) & (F.col("signature") >= 0))
@@ -366,10 +666,13 @@ def near_passages(
         if not new:
             break
         crowded = np.append(crowded, np.array(new, np.int64))
-        again = plain.join(sent(stored(many.select("doc").distinct())), "doc", "left_semi")
+        again = dense.join(sent(stored(many.select("doc").distinct())), "doc", "left_semi")
         windows = all_windows(again, functions, passage, crowded).repartition("signature")
     first, *others = found
-    out = first.drop("turn")
+    out = first.drop("turn").unionByName(copies.where(F.col("n_words") >= passage).select(
+        "doc", F.lit(0).cast("long").alias("start_word"), "n_words", F.col("leader").alias("first"), F.lit(0).cast("long").alias("first_start_word"),
+        F.col("n_words").alias("first_n_words"), F.lit(1.0).alias("similarity"),
+    ))
     if others:
         # what a later turn finds is left out where a row of the document covers it and names an earlier one
         added = others[0]
