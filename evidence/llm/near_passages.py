@@ -22,9 +22,12 @@ GAP, BAND = 10, 12
 CROWD = 32
 #: Ids of copies that may go to every task; more are left out by a shuffle.
 COPIES = 2_000_000
+#: Texts of a block that are compared with one other, on average.
+BLOCK = 32
+#: Shingles of texts that a worker compares side by side, beyond one pair.
+SIDE_BY_SIDE = 300_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -175,15 +178,20 @@ def dense_runs(shared: np.ndarray, first: np.ndarray, least: int, similarity: fl
     at = np.arange(len(shared)) + np.repeat(np.arange(len(counts)), counts)
     step = np.full(len(shared) + len(counts), -(up + down) * (int(counts.max(initial=0)) + 1), np.int64)
     step[at] = np.where(shared, up, -down)
-    total = np.concatenate([[0], np.cumsum(step)])
-    # the largest e with total[e] >= total[i], among ever smaller maxima from the right
-    highest = np.maximum.accumulate(total[::-1])
-    last = len(total) - 1 - np.searchsorted(highest, total[:-1], "left")
-    begin = np.flatnonzero(last - np.arange(len(step)) >= least)
-    cover = np.zeros(len(step) + 1, np.int64)
-    np.add.at(cover, begin, 1)
-    np.add.at(cover, last[begin], -1)
-    inside = (np.cumsum(cover)[:-1] > 0)[at]
+    n = len(step) + 1 - least
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.zeros(len(step) + 1, np.int64)
+    np.cumsum(step, out=total[1:])
+    # a place is inside if some part of ``least`` or more around it has a sum that is not negative: one that begins far before it, or near
+    highest = np.maximum.accumulate(total[::-1])[::-1]
+    near = np.zeros(len(step) + 1, np.int64)
+    np.cumsum(highest[least:] >= total[:n], out=near[1 : n + 1])
+    near[n + 1 :] = near[n]
+    inside = near[1:] > 0
+    inside[least - 1 :] = near[least:] > near[: n]
+    inside[least - 1 :] |= highest[least:] >= np.minimum.accumulate(total[:n])
+    inside = inside[at]
     turns = np.zeros(len(shared) + 1, bool)  # a text begins a run of its own
     turns[first] = True
     opens = inside & (turns[:-1] | ~np.concatenate([[False], inside[:-1]]))
@@ -231,8 +239,68 @@ def unpacked(places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np
     return at, at - (places >> 16 & 0xFFFF), at + (places & 0xFFFF) - least + 1
 
 
-def all_windows(dense: DataFrame, functions: int, passage: int, crowded: np.ndarray | None = None) -> DataFrame:
-    """(signature, doc, places): the centres of the compact windows of every text in its dense parts, each as a number (see ``unpacked``).
+_WINDOWS, _LINKS = ["signature", "doc", "size"], ["doc", "other", "signature", "there", "size"]
+
+
+def _dealt(part: np.ndarray, rows: list[np.ndarray], places: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Rows with lists of places, of which the last column has the sizes, as one row of bytes for each part."""
+    order = np.argsort(part, kind="stable")
+    size = rows[-1]
+    values = places[_ranges((np.cumsum(size) - size)[order], size[order])]
+    part, rows = part[order], [r[order] for r in rows]
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+    end = np.append(begin[1:], len(part))[: len(begin)]
+    until = np.concatenate([[0], np.cumsum(rows[-1])])
+    columns = [[r[a:b].tobytes() for a, b in zip(begin, end)] for r in rows] + [[values[until[a] : until[b]].tobytes() for a, b in zip(begin, end)]]
+    return pa.RecordBatch.from_arrays([pa.array(part[begin], pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], ["part", *names, "places"])
+
+
+def _undealt(table: pa.Table, names: list[str]) -> list[np.ndarray]:
+    """The columns of ``_dealt`` with all places at the end."""
+    return [np.frombuffer(b"".join(table.column(n).to_pylist()), np.int64) for n in (*names, "places")]
+
+
+def linked(windows: DataFrame, parts: int) -> DataFrame:
+    """(doc, other, places, least, most): of ``all_windows`` those that are not the smallest of their signature, with the document and place of that one, by pairs of documents."""
+
+    def first(table: pa.Table) -> pa.Table:
+        signature, doc, size, places = _undealt(table, _WINDOWS)
+        order = np.lexsort((doc, signature))
+        begin = (np.cumsum(size) - size)[order]
+        signature, doc, size = signature[order], doc[order], size[order]
+        opens = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
+        rows = np.diff(np.append(opens, len(signature)))
+        other, there = np.repeat(doc[opens], rows), np.repeat(places[begin[opens]] >> 32, rows)
+        begin[opens] += 1  # the smallest itself
+        size[opens] -= 1
+        some = np.flatnonzero(size)
+        doc, other, size = doc[some], other[some], size[some]
+        part = (mix(doc.view(np.uint64) ^ mix(other.view(np.uint64) + _GOLD)) % np.uint64(parts)).astype(np.int32)
+        batch = _dealt(part, [doc, other, signature[some], there[some], size], places[_ranges(begin[some], size)], _LINKS)
+        return pa.Table.from_batches([batch])
+
+    def second(table: pa.Table) -> pa.Table:
+        doc, other, signature, there, size, places = _undealt(table, _LINKS)
+        order = np.lexsort((signature, other, doc))
+        begin = (np.cumsum(size) - size)[order]
+        doc, other, signature, there, size = (c[order] for c in (doc, other, signature, there, size))
+        opens = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])]))
+        edge = np.append(opens, len(doc))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(places[_ranges(begin, size)]))
+        at = pa.StructArray.from_arrays([pa.array(signature), lists, pa.array(there), pa.array(np.ones(len(doc), bool))], ["signature", "places", "there", "new"])
+        return pa.table({
+            "doc": doc[opens], "other": other[opens], "places": pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), at),
+            "least": signature[opens], "most": signature[edge[1:] - 1],
+        })
+
+    schema = "part int, doc binary, other binary, signature binary, there binary, size binary, places binary"
+    return windows.groupBy("part").applyInArrow(first, schema).groupBy("part").applyInArrow(
+        second, "doc long, other long, places array<struct<signature:long,places:array<long>,there:long,new:boolean>>, least long, most long"
+    )
+
+
+def all_windows(dense: DataFrame, functions: int, passage: int, parts: int, crowded: np.ndarray | None = None) -> DataFrame:
+    """(part, signature, doc, size, places): the centres of the compact windows of every text in its dense parts, each as a number (see ``unpacked``), dealt to parts by signature.
 
     With the signatures of crowded groups their shingles come after all others in every function, and only windows that
     hold such a shingle are given. A negative signature is that of a window with no other shingles in reach.
@@ -269,106 +337,37 @@ def all_windows(dense: DataFrame, functions: int, passage: int, crowded: np.ndar
         order = np.lexsort((place, owner, signature))
         signature, owner, place = signature[order], owner[order], place[order]
         of = np.flatnonzero(np.concatenate([[True], (np.diff(signature) != 0) | (np.diff(owner) != 0)])[: len(signature)])
-        places = pa.ListArray.from_arrays(pa.array(np.append(of, len(place)).astype(np.int32)), pa.array(place))
-        return pa.RecordBatch.from_arrays([pa.array(signature[of]), batch.column(0).take(pa.array(owner[of])), places], ["signature", "doc", "places"])
+        size = np.diff(np.append(of, len(place)))
+        part = (signature[of].view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
+        return _dealt(part.astype(np.int32), [signature[of], batch.column(0).to_numpy()[owner[of]], size], place, _WINDOWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(batches, "held", lambda batch, _: found_in(batch))
 
-    return dense.mapInArrow(run, "signature long, doc long, places array<long>")
-
-
-def packed_words(docs: DataFrame) -> DataFrame:
-    """(doc, packed): the words of each text, compressed for shuffles; null as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-
-        def then(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-            plain = [pack((t or b"").translate(_SPACES)) for t in texts]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain, pa.binary())], ["doc", "packed"])
+    return dense.mapInArrow(run, "part int, signature binary, doc binary, size binary, places binary")
 
-        yield from in_batches(batches, "text", then)
 
-    return docs.mapInArrow(run, "doc long, packed binary")
-
-
-def _sorted_places(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Places of y ordered by shingle and place, and the rank of each shingle of x among those of y, as numbers to search in."""
-    values, rank = np.unique(y, return_inverse=True)
-    wide = 2 * (len(x) + len(y))
-    mine = np.searchsorted(values, x)
-    known = values[np.minimum(mine, len(values) - 1)] == x
-    return np.sort(rank * (2 * wide) + np.arange(len(y)) + wide), mine, known, wide
-
-
-def _partners(places: tuple[np.ndarray, np.ndarray, np.ndarray, int], shift: int, band: int, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, place there): places of x from ``begin`` to ``end`` whose shingle y has ``shift`` places away or at most ``band`` beside it, the nearest there."""
-    there, rank, known, wide = places
-    at = begin + np.flatnonzero(known[begin:end])
-    key = rank[at] * (2 * wide) + (at - shift + wide)
-    i = np.searchsorted(there, key)
-    before, after = there[np.maximum(i - 1, 0)], there[np.minimum(i, len(there) - 1)]
-    ahead, behind = np.abs(before - key), np.abs(after - key)
-    near = np.minimum(ahead, behind) <= band
-    return at[near], (np.where(ahead <= behind, before, after) - key + at - shift)[near]
-
-
-def _dense_around(x: np.ndarray, matched: np.ndarray, low: int, high: int, place: int, least: int, similarity: float) -> tuple[int, int]:
-    """Begin and end of the dense run of x from ``low`` to ``high`` (see ``dense_runs``) around a place, both 0 if none; a shingle without a match counts where it comes first."""
-    if len(matched) < similarity * least - 1e-6:
-        return 0, 0
-    part = x[low:high]
-    bare = np.ones(len(part), bool)
-    bare[matched - low] = False
-    alone = np.flatnonzero(bare)
-    again = np.argsort(part[alone], kind="stable")
-    repeated = np.flatnonzero(np.diff(part[alone][again]) == 0) + 1
-    bare[alone[again[repeated]]] = False
-    begin, end = dense_runs(~bare, np.array([0, len(part)]), least, similarity)
-    i = int(np.searchsorted(begin, place - low, "right")) - 1
-    return (int(begin[i]) + low, int(end[i]) + low) if i >= 0 and place - low < end[i] else (0, 0)
-
-
-def _growing(matched: np.ndarray, place: int, most: int) -> list[tuple[int, int]]:
-    """(first, last) of the run of matched places around ``place`` and of it with ever more runs, the nearest first, over gaps of up to ``most``."""
-    breaks = np.flatnonzero(np.diff(matched) > 1)
-    first, last = matched[np.concatenate([[0], breaks + 1])].tolist(), matched[np.append(breaks, len(matched) - 1)].tolist()
-    left = right = int(np.searchsorted(first, place, "right")) - 1
-    spans = [(first[left], last[right])]
-    while True:
-        before = first[left] - last[left - 1] - 1 if left else most + 1
-        after = first[right + 1] - last[right] - 1 if right + 1 < len(first) else most + 1
-        if min(before, after) > most:
-            return spans
-        left, right = (left - 1, right) if before <= after else (left, right + 1)
-        spans.append((first[left], last[right]))
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _enters(codes: np.ndarray, first: np.ndarray, last: np.ndarray, place: int, size: int) -> np.ndarray:
-    """For each code the first of the growing spans that holds it; as many as there are spans if none does."""
-    lo, hi = int(first[-1]), int(last[-1])
-    at = np.arange(lo, hi + 1)
-    step = np.where(at > place, np.searchsorted(last, at), np.searchsorted(-first, -at))
-    out = np.full(size, len(first))
-    np.minimum.at(out, codes[lo : hi + 1], step)
-    return out
+def _highest(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Running maxima inside groups, which are numbered in order."""
+    wide = group * (2 * int(np.abs(x).max(initial=0)) + 1)
+    return np.maximum.accumulate(x + wide) - wide
 
 
-def _alikes(x: np.ndarray, y: np.ndarray, spans: np.ndarray, p: int, q: int, size: int) -> np.ndarray:
-    """Similarity of the sets of codes of growing spans (first, last, first there, last there) around two places."""
-    mine, theirs = _enters(x, spans[:, 0], spans[:, 1], p, size), _enters(y, spans[:, 2], spans[:, 3], q, size)
-    s, t, common = (np.cumsum(np.bincount(e, minlength=len(spans) + 1)[:-1]) for e in (mine, theirs, np.maximum(mine, theirs)))
-    return common / (s + t - common)
+#: Shingles of the dense parts of a text, where each begins in the text, and their sizes.
+Parts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _verbatim(x: np.ndarray, y: np.ndarray, p: int, q: int) -> tuple[int, int, int, int]:
-    """The longest equal runs around two places."""
-    n, m = min(p, q) + 1, min(len(x) - p, len(y) - q)
-    back, ahead = x[p - n + 1 : p + 1][::-1] == y[q - n + 1 : q + 1][::-1], x[p : p + m] == y[q : q + m]
-    left = n if back.all() else int(np.argmin(back))
-    right = m if ahead.all() else int(np.argmin(ahead))
-    return p - left + 1, p + right - 1, q - left + 1, q + right - 1
+def _first_of(codes: np.ndarray, size: int) -> np.ndarray:
+    """Where each code comes first."""
+    first = np.zeros(size, np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return first
 
 
 def common_passages(
@@ -386,185 +385,469 @@ def common_passages(
     shingles in a periodic text: it may run on into itself, as each part of it is equal to one that lies far enough before.
     """
     at = np.array(sorted(places), np.int64).reshape(-1, 2)
-    return passages_around(x, y, np.column_stack([at, at[:, 0] - least + 1, at[:, 0]]), least, similarity, same)[0]
+    x, y = ((h, np.zeros(1, np.int64), np.array([len(h)])) for h in (x, y))
+    return passages_around([(x, y, np.column_stack([at, at[:, 0] - least + 1, at[:, 0]]), same)], least, similarity)[0][0]
 
 
 def passages_around(
-    x: np.ndarray, y: np.ndarray, at: np.ndarray, least: int, similarity: float, same: bool
-) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray]:
-    """``common_passages`` around the rows (place, place there, first and last begin of a part with the place) of ``at``; rows that need none as others hold these parts."""
-    covered = np.zeros(len(at), bool)
-    rows = np.arange(len(at))
-    values, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
-    mine, theirs = codes[: len(x)], codes[len(x) :]
-    often = [np.bincount(c, minlength=len(values)) for c in (mine, theirs)]
-    shared = often[0] > 1 if same else (often[0] > 0) & (often[1] > 0)
-    if same:
-        rows = rows[np.abs(at[:, 0] - at[:, 1]) >= least + SHINGLE - 1]
-    at = at[rows]
-    ends, of = [], []
-    for c, p in ((mine, at[:, 0]), (theirs, at[:, 1])):
-        # both sides of a passage lie in dense runs; a shingle that only one side has counts where it comes first
-        first = np.zeros(len(values), np.int64)
-        first[c[::-1]] = np.arange(len(c))[::-1]
-        begin, end = dense_runs(shared[c] | (first[c] < np.arange(len(c))), np.array([0, len(c)]), least, similarity)
-        i = np.searchsorted(begin, p, "right") - 1
-        ends.append((begin, end))
-        of.append(np.where((i >= 0) & (p < np.append(end, 0)[i]), i, -1))
-    both = (of[0] >= 0) & (of[1] >= 0)
-    rows, at, of = rows[both], at[both], np.column_stack(of)[both]
-    found = []
-    for i, j in np.unique(of, axis=0):
-        a, b, c, d = ends[0][0][i], ends[0][1][i], ends[1][0][j], ends[1][1][j]
-        inside = np.flatnonzero((of[:, 0] == i) & (of[:, 1] == j))
-        new, without = _in_runs(mine[a:b], theirs[c:d], at[inside] - [a, c, a, a], least, similarity, int(a - c) if same else None)
-        found += [(int(a + k), int(a + m), int(c + n), int(c + o), alike) for k, m, n, o, alike in new]
-        covered[rows[inside[without]]] = True
-    return sorted(found), covered
-
-
-def _in_runs(
-    x: np.ndarray, y: np.ndarray, at: np.ndarray, least: int, similarity: float, apart: int | None
-) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray]:
-    """``passages_around`` in runs x and y of shingles as small numbers; of one text if ``apart`` tells how far x begins after y."""
-    found: list[tuple[int, int, int, int, float]] = []
-    covered = np.zeros(len(at), bool)
-    held = np.zeros(len(x), bool)  # where parts of ``least`` shingles begin that a passage holds
-    same, ahead = apart is not None, apart or 0
-    room = 1 / similarity - 1
-    band = max(BAND, int(min(len(x), len(y)) * room))
-    ranks = _sorted_places(x, y)
-    low = min(x.min(), y.min())
-    codes, size = (x - low, y - low), int(max(x.max(), y.max()) - low) + 1
-    row = np.lexsort((at[:, 1], at[:, 0]))
-    lows, highs = np.maximum(at[:, 2], 0), np.minimum(at[:, 3], len(x) - least)
-    while len(row):
-        p, q, *_ = at[row[0]].tolist()
-        run = _verbatim(x, y, p, q)
-        away = abs(p - q + ahead)
-        options, known = [], False
-        for width in sorted({band, BAND}, reverse=True):
-            # a passage reaches no farther than y does, but for words put in
-            low, high = max(0, p - q - width), min(len(x), p - q + len(y) + width)
-            matched, partner = _partners(ranks, p - q, min(width, away - 1) if same else width, low, high)
-            begin, end = _dense_around(x, matched, low, high, p, least, similarity)
-            if end == 0:
-                break  # nor does a narrower band have one
-            if held[max(begin, lows[row[0]]) : min(highs[row[0]], end - least) + 1].all():  # all parts that hold p
-                known = True
-                break
-            span = np.array(_growing(matched, p, max(GAP, int(len(matched) * room))))
-            first, last = (partner[np.searchsorted(matched, span[:, i])] for i in (0, 1))
-            spans = np.column_stack([span, np.minimum.accumulate(np.minimum(first, q)), np.maximum.accumulate(np.maximum(last, q))])
-            fits = np.minimum(span[:, 1] - span[:, 0], spans[:, 3] - spans[:, 2]) + 1 >= least
-            if same:
-                fits &= (spans[:, 1] + ahead + SHINGLE <= spans[:, 2]) | (spans[:, 3] + SHINGLE <= spans[:, 0] + ahead)
-            if fits.any():
-                alike = _alikes(*codes, spans, p, q, size)
-                good = np.flatnonzero(fits & (alike >= similarity))
-                options += [(*spans[i].tolist(), float(alike[i])) for i in good[-1:]]
-                if len(good) and good[-1] == len(spans) - 1:
-                    break  # a narrower band gives no more
-        if known:
-            covered[row[0]] = True
-            row = row[1:]
-            continue
-        if (same or not options) and min(run[1] - run[0], run[3] - run[2]) + 1 >= least:
-            options = [(*run, 1.0)]
-        if options:
-            found.append(max(options, key=lambda o: o[1] - o[0]))
-            run = found[-1][:4]
-            held[run[0] : run[1] - least + 2] = True
-        i, j, k, m = run
-        here, there = at[row, 0], at[row, 1]
-        done = (i <= here) & (here <= j) & (k <= there) & (there <= m) & (np.abs((here - there) - (i - k)) <= band)
-        done[0] = True
-        row = row[~done]
-        if options and len(row):
-            sums = np.concatenate([[0], np.cumsum(held)])
-            low, high = lows[row], np.maximum(highs[row] + 1, lows[row])
-            full = sums[high] - sums[low] == high - low
-            covered[row[full]] = True
-            row = row[~full]
-    return found, covered
+    pairs: list[tuple[Parts, Parts, np.ndarray, bool]], least: int, similarity: float
+) -> list[tuple[list[tuple[int, int, int, int, float]], np.ndarray]]:
+    """For each (x, y, at, same): ``common_passages`` around the rows (place, place there, first and last begin of a part with the place) of ``at``; rows that need none as others hold these parts.
+
+    Both sides of a passage lie in dense runs of one part; a shingle that only one side has counts where it comes first.
+    Shingles are told apart by the pair and 64 bits, so that all pairs are handled side by side.
+    """
+    covered = np.zeros(sum(len(p[2]) for p in pairs), bool)
+    found: list[list[tuple[int, int, int, int, float]]] = [[] for _ in pairs]
+    same = np.array([p[3] for p in pairs], bool)
+    (mine, theirs), size = _codes([p[0][0] for p in pairs], [p[1][0] for p in pairs])
+    often = [np.bincount(c, minlength=size) for c in (mine, theirs)]
+    count = np.array([len(p[2]) for p in pairs])
+    of = np.repeat(np.arange(len(pairs)), count)
+    at = np.concatenate([np.asarray(p[2], np.int64).reshape(-1, 4) for p in pairs])
+    rows = np.flatnonzero(~same[of] | (np.abs(at[:, 0] - at[:, 1]) >= least + SHINGLE - 1))
+    of, at = of[rows], at[rows]
+    runs, moves, held = [], [], np.ones(len(rows), bool)
+    for k, c in enumerate((mine, theirs)):
+        place, length = (np.concatenate([p[k][i] for p in pairs]).astype(np.int64) for i in (1, 2))
+        owner = np.repeat(np.arange(len(pairs)), [len(p[k][1]) for p in pairs])
+        begins = np.concatenate([[0], np.cumsum(length)])
+        shared = np.where(np.repeat(same[owner], length), often[k][c] > 1, often[1 - k][c] > 0)
+        begin, end = dense_runs(shared | (_first_of(c, size)[c] < np.arange(len(c))), begins, least, similarity)
+        move = begins[:-1] - place  # from a place of the text to that among all
+        runs.append((begin, end, move[np.searchsorted(begins, begin, "right") - 1]))
+        wide = int(max((place + length).max(initial=0), at[:, k].max(initial=0))) + 1
+        i = np.maximum(np.searchsorted(owner * wide + place, of * wide + at[:, k], "right") - 1, 0)
+        held &= (owner[i] == of) & (place[i] <= at[:, k]) & (at[:, k] < place[i] + length[i])
+        moves.append(move[i])
+    at[:, [0, 2, 3]] += moves[0][:, None]
+    at[:, 1] += moves[1]
+    rows, of, at = rows[held], of[held], at[held]
+    inside = []
+    for k in (0, 1):
+        begin, end, _ = runs[k]
+        i = np.searchsorted(begin, at[:, k], "right") - 1
+        inside.append(np.where((i >= 0) & (at[:, k] < np.append(end, 0)[i]), i, -1))
+    fits = np.flatnonzero((inside[0] >= 0) & (inside[1] >= 0))
+    fits = fits[mine[at[fits, 0]] == theirs[at[fits, 1]]]
+    if len(fits):
+        rows, of, at = rows[fits], of[fits], at[fits]
+        two = np.column_stack([inside[0][fits], inside[1][fits]])
+        order = np.lexsort((at[:, 1], at[:, 0], two[:, 1], two[:, 0]))
+        rows, of, at, two = rows[order], of[order], at[order], two[order]
+        opens = np.flatnonzero(np.concatenate([[True], (two[1:] != two[:-1]).any(axis=1)]))
+        low, high, move = ([runs[k][i][two[opens, k]] for k in (0, 1)] for i in (0, 1, 2))
+        # so many jobs at once that the copies of their runs stay small
+        total = np.cumsum(high[0] - low[0] + high[1] - low[1])
+        cuts = np.flatnonzero(np.diff(total // SIDE_BY_SIDE)) + 1
+        for some in np.split(np.arange(len(opens)), cuts):
+            part = slice(opens[some[0]], opens[some[-1] + 1] if some[-1] + 1 < len(opens) else len(rows))
+            pair = of[opens[some]]
+            apart = low[0][some] - move[0][some] - low[1][some] + move[1][some]
+            job = np.repeat(some - some[0], np.diff(np.append(opens[some], part.stop)))
+            shift = np.column_stack([low[0][some], low[1][some], low[0][some], low[0][some]])[job]
+            jobs = _Jobs(mine, theirs, [x[some] for x in low], [x[some] for x in high], size, same[pair], apart, least, similarity)
+            new, without = jobs.run(job, at[part] - shift)
+            covered[rows[part][without]] = True
+            for j, k, m, n, o, alike in new:
+                a, c = (low[i][some[j]] - move[i][some[j]] for i in (0, 1))
+                found[pair[j]].append((int(a + k), int(a + m), int(c + n), int(c + o), alike))
+    return [(sorted(f), c) for f, c in zip(found, np.split(covered, np.cumsum(count)[:-1]))]
+
+
+def _codes(xs: list[np.ndarray], ys: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """Shingles of all x and all y as small numbers, those of different pairs different."""
+    salt = mix(np.arange(1, len(xs) + 1, dtype=np.uint64) * _GOLD)
+    every = np.concatenate([h ^ s for side in (xs, ys) for h, s in zip(side, salt)])
+    values, codes = np.unique(every, return_inverse=True)
+    return np.split(codes, [sum(len(x) for x in xs)]), len(values)
+
+
+class _Jobs:
+    """Pairs of dense runs x and y of shingles as small numbers, of one text if ``same``, where x begins ``apart`` places after y.
+
+    Places are counted in all x, or all y, one after the other; each turn tries the first place that each job has left.
+    """
+
+    def __init__(
+        self, mine: np.ndarray, theirs: np.ndarray, low: list[np.ndarray], high: list[np.ndarray], size: int, same: np.ndarray, apart: np.ndarray,
+        least: int, similarity: float,
+    ) -> None:
+        self.least, self.similarity, self.same, self.ahead = least, similarity, same, np.where(same, apart, 0)
+        self.size = [h - b for b, h in zip(low, high)]
+        self.base = [np.cumsum(n) - n for n in self.size]
+        self.room = 1 / similarity - 1
+        self.band = np.maximum(BAND, (np.minimum(*self.size) * self.room).astype(np.int64))
+        job = [np.repeat(np.arange(len(n)), n) for n in self.size]
+        # a pair may have several jobs, and a shingle of each has a number of its own
+        every = np.concatenate([c[_ranges(b, n)] + j * size for c, b, n, j in zip((mine, theirs), low, self.size, job)])
+        values, codes = np.unique(every, return_inverse=True)
+        x, y = self.codes = np.split(codes, [len(job[0])])
+        self.values = len(values)
+        self.place = [np.arange(len(j)) - b[j] for j, b in zip(job, self.base)]
+        wide = 2 * int(self.size[0].max() + self.size[1].max())
+        self.there = np.sort(y * (2 * wide) + self.place[1] + wide)
+        known = [np.zeros(self.values, bool) for _ in (0, 1)]
+        known[0][x] = known[1][y] = True
+        often = [np.bincount(c, minlength=self.values) for c in (x, y)]
+        self.repeated = often[0][x] > 1
+        self.several = often[1][x] > 1
+        # how far the one place there lies, out of reach if there are none or more
+        self.only = np.where(often[1][x] == 1, _first_of(y, self.values)[x] - np.arange(len(x)), 1 << 40)
+        self.key = x * (2 * wide) + wide
+        bare = [~other[c] & (_first_of(c, self.values)[c] == np.arange(len(c))) for c, other in zip((x, y), known[::-1])]
+        # how many shingles that the other side has not come for the first time before each place
+        self.alone = [np.concatenate([[0], np.cumsum(b)]) for b in bare]
+        # both sides of a passage together have few such ones, so one side has no more than half of them
+        self.strong = []
+        for b, n in zip(bare, self.size):
+            cover = np.zeros(len(b) + 1, np.int8)
+            begin, end = dense_runs(~b, np.concatenate([[0], np.cumsum(n)]), least, 2 * similarity / (1 + similarity))
+            cover[begin] += 1
+            cover[end] -= 1
+            self.strong.append(np.cumsum(cover[:-1], dtype=np.int8) > 0)
+        self.held = np.zeros(len(x), bool)  # where parts of ``least`` shingles begin that a passage holds
+
+    def run(self, job: np.ndarray, at: np.ndarray) -> tuple[list[tuple[int, int, int, int, int, float]], np.ndarray]:
+        """Passages (job, start, end, start there, end there, similarity) around places of jobs, in order; rows that need none."""
+        found: list[tuple[int, int, int, int, int, float]] = []
+        covered = np.zeros(len(at), bool)
+        base, other = self.base[0][job], self.base[1][job]
+        here, there = at[:, 0] + base, at[:, 1] + other
+        low, high = np.maximum(at[:, 2], 0) + base, np.minimum(at[:, 3], self.size[0][job] - self.least) + base
+        tries = self.strong[0][here] | self.strong[1][there]
+        row, dull = np.flatnonzero(tries), np.flatnonzero(~tries)  # no passage holds a dull one
+        while len(row):
+            of = job[row]
+            head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            first = row[head]
+            j, p, q = of[head], here[first], there[first]
+            span = self.verbatim(j, p, q)
+            alike = np.ones(len(j))
+            known, none, best, value, done = self.tried(j, p, q, self.band[j], low[first], high[first])
+            again = np.flatnonzero(~known & ~none & ~done & (self.band[j] > BAND))
+            if len(again):
+                known[again], _, best2, value2, _ = self.tried(j[again], p[again], q[again], np.full(len(again), BAND), low[first[again]], high[first[again]])
+                longer = best2[:, 1] - best2[:, 0] > best[again, 1] - best[again, 0]
+                best[again[longer]], value[again[longer]] = best2[longer], value2[longer]
+            covered[first[known]] = True
+            long = np.minimum(span[:, 1] - span[:, 0], span[:, 3] - span[:, 2]) + 1 >= self.least
+            some = best[:, 1] >= best[:, 0]
+            grown = some & ~(self.same[j] & long)
+            span[grown], alike[grown] = best[grown], value[grown]
+            new = (grown | long) & ~known
+            for i in np.flatnonzero(new).tolist():
+                k, m, n, o = span[i].tolist()
+                x, y = int(self.base[0][j[i]]), int(self.base[1][j[i]])
+                found.append((int(j[i]), k - x, m - x, n - y, o - y, float(alike[i])))
+                self.held[k : m - self.least + 2] = True
+            which = np.repeat(np.arange(len(j)), np.diff(np.append(head, len(row))))
+            k, m, n, o = (span[which, c] for c in range(4))
+            gone = (k <= here[row]) & (here[row] <= m) & (n <= there[row]) & (there[row] <= o)
+            gone &= np.abs((here[row] - there[row]) - (k - n)) <= self.band[of]
+            gone &= ~known[which]
+            gone[head] = True
+            row, which = row[~gone], which[~gone]
+            check = np.flatnonzero(new[which])
+            if len(check):
+                full = self.all_held(j[new], low[row[check]], high[row[check]] + 1, job[row[check]])
+                covered[row[check[full]]] = True
+                keep = np.ones(len(row), bool)
+                keep[check[full]] = False
+                row = row[keep]
+        if len(dull) and found:
+            jobs = np.unique([f[0] for f in found])
+            dull = dull[np.isin(job[dull], jobs)]
+            covered[dull[self.all_held(jobs, low[dull], high[dull] + 1, job[dull])]] = True
+        return found, covered
+
+    def all_held(self, jobs: np.ndarray, low: np.ndarray, high: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Whether ``held`` holds all places from low on before high, in rows of some jobs."""
+        base, size = self.base[0][jobs], self.size[0][jobs]
+        sums = np.concatenate([[0], np.cumsum(self.held[_ranges(base, size)])])
+        shift = (base - np.cumsum(size) + size)[np.searchsorted(jobs, of)]
+        high = np.maximum(high, low)
+        return sums[high - shift] - sums[low - shift] == high - low
+
+    def verbatim(self, j: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The longest equal runs around two places of each job."""
+        x, y = self.codes
+        mine, theirs = p - self.base[0][j], q - self.base[1][j]
+        back = np.minimum(mine, theirs)
+        size = back + np.minimum(self.size[0][j] - mine, self.size[1][j] - theirs)
+        at = _ranges(p - back, size)
+        bad = np.flatnonzero(x[at] != y[at + np.repeat(q - p, size)])
+        start = np.cumsum(size) - size
+        i = np.searchsorted(bad, start + back)
+        left = np.maximum(np.concatenate([[-1], bad])[i] + 1, start)
+        right = np.minimum(np.append(bad, len(at))[i], start + size) - 1
+        first, last = p - back + left - start, p - back + right - start
+        return np.column_stack([first, last, first + q - p, last + q - p])
+
+    def tried(
+        self, j: np.ndarray, p: np.ndarray, q: np.ndarray, width: np.ndarray, low: np.ndarray, high: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each job: whether passages hold all parts around the place, whether it has no dense run, the largest similar span (empty if none), its similarity, and whether it is the last."""
+        m = len(j)
+        known, none, best, value, done = np.zeros(m, bool), np.ones(m, bool), np.zeros((m, 4), np.int64), np.ones(m), np.zeros(m, bool)
+        best[:, 1] = -1
+        x = self.codes[0]
+        base, other = self.base[0][j], self.base[1][j]
+        shift = (p - base) - (q - other)
+        # a passage reaches no farther than y does, but for words put in
+        start = np.maximum(0, shift - width) + base
+        size = np.minimum(self.size[0][j], shift + self.size[1][j] + width) + base - start
+        near = np.where(self.same[j], np.minimum(width, np.abs(shift + self.ahead[j]) - 1), width)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        every, k = _ranges(start, size), np.repeat(np.arange(m), size)
+        line = base + shift - other  # places of y are so far from those of x
+        off = self.only[every] + line[k]
+        hit = np.abs(off) <= near[k]
+        several = np.flatnonzero(self.several[every])
+        if len(several):
+            i, j_of = every[several], k[several]
+            key = self.key[i] + (i - (base + shift)[j_of])
+            i = np.searchsorted(self.there, key)
+            before, after = self.there[np.maximum(i - 1, 0)] - key, self.there[np.minimum(i, len(self.there) - 1)] - key
+            off[several] = np.where(np.abs(before) <= np.abs(after), before, after)
+            hit[several] = np.abs(off[several]) <= near[j_of]
+        bare = ~hit
+        hit = np.flatnonzero(hit)
+        at, k = every[hit], k[hit]
+        partner = off[hit] + at - line[k]
+        count = np.bincount(k, minlength=m)
+        # a shingle without a match counts where it comes first
+        alone = np.flatnonzero(bare & self.repeated[every])
+        if len(alone):
+            codes = x[every[alone]]
+            again = np.argsort(codes, kind="stable")
+            codes = codes[again]
+            bare[alone[again[1:][codes[1:] == codes[:-1]]]] = False
+        begin, end = dense_runs(~bare, edge, self.least, self.similarity)
+        if not len(begin):
+            return known, none, best, value, done
+        spot = edge[:-1] + p - start
+        i = np.maximum(np.searchsorted(begin, spot, "right") - 1, 0)
+        none = ~((begin[i] <= spot) & (spot < end[i]) & (count >= self.similarity * self.least - 1e-6))
+        move = start - edge[:-1]
+        a, b = np.maximum(begin[i] + move, low), np.minimum(high, end[i] + move - self.least) + 1
+        ok = np.flatnonzero(~none & (b >= base))  # a place whose parts all begin before x is tried
+        known[ok] = [self.held[c:d].all() for c, d in zip(a[ok].tolist(), b[ok].tolist())]
+        live = np.flatnonzero(~none & ~known)
+        if not len(live):
+            return known, none, best, value, done
+        number = np.full(m, -1)
+        number[live] = np.arange(len(live))
+        hit = np.flatnonzero(number[k] >= 0)
+        most = np.maximum(GAP, (count[live] * self.room).astype(np.int64))
+        spans, of, p, q = *self.growing(at[hit], partner[hit], number[k[hit]], p[live], q[live], most), p[live], q[live]
+        j, base, other = j[live], base[live], other[live]
+        mine, theirs = spans[:, 1] - spans[:, 0] + 1, spans[:, 3] - spans[:, 2] + 1
+        fits = np.minimum(mine, theirs) >= self.least
+        if self.same[j].any():
+            move = (self.ahead[j] - base + other)[of]
+            apart = (spans[:, 1] + move + SHINGLE <= spans[:, 2]) | (spans[:, 3] + SHINGLE <= spans[:, 0] + move)
+            fits &= ~self.same[j][of] | apart
+        # shingles that the other side has nowhere bound the similarity of a span: what is larger than all that can do need not be counted
+        ours, others = (c[spans[:, i + 1] + 1] - c[spans[:, i]] for c, i in zip(self.alone, (0, 2)))
+        common = np.minimum(mine - ours, theirs - others)
+        able = np.flatnonzero(fits & (common >= (self.similarity - 1e-9) * (common + ours + others)))
+        if not len(able):
+            return known, none, best, value, done
+        top = np.full(len(live), -1)
+        top[of[able]] = able
+        final = np.append(np.flatnonzero(of[1:] != of[:-1]), len(of) - 1)
+        kept = np.arange(len(of)) <= top[of]
+        ids = np.flatnonzero(kept)
+        jobs = np.flatnonzero(top >= 0)
+        number = np.full(len(live), -1)
+        number[jobs] = np.arange(len(jobs))
+        alike = self.alikes(spans[ids], number[of[ids]], p[jobs], q[jobs])
+        good = np.flatnonzero(fits[ids] & (alike >= self.similarity))
+        last = np.full(len(live), -1)
+        last[of[ids[good]]] = good
+        some = np.flatnonzero(last >= 0)
+        best[live[some]], value[live[some]] = spans[ids[last[some]]], alike[last[some]]
+        done[live[some]] = ids[last[some]] == final[some]
+        return known, none, best, value, done
+
+    def growing(
+        self, matched: np.ndarray, partner: np.ndarray, of: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last, first there, last there) of the run of matched places around each place and of it with ever more runs over gaps of up to ``most``, and whose each is.
+
+        The nearer of the next runs on both sides comes first: runs are merged by the largest gap on the way to them.
+        """
+        m = len(p)
+        breaks = np.flatnonzero((matched[1:] - matched[:-1] > 1) | (of[1:] != of[:-1]))
+        opens, closes = np.concatenate([[0], breaks + 1]), np.append(breaks, len(matched) - 1)
+        first, last, there, there_last = matched[opens], matched[closes], partner[opens], partner[closes]
+        gaps = first[1:] - last[:-1] - 1
+        run = np.searchsorted(first, p, "right") - 1
+        edge = np.searchsorted(of[opens], np.arange(m + 1))
+        keys, jobs, lefts = [], [], 0
+        for size in (run - edge[:-1], edge[1:] - 1 - run):
+            j = np.repeat(np.arange(m), size)
+            i = np.arange(len(j)) - np.repeat(np.cumsum(size) - size, size)
+            widest = _highest(gaps[run[j] - 1 - i] if not keys else gaps[run[j] + i], j)
+            go = widest <= most[j]
+            keys.append(widest[go])
+            jobs.append(j[go])
+            lefts = lefts or (len(keys) == 1 and int(go.sum()))
+        key, job = np.concatenate(keys), np.concatenate(jobs)
+        order = np.argsort(key + job * (int(most.max()) + 1), kind="stable")
+        job = job[order]
+        head = np.searchsorted(job, np.arange(m)) + np.arange(m)  # a span without more runs comes first
+        back = np.zeros(len(job) + m, np.int64)
+        back[np.arange(len(job)) + job + 1] = order < lefts
+        of = np.repeat(np.arange(m), np.diff(np.append(head, len(back))))
+        back = np.cumsum(back)
+        back -= back[head][of]
+        a, b = run[of] - back, run[of] + np.arange(len(of)) - head[of] - back
+        low = -_highest(-np.minimum(there[a], q[of]), of)
+        return np.column_stack([first[a], last[b], low, _highest(np.maximum(there_last[b], q[of]), of)]), of
+
+    def alikes(self, spans: np.ndarray, of: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Similarity of the sets of shingles of growing spans around two places of each job."""
+        head = np.searchsorted(of, np.arange(len(p)))
+        top = np.append(head[1:], len(of)) - 1
+        never = len(of)
+        entered = []
+        for codes, place, i in ((self.codes[0], p, 0), (self.codes[1], q, 2)):
+            size = spans[top, i + 1] - spans[top, i] + 1
+            at, job = _ranges(spans[top, i], size), np.repeat(np.arange(len(p)), size)
+            wide = 2 * len(codes) + 2
+            ahead = at > place[job]
+            step = np.empty(len(at), np.int64)
+            step[ahead] = np.searchsorted(spans[:, i + 1], at[ahead])
+            step[~ahead] = np.searchsorted(of * wide - spans[:, i], job[~ahead] * wide - at[~ahead])
+            out = np.full(self.values, never)
+            np.minimum.at(out, codes[at], step)
+            entered.append(out)
+        s, t, common = (np.cumsum(np.bincount(e, minlength=never + 1)[:-1]) for e in (*entered, np.maximum(*entered)))
+        s, t, common = (c - np.where(head > 0, c[head - 1], 0)[of] for c in (s, t, common))
+        return common / (s + t - common)
 
 
 _FOUND = "doc long, start_word long, n_words long, first long, first_start_word long, first_n_words long, similarity double"
 
 
-def compare(pairs: DataFrame, plain: DataFrame, least: int, similarity: float) -> DataFrame:
-    """Passages of the pairs (doc, other, places) from their whole texts; rows without a passage hold the new windows that no passage covers."""
-    # only texts that are compared are packed and shuffled; their ids go to the scan while their counted rows are few
-    needed = sent(stored(pairs.select(F.explode(F.array("doc", "other")).alias("doc")).distinct()))
-    packed = packed_words(plain.join(needed, "doc", "left_semi"))
-    mine = pairs.join(packed, "doc").select("doc", "other", "places", F.col("packed").alias("mine"))
-    theirs = packed.select(F.col("doc").alias("other"), F.col("packed").alias("theirs"))
+def compare(pairs: DataFrame, dense: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Passages of the pairs (doc, other, places) from the dense parts of their texts; rows (doc, signature, places) without a passage hold the new windows that no passage covers."""
     spark = pairs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    # dealt by pair: a document that many others are compared with is no hot key here, and partitions of few bytes are not put together
-    both = mine.join(theirs, "other").select("doc", "other", "places", "mine", "theirs").repartition(tasks, "doc", "other")
-    left_type = pa.list_(pa.struct([("signature", pa.int64()), ("places", pa.list_(pa.int64()))]))
+    # the text that others are compared with goes once to each block of BLOCK of them; only few have more
+    many = pairs.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
+    block = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), "blocks"))
+    dealt = pairs.join(F.broadcast(many), "other", "left").select("other", block.alias("block"), "doc", "places")
+    asked = dealt.withColumn("member", F.col("doc")).unionByName(
+        dealt.select("other", "block").distinct().withColumn("member", F.col("other")), allowMissingColumns=True
+    )
+    texts = dense.select(F.col("doc").alias("member"), "place", "size", "held")
+    both = asked.join(texts, "member").select("other", "block", "doc", "places", "place", "size", "held").repartition(
+        tasks, "other", "block").sortWithinPartitions("other", "block", F.col("doc").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        types = [pa.int64()] * 6 + [pa.float64(), left_type]
-        names = ["doc", "start_word", "n_words", "first", "first_start_word", "first_n_words", "similarity", "open"]
-        last: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint64))
+        pairs: list[tuple[Parts, Parts, np.ndarray, bool]] = []
+        names: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        held, theirs = 0, None
         for batch in batches:
-            rows = []
-            for doc, other, places, a, b in zip(*(batch.column(i) for i in range(5))):
-                doc, other, places = doc.as_py(), other.as_py(), places.as_py()
-                x = shingles(words([unpack(a.as_py())])).hash
-                if last[0] != other:
-                    last = other, shingles(words([unpack(b.as_py())])).hash
-                at = np.concatenate([p["places"] for p in places]).astype(np.int64)
-                size = [len(p["places"]) for p in places]
-                here, low, high = unpacked(at, least)
-                there = np.repeat(np.array([p["there"] for p in places], np.int64), size)
-                seeds = np.column_stack([here, there, low, high])
-                found, covered = passages_around(x, last[1], seeds, least, similarity, doc == other)
-                rows += [(doc, i, j - i + SHINGLE, other, k, m - k + SHINGLE, alike, None) for i, j, k, m, alike in found]
-                settled = covered
-                for i, j, k, m, _ in found:
-                    settled |= (i <= here) & (here <= j) & (k <= there) & (there <= m)
-                still = []
-                for p, rest in zip(places, np.split(np.where(settled, -1, at), np.cumsum(size)[:-1])):
-                    if p["new"] and (rest >= 0).any():
-                        still.append({"signature": p["signature"], "places": rest[rest >= 0].tolist()})
-                if still:
-                    rows.append((doc, None, None, None, None, None, None, still))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-
-    return both.mapInArrow(run, f"{_FOUND}, open array<struct<signature:long,places:array<long>>>")
+            doc, at = batch.column(2).to_pylist(), _Lists(batch.column(3))
+            place, size = (batch.column(i).flatten().to_numpy() for i in (4, 5))
+            edge = np.concatenate([[0], np.cumsum(batch.column(4).value_lengths().to_numpy())])
+            for i, (other, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(6))):
+                parts = np.frombuffer(text.as_buffer(), np.uint64), place[edge[i] : edge[i + 1]], size[edge[i] : edge[i + 1]]
+                if doc[i] is None:  # the first row of its block
+                    theirs = parts
+                    continue
+                signature, there, new, places, lengths = at.of(i)
+                here, low, high = unpacked(places, least)
+                pairs.append((parts, theirs, np.column_stack([here, np.repeat(there, lengths), low, high]), doc[i] == other))
+                names.append((doc[i], other, np.where(new, signature, 0), places, lengths))
+                held += len(parts[0]) + len(theirs[0])
+                if held >= SIDE_BY_SIDE:
+                    yield _compared(pairs, names, least, similarity)
+                    pairs, names, held = [], [], 0
+        if pairs:
+            yield _compared(pairs, names, least, similarity)
+
+    return both.mapInArrow(run, f"{_FOUND}, signature long, places array<long>")
+
+
+class _Lists:
+    """The lists of structs (signature, places, there, new) of a column."""
+
+    def __init__(self, column: pa.ListArray) -> None:
+        every = column.flatten()
+        places = every.field("places")
+        self.signature, self.there, self.new = (every.field(n).to_numpy(zero_copy_only=False) for n in ("signature", "there", "new"))
+        self.places, self.lengths = places.flatten().to_numpy(), places.value_lengths().to_numpy().astype(np.int64)
+        self.edge = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+        self.start = np.concatenate([[0], np.cumsum(self.lengths)])
+
+    def of(self, i: int) -> tuple[np.ndarray, ...]:
+        """(signature, there, new, all places, how many of each) of a row."""
+        a, b = self.edge[i], self.edge[i + 1]
+        return self.signature[a:b], self.there[a:b], self.new[a:b].astype(bool), self.places[self.start[a] : self.start[b]], self.lengths[a:b]
+
+
+def _listed(values: np.ndarray, keep: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Which lists of these lengths keep a value, and what they keep."""
+    left = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[keep], minlength=len(lengths))
+    some = np.flatnonzero(left)
+    return some, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left[some])]).astype(np.int32)), pa.array(values[keep]))
+
+
+def _compared(pairs: list, names: list, least: int, similarity: float) -> pa.RecordBatch:
+    """Rows of ``compare``; a signature of 0 stands for windows that are not new."""
+    rows, still = [], []
+    for (doc, other, signature, places, lengths), (_, _, at, _), (found, settled) in zip(names, pairs, passages_around(pairs, least, similarity)):
+        rows += [(doc, i, j - i + SHINGLE, other, k, m - k + SHINGLE, alike) for i, j, k, m, alike in found]
+        here, there = at[:, 0], at[:, 1]
+        for i, j, k, m, _ in found:
+            settled = settled | (i <= here) & (here <= j) & (k <= there) & (there <= m)
+        still.append(np.repeat(signature != 0, lengths) & ~settled)
+    signature, lengths, places = (np.concatenate([n[i] for n in names]) for i in (2, 4, 3))
+    some, lists = _listed(places, np.concatenate(still), lengths)
+    docs = np.repeat([n[0] for n in names], [len(n[2]) for n in names])[some]
+    types = [pa.int64()] * 6 + [pa.float64()]
+    columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, types)]
+    open_ = [pa.array(docs, pa.int64()), *[pa.nulls(len(some), t) for t in types[1:]], pa.array(signature[some], pa.int64()), lists]
+    columns += [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), lists.type)]
+    fields = ["doc", "start_word", "n_words", "first", "first_start_word", "first_n_words", "similarity", "signature", "places"]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b.cast(a.type)]) for a, b in zip(columns, open_)], fields)
 
 
 def not_held(windows: DataFrame, rows: DataFrame, passage: int) -> DataFrame:
     """The windows (signature, doc, places) around which the passages (doc, start_word, n_words) leave a part of ``passage`` words out."""
     least = passage - SHINGLE + 1
     open_ = windows.groupBy("doc").agg(F.collect_list(F.struct("signature", "places")).alias("w"))
-    spans = rows.groupBy("doc").agg(F.collect_list("start_word").alias("start"), F.collect_list(F.col("start_word") + F.col("n_words") - passage).alias("end"))
+    spans = rows.groupBy("doc").agg(F.collect_list(F.struct("start_word", (F.col("start_word") + F.col("n_words") - passage).alias("end"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, some, start, end in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                places = np.concatenate([w["places"] for w in some]).astype(np.int64)
-                _, low, high = unpacked(places, least)
-                known = np.zeros(len(places), bool)
-                if start:
-                    order = np.argsort(start, kind="stable")
-                    start, end = np.array(start)[order], np.maximum.accumulate(np.array(end)[order])
-                    begin = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1] + 1]))  # of rows that meet
-                    i = np.searchsorted(start[begin], low, "right") - 1
-                    known = (i >= 0) & (high <= end[np.append(begin[1:], len(end)) - 1][i])
-                for w, rest in zip(some, np.split(np.where(known, -1, places), np.cumsum([len(w["places"]) for w in some])[:-1])):
-                    if (rest >= 0).any():
-                        out.append((w["signature"], doc, rest[rest >= 0].tolist()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["signature", "doc", "places"])
-
-    return open_.join(spans, "doc", "left").select("doc", "w", "start", "end").mapInArrow(run, "signature long, doc long, places array<long>")
+            every, spans = batch.column(1).flatten(), batch.column(2).flatten()
+            count = batch.column(1).value_lengths().to_numpy()
+            lengths = every.field("places").value_lengths().to_numpy().astype(np.int64)
+            places = every.field("places").flatten().to_numpy()
+            signature, doc = every.field("signature").to_numpy(), np.repeat(batch.column(0).to_numpy(), count)
+            _, low, high = unpacked(places, least)
+            known = np.zeros(len(places), bool)
+            if len(spans):
+                of = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().fill_null(0).to_numpy())
+                start, end = spans.field("start_word").to_numpy(), spans.field("end").to_numpy()
+                order = np.lexsort((start, of))
+                of, start, end = of[order], start[order], _highest(end[order], of[order])
+                begin = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (start[1:] > end[:-1] + 1)]))  # of rows that meet
+                row = np.repeat(np.repeat(np.arange(batch.num_rows), count), lengths)
+                wide = int(max(start.max(), high.max(initial=0), low.max(initial=0))) + least + passage + 1
+                i = np.searchsorted(of[begin] * wide + start[begin], row * wide + low, "right") - 1
+                known = (i >= 0) & (of[begin][i] == row) & (high <= end[np.append(begin[1:], len(end)) - 1][i])
+            some, lists = _listed(places, ~known, lengths)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(signature[some]), pa.array(doc[some]), lists], ["signature", "doc", "places"])
+
+    return open_.join(spans, "doc", "left").select("doc", "w", "spans").mapInArrow(run, "signature long, doc long, places array<long>")
 
 
 def near_passages(
@@ -583,7 +866,7 @@ def near_passages(
        links of two documents are brought together, and two documents are compared once two signatures or more agree, in
        this turn and those before: always for a verbatim passage, which all functions see, and for one of similarity 0.8 but for a
        chance of 8e-5.
-    4. Whole texts verify: the passage around a common shingle must have ``passage`` words or more on both sides and a
+    4. The dense parts of both texts verify, many pairs side by side: the passage around a common shingle must have ``passage`` words or more on both sides and a
        similarity of sets of five-word shingles of ``similarity`` or more.
     5. Windows whose link no passage confirms, and around which the passages found so far do not hold every part of ``passage`` words, go on to the next smallest window of their signature, and what is left
        then is compared in pairs where a signature has up to CROWD windows. A larger group has a frequent phrase at its
@@ -606,47 +889,50 @@ def near_passages(
     before: list[DataFrame] = []
 
     def grouped(windows: DataFrame) -> DataFrame:
-        smallest = F.struct("doc", F.array_min("places").alias("place"))
-        groups = windows.groupBy("signature").agg(F.sum(F.size("places")).alias("n"), F.min(smallest).alias("first")).where("n > 1")
-        return windows.join(groups, "signature")
+        groups = windows.select("signature", "doc", F.size("places").alias("n"), F.array_min("places").alias("place")).groupBy("signature").agg(
+            F.sum("n").alias("n"), F.min("doc").alias("low"), F.min_by("place", "doc").alias("place")
+        ).where("n > 1")
+        return windows.join(groups.select("signature", "n", F.struct(F.col("low").alias("doc"), "place").alias("first")), "signature")
 
     def after_first(met: DataFrame) -> DataFrame:
         own = F.when(F.col("doc") == F.col("first.doc"), F.array_remove("places", F.col("first.place"))).otherwise(F.col("places"))
         return met.withColumn("places", own).where(F.size("places") > 0)
 
-    def turn(met: DataFrame) -> DataFrame:
-        """Compare the links (signature, doc, places, first) as far as two signatures agree; windows that are not confirmed."""
+    def paired(met: DataFrame) -> DataFrame:
+        """The links (signature, doc, places, first) by pairs of documents."""
         at = F.struct("signature", "places", F.shiftright("first.place", 32).alias("there"), F.lit(True).alias("new"))
-        pairs = met.select("doc", F.col("first.doc").alias("other"), "signature", at.alias("at")).groupBy("doc", "other").agg(
+        return met.select("doc", F.col("first.doc").alias("other"), "signature", at.alias("at")).groupBy("doc", "other").agg(
             F.collect_list("at").alias("places"), F.min("signature").alias("least"), F.max("signature").alias("most")
         )
+
+    def turn(pairs: DataFrame) -> DataFrame:
+        """Compare the links (doc, other, places, least, most) as far as two signatures agree; windows that are not confirmed."""
         if before:
             pairs = stored(pairs)
             touched = sent(stored(pairs.select("doc", "other")))
             for earlier in before:
                 # a pair compared before brings that two signatures agree, one that waits also brings its places
-                waiting = F.when(F.col("least") == F.col("most"), F.transform("places", lambda p: p.withField("new", F.lit(False)))).otherwise(F.slice("places", 1, 0))
-                pairs = pairs.unionByName(earlier.join(touched, ["doc", "other"], "left_semi").withColumn("places", waiting))
+                was = earlier.where("NOT alone").select("doc", "other", F.lit(None).cast(pairs.schema["places"].dataType).alias("places"), "least", "most")
+                waits = earlier.where("alone").withColumn("places", F.transform("places", lambda p: p.withField("new", F.lit(False)))).drop("alone")
+                pairs = pairs.unionByName(was.unionByName(waits).join(touched, ["doc", "other"], "left_semi"))
             pairs = pairs.groupBy("doc", "other").agg(
                 F.flatten(F.collect_list("places")).alias("places"), F.min("least").alias("least"), F.max("most").alias("most")
             )
-        pairs = stored(pairs)
+        pairs = stored(pairs.withColumn("alone", F.expr("least = most")), "alone")
         before.append(pairs)
-        checked = stored(compare(pairs.where("least <> most").select("doc", "other", "places"), plain, least, similarity))
-        found.append(checked.where("open IS NULL").drop("open").withColumn("turn", F.lit(len(found))))
-        alone = pairs.where("least = most").select("doc", F.explode(F.filter("places", lambda p: p["new"])).alias("w"))
-        still = checked.where("open IS NOT NULL").select("doc", F.explode("open").alias("w"))
-        left = alone.select("w.signature", "doc", "w.places").unionByName(still.select("w.signature", "doc", "w.places"))
+        checked = stored(compare(pairs.where("NOT alone").select("doc", "other", "places"), dense, least, similarity))
+        found.append(checked.where("start_word IS NOT NULL").drop("signature", "places").withColumn("turn", F.lit(len(found))))
+        alone = pairs.where("alone").select("doc", F.explode(F.filter("places", lambda p: p["new"])).alias("w"))
+        left = alone.select("w.signature", "doc", "w.places").unionByName(checked.where("start_word IS NULL").select("signature", "doc", "places"))
         rows = found[0]
         for more in found[1:]:
             rows = rows.unionByName(more)
         return not_held(left, rows, passage)
 
-    windows, crowded = all_windows(dense, functions, passage).repartition("signature"), np.zeros(0, np.int64)
+    parts = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs, crowded = linked(all_windows(dense, functions, passage, parts), parts), np.zeros(0, np.int64)
     while True:
-        for _ in range(2):
-            windows = turn(after_first(grouped(windows)))
-        windows = stored(windows)
+        windows = stored(turn(paired(after_first(grouped(stored(turn(pairs)))))))
         # a text without others whose places are too near each other has nothing left to compare
         last = F.shiftright(F.max(F.array_max("places")), 32) - F.shiftright(F.min(F.array_min("places")), 32)
         open_ = windows.groupBy("signature").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), last.alias("last")).where(
@@ -660,14 +946,14 @@ def near_passages(
         later = later.where((F.col("doc") != F.col("first.doc")) | ~near)
         later = stored(later.groupBy("signature", "doc", "first").agg(F.collect_list("place").alias("places")))
         if not later.isEmpty():
-            turn(later)
+            turn(paired(later))
         many = rest.where((F.col("n") > CROWD) & (F.col("signature") >= 0))
         new = [r[0] for r in many.select("signature").distinct().collect()]
         if not new:
             break
         crowded = np.append(crowded, np.array(new, np.int64))
         again = dense.join(sent(stored(many.select("doc").distinct())), "doc", "left_semi")
-        windows = all_windows(again, functions, passage, crowded).repartition("signature")
+        pairs = linked(all_windows(again, functions, passage, parts, crowded), parts)
     first, *others = found
     out = first.drop("turn").unionByName(copies.where(F.col("n_words") >= passage).select(
         "doc", F.lit(0).cast("long").alias("start_word"), "n_words", F.col("leader").alias("first"), F.lit(0).cast("long").alias("first_start_word"),

@@ -10,6 +10,8 @@ import pyarrow as pa
 
 #: Words of one shingle.
 SHINGLE = 5
+#: Letters of a word up to which all words are hashed side by side.
+LETTERS = 40
 #: Bytes of text that a worker handles together, beyond one whole text.
 BATCH_BYTES = 3_000_000
 
@@ -49,17 +51,37 @@ def words(texts: list[bytes]) -> Words:
     """Words (runs of other bytes than space and \\t to \\r) of UTF-8 texts."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = _SPACES[data]
-    edge = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # the last byte is a space
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[::2], edge[1::2]
     bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
     first = np.searchsorted(start, bounds)
     text = np.repeat(np.arange(len(texts)), np.diff(first))
     if not len(start):
         return Words(np.zeros(0, np.uint64), text, start, end, first)
-    length = end - start
-    begin = np.cumsum(length) - length
-    place = (np.arange(int(length.sum())) - np.repeat(begin, length)) & 4095
-    return Words(mix(np.add.reduceat(_LETTER[data[~space]] * _PLACE[place], begin)), text, start, end, first)
+    return Words(mix(_sums(data, start, end - start)), text, start, end, first)
+
+
+def _sums(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each word the sum of its letters' numbers times those of their places: letter by letter for all words of so many letters, the longest first."""
+    order = np.argsort(np.minimum(length, LETTERS + 1).astype(np.uint8), kind="stable")[::-1]
+    sums, at = np.zeros(len(start), np.uint64), start[order]
+    more = len(length) - np.cumsum(np.bincount(np.minimum(length, LETTERS + 1), minlength=LETTERS + 2))  # words of more than so many letters
+    for k in range(LETTERS):
+        n = more[k]
+        if not n:
+            break
+        sums[:n] += _LETTER[data[at[:n] + k]] * _PLACE[k]
+    n = more[LETTERS]
+    if n:
+        long = length[order[:n]]
+        begin = np.cumsum(long) - long
+        place = np.arange(int(long.sum())) - np.repeat(begin, long)
+        sums[:n] = np.add.reduceat(_LETTER[data[place + np.repeat(at[:n], long)]] * _PLACE[place & 4095], begin)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
 
 
 @dataclass

@@ -29,15 +29,15 @@ def fits_buffers(df: DataFrame, by: list[str]) -> bool:
     return found["all"] <= BUFFERED_VALUES or found["largest"] <= BUFFERED_GROUP
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """A table read several times, written once to the shared folder of the cluster and read back.
 
     It cuts the lineage, survives lost executors, and its size is known to the optimizer.
-    The folder is deleted when the application ends.
+    The folder is deleted when the application ends. Rows of one value of a column ``by`` can be read alone.
     """
     spark = df.sparkSession
     path = work_folder(spark, "stored")
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

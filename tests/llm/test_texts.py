@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from evidence.llm import near_dedup, near_passages, personal_data, pieces, quality_rules, substring_dedup, weak_quality
+from evidence.llm import near_dedup, near_passages, personal_data, pieces, quality_rules, shingles as hashes, substring_dedup, weak_quality
 from evidence.llm.suffix_array import permuted_prefixes, suffix_array
 from pyspark.sql import functions as F
 
@@ -535,3 +535,39 @@ def test_passages_of_copies_and_of_periodic_texts_are_few(spark):
     got = near_passages.near_passages(documents(spark, rows)).collect()
     assert [tuple(r)[1:] for r in got if r["doc_id"] == 2] == [(0, 3600, 1, 0, 3600, 1.0)]
     assert len(got) < 40 and any(r["doc_id"] == 3 and r["first_doc_id"] == 1 and r["n_words"] >= 180 for r in got)
+
+
+def test_pairs_are_verified_side_by_side(monkeypatch):
+    # as if each pair were alone, in as many steps as the longest needs; texts with changes all over are not tried at all
+    draw, pairs, tries = random.Random(17), [], []
+    part = lambda w: (near_passages.shingles(near_passages.words([" ".join(w).encode()])).hash, np.zeros(1, int), np.array([len(w) - 4]))
+    for n in range(60):
+        base = passage(1300 + n, draw.randint(60, 400)).split(" ")
+        every = 8 if n % 4 == 0 else draw.choice([25, 60, 150])
+        other = [f"{w}x" if i % every == 3 else w for i, w in enumerate(base)][draw.randint(0, 5) :]
+        x, y = part(passage(1400 + n, 30).split(" ") + base), part(other)
+        there = {h: q for q, h in enumerate(y[0].tolist())}
+        at = np.array([(p, there[h], p - 45, p) for p, h in enumerate(x[0].tolist()) if h in there and p % 7 == 0]).reshape(-1, 4)
+        pairs.append((x, y, at, False))
+    plain = near_passages._Jobs.tried
+    monkeypatch.setattr(near_passages._Jobs, "tried", lambda self, j, *a: tries.append(len(j)) or plain(self, j, *a))
+    alone = []
+    for k, p in enumerate(pairs):
+        before = len(tries)
+        alone += near_passages.passages_around([p], 46, 0.8)
+        assert k % 4 or len(tries) == before
+    steps = len(tries)
+    together = near_passages.passages_around(pairs, 46, 0.8)
+    assert [f for f, _ in together] == [f for f, _ in alone] and all((a == b).all() for (_, a), (_, b) in zip(together, alone))
+    assert sum(bool(f) for f, _ in together) >= 25 and len(tries) - steps <= steps / 3
+
+
+def test_letters_of_words_are_hashed_side_by_side():
+    draw = random.Random(5)
+    for k in range(60):
+        lengths = [1, 2, 5, 39, 40, 41, 42, 300, 5000] if k % 3 == 0 else range(1, 13)
+        split = [[bytes(draw.choices(range(33, 256), k=draw.choice(lengths))) for _ in range(draw.randint(0, 9))] for _ in range(draw.randint(0, 4))]
+        found = near_passages.words([b" \t"[: k % 3] + b" ".join(w) for w in split])
+        want = [(hashes._LETTER[list(w)] * hashes._PLACE[np.arange(len(w)) & 4095]).sum(dtype=np.uint64) for part in split for w in part]
+        assert found.hash.tolist() == near_passages.mix(np.array(want, np.uint64)).tolist()
+        assert np.diff(found.first).tolist() == [len(w) for w in split]
