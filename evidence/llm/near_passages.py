@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ COPIES = 2_000_000
 #: Texts of a block that are compared with one other, on average.
 BLOCK = 32
 #: Shingles of texts that a worker compares side by side, beyond one pair.
-SIDE_BY_SIDE = 300_000
+SIDE_BY_SIDE = 150_000
+#: Tables of earlier turns that a turn reads; those after the first are merged beyond.
+FEW = 3
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -887,6 +890,7 @@ def near_passages(
     where = F.struct("doc", "place")
     found: list[DataFrame] = []
     before: list[DataFrame] = []
+    turns = count()
 
     def grouped(windows: DataFrame) -> DataFrame:
         groups = windows.select("signature", "doc", F.size("places").alias("n"), F.array_min("places").alias("place")).groupBy("signature").agg(
@@ -898,6 +902,18 @@ def near_passages(
         own = F.when(F.col("doc") == F.col("first.doc"), F.array_remove("places", F.col("first.place"))).otherwise(F.col("places"))
         return met.withColumn("places", own).where(F.size("places") > 0)
 
+    def merged(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for more in tables[1:]:
+            out = out.unionByName(more)
+        return out
+
+    def noted(pairs: DataFrame) -> DataFrame:
+        """What later turns need of the pairs of a turn: its own places, and only of those that wait for a second signature."""
+        compared = pairs.where("NOT alone").select("doc", "other", F.lit(None).cast(pairs.schema["places"].dataType).alias("places"), "least", "most")
+        own = F.transform(F.filter("places", lambda p: p["new"]), lambda p: p.withField("new", F.lit(False)))
+        return compared.unionByName(pairs.where("alone").withColumn("places", own).drop("alone"))
+
     def paired(met: DataFrame) -> DataFrame:
         """The links (signature, doc, places, first) by pairs of documents."""
         at = F.struct("signature", "places", F.shiftright("first.place", 32).alias("there"), F.lit(True).alias("new"))
@@ -912,22 +928,21 @@ def near_passages(
             touched = sent(stored(pairs.select("doc", "other")))
             for earlier in before:
                 # a pair compared before brings that two signatures agree, one that waits also brings its places
-                was = earlier.where("NOT alone").select("doc", "other", F.lit(None).cast(pairs.schema["places"].dataType).alias("places"), "least", "most")
-                waits = earlier.where("alone").withColumn("places", F.transform("places", lambda p: p.withField("new", F.lit(False)))).drop("alone")
-                pairs = pairs.unionByName(was.unionByName(waits).join(touched, ["doc", "other"], "left_semi"))
+                pairs = pairs.unionByName(earlier.join(touched, ["doc", "other"], "left_semi"))
             pairs = pairs.groupBy("doc", "other").agg(
                 F.flatten(F.collect_list("places")).alias("places"), F.min("least").alias("least"), F.max("most").alias("most")
             )
         pairs = stored(pairs.withColumn("alone", F.expr("least = most")), "alone")
-        before.append(pairs)
+        before.append(noted(pairs))
+        if len(before) > FEW:
+            before[1:] = [stored(merged(before[1:]))]
         checked = stored(compare(pairs.where("NOT alone").select("doc", "other", "places"), dense, least, similarity))
-        found.append(checked.where("start_word IS NOT NULL").drop("signature", "places").withColumn("turn", F.lit(len(found))))
+        found.append(checked.where("start_word IS NOT NULL").drop("signature", "places").withColumn("turn", F.lit(next(turns))))
+        if len(found) > FEW:
+            found[1:] = [stored(merged(found[1:]))]
         alone = pairs.where("alone").select("doc", F.explode(F.filter("places", lambda p: p["new"])).alias("w"))
         left = alone.select("w.signature", "doc", "w.places").unionByName(checked.where("start_word IS NULL").select("signature", "doc", "places"))
-        rows = found[0]
-        for more in found[1:]:
-            rows = rows.unionByName(more)
-        return not_held(left, rows, passage)
+        return not_held(left, merged(found), passage)
 
     parts = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs, crowded = linked(all_windows(dense, functions, passage, parts), parts), np.zeros(0, np.int64)
@@ -961,10 +976,7 @@ def near_passages(
     ))
     if others:
         # what a later turn finds is left out where a row of the document covers it and names an earlier one
-        added = others[0]
-        for more in others[1:]:
-            added = added.unionByName(more)
-        added = stored(added.dropDuplicates(["doc", "start_word", "n_words", "first"]))
+        added = stored(merged(others).dropDuplicates(["doc", "start_word", "n_words", "first"]))
         of = first.unionByName(added).select(*[F.col(c).alias(f"of_{c}") for c in first.columns]).join(
             sent(stored(added.select(F.col("doc").alias("of_doc")).distinct())), "of_doc", "left_semi"
         )
